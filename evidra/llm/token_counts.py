@@ -46,30 +46,35 @@ def boundaries(model, chunk: str) -> np.ndarray:
     return leads[np.minimum(at, len(leads) - 1)] if len(at) else at
 
 
+def starts(model, text: str, start: int, end: int) -> np.ndarray:
+    """Where the tokens of text[start:end] start in the text. start is 0 or a stable boundary, whose space the library writes by
+    itself before what it is given."""
+    if start and end == start + 1:
+        return np.array([start])
+    lead = int(start > 0)
+    return start + lead + boundaries(model, text[start + lead : end])
+
+
 def count_tokens(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """The number of tokens of the whole text, from overlapping chunks."""
-    total, start = 0, 0
+    total, start, end = 0, 0, min(chunk, len(text))
     while True:
-        end = min(start + chunk, len(text))
-        at = boundaries(model, text[start:end])
+        at = starts(model, text, start, end)
         if end == len(text):
             return total + len(at)
         wide, cut = overlap, None
-        while cut is None:
+        while cut is None and wide < 2 * (end - start):
             low = max(start + 1, end - wide)
-            following = text[low : min(low + 2 * wide, len(text))]
-            there = low + boundaries(model, following)
-            common = np.intersect1d(start + at, there)
-            # the last characters of the chunk may be tokenised otherwise than in the text; a stable boundary isn't touched by that
+            following = low + boundaries(model, text[low : min(end + wide, len(text))])
+            # near its ends a chunk may be cut into other tokens than the text is; a stable boundary isn't touched by that
+            common = np.intersect1d(at, following)
             cut = next((int(x) for x in common[::-1] if low < x < end and stable(text, int(x))), None)
-            if cut is None and low == start + 1:  # no boundary in the chunk at all: take a longer one
-                end = min(end + chunk, len(text))
-                at = boundaries(model, text[start:end])
-                if end == len(text):
-                    return total + len(at)
             wide *= 2
-        total += int((start + at < cut).sum())
-        start = cut
+        if cut is None:  # no boundary in the whole chunk: take a longer one
+            end = min(end + (end - start), len(text))
+            continue
+        total += int((at < cut).sum())
+        start, end = cut, min(cut + chunk, len(text))
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
