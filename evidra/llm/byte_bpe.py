@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -169,10 +170,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_words, and with keep_ids the ids themselves."""
     spark = docs.sparkSession
     rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text")
-    path = f"{shared_dir(spark)}/chunks"
+    # a table in the shared folder, bucketed by chunk: the documents' numbers are not shuffled again when their ids come back
+    name = f"evidra_chunks_{uuid.uuid4().hex}"
     parts = split_chunks(rows, pattern, 2 * n_partitions(spark))
-    parts.write.partitionBy("kind").parquet(path)
-    both = spark.read.schema(parts.schema).parquet(path)
+    parts.write.partitionBy("kind").bucketBy(n_partitions(spark), "chunk").option("path", f"{shared_dir(spark)}/chunks").saveAsTable(name)
+    both = spark.table(name)
     numbers = both.filter("kind = 0").select("chunk", "doc_id", "numbers")
     ids = encode_words(both.filter("kind = 1"), ranks_path, pattern)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long" + ", ids array<int>" * keep_ids
