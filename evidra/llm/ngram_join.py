@@ -1,8 +1,10 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 A document is the set of its distinct word 5-grams, as 64-bit hashes. The global order of n-grams goes from rare to frequent:
-document frequencies are counted over all documents, the TOP most frequent n-grams come last by frequency, the others before
-them by hash. (Any total order gives the same links; this one keeps frequent n-grams out of prefixes.)
+document frequencies are counted over all documents; the TOP most frequent n-grams come last, by frequency; before them come
+those whose bit is set in a bitmap of the next SECOND ones that occur twice or more, by hash; the others come first. (Any
+total order gives the same links; this one keeps frequent n-grams out of prefixes.) Where the two hold all n-grams that occur
+twice, an n-gram in neither has no second document, and nothing is told about it.
 
 1. Two sets that link share an n-gram of both prefixes (the first n - ceil(0.8 n) + 1 in the order). Prefix n-grams are dealt
    to buckets; in each list of documents that share one, the document whose n-gram comes earliest in its own prefix is the
@@ -22,6 +24,7 @@ id; rows with null ids take part, and their component is the smallest id that is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ from evidra.llm.components import components
 WORDS, PERCENT = 5, 80
 #: The most frequent n-grams that have their place in the order by frequency: 12 bytes each, sent to every executor.
 TOP = 1 << 20
+#: The next ones are marked in a bitmap of so many bits, sent as well.
+SECOND, MARK_BITS = 1 << 23, 27
 FRAGMENTS, BLOCK, ORDER_BITS, FLUSH = 4, 512, 40, 1_500_000
 BROADCAST_DOCS = 1_000_000
 _U = np.uint64
@@ -118,8 +123,23 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text")
 
 
-def frequent_grams(rows: DataFrame, n: int = WORDS, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
-    """The shortened hashes (ascending) and document frequencies of the most frequent n-grams; at most about top of them."""
+@dataclass
+class Order:
+    """The most frequent n-grams (shortened hashes, ascending) with their document frequencies, the bitmap of the next ones, and
+    whether these are all that occur twice or more."""
+
+    grams: np.ndarray
+    counts: np.ndarray
+    marks: np.ndarray
+    complete: bool
+
+
+def _mark(short: np.ndarray) -> np.ndarray:
+    return (short * _U(0x9E3779B97F4A7C15)) >> _U(64 - MARK_BITS)
+
+
+def global_order(rows: DataFrame, n: int = WORDS, top: int = TOP, second: int = SECOND) -> Order:
+    """At most about top n-grams by frequency, and about second marks, from the document frequencies of all n-grams."""
     parts = n_partitions(rows.sparkSession)
     buckets = 2 * parts
 
@@ -152,34 +172,51 @@ def frequent_grams(rows: DataFrame, n: int = WORDS, top: int = TOP) -> tuple[np.
             start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
             values, counts = values[start], np.add.reduceat(counts, start)
             keep = np.flatnonzero(counts > 1)
-            most = max(1, top // buckets)
+            most, next_most = max(1, top // buckets), second // buckets
+            rest = keep[:0]
             if len(keep) > most:
-                keep = np.sort(keep[np.argpartition(-counts[keep], most)[:most]])
-            yield _table([(values[keep].tobytes(), np.minimum(counts[keep], 2**31 - 1).astype(np.int32).tobytes())], (pa.binary(), pa.binary()), ("grams", "counts"))
+                order = np.argpartition(-counts[keep], most)
+                rest, keep = keep[order[most:]], np.sort(keep[order[:most]])
+            complete = len(rest) <= next_most
+            if not complete:
+                rest = rest[np.argpartition(-counts[rest], next_most)[:next_most]]
+            found = (values[keep].tobytes(), np.minimum(counts[keep], 2**31 - 1).astype(np.int32).tobytes(), _mark(values[rest]).astype(np.uint32).tobytes(), complete)
+            yield _table([found], (pa.binary(), pa.binary(), pa.binary(), pa.bool_()), ("grams", "counts", "marks", "complete"))
 
     counted = rows.select("text").mapInArrow(count, "bucket int, grams binary, counts binary")
-    merged = counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "grams binary, counts binary")
-    found = merged.collect()  # TOP * 12 bytes at most
+    merged = counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "grams binary, counts binary, marks binary, complete boolean")
+    found = merged.collect()  # 12 bytes * top and 4 bytes * second at most
     grams = np.concatenate([np.empty(0, _U), *(np.frombuffer(r["grams"], _U) for r in found)])
     counts = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(r["counts"], np.int32) for r in found)])
     order = np.argsort(grams)
-    return grams[order], counts[order]
+    marks = np.zeros(1 << MARK_BITS - 3, np.uint8)
+    for r in found:
+        at = np.frombuffer(r["marks"], np.uint32)
+        np.bitwise_or.at(marks, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    return Order(grams[order], counts[order], marks, all(r["complete"] for r in found))
 
 
-def frequency(grams: np.ndarray, top: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The frequency by which an n-gram is ordered: 0 unless it is among the most frequent."""
-    known, counts = top
-    if not len(known):
-        return np.zeros(len(grams), np.int32)
+def frequency(grams: np.ndarray, order: Order) -> np.ndarray:
+    """By what an n-gram is ordered: its frequency if it is among the most frequent, 1 if it is marked, else 0."""
     short = _short(grams)
-    at = np.minimum(np.searchsorted(known, short), len(known) - 1)
-    return np.where(known[at] == short, counts[at], 0)
-
-
-def prefix(grams: np.ndarray, top: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Those n-grams, in the global order, of which a linking set must share one."""
-    order = np.argsort(frequency(grams, top), kind="stable")  # by hash among equals, as grams ascend
-    return grams[order[: len(grams) - needed(len(grams), percent) + 1]]
+    at = _mark(short)
+    marked = (order.marks[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(np.int32)
+    if not len(order.grams):
+        return marked
+    at = np.minimum(np.searchsorted(order.grams, short), len(order.grams) - 1)
+    return np.where(order.grams[at] == short, order.counts[at], marked)
+
+
+def prefix(grams: np.ndarray, order: Order, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Those n-grams, in the global order, of which a linking set must share one, and their places; without those that are known
+    to have no second document."""
+    f = frequency(grams, order)
+    at = np.argsort(f, kind="stable")[: len(grams) - needed(len(grams), percent) + 1]  # by hash among equals, as grams ascend
+    places = np.arange(len(at))
+    if order.complete:
+        places = np.flatnonzero(f[at] > 0)
+        at = at[places]
+    return grams[at], places
 
 
 def prefixes(rows: DataFrame, top, n: int, percent: int, buckets: int) -> DataFrame:
@@ -213,10 +250,10 @@ def prefixes(rows: DataFrame, top, n: int, percent: int, buckets: int) -> DataFr
                 out.append((0, base + ref, doc_id, len(own), kind, None, None, None, None))
                 if len(own) and kind not in classes:  # one of the equal sets that this task holds is enough
                     classes.add(kind)
-                    head = prefix(own, known, percent)
+                    head, place = prefix(own, known, percent)
                     grams.append(_short(head))
                     owners.append(np.full(len(head), ref - first, np.uint32))
-                    places.append((np.arange(len(head)) * 200 // len(own)).astype(np.uint8))
+                    places.append((place * 200 // len(own)).astype(np.uint8))
                     size += len(head)
                 ref += 1
                 if size > FLUSH // 2:
@@ -262,7 +299,7 @@ def segments(rows: DataFrame, top, n: int, fragments: int) -> DataFrame:
                 own = shingles(data, n)
                 if class_of(own) != kind:
                     continue  # another text with the same id
-                late = frequency(own, known) > 0
+                late = frequency(own, known) > 1
                 part = np.where(late, fragments - 1, (own >> _U(32)) % _U(max(fragments - 1, 1)))
                 out += [(kind, len(own), k, own[part == k].tobytes()) for k in range(fragments)]
             yield _table(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), ("class", "n_grams", "fragment", "grams"))
@@ -316,7 +353,7 @@ def link_forest(members: DataFrame, sets: DataFrame, percent: int, fragments: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (centre, i, j, fragment), group in _groups(batches, 4):
-            group.sort(key=lambda r: r[4])
+            group = sorted({r[4]: r for r in group}.values(), key=lambda r: r[4])  # rows that repeat an id have the same segments
             c = partial_overlaps([np.frombuffer(r[6], _U) for r in group])
             upper = np.triu_indices(len(group), 1)
             yield _table(
@@ -366,11 +403,11 @@ def _table(rows: list[tuple], types: tuple, names: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, top: int = TOP, fragments: int = FRAGMENTS, block: int = BLOCK) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, top: int = TOP, second: int = SECOND, fragments: int = FRAGMENTS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, class for every row."""
     spark = docs.sparkSession
     rows = _read(docs, id_col, text_col)
-    known = spark.sparkContext.broadcast(frequent_grams(rows, n, top))
+    known = spark.sparkContext.broadcast(global_order(rows, n, top, second))
     both = staged(prefixes(rows, known, n, percent, 2 * n_partitions(spark)), "prefixes")
     table = both.filter("kind = 0").select("ref", "doc_id", "n_grams", "class")
     lists = centres(both.filter("kind = 1")).distinct()
@@ -380,7 +417,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = staged(table.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("of_id")), "wanted")
     reps = small_side(wanted, wanted.count(), BROADCAST_DOCS)
     texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("of_id"))).select("class", "text")
-    sets = staged(segments(texts, known, n, fragments).dropDuplicates(["class", "fragment"]), "segments")
+    sets = staged(segments(texts, known, n, fragments), "segments")
     found = components(staged(link_forest(members, sets, percent, fragments, block), "forest"))
     smallest = table.filter("n_grams > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     rooted = smallest.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
