@@ -1 +1,22 @@
-"""Evidence analytics on Spark."""
+"""Sources: tables, delimited files, event logs with damaged lines, archives."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def event_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Events of a JSON-lines log, and its damaged lines (to be written aside)."""
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")
+
+
+def delimited(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Rows of CSV files without a header: (file, row) with the cells as an array; the header is elected later."""
+    rows = spark.read.option("encoding", encoding).csv(path, header=False)
+    return rows.select(F.input_file_name().alias("file"), F.array(*rows.columns).alias("cells"))
