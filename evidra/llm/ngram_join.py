@@ -2,9 +2,9 @@
 
 A document is the set of its distinct word 5-grams, as 64-bit hashes. The global order of n-grams goes from rare to frequent:
 document frequencies are counted over all documents; the TOP most frequent n-grams come last, by frequency; before them come
-those whose bit is set in a bitmap of the next SECOND ones that occur twice or more, by hash; the others come first. (Any
-total order gives the same links; this one keeps frequent n-grams out of prefixes.) Where the two hold all n-grams that occur
-twice, an n-gram in neither has no second document, and nothing is told about it.
+the next SECOND ones that occur twice or more, by levels of their frequency (a table of levels by hash); the others come
+first; equals are ordered by hash. (Any total order gives the same links; this one keeps frequent n-grams out of prefixes.)
+Where the two tables hold all n-grams that occur twice, an n-gram in neither has no second document, and nothing is told of it.
 
 1. Two sets that link share an n-gram of both prefixes (the first n - ceil(0.8 n) + 1 in the order). Prefix n-grams are dealt
    to buckets; in each list of documents that share one, the document whose n-gram comes earliest in its own prefix is the
@@ -40,8 +40,8 @@ from evidra.llm.components import components
 WORDS, PERCENT = 5, 80
 #: The most frequent n-grams that have their place in the order by frequency: 12 bytes each, sent to every executor.
 TOP = 1 << 20
-#: The next ones are marked in a bitmap of so many bits, sent as well.
-SECOND, MARK_BITS = 1 << 23, 27
+#: The next ones have their level in a table of 2 ** MARK_BITS places of half a byte, sent as well.
+SECOND, MARK_BITS, LEVELS = 1 << 23, 26, 15
 FRAGMENTS, BLOCK, ORDER_BITS, FLUSH = 4, 512, 40, 1_500_000
 BROADCAST_DOCS = 1_000_000
 _U = np.uint64
@@ -125,8 +125,8 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 @dataclass
 class Order:
-    """The most frequent n-grams (shortened hashes, ascending) with their document frequencies, the bitmap of the next ones, and
-    whether these are all that occur twice or more."""
+    """The most frequent n-grams (shortened hashes, ascending) with their document frequencies, the levels of the next ones, two to
+    a byte, and whether these are all that occur twice or more."""
 
     grams: np.ndarray
     counts: np.ndarray
@@ -134,6 +134,11 @@ class Order:
     complete: bool
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """2, 3, 4, 6, 8, 12 ... documents: levels 1, 2, 3, 4, 5, 6 ..."""
+    return np.minimum(1 + (2 * np.log2(counts / 2)).astype(np.int64), LEVELS)
+
+
 def _mark(short: np.ndarray) -> np.ndarray:
     return (short * _U(0x9E3779B97F4A7C15)) >> _U(64 - MARK_BITS)
 
@@ -180,7 +185,7 @@ def global_order(rows: DataFrame, n: int = WORDS, top: int = TOP, second: int =
             complete = len(rest) <= next_most
             if not complete:
                 rest = rest[np.argpartition(-counts[rest], next_most)[:next_most]]
-            found = (values[keep].tobytes(), np.minimum(counts[keep], 2**31 - 1).astype(np.int32).tobytes(), _mark(values[rest]).astype(np.uint32).tobytes(), complete)
+            found = (values[keep].tobytes(), np.minimum(counts[keep], 2**30).astype(np.int32).tobytes(), (_mark(values[rest]) << _U(4) | _level(counts[rest]).astype(_U)).astype(np.uint32).tobytes(), complete)
             yield _table([found], (pa.binary(), pa.binary(), pa.binary(), pa.bool_()), ("grams", "counts", "marks", "complete"))
 
     counted = rows.select("text").mapInArrow(count, "bucket int, grams binary, counts binary")
@@ -189,22 +194,24 @@ def global_order(rows: DataFrame, n: int = WORDS, top: int = TOP, second: int =
     grams = np.concatenate([np.empty(0, _U), *(np.frombuffer(r["grams"], _U) for r in found)])
     counts = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(r["counts"], np.int32) for r in found)])
     order = np.argsort(grams)
-    marks = np.zeros(1 << MARK_BITS - 3, np.uint8)
+    levels = np.zeros(1 << MARK_BITS, np.uint8)
     for r in found:
-        at = np.frombuffer(r["marks"], np.uint32)
-        np.bitwise_or.at(marks, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        both = np.sort(np.frombuffer(r["marks"], np.uint32))
+        at = both >> 4  # of n-grams in one place, the highest level
+        levels[at] = np.maximum(levels[at], (both & 15).astype(np.uint8))
+    marks = levels[0::2] | levels[1::2] << 4
     return Order(grams[order], counts[order], marks, all(r["complete"] for r in found))
 
 
 def frequency(grams: np.ndarray, order: Order) -> np.ndarray:
-    """By what an n-gram is ordered: its frequency if it is among the most frequent, 1 if it is marked, else 0."""
+    """By what an n-gram is ordered: 0, its level, or above all levels its frequency if it is among the most frequent."""
     short = _short(grams)
     at = _mark(short)
-    marked = (order.marks[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(np.int32)
+    level = (order.marks[at >> _U(1)] >> ((at & _U(1)) << _U(2)).astype(np.uint8) & 15).astype(np.int32)
     if not len(order.grams):
-        return marked
+        return level
     at = np.minimum(np.searchsorted(order.grams, short), len(order.grams) - 1)
-    return np.where(order.grams[at] == short, order.counts[at], marked)
+    return np.where(order.grams[at] == short, LEVELS + order.counts[at], level)
 
 
 def prefix(grams: np.ndarray, order: Order, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +306,7 @@ def segments(rows: DataFrame, top, n: int, fragments: int) -> DataFrame:
                 own = shingles(data, n)
                 if class_of(own) != kind:
                     continue  # another text with the same id
-                late = frequency(own, known) > 1
+                late = frequency(own, known) > LEVELS
                 part = np.where(late, fragments - 1, (own >> _U(32)) % _U(max(fragments - 1, 1)))
                 out += [(kind, len(own), k, own[part == k].tobytes()) for k in range(fragments)]
             yield _table(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), ("class", "n_grams", "fragment", "grams"))
