@@ -2,9 +2,9 @@
 
 A document is the set of its distinct word 5-grams, as 64-bit hashes. The global order of n-grams goes from rare to frequent:
 document frequencies are counted over all documents; the TOP most frequent n-grams come last, by frequency; before them come
-the next SECOND ones that occur twice or more, by levels of their frequency (a table of levels by hash); the others come
-first; equals are ordered by hash. (Any total order gives the same links; this one keeps frequent n-grams out of prefixes.)
-Where the two tables hold all n-grams that occur twice, an n-gram in neither has no second document, and nothing is told of it.
+the others that occur in two documents or more, by hash (a bitmap of fixed size marks them all, and few more); first come those
+in one document alone. (Any total order gives the same links; this one keeps frequent n-grams out of prefixes.) An n-gram that
+isn't marked has no second document, so nothing is told about it. A corpus that fills the bitmap gets the same results slower.
 
 1. Two sets that link share an n-gram of both prefixes (the first n - ceil(0.8 n) + 1 in the order). Prefix n-grams are dealt
    to buckets; in each list of documents that share one, the document whose n-gram comes earliest in its own prefix is the
@@ -40,8 +40,8 @@ from evidra.llm.components import components
 WORDS, PERCENT = 5, 80
 #: The most frequent n-grams that have their place in the order by frequency: 12 bytes each, sent to every executor.
 TOP = 1 << 20
-#: The next ones have their level in a table of 2 ** MARK_BITS places of half a byte, sent as well.
-SECOND, MARK_BITS, LEVELS = 1 << 23, 26, 15
+#: All that occur twice or more are marked in a bitmap of so many bits by the start of their hash, sent as well.
+MARK_BITS = 28
 FRAGMENTS, BLOCK, ORDER_BITS, FLUSH = 4, 512, 40, 1_500_000
 BROADCAST_DOCS = 1_000_000
 _U = np.uint64
@@ -125,26 +125,25 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 @dataclass
 class Order:
-    """The most frequent n-grams (shortened hashes, ascending) with their document frequencies, the levels of the next ones, two to
-    a byte, and whether these are all that occur twice or more."""
+    """The most frequent n-grams (shortened hashes, ascending) with their document frequencies, and the bitmap."""
 
     grams: np.ndarray
     counts: np.ndarray
     marks: np.ndarray
-    complete: bool
 
 
-def _level(counts: np.ndarray) -> np.ndarray:
-    """2, 3, 4, 6, 8, 12 ... documents: levels 1, 2, 3, 4, 5, 6 ..."""
-    return np.minimum(1 + (2 * np.log2(counts / 2)).astype(np.int64), LEVELS)
+def _mark(short: np.ndarray) -> np.ndarray:
+    return short >> _U(ORDER_BITS - MARK_BITS)
 
 
-def _mark(short: np.ndarray) -> np.ndarray:
-    return (short * _U(0x9E3779B97F4A7C15)) >> _U(64 - MARK_BITS)
+def _slice_of(bucket: int, buckets: int) -> tuple[int, int]:
+    """The bytes of the bitmap that a bucket's n-grams can fall into; neighbours may share one."""
+    cut = ORDER_BITS - MARK_BITS + 3
+    return (bucket << ORDER_BITS) // buckets >> cut, (((bucket + 1) << ORDER_BITS) // buckets - 1 >> cut) + 1
 
 
-def global_order(rows: DataFrame, n: int = WORDS, top: int = TOP, second: int = SECOND) -> Order:
-    """At most about top n-grams by frequency, and about second marks, from the document frequencies of all n-grams."""
+def global_order(rows: DataFrame, n: int = WORDS, top: int = TOP) -> Order:
+    """At most about top n-grams by frequency, and the bitmap, from the document frequencies of all n-grams."""
     parts = n_partitions(rows.sparkSession)
     buckets = 2 * parts
 
@@ -169,7 +168,7 @@ def global_order(rows: DataFrame, n: int = WORDS, top: int = TOP, second: int =
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _groups(batches, 1):
+        for (bucket,), group in _groups(batches, 1):
             values = np.concatenate([_from_deltas(g[1]) for g in group])
             counts = np.concatenate([_unpack(g[2], np.uint32) for g in group]).astype(np.int64)
             order = np.argsort(values, kind="stable")
@@ -177,53 +176,46 @@ def global_order(rows: DataFrame, n: int = WORDS, top: int = TOP, second: int =
             start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
             values, counts = values[start], np.add.reduceat(counts, start)
             keep = np.flatnonzero(counts > 1)
-            most, next_most = max(1, top // buckets), second // buckets
-            rest = keep[:0]
+            low, high = _slice_of(bucket, buckets)
+            bits = np.zeros(8 * (high - low), np.uint8)
+            bits[_mark(values[keep]).astype(np.int64) - 8 * low] = 1
+            most = max(1, top // buckets)
             if len(keep) > most:
-                order = np.argpartition(-counts[keep], most)
-                rest, keep = keep[order[most:]], np.sort(keep[order[:most]])
-            complete = len(rest) <= next_most
-            if not complete:
-                rest = rest[np.argpartition(-counts[rest], next_most)[:next_most]]
-            found = (values[keep].tobytes(), np.minimum(counts[keep], 2**30).astype(np.int32).tobytes(), (_mark(values[rest]) << _U(4) | _level(counts[rest]).astype(_U)).astype(np.uint32).tobytes(), complete)
-            yield _table([found], (pa.binary(), pa.binary(), pa.binary(), pa.bool_()), ("grams", "counts", "marks", "complete"))
+                keep = np.sort(keep[np.argpartition(-counts[keep], most)[:most]])
+            found = (values[keep].tobytes(), np.minimum(counts[keep], 2**30).astype(np.int32).tobytes(), low, np.packbits(bits, bitorder="little").tobytes())
+            yield _table([found], (pa.binary(), pa.binary(), pa.int64(), pa.binary()), ("grams", "counts", "low", "marks"))
 
     counted = rows.select("text").mapInArrow(count, "bucket int, grams binary, counts binary")
-    merged = counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "grams binary, counts binary, marks binary, complete boolean")
-    found = merged.collect()  # 12 bytes * top and 4 bytes * second at most
+    merged = counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "grams binary, counts binary, low long, marks binary")
+    found = merged.collect()  # 12 bytes * top and the bitmap
     grams = np.concatenate([np.empty(0, _U), *(np.frombuffer(r["grams"], _U) for r in found)])
     counts = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(r["counts"], np.int32) for r in found)])
     order = np.argsort(grams)
-    levels = np.zeros(1 << MARK_BITS, np.uint8)
+    marks = np.zeros(1 << MARK_BITS - 3, np.uint8)
     for r in found:
-        both = np.sort(np.frombuffer(r["marks"], np.uint32))
-        at = both >> 4  # of n-grams in one place, the highest level
-        levels[at] = np.maximum(levels[at], (both & 15).astype(np.uint8))
-    marks = levels[0::2] | levels[1::2] << 4
-    return Order(grams[order], counts[order], marks, all(r["complete"] for r in found))
+        part = np.frombuffer(r["marks"], np.uint8)
+        marks[r["low"] : r["low"] + len(part)] |= part
+    return Order(grams[order], counts[order], marks)
 
 
 def frequency(grams: np.ndarray, order: Order) -> np.ndarray:
-    """By what an n-gram is ordered: 0, its level, or above all levels its frequency if it is among the most frequent."""
+    """By what an n-gram is ordered: its frequency if it is among the most frequent, 1 if it is marked, else 0."""
     short = _short(grams)
     at = _mark(short)
-    level = (order.marks[at >> _U(1)] >> ((at & _U(1)) << _U(2)).astype(np.uint8) & 15).astype(np.int32)
+    marked = (order.marks[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(np.int32)
     if not len(order.grams):
-        return level
+        return marked
     at = np.minimum(np.searchsorted(order.grams, short), len(order.grams) - 1)
-    return np.where(order.grams[at] == short, LEVELS + order.counts[at], level)
+    return np.where(order.grams[at] == short, order.counts[at], marked)
 
 
 def prefix(grams: np.ndarray, order: Order, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Those n-grams, in the global order, of which a linking set must share one, and their places; without those that are known
-    to have no second document."""
+    """Those n-grams, in the global order, of which a linking set must share one, and their places; without those that have
+    no second document."""
     f = frequency(grams, order)
     at = np.argsort(f, kind="stable")[: len(grams) - needed(len(grams), percent) + 1]  # by hash among equals, as grams ascend
-    places = np.arange(len(at))
-    if order.complete:
-        places = np.flatnonzero(f[at] > 0)
-        at = at[places]
-    return grams[at], places
+    places = np.flatnonzero(f[at] > 0)
+    return grams[at[places]], places
 
 
 def prefixes(rows: DataFrame, top, n: int, percent: int, buckets: int) -> DataFrame:
@@ -306,7 +298,7 @@ def segments(rows: DataFrame, top, n: int, fragments: int) -> DataFrame:
                 own = shingles(data, n)
                 if class_of(own) != kind:
                     continue  # another text with the same id
-                late = frequency(own, known) > LEVELS
+                late = frequency(own, known) > 1
                 part = np.where(late, fragments - 1, (own >> _U(32)) % _U(max(fragments - 1, 1)))
                 out += [(kind, len(own), k, own[part == k].tobytes()) for k in range(fragments)]
             yield _table(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), ("class", "n_grams", "fragment", "grams"))
@@ -410,11 +402,11 @@ def _table(rows: list[tuple], types: tuple, names: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, top: int = TOP, second: int = SECOND, fragments: int = FRAGMENTS, block: int = BLOCK) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, top: int = TOP, fragments: int = FRAGMENTS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, class for every row."""
     spark = docs.sparkSession
     rows = _read(docs, id_col, text_col)
-    known = spark.sparkContext.broadcast(global_order(rows, n, top, second))
+    known = spark.sparkContext.broadcast(global_order(rows, n, top))
     both = staged(prefixes(rows, known, n, percent, 2 * n_partitions(spark)), "prefixes")
     table = both.filter("kind = 0").select("ref", "doc_id", "n_grams", "class")
     lists = centres(both.filter("kind = 1")).distinct()
