@@ -228,7 +228,7 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 4, seed: int = 7)
     picked = [clean_words[i] for i in rng.choice(len(clean_words), min(4000, len(clean_words)), replace=False)] if clean_words else []
     positive = np.vstack([padded(told), np.array([window(gapped(symbols(w), rng)) for w in told[:1000]]).reshape(-1, LENGTH)])
     zp, zn = mapped.kernel(positive), mapped.kernel(padded(picked + common))
-    sequences = [np.concatenate([symbols(t), _PAD]) for t in texts]
+    sequences = [np.concatenate([symbols(t), _PAD]).astype(np.uint8) for t in texts]
     weights = np.zeros(SIZE, np.float32)
     for step in range(rounds):
         w, bias = fit_machine(np.vstack([zp, zn]).astype(float), np.r_[np.ones(len(zp)), -np.ones(len(zn))])
@@ -238,7 +238,8 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 4, seed: int = 7)
         if step == rounds - 1:
             break
         hard, soft = [], []
-        for s, y in zip(sequences, toxic, strict=True):
+        for small, y in zip(sequences, toxic, strict=True):
+            s = small.astype(np.int64)
             u = unit_scores(s, weights)
             p = int(u.argmax())
             if y and u[p] + bias > 0:
