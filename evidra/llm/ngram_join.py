@@ -41,7 +41,7 @@ WORDS, PERCENT = 5, 80
 #: The most frequent n-grams that have their place in the order by frequency: 12 bytes each, sent to every executor.
 TOP = 1 << 20
 #: All that occur twice or more are marked in a bitmap of so many bits by the start of their hash, sent as well.
-MARK_BITS = 28
+MARK_BITS = 27
 FRAGMENTS, BLOCK, ORDER_BITS, FLUSH = 4, 512, 40, 1_500_000
 BROADCAST_DOCS = 1_000_000
 _U = np.uint64
@@ -195,6 +195,7 @@ def global_order(rows: DataFrame, n: int = WORDS, top: int = TOP) -> Order:
     for r in found:
         part = np.frombuffer(r["marks"], np.uint8)
         marks[r["low"] : r["low"] + len(part)] |= part
+    del found
     return Order(grams[order], counts[order], marks)
 
 
