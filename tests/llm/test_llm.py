@@ -204,3 +204,38 @@ def test_lm_scores(spark, none):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
         assert np.isfinite(r["score"]) and r["score"] < 0
     assert lm_scoring.score_documents(none, PIECES).count() == 0
+
+
+@given(st.lists(st.integers(0, 4), max_size=30))
+def test_earlier(values):
+    assert lm_scoring.earlier(np.array(values, np.int64)).tolist() == [values[:i].count(v) for i, v in enumerate(values)]
+
+
+def test_memory_is_a_probability():
+    """Over all next stretches after a first id, the memory's probabilities add up to no more than 1."""
+    ids, counts, n = {1: [3], 2: [3, 4], 5: [6]}, {1: 5, 2: 2, 5: 4}, 16
+    firsts = np.zeros(n)
+    for w, c in counts.items():
+        firsts[ids[w][0]] += c
+    with np.errstate(divide="ignore"):
+        log_first = np.log(firsts)
+        firsts[lm_scoring.END] = 3
+        begins = np.log(firsts / firsts.sum())
+    share = np.full(n, 1 - 1e-12)
+    frame = lm_scoring.Frame(None, None, None, None, log_first, begins, np.log(share), np.log1p(-share))
+
+    def score(words):
+        flat = np.array([i for w in words for i in ids[w]], np.uint16)
+        sizes, times = np.array([len(ids[w]) for w in words]), np.array([counts[w] for w in words])
+        return 10 ** lm_scoring.mixed_score(frame, np.full(len(flat) + 1, -1e9), flat, sizes, times, np.array(words))
+
+    total, level = score_empty(lm_scoring, frame), [[w] for w in counts]
+    for _ in range(9):
+        total += sum(map(score, level))
+        level = [[*words, w] for words in level for w in counts] if len(level) < 3**8 else []
+    assert 0.8 < total <= 1 + 1e-9
+
+
+def score_empty(module, frame):
+    none = np.empty(0, np.int64)
+    return 10 ** module.mixed_score(frame, np.full(1, -1e9), none.astype(np.uint16), none, none, none)
