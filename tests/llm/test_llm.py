@@ -206,6 +206,22 @@ def test_lm_scores(spark, none):
     assert lm_scoring.score_documents(none, PIECES).count() == 0
 
 
+def test_windows_predict_every_id_and_end():
+    texts = [np.arange(3, 3 + n, dtype=np.uint16) for n in (0, 1, 15, 16, 17, 31, 32, 100)]
+    windows = lm_scoring.windows_of(texts)
+    told = windows[:, lm_scoring.BLOCK + 1 :]
+    assert told[told != lm_scoring.PAD].tolist() == [i for t in texts for i in [*t.tolist(), lm_scoring.END]]
+    assert (windows[:, lm_scoring.BLOCK] == lm_scoring.START).sum() == len(texts)
+
+
+def test_short_texts_train(spark):
+    short = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    size = lm_scoring.load(PIECES).get_piece_size()
+    frame = lm_scoring.frame_of(lm_scoring.pair_counts(lm_scoring.word_counts(short), PIECES), size, 1)
+    weights, fresh = lm_scoring.train(short, spark.sparkContext.broadcast(frame), PIECES), lm_scoring.fresh_weights()
+    assert any((weights[k] != fresh[k]).any() for k in fresh)
+
+
 @given(st.lists(st.integers(0, 4), max_size=30))
 def test_earlier(values):
     assert lm_scoring.earlier(np.array(values, np.int64)).tolist() == [values[:i].count(v) for i, v in enumerate(values)]
