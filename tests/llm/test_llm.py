@@ -222,6 +222,15 @@ def test_short_texts_train(spark):
     assert any((weights[k] != fresh[k]).any() for k in fresh)
 
 
+def test_lm_scores_know_every_training_word(spark):
+    """How many words are sent to the executors doesn't change a score."""
+    few = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
+    columns = ["doc_id", "n_known", "base_score", "score"]
+    most, least = (sorted(map(tuple, lm_scoring.score_documents(few, PIECES, head=n).select(columns).collect())) for n in (1 << 18, 40))
+    assert [r[:2] for r in most] == [r[:2] for r in least]
+    assert [x for r in most for x in r[2:]] == pytest.approx([x for r in least for x in r[2:]])
+
+
 @given(st.lists(st.integers(0, 4), max_size=30))
 def test_earlier(values):
     assert lm_scoring.earlier(np.array(values, np.int64)).tolist() == [values[:i].count(v) for i, v in enumerate(values)]
