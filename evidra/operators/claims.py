@@ -5,45 +5,87 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.text import collapse_space, terms
+from evidra.functions.text import collapse_space, hits, terms
 
 #: Claims up to which their anchors are broadcast (three words each).
 BROADCAST_CLAIMS = 200_000
 CONTAINED, TERMS_FROM, TERMS_MOST, LEAST_TERMS = 100, 60, 30, 6
+REVERSE, REVERSE_CHARS, MARKED_FROM, MARKED_MOST = 95, 500, 80, 10
+_DATE = r"20\d{2}(?:年|[-/.])\d{1,2}(?:月|[-/.])\d{1,2}日?"
+_VALUE = r"(?<!\d)\d+(?:,\d{3})*(?:\.\d+)?(?:万元|元(?:/[^，。；;|]+)?|%|％|年|个月|月|个工作日|工作日|日|天|个|件|家|份|批|轮)(?!\d)"
+_REGIONS = (
+    "北京市 天津市 上海市 重庆市 河北省 山西省 辽宁省 吉林省 黑龙江省 江苏省 浙江省 安徽省 福建省 江西省 山东省 河南省 湖北省 湖南省 广东省 海南省 四川省 贵州省 云南省 "
+    "陕西省 甘肃省 青海省 台湾省 内蒙古自治区 广西壮族自治区 西藏自治区 宁夏回族自治区 新疆维吾尔自治区 香港特别行政区 澳门特别行政区"
+).split()
+_OFFICES = "国家医疗保障局 医疗保障局 医保局 公共资源交易中心 医药集中采购平台 采购中心 交易中心".split()
+_HINTS = "采购 申报 报价 价格 中选 执行 协议 周期 范围 企业 医疗机构 风险 建议 明确".split()
 
 
 def _words(column: str):
     return F.filter(F.split(collapse_space(F.col(column)), " "), lambda w: w != "")
 
 
+def _compact(text):
+    """Without white space, with plain percent signs."""
+    return F.translate(F.regexp_replace(text, r"\s+", ""), "％", "%")
+
+
+def hard_markers(text):
+    """Dates, amounts, regions and offices that a text names; evidence for it must have them all."""
+    text = _compact(text)
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (_DATE, _VALUE)]
+    places = F.flatten(F.transform(hits(text, _REGIONS), lambda p: F.filter(F.transform(F.array(*map(F.lit, _OFFICES)), lambda o: F.concat(p, o)), lambda x: F.contains(text, x))))
+    return F.array_distinct(F.concat(*found, hits(text, _REGIONS), places, hits(text, _OFFICES)))
+
+
+def _grams(text):
+    """All runs of one, two and three characters."""
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in (1, 2, 3))))
+
+
 def contained(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str, text: str = "text") -> DataFrame:
     """(claim, evidence) where the claim's text occurs in the evidence. A claim that occurs brings its second to fourth word as
     whole words, so these three are an anchor that both sides have in common; each candidate is then compared. Claims below
-    five words anchor at no whole words and aren't looked for."""
+    five words bring no three whole words: their anchor is their first three characters (or all). Blank claims occur nowhere."""
     words = _words(text)
-    small = claims.withColumn("w", words).where(F.size("w") >= 5)
-    small = small.select(F.col(claim_id).alias("claim"), F.col(text).alias("claim_text"), F.array_join(F.slice("w", 2, 3), " ").alias("anchor"))
-    count = claims.count()
-    small = F.broadcast(small) if count <= BROADCAST_CLAIMS else small
+    every = claims.withColumn("w", words).where(F.size("w") > 0).select(F.col(claim_id).alias("claim"), F.col(text).alias("claim_text"), "w")
+    given = evidence.select(F.col(evidence_id).alias("evidence"), F.col(text).alias("evidence_text"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 3), " ")))
-    spread = evidence.withColumn("w", words).select(F.col(evidence_id).alias("evidence"), F.col(text).alias("evidence_text"), F.explode(grams).alias("anchor"))
-    return spread.join(small, "anchor").where(F.contains("evidence_text", "claim_text")).select("claim", "evidence").distinct()
+    counted = every.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("w") < 5).alias("short")).first()
+    side = lambda df: F.broadcast(df) if counted["n"] <= BROADCAST_CLAIMS else df
+    long = every.where(F.size("w") >= 5).select("claim", "claim_text", F.array_join(F.slice("w", 2, 3), " ").alias("anchor"))
+    spread = given.withColumn("w", _words("evidence_text")).select("evidence", "evidence_text", F.explode(grams).alias("anchor"))
+    pairs = spread.join(side(long), "anchor")
+    if counted["short"]:
+        short = every.where(F.size("w") < 5).select("claim", "claim_text", F.substring("claim_text", 1, 3).alias("anchor"))
+        pairs = pairs.unionByName(given.select("evidence", "evidence_text", F.explode(_grams(F.col("evidence_text"))).alias("anchor")).join(side(short), "anchor"))
+    return pairs.where(F.contains("evidence_text", "claim_text")).select("claim", "evidence").distinct()
 
 
 def shared_terms(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str, text: str = "text", least: int = 9) -> DataFrame:
-    """(claim, evidence, shared): how many long words both have, where there are LEAST_TERMS or more."""
-    left = claims.select(F.col(claim_id).alias("claim"), F.explode(terms(F.col(text), least)).alias("term"))
-    right = evidence.select(F.col(evidence_id).alias("evidence"), F.explode(terms(F.col(text), least)).alias("term"))
-    return left.join(right, "term").groupBy("claim", "evidence").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= LEAST_TERMS)
-
-
-def claim_index(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str) -> DataFrame:
-    """(claim, evidence, score): 100 where contained, else 60 and one for each shared term, 90 at most; of a claim's rows those
-    with its best score, and all from 90 on."""
-    full = contained(claims, evidence, claim_id, evidence_id).withColumn("score", F.lit(CONTAINED).cast("long"))
-    part = shared_terms(claims, evidence, claim_id, evidence_id)
-    part = part.select("claim", "evidence", (TERMS_FROM + F.least(F.lit(TERMS_MOST), F.col("shared"))).cast("long").alias("score"))
-    scored = full.unionByName(part).groupBy("claim", "evidence").agg(F.max("score").alias("score"))
+    """(claim, evidence, shared, marked): how many terms (long words, or words that claims are made with) both have. Where the
+    claim has hard markers (marked), one term is enough but the evidence must have all the markers; else LEAST_TERMS or more."""
+    said = lambda c: F.concat(terms(c, least), hits(c, _HINTS))
+    marked = claims.select(F.col(claim_id).alias("claim"), F.explode(said(F.col(text))).alias("term"), hard_markers(F.col(text)).alias("markers"))
+    right = evidence.select(F.col(evidence_id).alias("evidence"), F.explode(said(F.col(text))).alias("term"))
+    both = marked.join(right, "term").groupBy("claim", "evidence", "markers").agg(F.count(F.lit(1)).alias("shared"))
+    plain = both.where((F.size("markers") == 0) & (F.col("shared") >= LEAST_TERMS)).select("claim", "evidence", "shared", F.lit(False).alias("marked"))
+    whole = evidence.select(F.col(evidence_id).alias("evidence"), _compact(F.col(text)).alias("evidence_text"))
+    strict = both.where(F.size("markers") > 0).join(whole, "evidence").where(F.forall("markers", lambda m: F.contains(F.col("evidence_text"), m)))
+    return plain.unionByName(strict.select("claim", "evidence", "shared", F.lit(True).alias("marked")))
+
+
+def claim_index(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str, text: str = "text") -> DataFrame:
+    """(claim, evidence, score): 100 where contained, 95 where evidence up to 500 characters is contained in the claim. Else, for a
+    claim with hard markers that the evidence has, 80 and one for each shared term, 90 at most; without markers 60 and one for
+    each shared term, 90 at most. Of a claim's rows those with its best score, and all from 90 on."""
+    full = contained(claims, evidence, claim_id, evidence_id, text).withColumn("score", F.lit(CONTAINED).cast("long"))
+    brief = evidence.where(F.length(text) <= REVERSE_CHARS)
+    back = contained(brief, claims, evidence_id, claim_id, text).select(F.col("evidence").alias("claim"), F.col("claim").alias("evidence"), F.lit(REVERSE).cast("long").alias("score"))
+    part = shared_terms(claims, evidence, claim_id, evidence_id, text)
+    score = F.when(F.col("marked"), MARKED_FROM + F.least(F.lit(MARKED_MOST), F.col("shared"))).otherwise(TERMS_FROM + F.least(F.lit(TERMS_MOST), F.col("shared")))
+    part = part.select("claim", "evidence", score.cast("long").alias("score"))
+    scored = full.unionByName(back).unionByName(part).groupBy("claim", "evidence").agg(F.max("score").alias("score"))
     best = F.max("score").over(Window.partitionBy("claim"))
     return scored.withColumn("best", best).where((F.col("score") == F.col("best")) | (F.col("score") >= 90)).drop("best")
 
