@@ -66,13 +66,24 @@ def records_count_pages(spark, d):
 select o_orderkey, o_orderstatus, count(l_orderkey) as n_children, coalesce(string_agg(cast(l_linenumber as varchar) || ':' || cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey, l_suppkey), '') as children
 from orders left join lineitem on l_orderkey = o_orderkey where o_orderkey between 100 and 120 group by 1, 2""")
 def record_detail(spark, d):
-    parents = table(spark, d, "orders").where(F.col("o_orderkey").between(100, 120))
-    rows = parents.join(table(spark, d, "lineitem").where(F.col("l_orderkey").between(100, 120)), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    among = lambda name, key: table(spark, d, name).where(F.col(key).between(100, 120))
+    return _details(among("orders", "o_orderkey"), among("lineitem", "l_orderkey"))
+
+
+def _details(parents, children):
+    rows = parents.join(children, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     child = F.when(F.col("l_orderkey").isNotNull(), F.struct("l_linenumber", "l_partkey", "l_suppkey"))
     said = F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda x: F.concat_ws(":", x.l_linenumber, x.l_partkey)), ",")
     return rows.groupBy("o_orderkey", "o_orderstatus").agg(F.count("l_orderkey").alias("n_children"), said.alias("children"))
 
 
+@query("""
+select o_orderkey, o_orderstatus, count(l_orderkey) as n_children, coalesce(string_agg(cast(l_linenumber as varchar) || ':' || cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey, l_suppkey), '') as children
+from orders left join lineitem on l_orderkey = o_orderkey group by 1, 2""")
+def record_detail_all(spark, d):
+    return _details(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
 _CHOSEN = "(values ('primary', 1), ('primary', 2), ('auxiliary', 2), ('auxiliary', 3), ('auxiliary', 999999999)) as c(role, o_orderkey)"
 
 
@@ -251,10 +262,21 @@ def fact_conflicts(spark, d):
 with recursive l as (select distinct 'o' || l_orderkey as item, 's' || l_suppkey as source from lineitem union select 's' || s_suppkey, 'n' || s_nationkey from supplier union select 'n' || n_nationkey, 'r' || n_regionkey from nation),
 c(item) as (select 'o' || o_orderkey from orders where o_orderkey < 40 union select l.source from c join l on l.item = c.item) select item from c""")
 def mandatory_closure(spark, d):
+    return _closure(spark, d, "o_orderkey < 40")
+
+
+@query("""
+with recursive l as (select distinct 'o' || l_orderkey as item, 's' || l_suppkey as source from lineitem union select 's' || s_suppkey, 'n' || s_nationkey from supplier union select 'n' || n_nationkey, 'r' || n_regionkey from nation),
+c(item) as (select 'o' || o_orderkey from orders where o_orderstatus = 'F' union select l.source from c join l on l.item = c.item) select item from c""")
+def mandatory_closure_all(spark, d):
+    return _closure(spark, d, "o_orderstatus = 'F'")
+
+
+def _closure(spark, d, mandatory):
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c))
     links = table(spark, d, "lineitem").select(key("o", "l_orderkey").alias("item"), key("s", "l_suppkey").alias("source"))
     links = links.union(table(spark, d, "supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey"))).union(table(spark, d, "nation").select(key("n", "n_nationkey"), key("r", "n_regionkey")))
-    return evidence.closure(table(spark, d, "orders").where("o_orderkey < 40").select(key("o", "o_orderkey").alias("item")), links.distinct())
+    return evidence.closure(table(spark, d, "orders").where(mandatory).select(key("o", "o_orderkey").alias("item")), links.distinct())
 
 
 @query(f"with {_SQL_ITEMS}, b as (select item from items where level = 'B') select item from b union select source as item from links where item in (select item from b)")
