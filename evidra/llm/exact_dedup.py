@@ -2,7 +2,8 @@
 
 Every text is normalised (A-Z lower-cased; null counts as empty) and hashed; the index entries go to files in the shared
 folder. The directory starts with one slot and doubles while a bucket holds more than `bucket_keys` different keys; a bucket
-that is not overfull keeps its smaller local depth. Owner tasks process the key ranges of buckets: within a key, texts that
+that is not overfull keeps its smaller local depth. The directory only labels the groups of keys that occur more than once:
+copies are found by grouping on the key, the hash and the text, so no task owns a key range. Within a key, texts that
 differ are chained one after the other, told apart by comparing their bytes. Copies are combined before the shuffle, so one
 large group of copies does not gather in a task; the join that brings the groups back to the rows can be split by Spark.
 
