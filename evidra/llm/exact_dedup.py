@@ -1,93 +1,143 @@
 """Exact deduplication with an extendible-hash index on shared files. DataFrame functions only.
 
-Every text is normalised (A-Z lower-cased; null counts as empty) and hashed; the index entries go to files in the shared
-folder. The directory starts with one slot and doubles while a bucket holds more than `bucket_keys` different keys; a bucket
-that is not overfull keeps its smaller local depth. The directory only labels the groups of keys that occur more than once:
-copies are found by grouping on the key, the hash and the text, so no task owns a key range. Within a key, texts that
-differ are chained one after the other, told apart by comparing their bytes. Copies are combined before the shuffle, so one
-large group of copies does not gather in a task; the join that brings the groups back to the rows can be split by Spark.
-
-Repeated rows (same id and same normalised text) are one document. A row with a null id stays only if its whole group has
-null ids. An empty table gives an empty result. Other columns of the input are ignored by `exact_copies`.
+Every text is normalised (A-Z lower-cased; null counts as empty) and hashed to a key of 64 bits. Rows get a number of their own
+and are written to the shared folder, so every later step sees the same rows, also after a lost executor.
+
+1. The index holds an entry for each different key, with the number of its rows; keys are counted within tasks first.
+2. The directory starts with one slot for all keys. Buckets with more than `bucket_keys` keys are split by their next bit, and
+   the directory doubles, until none is overfull; other buckets keep their smaller local depth. A round counts DOUBLINGS further
+   bits of the keys that lie in overfull buckets, so no depth is fixed beforehand.
+3. The directory gives every entry its bucket. The entries are laid out by bucket in files of the shared folder; as buckets are
+   prefixes of keys, the file of a task, the owner, is a range of keys.
+4. Rows whose entry has more than one row are combined by their texts (this compares bytes, within tasks first, so a large
+   group of copies is one row for each task), and dealt to the owners by bucket. In a bucket, different texts with one key are
+   chained. A row whose entry stands alone is its own group and its text is shipped nowhere.
+5. Groups come back to the rows by key, and where a key has a chain, by the bytes of the text.
+
+Every input row gives one output row, whether ids repeat or not. Of equal texts the row with the largest id stays; if several
+rows have that id, one of them; where all ids are null, one of those rows. An empty table gives an empty result. Other columns
+of the input may have any names and don't matter to `exact_copies`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.llm.common import lower_ascii, small_side, staged
+from evidra.llm.common import lower_ascii, n_partitions, small_side, staged
 
-#: Different keys that a bucket may hold before it splits; the directory doubles at most this many times (later keys chain).
-BUCKET_KEYS, MAX_DEPTH = 4096, 16
-#: Rows of keys with copies up to which they are broadcast (16 bytes each).
+#: Different keys that a bucket may hold before it splits, and bits that a round looks ahead.
+BUCKET_KEYS, DOUBLINGS = 4096, 8
+#: Rows of 16 to 40 bytes up to which a side is broadcast.
 BROADCAST_KEYS = 500_000
 
 
-def normalised(text_col: str) -> Column:
-    return lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
-def entries_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    norm = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
-    return norm.select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"), "norm")
-
+def normalised(text: Column) -> Column:
+    return lower_ascii(F.coalesce(text.cast("string"), F.lit("")))
 
-def directory_of(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
-    """(slot, local_depth, bucket) for each slot in use, and the global depth. keys: a row for each different key.
 
-    The table has at most 2 ** max_depth rows, whatever the input."""
-    n, depth = keys.count(), 0
-    while depth < max_depth and (bucket_keys << depth) < 8 * n:
-        depth += 1
-    filled = keys.groupBy(slot_of(F.col("key"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    steps = filled.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"))
-    steps = steps.withColumn("prefix", F.expr(f"shiftright(slot, {depth} - d)"))
-    full = steps.groupBy("d", "prefix").agg(F.sum("n").alias("held"))
-    fits = steps.join(full, ["d", "prefix"]).filter((F.col("held") <= bucket_keys) | (F.col("d") == depth))
-    found = fits.groupBy("slot").agg(F.min(F.struct("d", "prefix")).alias("x"))
-    bucket = F.expr("shiftleft(1L, x.d) + x.prefix")  # numbers that no two (depth, prefix) share
-    return staged(found.select("slot", F.col("x.d").alias("local_depth"), bucket.alias("bucket")), "directory"), depth
+def numbered(docs: DataFrame, id_col: str, text_col: str, key_bits: int) -> DataFrame:
+    """(uid, row, doc_id, key): the rows of docs as they are, each with a number of its own, in the shared folder."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.xxhash64(normalised(F.col("row")[text_col]))
+    if key_bits < 64:
+        key = F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits)
+    return staged(row.select(F.monotonically_increasing_id().alias("uid"), "row", F.col("row")[id_col].alias("doc_id"), key.alias("key")), "rows")
 
 
 def slot_of(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, bucket for every document, dropped ones too.
-
-    bucket is null where the text has no copy."""
-    entries = staged(entries_of(docs, id_col, text_col), "entries")
-    keys = staged(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
-    directory, depth = directory_of(keys)
-    many = keys.filter("n > 1").select("key", slot_of(F.col("key"), depth).alias("slot"))
-    many = many.join(F.broadcast(directory), "slot").select("key", "bucket")
-    n_many = keys.filter("n > 1").count()
-    members = entries.join(small_side(many, n_many, BROADCAST_KEYS), "key")
-    # grouping on the text compares bytes; it runs before the exchange too, so copies within a task are combined there
-    links = members.groupBy("bucket", "key", "text_sha256", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    chain = Window.partitionBy("bucket", "key").orderBy("norm")
-    groups = links.select("bucket", "key", "text_sha256", "keep_id", "group_size", F.row_number().over(chain).alias("chain"))
-    rows = entries.select("doc_id", "key", "text_sha256").distinct()
-    found = rows.join(groups.filter("group_size > 1"), ["key", "text_sha256"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "bucket", "chain"
+def directory_of(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, doublings: int = DOUBLINGS) -> tuple[DataFrame, int]:
+    """(slot, local_depth, bucket) for the slots of all buckets in use, and the global depth. keys: a row for each different key.
+
+    A bucket's number is its first slot, so buckets are in the order of the keys (as unsigned numbers)."""
+    depth, still, leaves = 0, keys.select("key"), []
+    while True:
+        ahead = min(64, depth + doublings)
+        filled = staged(still.groupBy(slot_of(F.col("key"), ahead).alias("slot")).agg(F.count(F.lit(1)).alias("n")), "filled")
+        # what each bucket would hold at every depth of this round; the least depth that fits is its local depth
+        steps = filled.select("slot", "n", F.explode(F.sequence(F.lit(depth), F.lit(ahead))).alias("local_depth"))
+        steps = steps.withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {ahead} - local_depth)"))
+        held = steps.groupBy("local_depth", "prefix").agg(F.sum("n").alias("held"))
+        fits = steps.join(held, ["local_depth", "prefix"]).filter(F.col("held") <= bucket_keys)
+        first = fits.groupBy("slot").agg(F.min(F.struct("local_depth", "prefix")).alias("x"))
+        leaves.append(first.select("x.*").distinct())
+        if ahead == 64:
+            break
+        over = filled.join(first, "slot", "left_anti").select("slot")
+        there = over.count()
+        if not there:
+            break
+        still = still.withColumn("slot", slot_of(F.col("key"), ahead)).join(small_side(over, there, BROADCAST_KEYS), "slot", "left_semi").select("key")
+        depth = ahead
+    buckets = staged(reduce(DataFrame.unionByName, leaves), "buckets")
+    deepest = buckets.agg(F.max("local_depth")).first()[0] or 0
+    first = F.expr(f"shiftleft(prefix, {deepest} - local_depth)")
+    each = buckets.select("local_depth", first.alias("bucket"), F.explode(F.expr(f"sequence(0L, shiftleft(1L, {deepest} - local_depth) - 1)")).alias("i"))
+    return staged(each.select((F.col("bucket") + F.col("i")).alias("slot"), "local_depth", "bucket"), "directory"), deepest
+
+
+def index_of(rows: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """(bucket, key, n): the entries, laid out by bucket in the shared folder."""
+    entries = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "entries")
+    directory, depth = directory_of(entries, bucket_keys)
+    placed = entries.withColumn("slot", slot_of(F.col("key"), depth)).join(small_side(directory, directory.count(), BROADCAST_KEYS), "slot")
+    return staged(placed.select("bucket", "key", "n").repartitionByRange(n_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "key"), "index")
+
+
+def groups_of(rows: DataFrame, index: DataFrame, text_col: str) -> DataFrame:
+    """(bucket, key, chain, chained, norm, keep_id, keep_uid, group_size) for the keys with more than one row: a row for each
+    different text. norm is null where the key has that text alone."""
+    many = index.filter("n > 1").select("key", "bucket")
+    members = rows.join(small_side(many, many.count(), BROADCAST_KEYS), "key").select("bucket", "key", normalised(F.col("row")[text_col]).alias("norm"), "doc_id", "uid")
+    top = F.max(F.struct("doc_id", (-F.col("uid")).alias("back")))
+    texts = members.groupBy("bucket", "key", "norm").agg(top.alias("top"), F.count(F.lit(1)).alias("group_size"))
+    owned = texts.repartitionByRange(n_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "key", "norm")
+    of_key = Window.partitionBy("bucket", "key").orderBy("norm")  # within the owner's range
+    chained = F.count(F.lit(1)).over(of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    linked = owned.withColumn("chain", F.row_number().over(of_key)).withColumn("chained", chained)
+    norm = F.when(F.col("chained") > 1, F.col("norm"))
+    return staged(linked.select("bucket", "key", "chain", "chained", norm.alias("norm"), F.col("top.doc_id").alias("keep_id"), (-F.col("top.back")).alias("keep_uid"), "group_size"), "groups")
+
+
+def _resolved(docs: DataFrame, id_col: str, text_col: str, bucket_keys: int, key_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows, and for those that are not alone (uid, keep_id, group_size, kept, bucket, chain)."""
+    rows = numbered(docs, id_col, text_col, key_bits)
+    groups = groups_of(rows, index_of(rows, bucket_keys), text_col)
+    found = ["keep_id", "keep_uid", "group_size", "bucket", "chain"]
+    plain = groups.filter("chained = 1").select("key", *found)
+    placed = rows.select("uid", "key").join(small_side(plain, plain.count(), BROADCAST_KEYS), "key").select("uid", *found)
+    chains = groups.filter("chained > 1").select("key", "norm", *found)
+    if not chains.isEmpty():
+        texts = rows.select("uid", "key", normalised(F.col("row")[text_col]).alias("norm"))
+        placed = placed.unionByName(texts.join(chains, ["key", "norm"]).select("uid", *found))
+    return rows, placed.select("uid", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "bucket", "chain")
+
+
+def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, key_bits: int = 64) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, bucket, chain for every row, dropped ones too.
+
+    bucket and chain are null where the key of the text occurs once. key_bits below 64 make keys collide, for tests."""
+    rows, placed = _resolved(docs.select(id_col, text_col), id_col, text_col, bucket_keys, key_bits)
+    own = rows.select("uid", "doc_id", F.sha2(normalised(F.col("row")[text_col]), 256).alias("text_sha256"))
+    alone = F.col("group_size").isNull()
+    return own.join(placed, "uid", "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("kept", F.lit(True)).alias("kept"),
+        "text_sha256",
+        "bucket",
+        "chain",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, key_bits: int = 64) -> DataFrame:
     """The rows of docs, with all their columns, that stay: one of each group of equal texts."""
-    copies = exact_copies(docs.select(id_col, text_col), id_col, text_col)
-    gone = staged(copies.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256")), "gone")
-    sha = F.sha2(normalised(text_col), 256)
-    there = gone.count()
-    kept = docs.join(small_side(gone, there, BROADCAST_KEYS), docs[id_col].eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha256")), "left_anti") if there else docs
-    # rows that repeat an id and its text are one document; they are few or none, so only ids that repeat are looked at
-    twice = staged(kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(id_col).alias("twice_id")), "twice")
-    if twice.isEmpty():
-        return kept
-    same = F.col(id_col).eqNullSafe(F.col("twice_id"))
-    once = kept.join(twice, same, "left_semi").withColumn("evidra_sha256", sha).dropDuplicates([id_col, "evidra_sha256"]).drop("evidra_sha256")
-    return kept.join(twice, same, "left_anti").unionByName(once)
+    rows, placed = _resolved(docs, id_col, text_col, bucket_keys, key_bits)
+    gone = staged(placed.filter("not kept").select("uid"), "gone")
+    return rows.join(small_side(gone, gone.count(), BROADCAST_KEYS), "uid", "left_anti").select("row.*")

@@ -79,7 +79,7 @@ e as (select a, b from l union all select b, a from l),
 r(a, root) as (select doc_id, doc_id from documents union select e.b, r.root from r join e on e.a = r.a)
 select n.doc_id, n.n as n_shingles, min(r.root) as component_id from n join r on r.a = n.doc_id group by 1, 2""",
     "op7_exact_dedup": f"""
-with t as (select doc_id, {_LOWER} as s from documents),
-k as (select s, max(doc_id) as keep_id, count(*) as group_size from t group by s)
-select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(s) as text_sha256 from t join k using (s)""",
+with t as (select doc_id, {_LOWER} as s from documents)
+select doc_id, max(doc_id) over (partition by s) as keep_id, count(*) over (partition by s) as group_size,
+ row_number() over (partition by s order by doc_id desc nulls last) = 1 as kept, sha256(s) as text_sha256 from t""",
 }
