@@ -65,18 +65,76 @@ def test_sql(spark, duck, name):
     assert rows_of(found, sorted(wanted.columns)) == rows_of(wanted, sorted(wanted.columns))
 
 
-def test_exact_copies(docs, none):
-    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_copies(docs).collect()}
-    assert got[3] == (4, 3, False) and got[4] == (4, 3, True) and got[None] == (4, 3, False) and got[1] == (2, 2, False) and got[9] == (9, 2, True)
-    assert exact_dedup.exact_copies(none).count() == 0
-    assert sorted(str(r["doc_id"]) for r in exact_dedup.drop_copies(docs).collect()) == sorted(map(str, (2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13)))
+def slow_copies(rows):
+    """(doc_id, keep_id, group_size, kept, sha) for each row."""
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").translate({c: c + 32 for c in range(65, 91)}), []).append(i)
+    out = []
+    for t, ids in groups.items():
+        order = sorted(ids, key=lambda i: (i is None, -(i or 0)))
+        out += [(i, order[0], len(ids), k == 0, hashlib.sha256(t.encode()).hexdigest()) for k, i in enumerate(order)]
+    return sorted(out, key=str)
+
+
+COPIES = [*ROWS, (None, "nobody"), (None, "NOBODY"), (20, "ÀB"), (21, "Àb"), (22, "àb"), (9, "One"), *((100 + i, "x" * (i % 7)) for i in range(40))]
+COLUMNS = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+
+
+@pytest.mark.parametrize("key_bits, bucket_keys", [(64, 4096), (64, 1), (8, 2), (2, 1), (0, 1)])
+def test_exact_copies(spark, key_bits, bucket_keys):
+    """Whatever collides and however often buckets split, groups are those of equal bytes."""
+    frame = spark.createDataFrame(COPIES, "doc_id long, text string").repartition(5)
+    got = exact_dedup.exact_copies(frame, bucket_keys=bucket_keys, key_bits=key_bits)
+    assert sorted(map(tuple, got.select(COLUMNS).collect()), key=str) == slow_copies(COPIES)
+    kept = exact_dedup.drop_copies(frame, bucket_keys=bucket_keys, key_bits=key_bits).collect()
+    assert sorted((str(r["doc_id"]) for r in kept)) == sorted(str(r[0]) for r in slow_copies(COPIES) if r[3])
+
+
+def test_exact_copies_sql(spark, duck):
+    import pandas as pd
+
+    duck.register("odd", pd.DataFrame({"doc_id": pd.array([i for i, _ in COPIES], "Int64"), "text": pd.Series([t for _, t in COPIES], dtype="string")}))
+    rows = duck.sql(queries.SQL["op7_exact_dedup"].replace("from documents", "from odd")).fetchall()
+    assert sorted(rows, key=str) == slow_copies(COPIES)
+
+
+def test_exact_copies_of_nothing(none):
+    assert exact_dedup.exact_copies(none).count() == exact_dedup.drop_copies(none).count() == 0
 
 
 def test_directory_splits_overfull_buckets(spark):
-    keys = spark.range(1000).selectExpr("xxhash64(id) as key")
-    directory, depth = exact_dedup.directory_of(keys, bucket_keys=100, max_depth=8)
-    held = keys.select(exact_dedup.slot_of(keys["key"], depth).alias("slot")).join(directory, "slot").groupBy("bucket").count().collect()
-    assert sum(r["count"] for r in held) == 1000 and max(r["count"] for r in held) <= 100
+    keys = spark.range(1000).selectExpr("if(id < 300, shiftrightunsigned(xxhash64(id), 5), xxhash64(id)) as key")
+    directory, depth = exact_dedup.directory_of(keys, bucket_keys=20, doublings=3)
+    rows = keys.select(exact_dedup.slot_of(keys["key"], depth).alias("slot"), "key").join(directory, "slot")
+    held = rows.groupBy("bucket", "local_depth").count().collect()
+    assert sum(r["count"] for r in held) == 1000 and max(r["count"] for r in held) <= 20 and depth > 8
+    assert len({r["local_depth"] for r in held}) > 1
+    # the buddy of a bucket could not have been merged with it
+    for r in held:
+        size = 1 << depth - r["local_depth"] + 1
+        low = r["bucket"] // size * size
+        assert sum(x["count"] for x in held if low <= x["bucket"] < low + size) > 20
+
+
+def test_index_is_laid_out_by_key_range(spark):
+    rows = exact_dedup.numbered(spark.range(3000).selectExpr("id doc_id", "string(id % 1700) text"), "doc_id", "text", 64)
+    index = exact_dedup.index_of(rows, bucket_keys=50)
+    assert index.count() == 1700 and index.selectExpr("sum(n)").first()[0] == 3000
+    ranges = index.selectExpr("input_file_name() f", "bucket", "conv(hex(key), 16, 10) k").groupBy("f").agg({"bucket": "min"}).count()
+    spans = sorted(map(tuple, index.selectExpr("input_file_name() f", "bucket").groupBy("f").agg({"bucket": "min"}).join(index.selectExpr("input_file_name() f", "bucket b2").groupBy("f").agg({"b2": "max"}), "f").drop("f").collect()))
+    assert ranges > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_clashing_names(spark):
+    """Stages keep columns of any name."""
+    names = ["gone_id", "gone_sha256", "twice_id", "evidra_sha256", "uid", "key", "row", "bucket", "component_id", "class", "stays", "norm", "n", "score", "range"]
+    frame = spark.createDataFrame([(i, t, *range(len(names))) for i, t in ROWS], ", ".join(["doc_id long", "text string", *(f"{n} int" for n in names)]))
+    model = toxicity.train([b"you stupid fool", b"a fine day"] * 5, np.array([1, 0] * 5))
+    for stage in (exact_dedup.drop_copies, ngram_join.keep_representatives, secrets.redact_secrets, lambda d: toxicity.drop_toxic(d, model)):
+        out = stage(frame)
+        assert out.columns == frame.columns and out.count() > 5
+        assert [tuple(r)[2:] for r in out.collect()] == [tuple(range(len(names)))] * out.count()
 
 
 def test_byte_bpe(docs, none):
@@ -130,14 +188,131 @@ def test_index_finds_what_a_scan_finds(text):
     assert [(s, k, e) for k, s, e in secrets.find_spans([text])[0]] == scan
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.binary(min_size=0, max_size=300))
-def test_entropies(data):
-    def one(w):
-        counts = np.bincount(np.frombuffer(w, np.uint8))
-        return fingerprints.LEVELS - (int(fingerprints._F[counts].sum()) * fingerprints.LEVELS + fingerprints._F[64] // 2) // fingerprints._F[64]
+def one_entropy(w):
+    f = fingerprints._F[len(w)]
+    return fingerprints.LEVELS - (int(f[np.bincount(np.frombuffer(w, np.uint8))].astype(np.int64).sum()) * fingerprints.LEVELS + int(f[-1]) // 2) // int(f[-1])
 
-    assert fingerprints.entropies(data).tolist() == [one(data[i : i + 64]) for i in range(len(data) - 63)]
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=0, max_size=300), st.sampled_from([16, 64]))
+def test_entropies(data, window):
+    assert fingerprints.entropies(data, window).tolist() == [one_entropy(data[i : i + window]) for i in range(len(data) - window + 1)]
+
+
+def test_blocks_of_a_long_text_agree_with_single_windows(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 105, 3000).astype(np.uint8).tobytes()
+    whole, ranks = fingerprints.entropies(data), np.random.default_rng(2).permutation(fingerprints.LEVELS + 1).astype(np.int32)
+    picked = fingerprints.features(whole, ranks)
+    monkeypatch.setattr(fingerprints, "BLOCK", 100)
+    assert fingerprints.entropies(data).tolist() == whole.tolist() == [one_entropy(data[i : i + 64]) for i in range(len(data) - 63)]
+    assert fingerprints.features(whole, ranks).tolist() == picked.tolist() == slow_features(whole, ranks, fingerprints.LONG)
+
+
+def slow_features(values, ranks, kind):
+    votes = [0] * len(values)
+    for i in range(len(values) - kind.range + 1):
+        best = min(range(i, i + kind.range), key=lambda j: (ranks[values[j]], j))
+        votes[best] += ranks[values[best]] <= fingerprints.LEVELS
+    return [i for i, v in enumerate(votes) if v >= kind.popular]
+
+
+def slow_digest(data, ranks):
+    """The same digest, by single windows, plain loops and big integers."""
+    import xxhash
+
+    parts = []
+    for kind, there, r in ((fingerprints.LONG, len(data) >= 384, ranks[0]), (fingerprints.SHORT, len(data) < 768, ranks[1])):
+        values = [one_entropy(data[i : i + kind.window]) for i in range(len(data) - kind.window + 1)] if there else []
+        if len(values) > kind.range:
+            at = slow_features(values, r, kind)
+        else:
+            at = [i for i in range(len(values)) if r[values[i]] <= fingerprints.LEVELS]
+            at = [min(at, key=lambda i: (r[values[i]], i))] if at else []
+        parts += [data[i : i + kind.window] for i in at]
+    parts = parts or [data] * bool(data)
+    chain = []
+    for k in range(0, len(parts), 160):
+        bits = 0
+        for p in parts[k : k + 160]:
+            h = xxhash.xxh3_128_intdigest(p)
+            for j in range(5):
+                bits |= 1 << ((h >> (11 * j)) & 7) + 8 * ((h >> (11 * j + 3)) & 255)
+        chain.append(bits)
+    return chain
+
+
+def slow_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+
+    def one(a, b):
+        of = []
+        for x in a:
+            n, best = bin(x).count("1"), 0.0
+            for y in b:
+                m = bin(y).count("1")
+                if min(n, m) > n * m / 2048:
+                    best = max(best, (bin(x & y).count("1") - n * m / 2048) / (min(n, m) - n * m / 2048))
+            of.append((n, best))
+        return sum(n * x for n, x in of) / sum(n for n, _ in of)
+
+    return (one(a, b) + one(b, a)) / 2 if len(a) == len(b) else one(*sorted((a, b), key=len))
+
+
+def invented(rng, size):
+    return " ".join("".join(map(chr, rng.integers(97, 119, rng.integers(2, 10)))) for _ in range(size // 3))[:size]
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, invented(rng, n)) for i, n in enumerate([0, 5, 15, 16, 23, 24, 60, 127, 128, 300, 383, 384, 500, 767, 768, 900, 4000, 30_000])]
+    long_counts, short_counts = np.zeros(1001, int), np.zeros(1001, int)
+    for _, t in rows:
+        d = t.encode()
+        for i in range(len(d) - 63) if len(d) >= 384 else ():
+            long_counts[one_entropy(d[i : i + 64])] += 1
+        for i in range(len(d) - 15) if len(d) < 768 else ():
+            short_counts[one_entropy(d[i : i + 16])] += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert np.array_equal(fingerprints.entropy_counts(frame), [long_counts, short_counts])
+
+    def ranks_of(counts):
+        order = sorted(range(1001), key=lambda v: (counts[v], v))
+        return [1001 if v < 100 else order.index(v) for v in range(1001)]
+
+    ranks = ranks_of(long_counts), ranks_of(short_counts)
+    got = {r["doc_id"]: r for r in fingerprints.compare_neighbours(frame).collect()}
+    for i, t in rows:
+        after = rows[(i + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        own, other, following = (slow_digest(x.encode(), ranks) for x in (t, edited, after))
+        r = got[i]
+        assert (fingerprints.from_text(r["fingerprint"]), fingerprints.from_text(r["edited_fingerprint"])) == (own, other)
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((slow_likeness(own, other), slow_likeness(own, following)))
+
+
+def test_short_texts_survive_an_edit():
+    rng = np.random.default_rng(5)
+    ranks = fingerprints.rarity(rng.integers(1, 1000, 1001)), fingerprints.rarity(rng.integers(1, 1000, 1001))
+    of = lambda t: fingerprints.digest(t.encode(), fingerprints.long_entropies(t.encode()), ranks)
+    near, far = [], []
+    for size in range(60, 900, 7):
+        t, other = invented(rng, size), invented(rng, size)
+        k = int(rng.integers(size))
+        near.append(fingerprints.likeness(of(t), of(t[:k] + "Z" + t[k + 1 :])))
+        far.append(fingerprints.likeness(of(t), of(other)))
+    assert min(near) > 0.3 and np.mean(near) > 0.8 and max(far) < 0.3
+
+
+def test_a_huge_text_needs_little_memory():
+    import tracemalloc
+
+    data = np.random.default_rng(6).integers(97, 123, 50_000_000).astype(np.uint8).tobytes()
+    ranks = (fingerprints.rarity(np.arange(1001)),) * 2
+    tracemalloc.start()
+    found = fingerprints.digest(data, fingerprints.long_entropies(data), ranks)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20 and len(found) > 1000
+    tracemalloc.stop()
 
 
 def test_fingerprints(docs, none):
