@@ -9,12 +9,20 @@ isn't marked has no second document, so nothing is told about it. A corpus that
 1. Two sets that link share an n-gram of both prefixes (the first n - ceil(0.8 n) + 1 in the order). Prefix n-grams are dealt
    to buckets; in each list of documents that share one, the document whose n-gram comes earliest in its own prefix is the
    centre, and the list is told as (centre, member) rows, never as all pairs: both documents of any pair that could link are
-   members of a common centre.
+   members of a common centre. Lists of n-grams with LONG_LIST documents or more stay cut by task: each piece tells its first
+   member, the least of them is the centre (a broadcast row for each such n-gram, TOP at most), and the pieces are told apart.
 2. Documents with equal sets are one class. The members of a centre are cut into blocks by hash where they are many.
-3. The order is cut into fragments. For every centre, pair of blocks and fragment, a task counts the partial overlaps of all
-   pairs by matrix products over that fragment's n-grams alone; these are summed per pair over the fragments, and compared
-   with the sizes. What leaves a task is the forest that spans its links, not the pairs.
-4. Connected components of these forests, and the smallest id in each.
+3. The order is cut into fragments: consecutive ranges of it. For every centre, pair of blocks and fragment, a task counts the
+   partial overlaps of the pairs by matrix products over that fragment's n-grams alone; these are summed per pair over the
+   fragments, and compared with the sizes. What leaves a task is the forest that spans its links, not the pairs.
+4. Lists of up to BLOCK members are compared whole. In a longer one each block is compared within itself and with PIVOTS members
+   that all blocks get; that is linear in the list. Then only members that are not yet connected with the bulk of their list
+   (its largest part) are compared with all its blocks: members of the bulk are connected already, whatever they share.
+5. Connected components of these forests, and the smallest id in each.
+
+The work on a long list grows with its members outside the bulk: a list that falls into many unconnected parts is compared pair
+by pair, as no link may be lost. Sets with many rows (a large group of copies) are joined with a broadcast of at most 4 rows for
+each partition.
 
 Documents with fewer than n words have one n-gram, their whole sequence; documents without words have none and link with
 nothing. Null texts count as empty. Every input row gives one output row. Rows with equal sets link, also when they repeat an
@@ -34,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import bytes_of, n_partitions, slices, small_side, staged
+from evidra.llm.common import bounded_batches, bytes_of, join_counted, n_partitions, slices, small_side, staged
 from evidra.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -42,7 +50,9 @@ WORDS, PERCENT = 5, 80
 TOP = 1 << 20
 #: All that occur twice or more are marked in a bitmap of so many bits by the start of their hash, sent as well.
 MARK_BITS = 27
-FRAGMENTS, BLOCK, ORDER_BITS, FLUSH = 4, 512, 40, 1_500_000
+FRAGMENTS, BLOCK, PIVOTS, ORDER_BITS, FLUSH = 4, 512, 4, 40, 1_500_000
+#: N-grams of so many documents have a list of their own, which is cut by task instead of gathering in a bucket.
+LONG_LIST = 4096
 BROADCAST_DOCS = 1_000_000
 _U = np.uint64
 
@@ -120,7 +130,7 @@ def _short(grams: np.ndarray) -> np.ndarray:
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text")
+    return docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text", f"xxhash64(coalesce(cast({text_col} as string), '')) hash")
 
 
 @dataclass
@@ -210,20 +220,21 @@ def frequency(grams: np.ndarray, order: Order) -> np.ndarray:
     return np.where(order.grams[at] == short, order.counts[at], marked)
 
 
-def prefix(grams: np.ndarray, order: Order, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Those n-grams, in the global order, of which a linking set must share one, and their places; without those that have
-    no second document."""
+def prefix(grams: np.ndarray, order: Order, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those n-grams, in the global order, of which a linking set must share one, their places and by what they are ordered;
+    without those that have no second document."""
     f = frequency(grams, order)
     at = np.argsort(f, kind="stable")[: len(grams) - needed(len(grams), percent) + 1]  # by hash among equals, as grams ascend
     places = np.flatnonzero(f[at] > 0)
-    return grams[at[places]], places
+    return grams[at[places]], places, f[at[places]]
 
 
-def prefixes(rows: DataFrame, top, n: int, percent: int, buckets: int) -> DataFrame:
-    """kind 0: a document (ref, doc_id, its set's size and class); kind 1: for a bucket, n-grams and who has them in a prefix."""
-    schema = "kind int, ref long, doc_id long, n_grams long, class long, bucket int, grams binary, refs binary, places binary"
+def prefixes(rows: DataFrame, top, n: int, percent: int, buckets: int, long_list: int = LONG_LIST) -> DataFrame:
+    """kind 0: a document (ref, doc_id, the hash of its text, its set's size and class); kind 1: for a bucket, n-grams and who has
+    them in a prefix; kind 2: for a frequent n-gram (class) who has it, and the first of these (doc_id) with its place (n_grams)."""
+    schema = "kind int, ref long, doc_id long, hash long, n_grams long, class long, bucket int, grams binary, refs binary, places binary"
     names = tuple(x.split()[0] for x in schema.split(", "))
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    types = (pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = top.value
@@ -233,32 +244,37 @@ def prefixes(rows: DataFrame, top, n: int, percent: int, buckets: int) -> DataFr
         places: list[np.ndarray] = []
         ref = first = size = 0
         classes: set[int] = set()
+        lists: dict[int, list[tuple[int, int]]] = {}
 
         def flush() -> pa.RecordBatch:
+            own = [(2, base + first, base + first + min(x)[1], None, min(x)[0], gram, None, None, _pack(np.array([o for _, o in x], np.uint32)), None) for gram, x in lists.items()]
             g, o, p = np.concatenate(grams), np.concatenate(owners), np.concatenate(places)
             order = np.argsort(g, kind="stable")
             g, o, p = g[order], o[order], p[order]
             cuts = _bucket_cuts(g, buckets)
-            out = [(1, base + first, None, None, None, k, _deltas(g[a:b]), _pack(o[a:b]), _pack(p[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-            return _table(out, types, names)
+            out = [(1, base + first, None, None, None, None, k, _deltas(g[a:b]), _pack(o[a:b]), _pack(p[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            return _table(out + own, types, names)
 
         for batch in slices(batches):
             out = []
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), bytes_of(batch), strict=True):
+            for doc_id, of_text, data in zip(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), bytes_of(batch), strict=True):
                 own = shingles(data, n)
                 kind = class_of(own)
-                out.append((0, base + ref, doc_id, len(own), kind, None, None, None, None))
+                out.append((0, base + ref, doc_id, of_text, len(own), kind, None, None, None, None))
                 if len(own) and kind not in classes:  # one of the equal sets that this task holds is enough
                     classes.add(kind)
-                    head, place = prefix(own, known, percent)
-                    grams.append(_short(head))
-                    owners.append(np.full(len(head), ref - first, np.uint32))
-                    places.append((place * 200 // len(own)).astype(np.uint8))
+                    head, place, often = prefix(own, known, percent)
                     size += len(head)
+                    head, place = _short(head), (place * 200 // len(own)).astype(np.uint8)
+                    for k in np.flatnonzero(often >= long_list).tolist():
+                        lists.setdefault(int(head[k]), []).append((int(place[k]), ref - first))
+                    grams.append(head[often < long_list])
+                    owners.append(np.full(len(grams[-1]), ref - first, np.uint32))
+                    places.append(place[often < long_list])
                 ref += 1
                 if size > FLUSH // 2:
                     yield flush()
-                    grams, owners, places, first, size, classes = [], [], [], ref, 0, set()
+                    grams, owners, places, first, size, classes, lists = [], [], [], ref, 0, set(), {}
             yield _table(out, types, names)
         if size:
             yield flush()
@@ -287,8 +303,24 @@ def centres(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "centre long, member long")
 
 
+def long_centres(pieces: DataFrame) -> DataFrame:
+    """(centre, member), as refs, from the pieces of long lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for centre, ref, refs in zip(*(batch.column(c).to_pylist() for c in ("centre", "ref", "refs")), strict=True):
+                members = _unpack(refs, np.uint32).astype(np.int64) + ref
+                members = members[members != centre]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), centre)), pa.array(members)], names=["centre", "member"])
+
+    first = pieces.groupBy("class").agg(F.min(F.struct("n_grams", "doc_id")).alias("x")).select("class", F.col("x.doc_id").alias("centre"))
+    return pieces.join(F.broadcast(first), "class").select("centre", "ref", "refs").mapInArrow(run, "centre long, member long")
+
+
 def segments(rows: DataFrame, top, n: int, fragments: int) -> DataFrame:
-    """For the documents of rows (doc_id, text, class): class, n_grams, fragment, and the n-grams in that fragment of the order."""
+    """For the documents of rows (text, class): class, n_grams, fragment, and the n-grams in that fragment of the order. The last
+    fragment holds the most frequent n-grams; the ones before are cut from the others by hash, which is their order. N-grams
+    that no second document has come first in the order and are left out: they overlap with nothing."""
     schema = "class long, n_grams long, fragment int, grams binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,11 +329,9 @@ def segments(rows: DataFrame, top, n: int, fragments: int) -> DataFrame:
             out = []
             for kind, data in zip(batch.column("class").to_pylist(), bytes_of(batch), strict=True):
                 own = shingles(data, n)
-                if class_of(own) != kind:
-                    continue  # another text with the same id
-                late = frequency(own, known) > 1
-                part = np.where(late, fragments - 1, (own >> _U(32)) % _U(max(fragments - 1, 1)))
-                out += [(kind, len(own), k, own[part == k].tobytes()) for k in range(fragments)]
+                f = frequency(own, known)
+                part = np.where(f > 1, _U(fragments - 1), (_short(own) * _U(max(fragments - 1, 1))) >> _U(ORDER_BITS))
+                out += [(kind, len(own), k, own[(part == k) & (f > 0)].tobytes()) for k in range(fragments)]
             yield _table(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), ("class", "n_grams", "fragment", "grams"))
 
     return rows.mapInArrow(run, schema)
@@ -341,14 +371,45 @@ def span(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def link_forest(members: DataFrame, sets: DataFrame, percent: int, fragments: int, block: int) -> DataFrame:
-    """(a, b): edges that connect what the links among the members of each centre connect. members: (centre, class)."""
-    parts = n_partitions(members.sparkSession)
-    sizes = members.groupBy("centre").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    cut = members.join(sizes, "centre").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+def long_lists(members: DataFrame, block: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(centre, class, m, blocks, own) for members (centre, class), and the pivots (centre, class) of lists beyond a block. Pivots
+    are the classes whose hashes are least; the least of every block comes to the choice."""
+    sizes = staged(members.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).select("centre", F.col("n").alias("m"), "n"), "sizes")
+    cut = join_counted(members, sizes, "centre", "n").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = cut.select("centre", "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own")
-    dealt = dealt.select("centre", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    ranked = cut.filter("blocks > 1").groupBy("centre", "own").agg(F.min_by("class", F.xxhash64("class", F.lit(3))).alias("class"))
+    first = ranked.groupBy("centre").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("class", F.lit(3)).alias("h"), "class"))), 1, pivots).alias("x"))
+    return cut, first.select("centre", F.explode("x.class").alias("class"))
+
+
+def first_round(cut: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(centre, i, j, class): each block with itself and the pivots."""
+    own = cut.select("centre", F.col("own").alias("i"), F.col("own").alias("j"), "class")
+    blocks = cut.filter("blocks > 1").select("centre", "blocks").distinct()
+    sent = pivots.join(blocks, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "class")
+    return own.unionByName(sent.select("centre", "i", F.col("i").alias("j"), "class")).distinct()
+
+
+def second_round(cut: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """(centre, i, j, class): for the members outside the bulk of a long list, their blocks with all blocks. Blocks of the bulk have
+    negative numbers and never meet each other."""
+    labelled = cut.filter("blocks > 1").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    parts = labelled.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("k"))
+    bulk = parts.groupBy("centre").agg(F.max_by("root", F.struct("k", "root")).alias("bulk"), F.sum("k").alias("m"), F.max("k").alias("most"))
+    bulk = staged(bulk.filter("m > most").withColumn("n", F.col("m")), "bulk")
+    told = join_counted(labelled.select("centre", "class", "root"), bulk, "centre", "n").filter("bulk is not null")
+    calm = F.col("root") == F.col("bulk")
+    n_out, n_in = F.ceil((F.col("m") - F.col("most")) / block).cast("int"), F.ceil(F.col("most") / block).cast("int")
+    own = F.when(calm, -1 - F.pmod(F.xxhash64("class"), n_in)).otherwise(F.pmod(F.xxhash64("class"), n_out)).cast("int")
+    out = F.sequence(F.lit(0), n_out - 1)
+    others = F.when(calm, out).otherwise(F.concat(out, F.sequence(-n_in, F.lit(-1))))
+    dealt = told.select("centre", "class", own.alias("own"), F.explode(others).alias("other"))
+    return dealt.select("centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class")
+
+
+def link_forest(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect what the links among the classes of each (centre, i, j) connect. dealt: (centre, i, j, class)."""
+    parts = n_partitions(dealt.sparkSession)
     work = dealt.join(sets, "class").select("centre", "i", "j", "fragment", "class", "n_grams", "grams")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,27 +464,42 @@ def _table(rows: list[tuple], types: tuple, names: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, top: int = TOP, fragments: int = FRAGMENTS, block: int = BLOCK) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, top: int = TOP, fragments: int = FRAGMENTS, block: int = BLOCK, long_list: int = LONG_LIST) -> DataFrame:
     """doc_id, n_shingles, component_id, class for every row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = _read(docs, id_col, text_col)
     known = spark.sparkContext.broadcast(global_order(rows, n, top))
-    both = staged(prefixes(rows, known, n, percent, 2 * n_partitions(spark)), "prefixes")
-    table = both.filter("kind = 0").select("ref", "doc_id", "n_grams", "class")
-    lists = centres(both.filter("kind = 1")).distinct()
-    pairs = lists.join(table.select(F.col("ref").alias("centre"), F.col("class").alias("c")), "centre").join(table.select(F.col("ref").alias("member"), F.col("class").alias("m")), "member")
+    both = staged(prefixes(rows, known, n, percent, 2 * n_partitions(spark), long_list), "prefixes")
+    table = both.filter("kind = 0").select("ref", "doc_id", "hash", "n_grams", "class")
+    lists = staged(centres(both.filter("kind = 1")).unionByName(long_centres(both.filter("kind = 2"))).distinct(), "told")
+    heads = lists.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).join(table.select(F.col("ref").alias("centre"), F.col("class").alias("c")), "centre")
+    pairs = join_counted(lists, staged(heads, "heads"), "centre", "n").join(table.select(F.col("ref").alias("member"), F.col("class").alias("m")), "member")
     pairs = staged(pairs.filter("c <> m").select("c", "m").distinct(), "pairs")
     members = pairs.select(F.col("c").alias("centre"), F.col("m").alias("class")).unionByName(pairs.select(F.col("c").alias("centre"), F.col("c").alias("class"))).distinct()
-    wanted = staged(table.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("of_id")), "wanted")
-    reps = small_side(wanted, wanted.count(), BROADCAST_DOCS)
-    texts = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("of_id"))).select("class", "text")
+    # one row of each set that is compared, by id and text
+    of = table.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "hash")).alias("of"))
+    wanted = staged(of.select("class", F.col("of.doc_id").alias("of_id"), F.col("of.hash").alias("of_hash")), "wanted")
+    told = wanted.agg(F.count(F.lit(1)).alias("n"), F.count("of_id").alias("ids")).first()
+    texts = rows.join(small_side(wanted, told["n"], BROADCAST_DOCS), (F.col("hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("class", "text")
+    if told["ids"] < told["n"]:  # rows without an id can repeat a text
+        texts = texts.dropDuplicates(["class"])
     sets = staged(segments(texts, known, n, fragments), "segments")
-    found = components(staged(link_forest(members, sets, percent, fragments, block), "forest"))
-    smallest = table.filter("n_grams > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    cut, pivots = long_lists(members, block, PIVOTS)
+    cut = staged(cut, "lists")
+    if cut.filter("blocks > 1").isEmpty():
+        edges = staged(link_forest(cut.select("centre", F.lit(0).alias("i"), F.lit(0).alias("j"), "class"), sets, percent), "forest")
+    else:
+        edges = staged(link_forest(first_round(cut, pivots), sets, percent), "forest")
+        outside = staged(second_round(cut, components(edges), block), "outside")
+        if not outside.isEmpty():
+            edges = edges.unionByName(staged(link_forest(outside, sets, percent), "forest"))
+    found = components(edges)
+    smallest = table.filter("n_grams > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     rooted = smallest.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = rooted.join(least, "root").select("class", "component_id")
-    out = table.join(by_class, "class", "left")
+    by_class = staged(rooted.join(least, "root").select("class", "component_id", "n"), "by_class")
+    out = join_counted(table.select("doc_id", "n_grams", "class"), by_class, "class", "n")
     own = F.when(F.col("n_grams") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n_grams").alias("n_shingles"), own.alias("component_id"), F.col("class"))
 
@@ -432,6 +508,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs, with all their columns, whose id is the smallest of their group of near copies. Rows with null ids stay;
     where an id repeats with different texts, all its rows stay if one does."""
     found = near_components(docs.select(id_col, text_col), id_col, text_col, **options)
-    stays = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    gone = staged(stays.filter("not stays").select("gone_id"), "gone")
-    return docs.join(small_side(gone, gone.count(), BROADCAST_DOCS), docs[id_col] == F.col("gone_id"), "left_anti")
+    stays = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = staged(stays.filter("not stays").select("doc_id"), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    return rows.join(small_side(gone, gone.count(), BROADCAST_DOCS), "doc_id", "left_anti").select("row.*")

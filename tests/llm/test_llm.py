@@ -59,6 +59,24 @@ def test_ngram_join(docs, none):
     assert {r["doc_id"] for r in ngram_join.keep_representatives(docs).collect()} == {1, 2, 3, 6, 7, 9, 10, 11, 12, None}
 
 
+@pytest.mark.parametrize("block, long_list", [(512, 4096), (4, 4096), (6, 3)])
+def test_ngram_join_of_loose_groups(spark, block, long_list):
+    """Copies edited to all degrees, so that links are no equivalence and long lists fall into parts; some repeat, some have no id."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(4):
+        base = rng.integers(0, 300, 120)
+        for k in range(30):
+            text = base.copy()
+            at = rng.integers(0, 120, int(rng.integers(0, 6)))
+            text[at] = rng.integers(300, 900, len(at))
+            rows.append((None if k % 13 == 5 else len(rows) // 2 if k % 11 == 3 else 10 + len(rows), " ".join(map(str, text[: 120 - int(rng.integers(0, 15))]))))
+    rows += [(500 + i, rows[3][1]) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = ngram_join.near_components(frame, block=block, long_list=long_list).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == components_of(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, duck, name):
     found, wanted = queries.QUERIES[name](spark, DATA).toPandas(), duck.sql(queries.SQL[name]).df()
