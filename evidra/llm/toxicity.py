@@ -1,7 +1,8 @@
 """Toxicity: a support vector machine on a subsequence string kernel, with Nyström landmarks.
 
-A text is a sequence of symbols: letters (lower-cased, accented ones by their last byte) and gaps (all else). A unit is what
-starts at STARTS consecutive positions. Two units are as alike as the subsequences of three letters that they share, each
+A text is a sequence of symbols, one for each character: letters (lower-cased, accented ones by their last byte) and gaps (all
+else; gaps that follow each other are one). Between three or more letters that stand alone the gaps are skipped, so an insult
+spelled with spaces, dots or invisible signs reads like the word. A unit is what starts at STARTS consecutive positions. Two units are as alike as the subsequences of three letters that they share, each
 weighed by LAMBDA to the number of positions it skips, up to a span of SPAN; so letters with gaps or foreign characters
 between them still count. Landmarks are words of labelled sentences; their kernel matrix gives the Nyström map, and a linear
 machine with squared hinge loss is trained on mapped units of labelled sentences. Which unit of a toxic document is the
@@ -12,11 +13,13 @@ all those of three symbols, and a whole text is scored by looking up and adding
 a logistic function of its two highest units, fitted on the labelled rows.
 
 Null texts count as empty; every input row gives one output row; ids may be null or repeated. Null labels are ignored, and an
-id that repeats is used once. Without both classes among the training rows the score is the share of label 1.
+id that repeats is used once, with its least text. Without both classes among the training rows, or where no toxic or no clean text
+has a word of three letters, the score is the share of label 1. Other columns of the input are ignored or kept as they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,10 +50,23 @@ def _symbol_table() -> bytes:
 
 
 _TABLE = _symbol_table()
+#: In UTF-8: first bytes of letters of two bytes, which are dropped; and characters that count as gaps whole.
+_FIRST = bytes(range(0xC3, 0xE0))
+_NO_LETTER = re.compile(rb"\xc2[\x80-\xbf]|[\xe0-\xf7][\x80-\xbf]{2,3}")
 
 
 def symbols(data: bytes) -> np.ndarray:
-    return np.frombuffer(data.translate(_TABLE), np.uint8).astype(np.int64)
+    """The symbols of a text in UTF-8; 0 is a gap."""
+    s = np.frombuffer((data if data.isascii() else _NO_LETTER.sub(b" ", data)).translate(_TABLE, _FIRST), np.uint8)
+    letter = s > 0
+    s = s[letter | np.r_[True, letter[:-1]]] if len(s) else s
+    if len(s) > 4:
+        gap = np.r_[True, True, s == 0, True, True]
+        alone = ~gap[1:-1] & gap[:-2] & gap[2:]  # one place before and one after the text
+        between = gap[2:-2] & alone[:-2] & alone[2:]
+        chain = between & (np.r_[False, False, between[:-2]] | np.r_[between[2:], False, False])
+        s = s[~chain]
+    return s.astype(np.int64)
 
 
 def position_scores(s: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -197,9 +213,10 @@ def _words(data: bytes) -> list[bytes]:
 def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 4, seed: int = 7) -> ToxicityModel:
     """texts in UTF-8 with their labels (0 or 1)."""
     n_bad = int(toxic.sum())
+    share = (n_bad + 1) / (len(toxic) + 2)
+    constant = ToxicityModel(np.zeros(SIZE, np.float32), (0.0, 0.0, float(np.log(share / (1 - share)))))
     if not n_bad or n_bad == len(toxic):
-        share = (n_bad + 1) / (len(toxic) + 2)
-        return ToxicityModel(np.zeros(SIZE, np.float32), (0.0, 0.0, float(np.log(share / (1 - share)))))
+        return constant
     rng = np.random.default_rng(seed)
     bad, good, seen = Counter(), Counter(), set()
     for t, y in zip(texts, toxic, strict=True):
@@ -208,13 +225,17 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 4, seed: int = 7)
             continue  # copies say nothing new about their words
         seen.add(words)
         (bad if y else good).update(words)
-    least = min(2, max(bad.values(), default=0))
+    if not bad or not good:
+        return constant
+    least = min(2, max(bad.values()))
     odds = {w: (n + 0.5) / (n_bad + 1) / ((good[w] + 0.5) / (len(toxic) - n_bad + 1)) for w, n in bad.items() if n >= least}
     seeds = sorted(odds, key=lambda w: (-bad[w] * np.log(max(odds[w], 1e-9)), w))[: 4 * LANDMARKS]
     seeds = [w for w in seeds if odds[w] > 4] or seeds[:16]
     common = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))[: 4 * LANDMARKS]]
     padded = lambda words: np.array([window(symbols(w)) for w in words]).reshape(-1, LENGTH)
     marks = choose_landmarks([(padded(seeds), 2 * LANDMARKS // 3), (padded(common), LANDMARKS)])
+    if not marks.features.any():  # words without three letters
+        return constant
     gram = marks.features.T.astype(float) @ marks.features
     values, vectors = np.linalg.eigh(gram)
     keep = values > 1e-5 * values.max()
@@ -256,10 +277,11 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 4, seed: int = 7)
 
 
 def gapped(unit: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The unit with a gap after each letter, or one foreign letter somewhere."""
+    """The unit with gaps after some letters, or one foreign letter somewhere."""
     letters = unit[unit > 0]
     if rng.random() < 0.5:
-        return np.stack([letters, np.zeros_like(letters)], 1).ravel()
+        with_gaps = np.stack([letters, np.zeros_like(letters)], 1).ravel()
+        return with_gaps[(with_gaps > 0) | (rng.random(len(with_gaps)) < 0.5)]
     at = int(rng.integers(1, max(2, len(letters))))
     return np.insert(letters, min(at, len(letters)), rng.integers(1, 27))
 
@@ -287,7 +309,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_
     if bad or good:
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         there = rows_with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), "doc_id", bad + good)
-        found = sorted({(r["doc_id"], r["text"]) for r in there.filter(F.length("text") <= MOST_CHARS).collect()})
+        once = there.filter(F.length("text") <= MOST_CHARS).groupBy("doc_id").agg(F.min("text").alias("text"))
+        found = sorted((r["doc_id"], r["text"]) for r in once.collect())  # most_toxic + most_clean rows at most
     positive = set(bad)
     return train([t.encode() for _, t in found], np.array([i in positive for i, _ in found], int))
 
