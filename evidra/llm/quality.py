@@ -6,8 +6,9 @@ rule, and a logistic model with an L1 penalty (proximal gradient) picks few rule
 into Spark column expressions, so scoring is a projection over the statistics.
 
 Null texts count as empty; empty texts get a score from their statistics, too. Every input row gives one output row; ids may
-be null or repeated. Labels that are null are ignored; a labelled id that repeats is used once, with its largest label. With
-fewer than two classes among the training rows the score is the share of label 1 (0.5 without rows).
+be null or repeated; other columns of the input are ignored. Labels that are null are ignored; a labelled id that repeats is used
+once, with its largest label and the text whose statistics are least. With fewer than two classes among the training rows the
+score is the share of label 1 (0.5 without rows); so it is where no statistic tells the rows apart.
 """
 
 from __future__ import annotations
@@ -162,6 +163,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
         f += 0.4 * fit
         paths.update(dict.fromkeys(nodes))
     rules = [Rule(p) for p in paths]
+    if not rules:  # nothing tells the rows apart
+        return RuleEnsemble(float(f[0]))
     z = np.stack([r.holds(x) for r in rules], 1).astype(np.float64)
     _, keep = np.unique(z, axis=1, return_index=True)
     keep = np.sort(keep)
@@ -188,7 +191,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
     ids = ids_in_hash_order(rows, "doc_id", most)
     if not ids:
         return fit_rules(np.zeros((0, len(STATS))), np.zeros(0))
-    found = text_stats(rows_with_ids(docs.select("doc_id", "text"), "doc_id", ids)).join(F.broadcast(rows_with_ids(rows, "doc_id", ids)), "doc_id")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    once = text_stats(rows_with_ids(given, "doc_id", ids)).groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("x")).select("doc_id", "x.*")  # one text for each id
+    found = once.join(F.broadcast(rows_with_ids(rows, "doc_id", ids)), "doc_id")
     table = found.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).select(*STATS, "label").toPandas()
     return fit_rules(table[list(STATS)].to_numpy(np.float64), table["label"].to_numpy(np.float64))
 
