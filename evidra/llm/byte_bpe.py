@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from evidra.llm.common import n_partitions, shared_dir, slices, texts_of
 
 CHUNK_BYTES = 24 << 20
+#: Encoded words that a task holds; a bucket with more of them encodes some again.
+MOST_KNOWN = 2_000_000
 # The characters with the property White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -147,7 +149,7 @@ def encode_words(vocabulary: DataFrame, ranks_path: str, pattern: str) -> DataFr
         at = None
         for batch in batches:
             for chunk, bucket, numbers, words in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "numbers", "words")), strict=True):
-                if bucket != at:
+                if bucket != at or len(known) > MOST_KNOWN:
                     known, at = {}, bucket
                 n, sizes = stretch(numbers, 2)
                 data, start, ids, lengths = zstandard.decompress(words), 0, [], []
@@ -170,11 +172,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_words, and with keep_ids the ids themselves."""
     spark = docs.sparkSession
     rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text")
-    # a table in the shared folder, bucketed by chunk: the documents' numbers are not shuffled again when their ids come back
+    # files in the shared folder, bucketed by chunk: the documents' numbers are not shuffled again when their ids come back. Only a
+    # table's description tells Spark of the buckets; it is read at once and leaves the catalog, the files stay.
     name = f"evidra_chunks_{uuid.uuid4().hex}"
     parts = split_chunks(rows, pattern, 2 * n_partitions(spark))
-    parts.write.partitionBy("kind").bucketBy(n_partitions(spark), "chunk").option("path", f"{shared_dir(spark)}/chunks").saveAsTable(name)
+    parts.write.bucketBy(n_partitions(spark), "chunk").option("path", f"{shared_dir(spark)}/chunks").saveAsTable(name)
     both = spark.table(name)
+    both.schema  # resolves the table
+    spark.sql(f"drop table {name}")
     numbers = both.filter("kind = 0").select("chunk", "doc_id", "numbers")
     ids = encode_words(both.filter("kind = 1"), ranks_path, pattern)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long" + ", ids array<int>" * keep_ids
