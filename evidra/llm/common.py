@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,9 +25,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a temporary folder of our own."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local session (as in tests) gets a temporary folder of its
+    own; on a cluster that would be another disk for each machine, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='evidra-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/evidra-{uuid.uuid4().hex}"
