@@ -164,6 +164,7 @@ def test_byte_bpe(docs, none):
     got = byte_bpe.encode_documents(docs, BPE, P.PATTERN, keep_ids=True).collect()
     assert sorted(((r["doc_id"], list(r["ids"]), r["decoded_sha256"]) for r in got), key=str) == wanted
     assert byte_bpe.encode_documents(none, BPE, P.PATTERN).count() == 0
+    assert not [t for t in docs.sparkSession.catalog.listTables() if t.name.startswith("evidra")]
 
 
 @settings(max_examples=200, deadline=None)
@@ -345,34 +346,143 @@ def test_fingerprints(docs, none):
     assert fingerprints.compare_neighbours(none).count() == 0
 
 
-def test_best_boundaries_against_all_choices():
-    rng = np.random.default_rng(3)
-    ends, counts = np.sort(rng.choice(40, 8, replace=False)).astype(float) + 1, rng.integers(1, 9, 8).astype(float)
-    cost = lambda cuts: sum(c * min(b for b in cuts if b >= e) for e, c in zip(ends, counts, strict=True))
-    best = min(cost([*c, ends[-1]]) for c in itertools.combinations(ends[:-1], 2))
-    assert cost(packing.best_boundaries(ends, counts, 3)) == best
-
-
-def test_packing(docs, none):
-    got = packing.pack(docs, slot_rows=3, budget=200, buckets=4).collect()
-    assert sorted((r["doc_id"], r["n_tokens"]) for r in got if r["doc_id"]) == sorted((i, len((t or "").split()) + 1) for i, t in ROWS if i)
-    batches = {}
-    for r in got:
-        batches.setdefault((r["bucket"], r["batch"]), []).append(r)
-    assert all(len(b) == 1 or sum(r["padded_to"] for r in b) <= 200 for b in batches.values())
-    assert all(sorted(r["place"] for r in b) == list(range(len(b))) for b in batches.values())
+def least_padding(lengths, buckets):
+    """The least padding of all choices of boundaries among the lengths."""
+    if not lengths:
+        return 0
+    each = sorted(set(lengths))
+    cost = lambda cuts: sum(min(b for b in cuts if b >= n) - n for n in lengths)
+    return min((cost([*c, each[-1]]) for k in range(buckets) for c in itertools.combinations(each[:-1], k)), default=0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 60), max_size=40), st.integers(1, 4))
+def test_best_boundaries_against_all_choices(lengths, buckets):
+    each = sorted(set(lengths))
+    found = packing.best_boundaries(each, [lengths.count(n) for n in each], buckets)
+    assert len(found) <= buckets and found == sorted(set(found)) and found[-1:] == each[-1:]
+    assert sum(min(b for b in found if b >= n) - n for n in lengths) == (least_padding(lengths, buckets) if lengths else 0)
+
+
+def test_packing(spark, docs, none):
+    rng = np.random.default_rng(8)
+    more = [(None if k % 9 == 4 else 50 + k // 2, "w " * int(n)) for k, n in enumerate(rng.choice([0, 1, 3, 4, 8, 30, 31, 90, 199, 200, 350], 120))]
+    for rows, budget, buckets in ((ROWS, 200, 4), (more, 200, 3), (more, 100_000, 2), (more[:1], 10, 16), (ROWS, 1, 2)):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 bucket", "2 uid", "3 slot", "4 batch", "5 n_tokens").repartition(4)
+        got = packing.pack(frame, slot_rows=3, budget=budget, buckets=buckets).collect()
+        assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted(((i, len((t or "").split()) + 1) for i, t in rows), key=str)
+        batches = {}
+        for r in got:
+            batches.setdefault((r["bucket"], r["batch"]), []).append(r)
+            assert r["over_budget"] == (r["n_tokens"] > budget) and r["padded_to"] >= r["n_tokens"]
+        for b in batches.values():
+            assert sorted(r["place"] for r in b) == list(range(len(b))) and len({r["padded_to"] for r in b}) == 1
+            assert sum(r["padded_to"] for r in b) <= budget or (len(b) == 1 and b[0]["over_budget"])
+        within = [r for r in got if not r["over_budget"]]
+        assert sum(r["padded_to"] - r["n_tokens"] for r in got) == least_padding([r["n_tokens"] for r in within], buckets) and len({r["padded_to"] for r in within}) <= buckets
+        for k in {r["bucket"] for r in within}:  # all batches of a bucket but the last are full
+            sizes = sorted((key, len(b)) for key, b in batches.items() if key[0] == k)
+            assert all(n == max(1, budget // b[0]["padded_to"]) for (key, n), b in ((x, batches[x[0]]) for x in sizes[:-1]))
     assert packing.pack(none).count() == 0
 
 
-@pytest.mark.parametrize("name, least", [("op3_quality", 0.9), ("op10_toxicity", 0.6)])
-def test_classifiers(spark, name, least):
-    found = queries.QUERIES[name](spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
+@pytest.mark.parametrize("name, sf, least", [("op3_quality", "0.01", 0.95), ("op10_toxicity", "0.1", 0.93)])
+def test_classifiers(spark, name, sf, least):
+    """Area under the curve on held-out rows. A third of the toxic labels stand on texts without an insult."""
+    found = queries.QUERIES[name](spark, f"/root/testdata/sf{sf}").toPandas().set_index("doc_id")
     label = "quality" if "op3" in name else "toxic"
-    both = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id").join(found).query("held_out")
+    both = spark.read.parquet(f"/root/testdata/sf{sf}/labels.parquet").toPandas().set_index("doc_id").join(found).query("held_out")
     y, s = both[label].to_numpy(), both["score"].to_numpy()
     assert np.mean(s[y == 1][:, None] > s[y == 0][None]) >= least
 
 
+def test_gapped_insults_are_found(spark):
+    """Recall of insults spelled out in many ways, put into held-out texts that are clean."""
+    import zlib
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+    ids = [r[0] for r in labels.where("toxic = 0").select("doc_id").collect() if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    texts = [r["text"] for r in docs.where(docs["doc_id"].isin(ids[:300])).orderBy("doc_id").collect()]
+    texts = [t for t, s in zip(texts, model.score([t.encode() for t in texts]), strict=True) if s < toxicity.THRESHOLD][:150]
+    assert len(texts) == 150
+    forms = {
+        "plain": lambda w: w, "spaces": " ".join, "dots": ".".join, "invisible signs": "\u200b".join, "bullets": " \u2022 ".join, "stars": lambda w: f"{w[:2]}*{w[2:]}",
+        "upper case": lambda w: " ".join(w.upper()), "one letter more": lambda w: f"{w[:3]}x{w[3:]}", "one letter twice": lambda w: w[:3] + w[2:],
+    }
+    rng = np.random.default_rng(3)
+    for name, form in forms.items():
+        found = []
+        for t in texts:
+            words = t.split(" ")
+            for w in rng.choice(["stupid", "worthless", "pathetic", "disgusting"], 2, replace=False):
+                words.insert(int(rng.integers(len(words) + 1)), form(str(w)))
+            found.append(" ".join(words).encode())
+        assert (model.score(found) >= toxicity.THRESHOLD).mean() >= 0.85, name
+
+
+@pytest.mark.parametrize("text", ["s t u p i d", "S.T.U.P.I.D", "s\u200bt\u200bu\u200bp\u200bi\u200bd", "s - t - u - p - i - d", "stupid"])
+def test_letters_that_stand_alone_are_read_together(text):
+    assert toxicity.symbols(text.encode()).tolist() == toxicity.symbols(b"stupid").tolist()
+
+
+def test_symbols():
+    of = lambda t: toxicity.symbols(t.encode()).tolist()
+    assert of("") == of("\u200b\u4e2d")[1:] == [] and of("a, b") == [1, 0, 2] and of("ab\u00a0\u2022 c") == [1, 2, 0, 3] and len(of("\u00e9t\u00c9")) == 3
+    assert of("\u00c9") == of("\u00e9") and of("be a b c de") == [2, 5, 0, 1, 2, 3, 0, 4, 5]
+
+
+def test_classifiers_of_texts_that_tell_nothing(spark, none):
+    """All texts empty or null, equal, without words, or no texts at all: the share of label 1, for every row."""
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for text in (None, "", "same words here", "a b \u4e2d 12", "..."):
+        rows = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+        for scored in (quality.score_quality(rows, quality.fit_quality(rows, labels)), toxicity.score_toxicity(rows, toxicity.fit_toxicity(rows, labels))):
+            found = {r["score"] for r in scored.collect()}
+            assert len(found) == 1 and 0.3 < found.pop() < 0.7
+    for scored in (quality.score_quality(none, quality.fit_quality(none, labels)), toxicity.score_toxicity(none, toxicity.fit_toxicity(none, labels))):
+        assert scored.count() == 0
+
+
+def test_classifiers_with_repeated_ids_and_other_columns(spark):
+    rows = [(i % 20 if i % 7 else None, ("you stupid fool " if i % 2 else "a fine day ") * (1 + i % 3), i, i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, score int")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)] * 2 + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for scored in (quality.score_quality(docs, quality.fit_quality(docs, labels)), toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))):
+        assert scored.count() == 200 and all(0 <= r["score"] <= 1 for r in scored.collect())
+
+
+def test_rules_say_the_same_in_numpy_and_in_columns(spark, docs):
+    """The compiled columns against the rules themselves, and the statistics against plain counting."""
+    rng = np.random.default_rng(2)
+    x = rng.random((400, len(quality.STATS)))
+    model = quality.fit_rules(x, (x[:, 1] + x[:, 4] > 1.1).astype(float))
+    assert len(model.rules) > 3 and np.mean((model.predict(x) > 0.5) == (x[:, 1] + x[:, 4] > 1.1)) > 0.9
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ", ".join(["doc_id long", *(f"{n} double" for n in quality.STATS)]))
+    assert [r["s"] for r in frame.select("doc_id", model.score().alias("s")).orderBy("doc_id").collect()] == pytest.approx(model.predict(x).tolist())
+    for rule in model.rules:
+        for row in x[:20]:
+            assert rule.holds(row[None])[0] == all((row[quality.STATS.index(n)] > cut) == over for n, over, cut in rule.terms)
+    got = {r["doc_id"]: r for r in quality.text_stats(docs).collect()}
+    assert (got[5]["n_words"], got[5]["distinct_words"], got[1]["n_bytes"], got[9]["top_word"]) == (61, 1, 0, 1)
+
+
+def test_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from evidra.llm import common
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_classifiers_without_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()} == {0.5}
