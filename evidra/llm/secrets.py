@@ -2,12 +2,17 @@
 
 For each rule a Boolean query over trigrams is derived from its regex (parsed with the regex parser of the standard library):
 every match must contain the trigrams of a literal run, runs in sequence are joined by AND, branches by OR. Documents are
-indexed in segments (the batches that a task reads): a segment's index holds, for each trigram that some query names, the
-sorted list of documents that contain it. Intersecting and uniting these postings gives the candidates, and only these are
-verified with the regex, over their whole texts. A rule whose regex has no mandatory trigram scans every document.
+indexed in segments (some of the rows that a task reads): a segment's index is made from the texts alone, before any rule is
+looked at, and holds for every trigram of bytes that occurs (A-Z lower-cased) the ascending list of texts that contain it.
+Intersecting and uniting these postings gives the candidates, and only these are verified with the regex, over their whole
+texts. A rule whose regex has no mandatory trigram scans every document.
 
-A segment's index lives as long as its segment is worked on, so nothing is shuffled and a lost executor costs its own tasks.
-Null texts count as empty; ids may be null or repeated; every input row gives one output row; other columns are ignored.
+`index_documents` gives the segments as rows (texts, trigrams, postings) that can be written to shared files, and `scan_index`
+searches them with any rules, as often as wanted. `scan_secrets` and `redact_secrets` need one search only, so they index and
+search a segment in the task that reads it: nothing is written or shuffled, and a lost executor costs its own tasks.
+
+Null texts count as empty; ids may be null or repeated; every input row gives one output row; an empty table gives none. Other
+columns are ignored, and `redact_secrets` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +22,15 @@ import re
 import re._constants as rc
 import re._parser as rp
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
-from evidra.llm.common import slices, texts_of
+from evidra.llm.common import bounded_batches, slices, texts_of
 
 # The rules. kind, pattern, group whose length counts, least length of that group. The first three are the base.
 BASE_RULES = (
@@ -40,6 +48,9 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long"
 
+#: Bytes of the texts of a segment, beyond its last one.
+SEGMENT_BYTES = 2 << 20
+
 Query = tuple  # ("all",) | ("tri", trigram) | ("and", queries) | ("or", queries)
 ALL: Query = ("all",)
 
@@ -53,14 +64,18 @@ def _either(parts: list[Query]) -> Query:
     return ALL if not parts or ALL in parts else parts[0] if len(parts) == 1 else ("or", tuple(dict.fromkeys(parts)))
 
 
+def _low(code: int) -> str:
+    return chr(code).lower() if code < 128 else chr(code)
+
+
 def _strings(items: list, most: int = 64) -> list[set[str]]:
     """For each item of a parsed sequence, the lower-cased strings it may match, or none if they can't be listed."""
     out: list[set[str] | None] = []
     for op, arg in items:
         if op is rc.LITERAL:
-            out.append({chr(arg).lower()})
-        elif op is rc.IN and all(o is rc.LITERAL for o, _ in arg) and len({chr(a).lower() for _, a in arg}) <= 8:
-            out.append({chr(a).lower() for _, a in arg})
+            out.append({_low(arg)})
+        elif op is rc.IN and all(o is rc.LITERAL for o, _ in arg) and len({_low(a) for _, a in arg}) <= 8:
+            out.append({_low(a) for _, a in arg})
         elif op is rc.SUBPATTERN:
             found = _listed(arg[-1], most)
             out.append(found)
@@ -119,23 +134,75 @@ def trigrams_in(query: Query) -> set[str]:
     return {query[1]} if query[0] == "tri" else set() if query == ALL else set().union(*map(trigrams_in, query[1]))
 
 
-def postings_of(texts: list[str], trigrams: set[str]) -> dict[str, np.ndarray]:
-    """For each trigram, the sorted positions of the texts that contain it, letters in either case."""
-    lists: dict[str, list[int]] = {t: [] for t in trigrams}
-    for i, text in enumerate(texts):
+@dataclass
+class Segment:
+    """An inverted index: ascending trigrams, where their postings start, and the numbers of the texts, ascending in each."""
+
+    trigrams: np.ndarray
+    starts: np.ndarray
+    texts: np.ndarray
+
+    def of_trigram(self, trigram: bytes) -> np.ndarray:
+        code = np.uint32(int.from_bytes(trigram, "big"))
+        k = int(np.searchsorted(self.trigrams, code))
+        if k == len(self.trigrams) or self.trigrams[k] != code:
+            return self.texts[:0]
+        return self.texts[self.starts[k] : self.starts[k + 1]]
+
+    def of_string(self, string: str) -> np.ndarray:
+        """Texts that have all byte trigrams of a string of three characters."""
+        data = string.encode()
+        found = [self.of_trigram(data[i : i + 3]) for i in range(len(data) - 2)]
+        return reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), sorted(found, key=len))
+
+
+def _codes(b: np.ndarray) -> np.ndarray:
+    wide = b.astype(np.uint32)
+    return wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
+
+
+def segment_of(texts: list[bytes], block: int = 1 << 20) -> Segment:
+    """The index of some texts in UTF-8, for at most 65,536 of them. Beside the texts it takes memory for a block of them."""
+    found, group, size = [], [], 0
+
+    def add() -> None:
+        """Sorted pairs of a trigram and a text, each once; trigrams that reach from one text into the next are left out."""
+        lengths = np.array([len(x) for _, x in group])
+        b = np.frombuffer(b"".join(x for _, x in group), np.uint8)
+        if len(b) > 2:
+            owner = np.repeat(np.array([k for k, _ in group], np.uint64), lengths)
+            whole = np.ones(len(b) - 2, bool)
+            ends = np.cumsum(lengths)[:-1]
+            for back in (1, 2):
+                at = ends - back
+                whole[at[(at >= 0) & (at < len(whole))]] = False
+            pairs = np.sort((_codes(b).astype(np.uint64) << np.uint64(16) | owner[: len(b) - 2])[whole])
+            found.append(pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs)
+
+    for k, text in enumerate(texts):
         low = text.lower()
-        for t, found in lists.items():
-            if t in low:
-                found.append(i)
-    return {t: np.array(x, np.int64) for t, x in lists.items()}
-
-
-def candidates(query: Query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
+        for start in range(0, max(len(low) - 2, 1), block):  # blocks of a long text overlap by two bytes
+            group.append((k, low[start : start + block + 2]))
+            size += len(group[-1][1])
+            if size >= block:
+                add()
+                group, size = [], 0
+    if group:
+        add()
+    pairs = np.concatenate(found) if found else np.empty(0, np.uint64)
+    if len(found) > 1:
+        pairs = np.unique(pairs)
+    code = (pairs >> np.uint64(16)).astype(np.uint32)
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+    return Segment(code[first], np.r_[first, len(code)], (pairs & np.uint64(0xFFFF)).astype(np.int64))
+
+
+def candidates(query: Query, segment: Segment, n: int) -> np.ndarray:
     if query == ALL:
         return np.arange(n)
     if query[0] == "tri":
-        return postings[query[1]]
-    parts = sorted((candidates(q, postings, n) for q in query[1]), key=len)
+        return segment.of_string(query[1])
+    parts = sorted((candidates(q, segment, n) for q in query[1]), key=len)
     out = parts[0]
     for p in parts[1:]:
         out = np.intersect1d(out, p, assume_unique=True) if query[0] == "and" else np.union1d(out, p)
@@ -147,13 +214,12 @@ def matches(pattern: re.Pattern, group: int, least: int, text: str) -> list[tupl
     return [m.span() for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
 
 
-def find_spans(texts: list[str], rules: tuple = RULES) -> list[list[tuple[int, int, str]]]:
-    """For each text, its spans (kind number, start, end) by start, then kind as listed. One index segment."""
-    compiled = _compiled(rules)
-    postings = postings_of(texts, set().union(*(trigrams_in(q) for *_, q in compiled)))
+def find_spans(texts: list[str], rules: tuple = RULES, segment: Segment | None = None) -> list[list[tuple[int, int, int]]]:
+    """For each text of a segment, its spans (kind number, start, end) by start, then kind as listed."""
+    segment = segment_of([t.encode() for t in texts]) if segment is None else segment
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for k, (pattern, group, least, query) in enumerate(compiled):
-        for i in candidates(query, postings, len(texts)).tolist():
+    for k, (pattern, group, least, query) in enumerate(_compiled(rules)):
+        for i in candidates(query, segment, len(texts)).tolist():
             out[i] += [(start, k, end) for start, end in matches(pattern, group, least, texts[i])]
     return [[(k, start, end) for start, k, end in sorted(x)] for x in out]
 
@@ -167,21 +233,55 @@ def _compiled(rules: tuple) -> list:
     return _CACHE[rules]
 
 
+def _told(ids: list, spans: list[list[tuple[int, int, int]]], rules: tuple) -> pa.RecordBatch:
+    base, kinds, rows = len(BASE_RULES), [r[0] for r in rules], []
+    for doc_id, found in zip(ids, spans, strict=True):
+        said = [(k, f"{kinds[k]}:{start}:{end}") for k, start, end in found]
+        digest = hashlib.sha256(",".join(s for k, s in said if k < base).encode()).hexdigest()
+        rows.append((doc_id, *(sum(k == b for k, *_ in found) for b in range(base)), digest, ",".join(s for _, s in said), len(said)))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES, strict=True)], names=_NAMES)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text")
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple = RULES) -> DataFrame:
     """doc_id, counts of the base kinds, digest of the base spans, and all spans as kind:start:end (code points)."""
-    base = len(BASE_RULES)
-    kinds = [r[0] for r in rules]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), find_spans(texts_of(batch), rules), strict=True):
-                said = [(k, f"{kinds[k]}:{start}:{end}") for k, start, end in found]
-                digest = hashlib.sha256(",".join(s for k, s in said if k < base).encode()).hexdigest()
-                rows.append((doc_id, *(sum(k == b for k, *_ in found) for b in range(base)), digest, ",".join(s for _, s in said), len(said)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES, strict=True)], names=_NAMES)
+        for batch in slices(batches, SEGMENT_BYTES):
+            yield _told(batch.column("doc_id").to_pylist(), find_spans(texts_of(batch), rules), rules)
+
+    return _rows(docs, id_col, text_col).mapInArrow(scan, SCHEMA)
+
+
+def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each segment: ids, texts, and its index (trigrams as differences, sizes of the postings, numbers of the texts)."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SEGMENT_BYTES):
+            texts = texts_of(batch)
+            x = segment_of([t.encode() for t in texts])
+            parts = [np.diff(x.trigrams, prepend=np.uint32(0)).astype("<u4"), np.diff(x.starts).astype("<u4"), x.texts.astype("<u2")]
+            packed = [pa.array([zstandard.compress(a.tobytes(), 3)], pa.binary()) for a in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string())), *packed], names=["ids", "texts", "trigrams", "sizes", "postings"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(build, "ids array<long>, texts array<string>, trigrams binary, sizes binary, postings binary")
+
+
+def scan_index(index: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """What scan_secrets gives, from the segments of index_documents."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts, *packed in zip(*(batch.column(c).to_pylist() for c in ("ids", "texts", "trigrams", "sizes", "postings")), strict=True):
+                a, n, t = (np.frombuffer(zstandard.decompress(x), kind) for x, kind in zip(packed, ("<u4", "<u4", "<u2"), strict=True))
+                segment = Segment(np.cumsum(a, dtype=np.uint32), np.r_[0, np.cumsum(n, dtype=np.int64)], t.astype(np.int64))
+                yield _told(ids, find_spans(texts, rules, segment), rules)
 
-    return docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text").mapInArrow(scan, SCHEMA)
+    return index.mapInArrow(scan, SCHEMA)
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -208,7 +308,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | Non
     at, chars = names.index(text_col), names.index(chars_col) if chars_col in names else None
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, name=text_col):
+        for batch in slices(batches, SEGMENT_BYTES, text_col):
             texts = texts_of(batch, text_col)
             new = [redact(t, s, rules) if s else None for t, s in zip(texts, find_spans(texts, rules), strict=True)]
             columns = list(batch.columns)
@@ -219,4 +319,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | Non
                     columns[chars] = pa.array([o if n is None else len(n) for o, n in zip(columns[chars].to_pylist(), new, strict=True)], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(clean, docs.schema)
