@@ -477,9 +477,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = join_counted(lists, staged(heads, "heads"), "centre", "n").join(table.select(F.col("ref").alias("member"), F.col("class").alias("m")), "member")
     pairs = staged(pairs.filter("c <> m").select("c", "m").distinct(), "pairs")
     members = pairs.select(F.col("c").alias("centre"), F.col("m").alias("class")).unionByName(pairs.select(F.col("c").alias("centre"), F.col("c").alias("class"))).distinct()
-    # one row of each set that is compared, by id and text
-    of = table.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "hash")).alias("of"))
-    wanted = staged(of.select("class", F.col("of.doc_id").alias("of_id"), F.col("of.hash").alias("of_hash")), "wanted")
+    # for each set how many rows have it, and one of them by id and text (one with an id if there is one)
+    of = table.filter("n_grams > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("of"), F.count(F.lit(1)).alias("n"))
+    classes = staged(of.select("class", F.col("of.doc_id").alias("of_id"), F.col("of.hash").alias("of_hash"), "n"), "classes")
+    wanted = staged(classes.drop("n").join(members.select("class").distinct(), "class", "left_semi"), "wanted")
     told = wanted.agg(F.count(F.lit(1)).alias("n"), F.count("of_id").alias("ids")).first()
     texts = rows.join(small_side(wanted, told["n"], BROADCAST_DOCS), (F.col("hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("class", "text")
     if told["ids"] < told["n"]:  # rows without an id can repeat a text
@@ -495,8 +496,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not outside.isEmpty():
             edges = edges.unionByName(staged(link_forest(outside, sets, percent), "forest"))
     found = components(edges)
-    smallest = table.filter("n_grams > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    rooted = smallest.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = classes.select("class", F.col("of_id").alias("least"), "n").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = staged(rooted.join(least, "root").select("class", "component_id", "n"), "by_class")
     out = join_counted(table.select("doc_id", "n_grams", "class"), by_class, "class", "n")
