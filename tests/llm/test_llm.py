@@ -564,56 +564,109 @@ def test_windows_predict_every_id_and_end():
     assert (windows[:, lm_scoring.BLOCK] == lm_scoring.START).sum() == len(texts)
 
 
-def test_short_texts_train(spark):
-    short = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
-    size = lm_scoring.load(PIECES).get_piece_size()
-    frame = lm_scoring.frame_of(lm_scoring.pair_counts(lm_scoring.word_counts(short), PIECES), size, 1)
-    weights, fresh = lm_scoring.train(short, spark.sparkContext.broadcast(frame), PIECES), lm_scoring.fresh_weights()
-    assert any((weights[k] != fresh[k]).any() for k in fresh)
+def small_frame(spark):
+    few = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
+    pairs = lm_scoring.pair_counts(lm_scoring.word_counts(few), PIECES)
+    return lm_scoring.frame_of(pairs, lm_scoring.load(PIECES).get_piece_size(), few.count())
 
 
-def test_lm_scores_know_every_training_word(spark):
-    """How many words are sent to the executors doesn't change a score."""
-    few = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
-    columns = ["doc_id", "n_known", "base_score", "score"]
-    most, least = (sorted(map(tuple, lm_scoring.score_documents(few, PIECES, head=n).select(columns).collect())) for n in (1 << 18, 40))
-    assert [r[:2] for r in most] == [r[:2] for r in least]
-    assert [x for r in most for x in r[2:]] == pytest.approx([x for r in least for x in r[2:]])
-
-
-@given(st.lists(st.integers(0, 4), max_size=30))
-def test_earlier(values):
-    assert lm_scoring.earlier(np.array(values, np.int64)).tolist() == [values[:i].count(v) for i, v in enumerate(values)]
-
-
-def test_memory_is_a_probability():
-    """Over all next stretches after a first id, the memory's probabilities add up to no more than 1."""
-    ids, counts, n = {1: [3], 2: [3, 4], 5: [6]}, {1: 5, 2: 2, 5: 4}, 16
-    firsts = np.zeros(n)
-    for w, c in counts.items():
-        firsts[ids[w][0]] += c
-    with np.errstate(divide="ignore"):
-        log_first = np.log(firsts)
-        firsts[lm_scoring.END] = 3
-        begins = np.log(firsts / firsts.sum())
-    share = np.full(n, 1 - 1e-12)
-    frame = lm_scoring.Frame(None, None, None, None, log_first, begins, np.log(share), np.log1p(-share))
-
-    def score(words):
-        flat = np.array([i for w in words for i in ids[w]], np.uint16)
-        sizes, times = np.array([len(ids[w]) for w in words]), np.array([counts[w] for w in words])
-        return 10 ** lm_scoring.mixed_score(frame, np.full(len(flat) + 1, -1e9), flat, sizes, times, np.array(words))
-
-    total, level = score_empty(lm_scoring, frame), [[w] for w in counts]
-    for _ in range(9):
-        total += sum(map(score, level))
-        level = [[*words, w] for words in level for w in counts] if len(level) < 3**8 else []
-    assert 0.8 < total <= 1 + 1e-9
-
-
-def score_empty(module, frame):
-    none = np.empty(0, np.int64)
-    return 10 ** module.mixed_score(frame, np.full(1, -1e9), none.astype(np.uint16), none, none, none)
+def trained(frame, rng, steps=30):
+    trainer = lm_scoring.Trainer(frame, lm_scoring.fresh_weights())
+    for _ in range(steps):
+        trainer.step(*(np.c_[x, x[:, -1:]][:, : 2 * lm_scoring.BLOCK + 1].astype(np.uint16) for x in (rng.integers(3, 900, (20, 2 * lm_scoring.BLOCK + 1)), rng.integers(3, 900, (20, 2 * lm_scoring.BLOCK + 1)))))
+    return trainer.w
+
+
+def slow_attention(frame, w, firsts, lasts):
+    """The log probability of each next first id and the end, token by token."""
+    inputs = [(lm_scoring.START, lm_scoring.START), *zip(firsts.tolist(), lasts.tolist())]
+    x = [w["E"][frame.first[a]].astype(float) + w["G"][frame.last[b]] for a, b in inputs]
+    out = []
+    for i, target in enumerate([*firsts.tolist(), lm_scoring.END]):
+        since = max(i // lm_scoring.BLOCK - 1, 0) * lm_scoring.BLOCK
+        s = np.array([x[i] @ w["Q"] @ (x[j] @ w["K"]) / lm_scoring.WIDTH**0.5 + w["R"][i - j] for j in range(since, i + 1)])
+        a = np.exp(s - s.max())
+        h = x[i] + sum(p * (x[j] @ w["V"]) for p, j in zip(a / a.sum(), range(since, i + 1), strict=True))
+        z = h @ w["U"] + frame.prior
+        out.append(z[frame.kind[target]] - np.log(np.exp(z - z.max()).sum()) - z.max() + frame.within[target])
+    return out
+
+
+def test_attention_against_a_plain_loop(spark):
+    rng = np.random.default_rng(0)
+    frame = small_frame(spark)
+    w = trained(frame, rng)
+    texts = [(rng.integers(3, 900, n), rng.integers(3, 900, n)) for n in (0, 1, 15, 16, 17, 40, 100)]
+    got = lm_scoring.attention_logs(frame, w, *zip(*texts), step=3)
+    for (f, z), logs in zip(texts, got, strict=True):
+        assert logs.tolist() == pytest.approx(slow_attention(frame, w, f, z), abs=1e-4)
+
+
+def test_probabilities_add_up_to_one(spark):
+    """Over all next first ids and the end after a context; over all next ids and a word's end after an id; and a word's two ways."""
+    rng = np.random.default_rng(1)
+    frame = small_frame(spark)
+    w = trained(frame, rng)
+    context, size = rng.integers(3, 900, (2, 20)), len(frame.kind)
+    x = lm_scoring.attention_logs(frame, w, [np.r_[context[0], i] for i in range(0, size, 37)], [np.r_[context[1], 5]] * len(range(0, size, 37)))
+    per_class = {}
+    for i, logs in zip(range(0, size, 37), x, strict=True):
+        per_class[int(frame.kind[i])] = logs[20] - frame.within[i]
+    assert np.allclose(np.bincount(frame.kind, np.exp(frame.within), lm_scoring.CLASSES), 1)
+    missing = set(range(lm_scoring.CLASSES)) - set(per_class)
+    more = [int(np.flatnonzero(frame.kind == k)[0]) for k in missing]
+    for i, logs in zip(more, lm_scoring.attention_logs(frame, w, [np.r_[context[0], i] for i in more], [np.r_[context[1], 5]] * len(more)), strict=True):
+        per_class[int(frame.kind[i])] = logs[20] - frame.within[i]
+    total = sum(np.exp(v) for v in per_class.values())
+    assert total == pytest.approx(1, abs=1e-4)
+    assert np.allclose(np.bincount(frame.after, np.exp(frame.spelled), lm_scoring.KEYS), 1) and np.allclose(np.exp(frame.chain).sum(1), 1, atol=1e-4)
+    assert np.allclose(np.exp(frame.whole) + np.exp(frame.rest), 1)
+    spelled = lm_scoring.spelling(frame, np.array([7, 8, 9, 11]), np.array([3, 1]))
+    step = lambda a, b: frame.chain[frame.given[a], frame.after[b]] + frame.spelled[b]
+    assert spelled.tolist() == pytest.approx([step(7, 8) + step(8, 9) + step(9, 2), step(11, 2)])
+
+
+def test_gradients_against_differences(spark, monkeypatch):
+    """One step of training, checked by small changes of each kind of weight."""
+    rng = np.random.default_rng(2)
+    frame = small_frame(spark)
+    w = {k: x + rng.normal(0, 0.2, x.shape).astype(np.float32) for k, x in lm_scoring.fresh_weights().items()}
+    texts = [(rng.integers(3, 60, n), rng.integers(3, 60, n)) for n in (5, 40)]
+    firsts, lasts = (lm_scoring.windows_of(list(x)) for x in zip(*texts))
+    told = sum(len(f) + 1 for f, _ in texts)
+    loss = lambda v: -sum((np.array(slow_attention(frame, v, f, z)) - frame.within[np.r_[f, lm_scoring.END]]).sum() for f, z in texts) / told
+    trainer = lm_scoring.Trainer(frame, w)
+    trainer.step(firsts, lasts)
+    for name in w:
+        g = trainer.m[name] / 0.1
+        at = np.unravel_index(np.argsort(-np.abs(g).ravel())[:4], g.shape)
+        for place in zip(*at):
+            up, down = ({**w, name: w[name].astype(float).copy()} for _ in range(2))
+            up[name][place] += 1e-3
+            down[name][place] -= 1e-3
+            assert g[place] == pytest.approx((loss(up) - loss(down)) / 2e-3, rel=0.05, abs=2e-4), name
+
+
+def test_lm_scores_do_not_depend_on_the_split(spark):
+    """Neither the partitions nor the number of words that are sent to the executors change a score."""
+    few = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60").selectExpr("doc_id", "text", "1 ref", "2 n", "3 word")
+    columns = ["doc_id", "n_known", "base_score", "score", "first_score"]
+    of = lambda rows, head: sorted(map(tuple, lm_scoring.score_documents(rows, PIECES, head=head, slot_words=3000).select(columns).collect()))
+    one, many, small = of(few.repartition(1), 1 << 18), of(few.repartition(7), 1 << 18), of(few.repartition(3), 40)
+    assert [r[:2] for r in one] == [r[:2] for r in many] == [r[:2] for r in small]
+    for other in (many, small):
+        assert [x for r in one for x in r[2:]] == pytest.approx([x for r in other for x in r[2:]], rel=1e-6)
+
+
+def test_lm_scores_of_odd_texts(spark):
+    """Null, empty, words without ids, very long words and texts, repeated and null ids; and no training text at all."""
+    rows = [(1, None), (2, ""), (3, "\x00 \x01"), (4, "x" * 5000 + " " + "x" * 5000), (5, "a b " * 60_000), (5, "a b"), (None, "a b c"), (None, "a b c"), (6, "\u4e2d\u6587 \u00e9\u00c9 " + "y" * 70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_scoring.score_documents(frame, PIECES).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted(((i, len((t or "").encode().lower().split()) + 1) for i, t in rows), key=str)
+    assert all(np.isfinite(r["score"]) and r["score"] <= r["first_score"] < 0 for r in got)
+    held = lm_scoring.score_documents(frame.where("doc_id is null").selectExpr("4L doc_id", "text"), PIECES).collect()
+    assert len(held) == 2 and all(r["train_tokens"] == 0 and r["held_out"] and np.isfinite(r["score"]) for r in held) or not held[0]["held_out"]
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
