@@ -1,19 +1,27 @@
-"""Dates, numbers, levels and tiers as column functions."""
+"""Dates, numbers, levels, tiers and budgets as column functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Evidence levels, by the least weighted number of characters.
-LEVELS = (("low", 1000), ("medium", 5000), ("high", 12000))
+#: Evidence levels by the number of weighted characters below which they end, and the length of a report for each.
+LEVELS = (("low", 1000, "600-1000"), ("medium", 5000, "1000-1800"), ("high", 12000, "1800-3000"), ("very_high", None, "3000+"))
 
 
 def evidence_level(weighted: Column) -> Column:
-    """insufficient below 1000, then low, medium from 5000 and high from 12000."""
-    out = F.lit("insufficient")
-    for name, least in LEVELS:
-        out = F.when(weighted >= least, name).otherwise(out)
+    """low below 1000, medium below 5000, high below 12000, else very_high."""
+    out = F.lit(LEVELS[-1][0])
+    for name, below, _ in reversed(LEVELS[:-1]):
+        out = F.when(weighted < below, name).otherwise(out)
+    return out
+
+
+def report_length(level: Column) -> Column:
+    """Characters that a report of this evidence level should have, as a range."""
+    out = F.lit(None).cast("string")
+    for name, _, said in LEVELS:
+        out = F.when(level == name, said).otherwise(out)
     return out
 
 
@@ -22,43 +30,119 @@ def compression_tier(chars: Column, limit: int = 80_000) -> Column:
     return F.when(chars <= limit, "none").when(chars <= limit + 10_000, "light").when(chars <= 150_000, "medium").otherwise("strong")
 
 
-def tier_window(tier: Column) -> Column:
-    """Floor and ceiling of what a tier compresses to."""
-    pair = lambda low, high: F.struct(F.lit(low).cast("long").alias("floor"), F.lit(high).cast("long").alias("ceiling"))
-    return F.when(tier == "light", pair(78_000, 79_500)).when(tier == "medium", pair(70_000, 79_000)).when(tier == "strong", pair(75_000, 79_000))
+#: How far below the limit the floor and the ceiling of a tier lie.
+WINDOWS = (("light", 2_000, 500), ("medium", 10_000, 1_000), ("strong", 5_000, 1_000))
+
+
+def tier_window(chars: Column, limit: int = 80_000) -> Column:
+    """Floor and ceiling of what a size is compressed to: the size itself where none is needed, 1,000 at least elsewhere."""
+    tier = compression_tier(chars, limit)
+    floor = ceiling = F.greatest(chars, F.lit(0))
+    for name, low, high in WINDOWS:
+        floor = F.when(tier == name, F.lit(max(1_000, limit - low))).otherwise(floor)
+        ceiling = F.when(tier == name, F.lit(max(1_000, limit - high))).otherwise(ceiling)
+    return F.struct(floor.cast("long").alias("floor"), ceiling.cast("long").alias("ceiling"))
+
 
+def input_strategy(primaries: Column, attachment_led: Column, table_heavy: Column, relevant: Column, full: int = 65_000, safe: int = 75_000, hard: int = 80_000) -> Column:
+    """Ordered rules: several primaries, then the structure of the only one, then the size of what is relevant."""
+    by_size = F.when(relevant <= full, "full_input").when(relevant <= safe, "light_compact").when(relevant <= hard, "safe_compact").otherwise("staged_generation")
+    return F.when(primaries >= 2, "staged_generation").when(attachment_led, "attachment_led").when(table_heavy, "table_heavy").otherwise(by_size)
 
-def input_strategy(total: Column, relevant: Column, soft: int = 65_000, target: int = 75_000, hard: int = 80_000) -> Column:
-    """Ordered rules on the sizes of a whole pack and of its relevant part."""
-    return F.when(total <= soft, "full").when((total <= hard) & (relevant <= target), "full_trimmed").when(relevant <= hard, "relevant").otherwise("compressed")
+
+def strategy_type(strategy: Column) -> Column:
+    structure = strategy.isin("attachment_led", "table_heavy")
+    return F.when(structure, "structure_based").when(strategy == "staged_generation", "complexity_based").otherwise("size_based")
+
+
+def target_length(primaries: Column, auxiliaries: Column, content_chars: Column, attachments: Column, attachment_led: Column) -> Column:
+    """The range of characters that a report should have, by what it is made from."""
+    alone = (primaries == 1) & (auxiliaries == 0)
+    brief = alone & (content_chars < 800) & (attachments == 0)
+    return F.when(brief, "800-1200").when(alone & attachment_led, "1500-2500").when((primaries >= 2) | (auxiliaries >= 2), "3000-5000").otherwise("1800-3000")
 
 
 def first_number(c: Column) -> Column:
     return F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), "-?[0-9]+(?:\\.[0-9]+)?", 0).try_cast("double")
 
 
+#: Fixed value: a date of this century with its separators.
+DATE = "(20[0-9]{2})[-年/.]([0-9]{1,2})[-月/.]([0-9]{1,2})日?"
+
+
 def normal_date(c: Column) -> Column:
-    """YYYY-MM-DD of a date with year, month and day in this order and any separators; null if the calendar has no such day."""
-    part = lambda k: F.regexp_extract(c, "([0-9]{4})[^0-9]+([0-9]{1,2})[^0-9]+([0-9]{1,2})", k)
+    """YYYY-MM-DD of the first date; null if there is none or the calendar has no such day."""
+    part = lambda k: F.regexp_extract(c, DATE, k)
     return F.date_format(F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd"), "yyyy-MM-dd")
 
 
+def dates(c: Column, most: int = 20) -> Column:
+    """Dates of this century as they are written: first without spaces, then those spelled with spaces allowed; repeats stay."""
+    found = [F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in ("20[0-9]{2}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}日?", "20[0-9]{2}\\s*年\\s*[0-9]{1,2}\\s*月\\s*[0-9]{1,2}\\s*日")]
+    return F.slice(F.concat(*found), 1, most)
+
+
+def iso_timestamp(c: Column) -> Column:
+    """An ISO time as UTC without zone: an offset is applied, a time without one is taken as UTC; null if it is none."""
+    clean = F.trim(c)
+    return F.when(clean.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(F.regexp_replace(clean, "^([0-9-]{10})[ T]", "$1 ")))
+
+
 #: Units of durations.
-UNITS = (("year", "Y"), ("年", "Y"), ("month", "M"), ("个月", "M"), ("月", "M"), ("day", "D"), ("天", "D"), ("日", "D"))
+UNITS = (("年", "Y"), ("year", "Y"), ("个月", "M"), ("月", "M"), ("month", "M"), ("天", "D"), ("日", "D"), ("day", "D"))
 
 
 def normal_duration(c: Column, legacy: bool = False) -> Column:
-    """P2Y, P6M, P30D. legacy strips trailing zeros of whole numbers as well, so that 10 years become P1Y."""
-    number = F.regexp_extract(c, "([0-9]+(?:\\.[0-9]+)?)", 1)
-    trimmed = F.regexp_replace(F.regexp_replace(number, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    """P2Y, P6M, P30D of the first number with a unit. Zeros are stripped after a decimal point only; legacy strips them from whole
+    numbers as well, so that 10 years become P1Y (but 10.0 years P10Y, as only the zeros of the fraction are met)."""
+    pattern = "([0-9]+(?:\\.[0-9]+)?)\\s*(" + "|".join(w for w, _ in UNITS) + ")"
+    number, unit = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)
     if legacy:
-        trimmed = F.regexp_replace(trimmed, "0+$", "")
-    out = F.lit(None).cast("string")
-    for word, sign in reversed(UNITS):
-        out = F.when(F.contains(c, F.lit(word)), F.concat(F.lit("P"), trimmed, F.lit(sign))).otherwise(out)
-    return F.when(number != "", out)
+        trimmed = F.regexp_replace(F.regexp_replace(number, "0+$", ""), "\\.$", "")
+    else:
+        trimmed = F.regexp_replace(F.regexp_replace(number, "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    sign = F.lit(None).cast("string")
+    for word, letter in UNITS:
+        sign = F.when(unit == word, letter).otherwise(sign)
+    return F.concat(F.lit("P"), trimmed, sign)
+
+
+#: Seconds and percents between which the progress of a run rises in straight lines.
+PROGRESS = ((0, 35), (5, 45), (20, 65), (60, 82), (180, 90))
 
 
 def progress_percent(terminal: Column, elapsed: Column) -> Column:
-    """100 at the end; before, from 35 on by a point every six seconds, 90 at most."""
-    return F.when(terminal, F.lit(100)).otherwise(F.least(F.lit(90), 35 + F.floor(elapsed / 6))).cast("long")
+    """100 at the end; before, 35 rising over the seconds to 90 at most; 35 where the start isn't known."""
+    out = F.lit(float(PROGRESS[-1][1]))
+    for (t0, p0), (t1, p1) in reversed(list(zip(PROGRESS, PROGRESS[1:]))):
+        out = F.when(elapsed <= t1, p0 + (F.greatest(elapsed, F.lit(0)) - t0) / (t1 - t0) * (p1 - p0)).otherwise(out)
+    return F.when(terminal, F.lit(100)).when(elapsed.isNull(), F.lit(35)).otherwise(F.floor(out)).cast("long")
+
+
+def money_forms(marker: Column, context: Column, units: tuple[str, ...] = ("（元）", "(元)", "单位：元", "单位:元", "价格（元", "价格(元")) -> Column:
+    """The bare numbers by which an amount may stand in a table whose context names the unit."""
+    said = F.exists(F.array(*map(F.lit, units)), lambda u: F.contains(context, u))
+    found = F.regexp_extract_all(marker, F.lit("(?<![0-9])([0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?)\\s*(?:万元|元)"), F.lit(1))
+    bare = F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(""))))
+    return F.when(said, bare).otherwise(F.array().cast("array<string>"))
+
+
+def has_number(line: Column, number: str | Column) -> Column:
+    """Whether the number stands in the line by itself, not as a part of a longer one; zeros after its point don't matter."""
+    number = F.replace(F.lit(number) if isinstance(number, str) else number, F.lit(","), F.lit(""))
+    quoted = F.concat(F.lit("(?<![0-9.])\\Q"), number, F.lit("\\E(?:\\.0+)?(?![0-9.])"))
+    return (number != "") & F.regexp_like(F.replace(line, F.lit(","), F.lit("")), quoted)
+
+
+def table_score(flags: Column, fields: Column, rows: Column, heavy: Column) -> Column:
+    """How much evidence a table holds: 8 for each of its flags up to 35, 6 for each profiled field up to 35, and its size."""
+    return (F.least(F.lit(35), 8 * flags) + F.least(F.lit(35), 6 * fields) + F.when(heavy, 20).otherwise(0) + F.when(rows >= 5000, 10).otherwise(0)).cast("long")
+
+
+def acceptance_score(answer: Column, downloaded: Column, failures: tuple[str, ...] = ("报告解析失败", "无法导出"), open_check: str = "质检状态：needs_fix", least: int = 1200) -> Column:
+    """100 less 35 for a failure phrase, 10 for an open check, 15 for a short text (without white space) and 25 without a file."""
+    less = lambda yes, n: F.when(yes, n).otherwise(0)
+    text = F.coalesce(answer, F.lit(""))
+    failed = F.exists(F.array(*map(F.lit, failures)), lambda p: F.contains(text, p))
+    brief = F.length(F.regexp_replace(text, "\\s+", "")) < least
+    return F.greatest(F.lit(0), 100 - less(failed, 35) - less(F.contains(text, F.lit(open_check)), 10) - less(brief, 15) - less(~F.coalesce(downloaded, F.lit(False)), 25)).cast("long")

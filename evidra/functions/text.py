@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = "[ \\t\\n\\r\\x0b\\x0c]+"
@@ -54,3 +57,101 @@ def latin_words(c: Column) -> Column:
 def terms(c: Column, least: int) -> Column:
     """Distinct runs of at least so many letters a-z, lower-cased."""
     return F.array_distinct(F.regexp_extract_all(lower_ascii(c), F.lit(f"[a-z]{{{least},}}"), F.lit(0)))
+
+
+#: Full-width signs and the space that goes with them, and what NFKC makes of them (a rule, not a list).
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000\u00a0"
+_NARROW = "".join(map(chr, range(0x21, 0x7F))) + "  "
+
+
+def fold_width(c: Column) -> Column:
+    """Full-width letters, digits and signs as ASCII. Of NFKC this is the part that Chinese notices need; it stays in the JVM."""
+    return F.translate(c, _WIDE, _NARROW)
+
+
+@F.pandas_udf(StringType())
+def nfkc(c: pd.Series) -> pd.Series:
+    """Unicode normalisation NFKC, batch by batch; for texts with other compatibility signs than full-width ones."""
+    return c.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+#: Fixed value: signs that don't count at the ends of a claim.
+CLAIM_ENDS = "。！？!?；;，,：:|*-_`> "
+
+
+def claim_text(c: Column) -> Column:
+    """A claim as it is compared: width folded, white space deleted, signs at its ends stripped."""
+    return F.trim(F.regexp_replace(fold_width(c), "\\s+", ""), F.lit(CLAIM_ENDS))
+
+
+def match_text(c: Column) -> Column:
+    """For comparisons of loose texts: without tags, white space, and the signs - / . that dates differ in; lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "[\\s\\-/.]+", ""))
+
+
+def clean_paragraphs(c: Column) -> Column:
+    """No-break spaces and tabs as spaces, runs of spaces as one, at most one blank line in a row."""
+    c = F.regexp_replace(F.replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), F.lit("\r\n"), F.lit("\n")), "[ \\t\\x0b\\f]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, " *\n *", "\n"), "\n{3,}", "\n\n"), F.lit(" \n"))
+
+
+def kept_sentences(c: Column, ends: str = "。！？!?；;.", least: int = 1) -> Column:
+    """Sentences with the sign that ends them."""
+    parts = F.transform(F.split(c, f"(?<=[{ends}])\\s*|\\n+"), lambda s: F.trim(s))
+    return F.filter(parts, lambda s: F.length(s) >= least)
+
+
+def visible_text(c: Column) -> Column:
+    """What a reader of a Markdown text sees: without tags, code blocks, images, targets of links, and signs of markup."""
+    for pattern, to in (("<[^>]+>", ""), ("(?s)```.*?```", " "), ("`([^`]*)`", "$1"), ("!\\[[^\\]]*\\]\\([^)]+\\)", " "), ("\\[([^\\]]+)\\]\\([^)]+\\)", "$1"), ("(?m)^[#>\\-*+\\s]+", ""), ("\\|", " "), ("[*_~]+", "")):
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
+_CJK = "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
+
+
+def reader_words(c: Column) -> Column:
+    """Words as an office program counts them: Chinese characters one by one, and runs of Latin letters and digits."""
+    seen = visible_text(c)
+    count = lambda p: F.size(F.regexp_extract_all(seen, F.lit(p), F.lit(0)))
+    return (count(_CJK) + count("[A-Za-z0-9]+(?:[./:_-][A-Za-z0-9]+)*")).cast("long")
+
+
+#: What models put around an answer.
+_THOUGHTS, _PREAMBLE = "(?is)<think(?:ing)?\\b[^>]*>.*?</think(?:ing)?>", "(?im)^(?:sure|certainly|here is|here's|以下是|好的)[^\n]{0,80}[:：]?\\s*$\n?"
+
+
+def answer_text(c: Column) -> Column:
+    """A model's answer without reasoning blocks (an open one reaches to the end), code fences around it and preamble lines."""
+    c = F.regexp_replace(F.regexp_replace(c, _THOUGHTS, ""), "(?is)<think(?:ing)?\\b[^>]*>.*$", "")
+    c = F.regexp_replace(F.regexp_replace(F.trim(c), "(?s)^```[a-zA-Z]*\\s*\n(.*?)\n?```\\s*$", "$1"), _PREAMBLE, "")
+    return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"), F.lit(" \n"))
+
+
+def inline_text(c: Column) -> Column:
+    """One line of plain text: template variables, tags and markup signs go, white space collapses."""
+    c = F.regexp_replace(F.regexp_replace(c, "(?s)\\{\\{.*?\\}\\}", ""), "<[^>]+>", "")
+    return collapse_space(F.regexp_replace(F.regexp_replace(c, "!?\\[([^\\]]*)\\]\\([^)]*\\)", "$1"), "[*_`~]{1,3}|^\\s*(?:#{1,6}|>|[-+])\\s+", ""))
+
+
+def file_name(c: Column, most: int = 80) -> Column:
+    """A name that file systems accept: forbidden signs become underscores, dots and spaces at the ends go."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(c, "[\\\\/:*?\"<>|\\x00-\\x1f]+", "_"), "\\s+", " "), F.lit(" ._"))
+    return F.when(clean == "", "report").otherwise(F.trim(F.substring(clean, 1, most), F.lit(" .")))
+
+
+def within_chars(parts: Sequence[Column], budget: int, mark: str = "\n\n") -> Column:
+    """The non-empty parts in order, joined, cut to a budget of characters from both ends."""
+    return truncate_head_tail(F.concat_ws(mark, *[F.when(F.trim(p) != "", p) for p in parts]), budget)
+
+
+def json_chars(fields: dict[str, Column]) -> Column:
+    """How many characters a flat record has as JSON with a space after each colon and comma (nulls count as null)."""
+    record = F.struct(*[c.alias(n) for n, c in fields.items()])
+    return (F.length(F.to_json(record, {"ignoreNullFields": "false"})) + 2 * len(fields) - 1).cast("long")
+
+
+def canonical_hash(fields: dict[str, Column]) -> Column:
+    """sha256 of a flat record as JSON with its keys in order and no spaces."""
+    return F.sha2(F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)]), {"ignoreNullFields": "false"}), 256)

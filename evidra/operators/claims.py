@@ -1,93 +1,126 @@
-"""Claims and the evidence for them: candidates by shared anchors and terms, scores, support."""
+"""Claims and the evidence for them: markers, candidates by shared anchors and terms, scores, support."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Callable, Sequence
 
-from evidra.functions.text import collapse_space, hits, terms
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-#: Claims up to which their anchors are broadcast (three words each).
-BROADCAST_CLAIMS = 200_000
-CONTAINED, TERMS_FROM, TERMS_MOST, LEAST_TERMS = 100, 60, 30, 6
-REVERSE, REVERSE_CHARS, MARKED_FROM, MARKED_MOST = 95, 500, 80, 10
-_DATE = r"20\d{2}(?:年|[-/.])\d{1,2}(?:月|[-/.])\d{1,2}日?"
-_VALUE = r"(?<!\d)\d+(?:,\d{3})*(?:\.\d+)?(?:万元|元(?:/[^，。；;|]+)?|%|％|年|个月|月|个工作日|工作日|日|天|个|件|家|份|批|轮)(?!\d)"
-_REGIONS = (
+from evidra.functions.text import claim_text, fold_width, hits
+
+#: Rows and bytes of anchors up to which one side of a join is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Scores.
+CONTAINED, REVERSE, REVERSE_CHARS = 100, 95, 500
+MARKED_FROM, MARKED_MOST, PLAIN_FROM, PLAIN_MOST, PLAIN_EACH, PLAIN_TERMS, LONG_TERM = 80, 10, 60, 20, 3, 2, 4
+# Dates, amounts with units, regions and offices that evidence must have.
+DATE = r"20\d{2}(?:年|[-/.])\d{1,2}(?:月|[-/.])\d{1,2}日?"
+VALUE = r"(?<!\d)\d+(?:,\d{3})*(?:\.\d+)?(?:万元|元(?:/[^，。；;|]+)?|%|％|年|个月|月|个工作日|工作日|日|天|个|件|家|份|批|轮)(?!\d)"
+REGIONS = (
     "北京市 天津市 上海市 重庆市 河北省 山西省 辽宁省 吉林省 黑龙江省 江苏省 浙江省 安徽省 福建省 江西省 山东省 河南省 湖北省 湖南省 广东省 海南省 四川省 贵州省 云南省 "
     "陕西省 甘肃省 青海省 台湾省 内蒙古自治区 广西壮族自治区 西藏自治区 宁夏回族自治区 新疆维吾尔自治区 香港特别行政区 澳门特别行政区"
 ).split()
-_OFFICES = "国家医疗保障局 医疗保障局 医保局 公共资源交易中心 医药集中采购平台 采购中心 交易中心".split()
-_HINTS = "采购 申报 报价 价格 中选 执行 协议 周期 范围 企业 医疗机构 风险 建议 明确".split()
+OFFICES = "国家医疗保障局 医疗保障局 医保局 公共资源交易中心 医药集中采购平台 采购中心 交易中心".split()
+HINTS = "采购 申报 报价 价格 中选 执行 协议 周期 范围 企业 医疗机构 风险 建议 应 须 明确 为".split()
+#: Terms that claim and evidence may share: hints of two characters or more; labels of topics come in addition.
+TERMS = tuple(h for h in HINTS if len(h) >= 2)
 
 
-def _words(column: str):
-    return F.filter(F.split(collapse_space(F.col(column)), " "), lambda w: w != "")
+def hard_markers(c: Column) -> Column:
+    """Dates, amounts, regions and offices that a text names; evidence for it must have them all."""
+    wide = fold_width(c)
+    found = [F.transform(F.regexp_extract_all(wide, F.lit(p), F.lit(0)), lambda m: claim_text(m)) for p in (DATE, VALUE)]
+    places = hits(wide, REGIONS)
+    both = F.flatten(F.transform(places, lambda p: F.transform(F.array(*map(F.lit, OFFICES)), lambda o: F.concat(p, o))))
+    named = F.concat(places, F.filter(both, lambda x: F.contains(wide, x)), hits(wide, OFFICES))
+    return F.array_distinct(F.filter(F.concat(*found, named), lambda m: m != ""))
 
 
-def _compact(text):
-    """Without white space, with plain percent signs."""
-    return F.translate(F.regexp_replace(text, r"\s+", ""), "％", "%")
+def claim_like(c: Column) -> Column:
+    """Whether a sentence states something: it has a marker, nine characters or more, or a word that claims are made with."""
+    compact = claim_text(c)
+    return (F.length(compact) >= 2) & ((F.length(compact) >= 9) | (F.size(hits(compact, HINTS)) > 0) | (F.size(hard_markers(compact)) > 0))
 
 
-def hard_markers(text):
-    """Dates, amounts, regions and offices that a text names; evidence for it must have them all."""
-    text = _compact(text)
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (_DATE, _VALUE)]
-    places = F.flatten(F.transform(hits(text, _REGIONS), lambda p: F.filter(F.transform(F.array(*map(F.lit, _OFFICES)), lambda o: F.concat(p, o)), lambda x: F.contains(text, x))))
-    return F.array_distinct(F.concat(*found, hits(text, _REGIONS), places, hits(text, _OFFICES)))
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, "\\s+"), lambda w: w != "")
 
 
-def _grams(text):
+def _grams(text: Column) -> Column:
     """All runs of one, two and three characters."""
     return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in (1, 2, 3))))
 
 
-def contained(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str, text: str = "text") -> DataFrame:
-    """(claim, evidence) where the claim's text occurs in the evidence. A claim that occurs brings its second to fourth word as
-    whole words, so these three are an anchor that both sides have in common; each candidate is then compared. Claims below
-    five words bring no three whole words: their anchor is their first three characters (or all). Blank claims occur nowhere."""
-    words = _words(text)
-    every = claims.withColumn("w", words).where(F.size("w") > 0).select(F.col(claim_id).alias("claim"), F.col(text).alias("claim_text"), "w")
-    given = evidence.select(F.col(evidence_id).alias("evidence"), F.col(text).alias("evidence_text"))
+def _small(rows: DataFrame, counted: int, size: int) -> DataFrame:
+    return F.broadcast(rows) if counted <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else rows
+
+
+def contained(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(claim, evidence) where the claim's text occurs in the evidence: claims (claim, text), evidence (evidence, text).
+
+    A claim that occurs brings its second to fourth word as whole words, so these three are an anchor that both sides have in
+    common. Claims below five words bring no three whole words: their anchor is their first three characters (or all). Ids and
+    anchors are joined alone; the texts of the candidates are fetched by id afterwards, so no text is copied for its anchors.
+    Blank claims occur nowhere."""
+    every = claims.withColumn("w", _words(F.col("text"))).where(F.size("w") > 0)
+    counted = every.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("w") < 5).alias("short"), F.sum(F.octet_length("text")).alias("size")).first()
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 3), " ")))
-    counted = every.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("w") < 5).alias("short")).first()
-    side = lambda df: F.broadcast(df) if counted["n"] <= BROADCAST_CLAIMS else df
-    long = every.where(F.size("w") >= 5).select("claim", "claim_text", F.array_join(F.slice("w", 2, 3), " ").alias("anchor"))
-    spread = given.withColumn("w", _words("evidence_text")).select("evidence", "evidence_text", F.explode(grams).alias("anchor"))
-    pairs = spread.join(side(long), "anchor")
+    told = evidence.withColumn("w", _words(F.col("text")))
+    spread = told.where(F.size("w") >= 3).select("evidence", F.explode(grams).alias("anchor"))
+    long = every.where(F.size("w") >= 5).select("claim", F.array_join(F.slice("w", 2, 3), " ").alias("anchor"))
+    pairs = spread.join(_small(long, counted["n"], counted["size"]), "anchor").select("claim", "evidence")
     if counted["short"]:
-        short = every.where(F.size("w") < 5).select("claim", "claim_text", F.substring("claim_text", 1, 3).alias("anchor"))
-        pairs = pairs.unionByName(given.select("evidence", "evidence_text", F.explode(_grams(F.col("evidence_text"))).alias("anchor")).join(side(short), "anchor"))
-    return pairs.where(F.contains("evidence_text", "claim_text")).select("claim", "evidence").distinct()
-
-
-def shared_terms(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str, text: str = "text", least: int = 9) -> DataFrame:
-    """(claim, evidence, shared, marked): how many terms (long words, or words that claims are made with) both have. Where the
-    claim has hard markers (marked), one term is enough but the evidence must have all the markers; else LEAST_TERMS or more."""
-    said = lambda c: F.concat(terms(c, least), hits(c, _HINTS))
-    marked = claims.select(F.col(claim_id).alias("claim"), F.explode(said(F.col(text))).alias("term"), hard_markers(F.col(text)).alias("markers"))
-    right = evidence.select(F.col(evidence_id).alias("evidence"), F.explode(said(F.col(text))).alias("term"))
-    both = marked.join(right, "term").groupBy("claim", "evidence", "markers").agg(F.count(F.lit(1)).alias("shared"))
-    plain = both.where((F.size("markers") == 0) & (F.col("shared") >= LEAST_TERMS)).select("claim", "evidence", "shared", F.lit(False).alias("marked"))
-    whole = evidence.select(F.col(evidence_id).alias("evidence"), _compact(F.col(text)).alias("evidence_text"))
-    strict = both.where(F.size("markers") > 0).join(whole, "evidence").where(F.forall("markers", lambda m: F.contains(F.col("evidence_text"), m)))
-    return plain.unionByName(strict.select("claim", "evidence", "shared", F.lit(True).alias("marked")))
-
-
-def claim_index(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str, text: str = "text") -> DataFrame:
-    """(claim, evidence, score): 100 where contained, 95 where evidence up to 500 characters is contained in the claim. Else, for a
-    claim with hard markers that the evidence has, 80 and one for each shared term, 90 at most; without markers 60 and one for
-    each shared term, 90 at most. Of a claim's rows those with its best score, and all from 90 on."""
-    full = contained(claims, evidence, claim_id, evidence_id, text).withColumn("score", F.lit(CONTAINED).cast("long"))
-    brief = evidence.where(F.length(text) <= REVERSE_CHARS)
-    back = contained(brief, claims, evidence_id, claim_id, text).select(F.col("evidence").alias("claim"), F.col("claim").alias("evidence"), F.lit(REVERSE).cast("long").alias("score"))
-    part = shared_terms(claims, evidence, claim_id, evidence_id, text)
-    score = F.when(F.col("marked"), MARKED_FROM + F.least(F.lit(MARKED_MOST), F.col("shared"))).otherwise(TERMS_FROM + F.least(F.lit(TERMS_MOST), F.col("shared")))
-    part = part.select("claim", "evidence", score.cast("long").alias("score"))
-    scored = full.unionByName(back).unionByName(part).groupBy("claim", "evidence").agg(F.max("score").alias("score"))
-    best = F.max("score").over(Window.partitionBy("claim"))
-    return scored.withColumn("best", best).where((F.col("score") == F.col("best")) | (F.col("score") >= 90)).drop("best")
+        short = every.where(F.size("w") < 5).select("claim", F.substring("text", 1, 3).alias("anchor"))
+        pairs = pairs.unionByName(evidence.select("evidence", F.explode(_grams(F.col("text"))).alias("anchor")).join(_small(short, counted["short"], counted["size"]), "anchor").select("claim", "evidence"))
+    texts = pairs.distinct().join(_small(every.select("claim", F.col("text").alias("claim_text")), counted["n"], counted["size"]), "claim").join(evidence, "evidence")
+    return texts.where(F.contains("text", "claim_text")).select("claim", "evidence")
+
+
+def marked(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(claim, evidence) where the evidence has all the markers of a claim that has some: claims (claim, markers)."""
+    named = claims.where(F.size("markers") > 0).select("claim", F.size("markers").alias("needed"), F.explode("markers").alias("marker"))
+    different = named.select(F.col("marker").alias("claim"), F.col("marker").alias("text")).distinct()
+    found = contained(different, evidence).withColumnRenamed("claim", "marker")
+    return named.join(found, "marker").groupBy("claim", "evidence", "needed").agg(F.count(F.lit(1)).alias("n")).where("n = needed").select("claim", "evidence")
+
+
+def best_by_terms(claims: DataFrame, evidence: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(claim, evidence, score) for claims without markers: the evidence that shares most terms, 60 and 3 for each of them, 80 at
+    most, if there are two or one of four characters. Evidence is grouped by the set of terms it has, claims are compared with
+    these few sets, and only the best ones are brought back to the rows."""
+    has = lambda rows, key: rows.select(key, hits(F.col("text"), terms).alias("terms")).where(F.size("terms") > 0)
+    left, right = has(claims, "claim"), has(evidence, "evidence")
+    said, sets = left.select(F.col("terms").alias("said")).distinct(), right.select("terms").distinct()
+    by_term = said.select("said", F.explode("said").alias("term")).join(sets.select("terms", F.explode("terms").alias("term")), "term")
+    both = by_term.groupBy("said", "terms").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("term")).alias("longest"))
+    enough = both.where((F.col("n") >= PLAIN_TERMS) | (F.col("longest") >= LONG_TERM))
+    scored = enough.withColumn("score", (PLAIN_FROM + F.least(F.lit(PLAIN_MOST), PLAIN_EACH * F.col("n"))).cast("long"))
+    top = scored.withColumn("best", F.max("score").over(Window.partitionBy("said"))).where("score = best").select("said", "terms", "score")
+    return left.withColumnRenamed("terms", "said").join(top, "said").join(right, "terms").select("claim", "evidence", "score")
+
+
+def claim_index(
+    claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str, text: str = "text", terms: Sequence[str] = TERMS, normalise: Callable[[Column], Column] = claim_text, markers: Callable[[Column], Column] = hard_markers
+) -> DataFrame:
+    """(claim, evidence, score): 100 where the claim is contained, 95 where evidence up to 500 characters is contained in the claim.
+    Else 0 if a marker of the claim isn't in the evidence; for a claim with markers 80 and one for each shared term, 90 at most,
+    from one term on; without markers 60 and three for each, 80 at most, from two terms or one of four characters on. Of a claim's
+    rows those with its best score stay, and all from 90 on."""
+    left = claims.select(F.col(claim_id).alias("claim"), normalise(F.col(text)).alias("text"), markers(F.col(text)).alias("markers")).where(F.trim("text") != "")
+    right = evidence.select(F.col(evidence_id).alias("evidence"), normalise(F.col(text)).alias("text")).where(F.trim("text") != "")
+    full = contained(left.select("claim", "text"), right).withColumn("score", F.lit(CONTAINED).cast("long"))
+    brief = right.where(F.length("text") <= REVERSE_CHARS).select(F.col("evidence").alias("claim"), "text")
+    back = contained(brief, left.select(F.col("claim").alias("evidence"), "text")).select(F.col("evidence").alias("claim"), F.col("claim").alias("evidence"), F.lit(REVERSE).cast("long").alias("score"))
+    found = full.unionByName(back)
+    strict = marked(left, right).join(left.select("claim", hits(F.col("text"), terms).alias("said")), "claim").join(right.select("evidence", hits(F.col("text"), terms).alias("has")), "evidence")
+    strict = strict.withColumn("n", F.size(F.array_intersect("said", "has"))).where("n > 0").select("claim", "evidence", (MARKED_FROM + F.least(F.lit(MARKED_MOST), F.col("n"))).cast("long").alias("score"))
+    # at most 80: told only for claims that have nothing better
+    plain = left.where(F.size("markers") == 0).join(found.select("claim").distinct(), "claim", "left_anti")
+    part = best_by_terms(plain, right, terms)
+    scored = found.unionByName(strict).unionByName(part).groupBy("claim", "evidence").agg(F.max("score").alias("score"))
+    best = scored.groupBy("claim").agg(F.max("score").alias("best"))
+    return scored.join(best, "claim").where((F.col("score") == F.col("best")) | (F.col("score") >= 90)).drop("best")
 
 
 def support(claims: DataFrame, index: DataFrame, claim_id: str) -> DataFrame:

@@ -12,10 +12,13 @@ def search(records: DataFrame, predicates: list[Column]) -> DataFrame:
     return records.where(reduce(lambda a, b: a & b, predicates, F.lit(True)))
 
 
-def child_counts(records: DataFrame, children: DataFrame, key: str, child_key: str, name: str = "n_children") -> DataFrame:
-    """LEFT JOIN with children aggregated first, so that only one row for each key is shuffled."""
+def child_counts(records: DataFrame, children: DataFrame, key: str, child_key: str, name: str = "n_children", few: bool = False) -> DataFrame:
+    """LEFT JOIN with children aggregated first, so that only one row for each key is shuffled. few: records are one page, whose
+    keys are sent to the children, so that only these are counted."""
+    if few:
+        children = children.join(F.broadcast(records.select(F.col(key).alias(child_key))), child_key, "left_semi")
     counts = children.groupBy(F.col(child_key).alias(key)).agg(F.count(F.lit(1)).alias(name))
-    return records.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    return records.join(F.broadcast(counts) if few else counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:

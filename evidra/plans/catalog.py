@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars, text
 from evidra.operators import claims, evidence, history, records, tables
+from evidra.plans.registry import QUERIES, SQL, query, quoted
 from evidra.sources import table
 from evidra.streaming import fold
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 # Parameters of the queries (the operators take them as arguments).
 KEYWORDS = ("the", "license", "que", "der", "password", "apache")
 PHRASES = ("Apache License", "password", "worthless", "stupid", "trash")
 SCOPES = ("src0", "src3", "src7")
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _quoted(words) -> str:
-    return ", ".join(f"'{w}'" for w in words)
-
-
 _SQL_SPACE = r"[ \t\n\r\x0b\x0c]+"
 _SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SQL_SENTENCES = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda s: trim(s)), lambda s: length(s) >= 12)"
@@ -52,9 +34,10 @@ def records_page(spark, d):
         table(spark, d, "orders"),
         [F.col("o_orderstatus") == "O", F.col("o_orderdate").between(F.to_timestamp(F.lit("1995-01-01")), F.to_timestamp(F.lit("1997-12-31 23:59:59"))), F.col("o_orderpriority").like("%-%")],
     )
-    counted = records.child_counts(found, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey")
     order = [F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1), F.desc("o_orderdate"), F.col("o_orderkey")]
-    return records.page(counted, order, 2, 50).select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice", "n_children")
+    shown = records.page(found, order, 2, 50)  # the order needs no counts, so only the children of one page are counted
+    counted = records.child_counts(shown, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", few=True)
+    return counted.select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice", "n_children")
 
 
 @query("select count(*) as total, cast(ceil(count(*) / 50.0) as bigint) as pages from orders where o_orderstatus = 'O'")
@@ -141,7 +124,7 @@ def sentence_split(spark, d):
 
 @query(f"""
 with s as (select doc_id, unnest(a) as s, generate_subscripts(a, 1) as i from (select doc_id, {_SQL_SENTENCES} as a from documents)),
-h as (select *, list_filter([{_quoted(KEYWORDS)}], lambda k: contains(lower(s), k)) as k from s)
+h as (select *, list_filter([{quoted(KEYWORDS)}], lambda k: contains(lower(s), k)) as k from s)
 select doc_id, i as sentence_no, left(s, 280) as passage, array_to_string(k[1:3], ',') as reason from h where len(k) > 0""")
 def keyword_passages(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("i", "s"))
@@ -151,7 +134,7 @@ def keyword_passages(spark, d):
 
 @query(f"""
 with s as (select doc_id, unnest(a) as s, generate_subscripts(a, 1) as i from (select doc_id, {_SQL_SENTENCES} as a from documents)),
-t as (select doc_id, topic, s, i, row_number() over (partition by doc_id, topic order by i) as r from s, (select unnest([{_quoted(KEYWORDS)}]) as topic) where contains(lower(s), topic))
+t as (select doc_id, topic, s, i, row_number() over (partition by doc_id, topic order by i) as r from s, (select unnest([{quoted(KEYWORDS)}]) as topic) where contains(lower(s), topic))
 select doc_id, topic, left(string_agg(s, ' / ' order by i), 260) as summary, count(*) as n from t where r <= 3 group by 1, 2""")
 def topic_summary(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("i", "s"))
@@ -171,7 +154,7 @@ def visible_word_count(spark, d):
     return table(spark, d, "documents").select("doc_id", text.latin_words(F.col("text")).cast("long").alias("n_words"), F.length("text").cast("long").alias("n_visible"))
 
 
-@query(f"select doc_id, phrase, cast(position(phrase in text) as bigint) as place from documents, (select unnest([{_quoted(PHRASES)}]) as phrase) where contains(text, phrase)")
+@query(f"select doc_id, phrase, cast(position(phrase in text) as bigint) as place from documents, (select unnest([{quoted(PHRASES)}]) as phrase) where contains(text, phrase)")
 def forbidden_scan(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "text", F.explode(text.hits(F.col("text"), PHRASES)).alias("phrase"))
     return rows.select("doc_id", "phrase", F.instr("text", F.col("phrase")).cast("long").alias("place"))
@@ -305,19 +288,24 @@ def retention(spark, d):
 
 # claims
 
-_SQL_INDEX = f"""w as (select doc_id, text, list_filter(regexp_split_to_array(trim(regexp_replace(text, '{_SQL_SPACE}', ' ', 'g')), ' '), lambda x: x <> '') as a from documents),
-b as (select item_id, text, len(list_filter(regexp_split_to_array(trim(regexp_replace(text, '{_SQL_SPACE}', ' ', 'g')), ' '), lambda x: x <> '')) as n from benchmark),
-f as (select item_id as claim, doc_id as evidence, 100 as score from b join documents x on contains(x.text, b.text) where b.n >= 5),
-ct as (select item_id as claim, unnest(list_distinct(regexp_extract_all({_SQL_LOWER}, '[a-z]{{9,}}'))) as term from benchmark),
-et as (select doc_id as evidence, unnest(list_distinct(regexp_extract_all({_SQL_LOWER}, '[a-z]{{9,}}'))) as term from documents),
-s as (select claim, evidence, 60 + least(30, count(*)) as score from ct join et using (term) group by 1, 2 having count(*) >= 6),
-u as (select claim, evidence, max(score) as score from (select * from f union all select * from s) group by 1, 2),
-x as (select claim, evidence, cast(score as bigint) as score from (select *, max(score) over (partition by claim) as best from u) where score = best or score >= 90)"""
+#: Terms and markers of the queries; the operator's own are those of procurement notices.
+CLAIM_TERMS, CLAIM_MARKS = ("license", "apache", "password", "worthless", "the", "que"), "[0-9]{3,}"
+
+_SQL_CLEAN = f"trim(regexp_replace(text, '{_SQL_SPACE}', ' ', 'g'))"
+_SQL_HAS = f"list_filter([{quoted(CLAIM_TERMS)}], lambda k: contains({_SQL_CLEAN}, k))"
+_SQL_INDEX = f"""c as (select item_id as claim, {_SQL_CLEAN} as t, list_distinct(regexp_extract_all(text, '{CLAIM_MARKS}')) as m, {_SQL_HAS} as k from benchmark),
+e as (select doc_id as evidence, {_SQL_CLEAN} as t, {_SQL_HAS} as k from documents),
+b as (select claim, evidence, c.t as ct, e.t as et, m, list_filter(c.k, lambda x: list_contains(e.k, x)) as k from c, e where c.t <> '' and e.t <> ''),
+v as (select claim, evidence, case when contains(et, ct) then 100 when length(et) <= 500 and contains(ct, et) then 95 when len(list_filter(m, lambda x: not contains(et, x))) > 0 then 0
+ when len(m) > 0 then case when len(k) > 0 then 80 + least(10, len(k)) else 0 end
+ when len(k) >= 2 or len(list_filter(k, lambda x: length(x) >= 4)) > 0 then 60 + least(20, 3 * len(k)) else 0 end as score from b),
+x as (select claim, evidence, cast(score as bigint) as score from (select *, max(score) over (partition by claim) as best from v where score > 0) where score = best or score >= 90)"""
 
 
 @query(f"with {_SQL_INDEX} select claim, evidence, score from x")
 def claim_index(spark, d):
-    return claims.claim_index(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
+    marks = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(CLAIM_MARKS), F.lit(0)))
+    return claims.claim_index(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", terms=CLAIM_TERMS, normalise=text.collapse_space, markers=marks)
 
 
 @query(f"""
@@ -369,15 +357,29 @@ def token_jaccard(spark, d):
 
 
 @query("""
-with s as (select source, sum(length(text)) as total, sum(case when lang = 'en' then length(text) else 0 end) as relevant from documents group by 1)
-select source, cast(total as bigint) as total, case when total >= 12000 then 'high' when total >= 5000 then 'medium' when total >= 1000 then 'low' else 'insufficient' end as level,
+with s as (select source, cast(sum(length(text)) as bigint) as total, cast(sum(case when lang = 'en' then length(text) else 0 end) as bigint) as relevant, count(*) filter (length(text) > 40000) as primaries,
+ count(*) filter (length(text) < 800) as brief, min(length(text)) < 60 as led, max(length(text)) > 38000 as heavy from documents group by 1),
+l as (select *, case when total < 1000 then 'low' when total < 5000 then 'medium' when total < 12000 then 'high' else 'very_high' end as level,
  case when total <= 80000 then 'none' when total <= 90000 then 'light' when total <= 150000 then 'medium' else 'strong' end as tier,
- case when total <= 65000 then 'full' when total <= 80000 and relevant <= 75000 then 'full_trimmed' when relevant <= 80000 then 'relevant' else 'compressed' end as strategy from s""")
+ case when primaries >= 2 then 'staged_generation' when led then 'attachment_led' when heavy then 'table_heavy' when relevant <= 65000 then 'full_input' when relevant <= 75000 then 'light_compact'
+  when relevant <= 80000 then 'safe_compact' else 'staged_generation' end as strategy from s)
+select source, total, level, case level when 'low' then '600-1000' when 'medium' then '1000-1800' when 'high' then '1800-3000' else '3000+' end as report_length, tier,
+ case tier when 'none' then total when 'light' then 78000 when 'medium' then 70000 else 75000 end as floor_chars, case tier when 'none' then total when 'light' then 79500 else 79000 end as ceiling_chars, strategy,
+ case when strategy in ('attachment_led', 'table_heavy') then 'structure_based' when strategy = 'staged_generation' then 'complexity_based' else 'size_based' end as strategy_type,
+ case when primaries = 1 and brief = 0 and led then '1500-2500' when primaries >= 2 or brief >= 2 then '3000-5000' else '1800-3000' end as target from l""")
 def input_strategy(spark, d):
     n = F.length("text")
-    s = table(spark, d, "documents").groupBy("source").agg(F.sum(n).cast("long").alias("total"), F.sum(F.when(F.col("lang") == "en", n).otherwise(0)).alias("relevant"))
-    total = F.col("total")
-    return s.select("source", "total", scalars.evidence_level(total).alias("level"), scalars.compression_tier(total).alias("tier"), scalars.input_strategy(total, F.col("relevant")).alias("strategy"))
+    s = table(spark, d, "documents").groupBy("source").agg(
+        F.sum(n).cast("long").alias("total"), F.sum(F.when(F.col("lang") == "en", n).otherwise(0)).cast("long").alias("relevant"), F.count_if(n > 40_000).alias("primaries"),
+        F.count_if(n < 800).alias("brief"), (F.min(n) < 60).alias("led"), (F.max(n) > 38_000).alias("heavy"),
+    )
+    total, level = F.col("total"), scalars.evidence_level(F.col("total"))
+    strategy, window = scalars.input_strategy(F.col("primaries"), F.col("led"), F.col("heavy"), F.col("relevant")), scalars.tier_window(total)
+    target = scalars.target_length(F.col("primaries"), F.col("brief"), F.lit(10_000), F.lit(1), F.col("led"))
+    return s.select(
+        "source", "total", level.alias("level"), scalars.report_length(level).alias("report_length"), scalars.compression_tier(total).alias("tier"), window.floor.alias("floor_chars"),
+        window.ceiling.alias("ceiling_chars"), strategy.alias("strategy"), scalars.strategy_type(strategy).alias("strategy_type"), target.alias("target"),
+    )
 
 
 @query("""
@@ -479,11 +481,11 @@ _STEPS = ("view", "click", "signup", "purchase", "error")
 
 
 @query(f"""
-with l as (select user_id, event_type, arg_max(value > 10, ts) as done from events group by 1, 2), h as (select user_id, list(event_type) filter (done) as held from l group by 1),
-o as (select user_id, list_filter([{_quoted(_STEPS)}], lambda s: not list_contains(coalesce(held, []), s)) as steps from h)
+with l as (select user_id, event_type, arg_max(value > 10, (ts, event_id)) as done from events group by 1, 2), h as (select user_id, list(event_type) filter (done) as held from l group by 1),
+o as (select user_id, list_filter([{quoted(_STEPS)}], lambda s: not list_contains(coalesce(held, []), s)) as steps from h)
 select user_id, len(steps) as open_steps, steps[1] as next_step from o""")
 def resume_plan(spark, d):
-    return history.resume_plan(table(spark, d, "events"), "user_id", "event_type", [F.col("ts")], F.col("value") > 10, list(_STEPS))
+    return history.resume_plan(table(spark, d, "events"), "user_id", "event_type", [F.col("ts"), F.col("event_id")], F.col("value") > 10, list(_STEPS))
 
 
 @query("""
@@ -533,7 +535,7 @@ def run_metrics(spark, d):
 
 
 @query(f"""
-select doc_id, source from (select doc_id, source, row_number() over (order by doc_id) as r from documents where source in ({_quoted(SCOPES)}) and lang = 'en') where r <= 8""")
+select doc_id, source from (select doc_id, source, row_number() over (order by doc_id) as r from documents where source in ({quoted(SCOPES)}) and lang = 'en') where r <= 8""")
 def memory_scope_match(spark, d):
     items = table(spark, d, "documents").where(F.arrays_overlap(F.array("source"), F.array(*map(F.lit, SCOPES))) & (F.col("lang") == "en"))
     return items.orderBy("doc_id").limit(8).select("doc_id", "source")
@@ -558,3 +560,6 @@ def ext_asof(spark, d):
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def ext_window_counts(spark, d):
     return fold.windowed_counts(table(spark, d, "events"))
+
+
+from evidra.plans import catalog_text, catalog_tables, catalog_reports, catalog_runs  # noqa: E402, F401  more queries

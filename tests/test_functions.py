@@ -12,24 +12,55 @@ def values(spark, rows, schema, **columns):
 
 def test_compression_tiers_at_their_boundaries(spark):
     n = [79_999, 80_000, 80_001, 90_000, 90_001, 150_000, 150_001, 252_822]
-    tier = scalars.compression_tier(F.col("n"))
-    got = values(spark, [(x,) for x in n], "n long", t=tier, w=scalars.tier_window(tier))
+    got = values(spark, [(x,) for x in n], "n long", t=scalars.compression_tier(F.col("n")), w=scalars.tier_window(F.col("n")))
     assert [t for t, _ in got] == ["none", "none", "light", "light", "medium", "medium", "strong", "strong"]
-    assert [w and tuple(w) for _, w in got] == [None, None, (78000, 79500), (78000, 79500), (70000, 79000), (70000, 79000), (75000, 79000), (75000, 79000)]
+    assert [tuple(w) for _, w in got] == [(79_999, 79_999), (80_000, 80_000), (78000, 79500), (78000, 79500), (70000, 79000), (70000, 79000), (75000, 79000), (75000, 79000)]
+    small = values(spark, [(10,), (1_500,), (11_500,), (200_000,)], "n long", t=scalars.compression_tier(F.col("n"), 1_200), w=scalars.tier_window(F.col("n"), 1_200))
+    assert [(t, *w) for t, w in small] == [("none", 10, 10), ("light", 1_000, 1_000), ("medium", 1_000, 1_000), ("strong", 1_000, 1_000)]
+
+
+def test_input_strategy_rules_in_order(spark):
+    rows = [(2, True, True, 1), (1, True, True, 1), (1, False, True, 99_999), (1, False, False, 65_000), (1, False, False, 65_001), (0, False, False, 75_001), (1, False, False, 80_001)]
+    strategy = scalars.input_strategy(F.col("p"), F.col("a"), F.col("t"), F.col("n"))
+    got = values(spark, rows, "p int, a boolean, t boolean, n int", s=strategy, k=scalars.strategy_type(strategy))
+    assert got == [
+        ("staged_generation", "complexity_based"), ("attachment_led", "structure_based"), ("table_heavy", "structure_based"), ("full_input", "size_based"),
+        ("light_compact", "size_based"), ("safe_compact", "size_based"), ("staged_generation", "complexity_based"),
+    ]
 
 
 def test_dates_and_durations(spark):
-    got = values(spark, [("2024年2月30日",), ("2024年2月9日",), ("none",)], "s string", d=scalars.normal_date(F.col("s")))
-    assert [d for (d,) in got] == [None, "2024-02-09", None]
+    got = values(spark, [("2024年2月30日",), ("2024年2月9日",), ("none",), ("am 2026-7-1 und 2025.1.2",), ("1999-01-01",)], "s string", d=scalars.normal_date(F.col("s")))
+    assert [d for (d,) in got] == [None, "2024-02-09", None, "2026-07-01", None]
+    all_dates = values(spark, [("2024年2月9日 2024-3-1 2025 年 1 月 2 日",)], "s string", d=scalars.dates(F.col("s")))
+    assert all_dates == [(["2024年2月9日", "2024-3-1", "2024年2月9日", "2025 年 1 月 2 日"],)]
+    times = values(spark, [("2026-07-14T08:00:00+08:00",), ("2026-07-14 08:00:00",), ("2026-07-14T08:00:00Z",), ("x",), (None,)], "s string", t=scalars.iso_timestamp(F.col("s")).cast("string"))
+    assert [t for (t,) in times] == ["2026-07-14 00:00:00", "2026-07-14 08:00:00", "2026-07-14 08:00:00", None, None]
     said = [("10年",), ("2 years",), ("1.50 months",), ("30天",), ("soon",)]
     assert [x for (x,) in values(spark, said, "s string", d=scalars.normal_duration(F.col("s")))] == ["P10Y", "P2Y", "P1.5M", "P30D", None]
-    assert values(spark, said[:1], "s string", d=scalars.normal_duration(F.col("s"), legacy=True)) == [("P1Y",)]
+    old = [("10年",), ("10.0年",), ("2.50个月",), ("100日",)]
+    assert [x for (x,) in values(spark, old, "s string", d=scalars.normal_duration(F.col("s"), legacy=True))] == ["P1Y", "P10Y", "P2.5M", "P1D"]
+    assert [x for (x,) in values(spark, old, "s string", d=scalars.normal_duration(F.col("s")))] == ["P10Y", "P10Y", "P2.5M", "P100D"]
 
 
 def test_numbers_levels_and_progress(spark):
     assert values(spark, [("about 1,234.5 and 6",), ("",)], "s string", n=scalars.first_number(F.col("s"))) == [(1234.5,), (None,)]
-    assert [x for (x,) in values(spark, [(999,), (1000,), (5000,), (12000,)], "n int", l=scalars.evidence_level(F.col("n")))] == ["insufficient", "low", "medium", "high"]
-    assert [x for (x,) in values(spark, [(True, 1), (False, 12), (False, 9999)], "t boolean, e int", p=scalars.progress_percent(F.col("t"), F.col("e")))] == [100, 37, 90]
+    level = scalars.evidence_level(F.col("n"))
+    got = values(spark, [(999,), (1000,), (4999,), (5000,), (11_999,), (12_000,)], "n int", l=level, r=scalars.report_length(level))
+    assert [x for x, _ in got] == ["low", "medium", "medium", "high", "high", "very_high"] and got[0][1] == "600-1000"
+    rows = [(True, 1.0), (False, 0.0), (False, 2.5), (False, 5.0), (False, 12.0), (False, 20.0), (False, 40.0), (False, 60.0), (False, 120.0), (False, 9999.0), (False, -3.0), (False, None)]
+    assert [x for (x,) in values(spark, rows, "t boolean, e double", p=scalars.progress_percent(F.col("t"), F.col("e")))] == [100, 35, 40, 45, 54, 65, 73, 82, 86, 90, 35, 35]
+
+
+def test_numbers_in_tables(spark):
+    said = [("价格 1,000元 和 15.0", "15"), ("115", "15"), ("15.5", "15"), ("1000", "1,000"), ("x15y", "15"), ("1", "")]
+    assert [x for (x,) in values(spark, said, "l string, n string", y=scalars.has_number(F.col("l"), F.col("n")))] == [True, False, False, True, True, False]
+    forms = [("1,200.5元", "单位：元"), ("3万元 和 3元", "(元)"), ("5元", "无"), ("5", "（元）")]
+    assert [x for (x,) in values(spark, forms, "m string, c string", f=scalars.money_forms(F.col("m"), F.col("c")))] == [["1200.5"], ["3"], [], []]
+    score = scalars.acceptance_score(F.col("a"), F.col("d"))
+    assert [x for (x,) in values(spark, [("字" * 1200, True), ("字 " * 1199, True), (None, None), ("报告解析失败 质检状态：needs_fix", False)], "a string, d boolean", s=score)] == [100, 85, 60, 15]
+    flags = scalars.table_score(F.col("f"), F.col("n"), F.col("r"), F.col("h"))
+    assert [x for (x,) in values(spark, [(8, 9, 6000, True), (0, 0, 1, False), (2, 3, 10, False)], "f int, n int, r int, h boolean", s=flags)] == [100, 0, 34]
 
 
 def test_text(spark):
