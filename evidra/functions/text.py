@@ -125,7 +125,7 @@ _THOUGHTS, _PREAMBLE = "(?is)<think(?:ing)?\\b[^>]*>.*?</think(?:ing)?>", "(?im)
 def answer_text(c: Column) -> Column:
     """A model's answer without reasoning blocks (an open one reaches to the end), code fences around it and preamble lines."""
     c = F.regexp_replace(F.regexp_replace(c, _THOUGHTS, ""), "(?is)<think(?:ing)?\\b[^>]*>.*$", "")
-    c = F.regexp_replace(F.regexp_replace(F.trim(c), "(?s)^```[a-zA-Z]*\\s*\n(.*?)\n?```\\s*$", "$1"), _PREAMBLE, "")
+    c = F.regexp_replace(F.regexp_replace(F.trim(c, F.lit(" \n\t")), "(?s)^```[a-zA-Z]*\\s*\n(.*?)\n?```\\s*$", "$1"), _PREAMBLE, "")
     return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"), F.lit(" \n"))
 
 
