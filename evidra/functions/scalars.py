@@ -146,3 +146,18 @@ def acceptance_score(answer: Column, downloaded: Column, failures: tuple[str, ..
     failed = F.exists(F.array(*map(F.lit, failures)), lambda p: F.contains(text, p))
     brief = F.length(F.regexp_replace(text, "\\s+", "")) < least
     return F.greatest(F.lit(0), 100 - less(failed, 35) - less(F.contains(text, F.lit(open_check)), 10) - less(brief, 15) - less(~F.coalesce(downloaded, F.lit(False)), 25)).cast("long")
+
+
+#: How much the characters of a pack's parts weigh, in tenths: content and facts of primary records, summaries and tables of their
+#: files, snippets, summaries and content of auxiliary records, summaries and tables of their files.
+WEIGHTS = (10, 10, 7, 6, 5, 3, 2, 3, 3)
+
+
+def weighted_chars(parts: list[Column]) -> Column:
+    """The weighted sum of nine numbers of characters, cut to a whole number."""
+    if len(parts) != len(WEIGHTS):
+        raise ValueError(f"{len(WEIGHTS)} parts are weighed")
+    total = F.lit(0)
+    for part, weight in zip(parts, WEIGHTS, strict=True):
+        total = total + weight * F.coalesce(part, F.lit(0))
+    return F.floor(total / 10).cast("long")

@@ -1,4 +1,4 @@
-"""Selections under a budget, as sums over ordered rows. Rows of a group are dealt to slots by where they stand in the order, so no task
+"""Sums, ranks and last values over ordered rows, and selections under a budget. Rows of a group are dealt to slots by where they stand in the order, so no task
 sees a whole group: a slot is summed within itself and shifted by the slots before it."""
 
 from __future__ import annotations
@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 SLOTS = 64
 
 
-def running_total(rows: DataFrame, group: str, rank: str, ties: Sequence[str], size: str, name: str = "running", slots: int = SLOTS) -> DataFrame:
-    """rows with the sum of `size` over the group up to each row, in the order of the number `rank` (ascending), then `ties`.
-
-    The cuts only deal out work: rows with equal rank are in one slot, and any cuts give the same sums."""
+def in_slots(rows: DataFrame, rank: str, slots: int = SLOTS) -> DataFrame:
+    """rows with a slot: where the number `rank` stands among its quantiles over all rows. The cuts only deal out work: equal ranks share
+    a slot, and any cuts give the same results."""
     cuts = rows.agg(F.percentile_approx(rank, [i / slots for i in range(1, slots)], 10_000).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
     slot = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(rank))) if cuts else F.lit(0)
-    dealt = rows.withColumn("slot", F.coalesce(slot, F.lit(-1)).cast("int"))
+    return rows.withColumn("slot", F.coalesce(slot, F.lit(-1)).cast("int"))
+
+
+def running_total(rows: DataFrame, group: str, rank: str, ties: Sequence[str], size: str, name: str = "running", slots: int = SLOTS) -> DataFrame:
+    """rows with the sum of `size` over the group up to each row, in the order of the number `rank` (ascending), then `ties`."""
+    dealt = in_slots(rows, rank, slots)
     sums = dealt.groupBy(group, "slot").agg(F.sum(size).alias("s"))  # groups * slots rows
     before = Window.partitionBy(group).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sums.select(group, "slot", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))
@@ -27,6 +31,25 @@ def running_total(rows: DataFrame, group: str, rank: str, ties: Sequence[str], s
     return dealt.withColumn(name, F.sum(size).over(within)).join(ahead, [group, "slot"]).withColumn(name, (F.col(name) + F.col("ahead")).cast("long")).drop("slot", "ahead")
 
 
+def carried(rows: DataFrame, group: str, rank: str, ties: Sequence[str], value: Column, name: str, slots: int = SLOTS, same_rank: bool = False) -> DataFrame:
+    """rows with the last `value` that isn't null up to each row of its group; same_rank: the largest value of those with a rank up to the
+    row's, later ties included."""
+    dealt = in_slots(rows.withColumn("v", value), rank, slots)
+    order = F.struct(rank, *ties)
+    last = F.max("v") if same_rank else F.max_by("v", F.when(F.col("v").isNotNull(), order))
+    of_slot = dealt.groupBy(group, "slot").agg(last.alias("l"))
+    before = Window.partitionBy(group).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = of_slot.select(group, "slot", (F.max("l") if same_rank else F.last("l", ignorenulls=True)).over(before).alias("ahead"))
+    within = Window.partitionBy(group, "slot")
+    if same_rank:
+        own = F.max("v").over(within.orderBy(rank).rangeBetween(Window.unboundedPreceding, 0))
+        found = F.greatest("own", "ahead")
+    else:
+        own = F.last("v", ignorenulls=True).over(within.orderBy(F.col(rank), *ties).rowsBetween(Window.unboundedPreceding, 0))
+        found = F.coalesce("own", "ahead")
+    return dealt.withColumn("own", own).join(ahead, [group, "slot"]).withColumn(name, found).drop("slot", "ahead", "own", "v")
+
+
 def within_budget(rows: DataFrame, group: str, rank: str, ties: Sequence[str], size: str, budget: int) -> DataFrame:
     """The longest prefix of each group's order whose sizes add up to the budget at most."""
     return running_total(rows, group, rank, ties, size).where(F.col("running") <= budget)

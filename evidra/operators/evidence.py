@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.sources.staging import staged
+
 
 def item_id(*parts: Column) -> Column:
     """sha256 of the parts, joined by a character that texts don't hold."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def unique_items(items: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The first item of each identity."""
-    return items.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("r = 1").drop("r")
-
-
 def violations(items: DataFrame, links: DataFrame) -> DataFrame:
     """(item, problem) for items (item, level) and links (item, source): a B item without a validated A source, a source that
     isn't there, an A item that has a source."""
@@ -36,23 +35,16 @@ def conflicts(facts: DataFrame, key: list[str], value: str) -> DataFrame:
     return out.withColumn("conflict", F.col("values_seen") > 1).withColumn("kept_value", F.when(~F.col("conflict"), F.col("first_value"))).drop("first_value")
 
 
-def closure(start: DataFrame, links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """All items that can be reached from start (item) over links (item, source), itself included."""
-    seen = start.select("item").distinct()
-    fresh = seen
-    for _ in range(most_rounds):
-        fresh = fresh.join(links, "item").select(F.col("source").alias("item")).distinct().join(seen, "item", "left_anti")
-        fresh = fresh.persist()
+def closure(start: DataFrame, links: DataFrame) -> DataFrame:
+    """All items that can be reached from start (item) over links (item, source), itself included. Every round is written to the shared
+    folder, so lineage stays short and nothing is held in memory; it ends when a round finds nothing new, however deep the links are."""
+    parts = [staged(start.select("item").distinct(), "reached")]
+    while True:
+        seen = reduce(DataFrame.unionByName, parts)
+        fresh = staged(parts[-1].join(links, "item").select(F.col("source").alias("item")).distinct().join(seen, "item", "left_anti"), "reached")
         if fresh.isEmpty():
             return seen
-        seen = seen.unionByName(fresh)
-    raise ValueError("links are deeper than most_rounds")
-
-
-def within_budget(items: DataFrame, group: str, order: list[Column], size: str, budget: int) -> DataFrame:
-    """The longest prefix of each group's order whose sizes add up to the budget at most."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("running", F.sum(size).over(w).cast("long")).where(F.col("running") <= budget)
+        parts.append(fresh)
 
 
 def retention(before: DataFrame, after: DataFrame, group: str, key: str) -> DataFrame:

@@ -51,6 +51,24 @@ def chain(reports: DataFrame, gates: Sequence[tuple[str, Callable[[DataFrame], D
     return out.select(key, (F.size(fails) == 0).alias("passed"), F.array_join(fails, ",").alias("failed_gates"))
 
 
+def local_gate(reports: DataFrame, key: str, report: str, evidence: str, failed: Column, blocked: Column, marker: str, core_marker: str, technical: Sequence[str], depth: DataFrame) -> DataFrame:
+    """(key, fidelity, unsupported, issues, verdict, evidence_present) for each report: 25 off for each marker that the evidence lacks, 20 for
+    technical phrases. Issues: summary_only (by the analysis depth), core_missing (a core marker of the evidence that the report lacks),
+    technical_note, check_blocked. Without evidence the fidelity is 100, which says nothing, and the report needs a review."""
+    compact = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", "")
+    found = lambda c, p: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(0)))
+    rows = reports.join(depth.select(key, "summary_only"), key, "left").withColumn("r", compact(F.col(report))).withColumn("e", compact(F.col(evidence)))
+    bad = F.size(F.filter(found(F.col(report), marker), lambda m: ~F.contains(F.col("e"), compact(m))))
+    lost = F.size(F.filter(found(F.col(evidence), core_marker), lambda m: ~F.contains(F.col("r"), compact(m)))) > 0
+    note = F.size(hits(F.coalesce(F.col(report), F.lit("")), technical)) > 0
+    named = {"unsupported_fact": bad > 0, "summary_only": F.coalesce("summary_only", F.lit(True)), "core_missing": lost, "technical_note": note, "check_blocked": blocked}
+    rows = rows.withColumn("there", F.col("e") != "").withColumn("bad", bad).withColumn("note", note).withColumn("i", ordered_codes(named, list(named)))
+    fidelity = F.when(F.col("there"), F.greatest(F.lit(0), 100 - 25 * F.col("bad") - F.when(F.col("note"), 20).otherwise(0))).otherwise(100)
+    verdict = F.when(failed | (F.col("r") == ""), "failed").when(~F.col("there") | (F.size("i") > 0), "needs_manual_review").otherwise("deliverable")
+    issues = F.when(F.col("there"), F.array_join("i", ",")).when(F.col("r") != "", "no_evidence").otherwise("")
+    return rows.select(key, fidelity.cast("long").alias("fidelity"), F.when(F.col("there"), F.col("bad")).otherwise(0).cast("long").alias("unsupported"), issues.alias("issues"), verdict.alias("verdict"), F.col("there").alias("evidence_present"))
+
+
 def first_object(text: str) -> str:
     """The first JSON object in a text: braces are counted outside strings, an open one gives nothing."""
     value = re.sub(r"(?is)<think(?:ing)?\b[^>]*>.*?</think(?:ing)?>", "", text or "")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.operators.budgets import carried
+
 
 def latest(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The last event of each key. max_by combines within tasks, so a hot key doesn't gather in one."""
@@ -12,10 +14,10 @@ def latest(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x"), F.count(F.lit(1)).alias("revision")).select(key, "revision", "x.*")
 
 
-def carry_forward(events: DataFrame, key: str, order: list[Column], column: str, filled: Column, name: str) -> DataFrame:
-    """The last filled value of a column up to each event."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn(name, F.last(F.when(filled, F.col(column)), ignorenulls=True).over(w))
+def carry_forward(events: DataFrame, key: str, time: str, ties: list[str], column: str, filled: Column, name: str) -> DataFrame:
+    """The last filled value of a column up to each event, in the order of time, then ties. A run with very many events is cut by time."""
+    rows = events.withColumn("at", F.unix_micros(F.col(time).cast("timestamp")))
+    return carried(rows, key, "at", ties, F.when(filled, F.col(column)), name).drop("at")
 
 
 def resume_plan(events: DataFrame, key: str, step: str, order: list[Column], done: Column, steps: list[str]) -> DataFrame:

@@ -40,5 +40,6 @@ def selection_report(records: DataFrame, chosen: DataFrame, key: str) -> DataFra
 
 
 def first_children(children: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
+    """The first children of each record. Spark keeps no more than `most` rows of a key in a task before they are dealt by key."""
     ranked = children.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
     return ranked.where(F.col("place") <= most)

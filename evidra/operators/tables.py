@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.operators.budgets import running_total
+from evidra.operators.grids import spread_places
+
 
 def field_stats(values: DataFrame, field: str, value: str) -> DataFrame:
     """Filled and distinct values of each field, and the range of their numbers."""
@@ -18,18 +21,12 @@ def top_categories(rows: DataFrame, category: str, most: int = 30) -> DataFrame:
     return rows.groupBy(category).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), category).limit(most)
 
 
-def elect(rows: DataFrame, group: str, score: Column, ordinal: str, within: int = 25) -> DataFrame:
-    """For each group, the row with the best score among its first rows; the earliest of equal ones."""
-    ranked = rows.where(F.col(ordinal) <= within).withColumn("score", score)
-    return ranked.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), ordinal))).where("r = 1").drop("r")
-
-
-def spread(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
-    """At most k rows of each group, evenly spread over its order: places round(i (n - 1) / (k - 1)), halves to even."""
-    w = Window.partitionBy(group)
-    ranked = rows.withColumn("at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("n") - 1) / (k - 1)).cast("int"))
-    return ranked.where((F.col("n") <= k) | F.array_contains(places, F.col("at"))).drop("n")
+def spread(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
+    """At most k rows of each group, evenly spread over the order of a number: places round(i (n - 1) / (k - 1)), halves to even. Rows of
+    a large group are numbered in slots, so no task sees it whole."""
+    at = running_total(rows.withColumn("one", F.lit(1)), group, order, [], "one", "at").withColumn("at", F.col("at") - 1).drop("one")
+    n = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    return at.join(n, group).where(F.array_contains(spread_places(F.col("n").cast("int"), F.lit(k)), F.col("at").cast("int"))).drop("n")
 
 
 def reassemble(cells: DataFrame, row_key: list[str], order: str, value: str, mark: str = " | ") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars, text
-from evidra.operators import claims, evidence, history, records, tables
+from evidra.operators import budgets, claims, evidence, history, records, tables
 from evidra.plans.registry import QUERIES, SQL, query, quoted
 from evidra.sources import table
 from evidra.streaming import fold
@@ -274,7 +274,7 @@ with r as (select source, doc_id, length(text) as size, sum(length(text)) over (
 select source, doc_id, size, cast(running as bigint) as running from r where running <= 80000""")
 def budgeted_evidence(spark, d):
     rows = table(spark, d, "documents").select("source", "doc_id", F.length("text").cast("long").alias("size"))
-    return evidence.within_budget(rows, "source", [F.desc("size"), F.col("doc_id")], "size", 80_000)
+    return budgets.within_budget(rows.withColumn("shorter", -F.col("size")), "source", "shorter", ["doc_id"], "size", 80_000).drop("shorter")
 
 
 @query("""
@@ -382,11 +382,17 @@ def input_strategy(spark, d):
     )
 
 
-@query("""
-select source, cast(sum(length(text) * w) as bigint) as weighted from (select source, text, case lang when 'en' then 10 when 'fr' then 7 when 'de' then 6 else 5 end as w from documents) group by 1""")
+_PARTS = [(lang, quality) for lang in ("en", "fr", "de", "es") for quality in (1, 0)]
+_SQL_PARTS = " + ".join(f"{w} * coalesce(sum(length(text)) filter (lang = '{lang}' and quality = {q}), 0)" for (lang, q), w in zip(_PARTS, scalars.WEIGHTS, strict=False))
+
+
+@query(f"select source, cast(floor(({_SQL_PARTS} + {scalars.WEIGHTS[-1]} * coalesce(sum(length(text)) filter (quality is null), 0)) / 10) as bigint) as weighted from documents left join labels using (doc_id) group by 1")
 def weighted_chars(spark, d):
-    weight = F.when(F.col("lang") == "en", 10).when(F.col("lang") == "fr", 7).when(F.col("lang") == "de", 6).otherwise(5)
-    return table(spark, d, "documents").groupBy("source").agg(F.sum(F.length("text") * weight).cast("long").alias("weighted"))
+    """Languages and labels stand for the nine parts of a pack."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    n = F.length("text")
+    parts = [F.sum(F.when((F.col("lang") == lang) & (F.col("quality") == q), n)) for lang, q in _PARTS]
+    return rows.groupBy("source").agg(scalars.weighted_chars([*parts, F.sum(F.when(F.col("quality").isNull(), n))]).alias("weighted"))
 
 
 # tables
@@ -406,19 +412,11 @@ def top_categories(spark, d):
     return tables.top_categories(table(spark, d, "part"), "p_brand", 10)
 
 
-@query("""
-select l_orderkey, l_linenumber, score from (select *, row_number() over (partition by l_orderkey order by score desc, l_linenumber) as r from
- (select l_orderkey, l_linenumber, max(cast(l_quantity as bigint) % 10) as score from lineitem where l_linenumber <= 25 group by 1, 2)) where r = 1""")
-def header_election(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_quantity").cast("long") % 10).alias("s"))
-    return tables.elect(rows, "l_orderkey", F.col("s"), "l_linenumber").select("l_orderkey", "l_linenumber", "score")
-
-
 @query("""
 with r as (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) - 1 as place, count(*) over (partition by p_brand) as n from part)
 select p_brand, p_partkey, place from r where n <= 5 or place in (select cast(round_even(i * (n - 1) / 4.0, 0) as bigint) from range(5) t(i))""")
 def spread_sample(spark, d):
-    return tables.spread(table(spark, d, "part"), "p_brand", [F.col("p_partkey")], 5).select("p_brand", "p_partkey", F.col("at").cast("long").alias("place"))
+    return tables.spread(table(spark, d, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey", 5).select("p_brand", "p_partkey", F.col("at").cast("long").alias("place"))
 
 
 @query("select p_partkey, p_name || ' | ' || p_brand || ' | ' || p_type || ' | ' || p_size as row_text from part")
@@ -440,13 +438,6 @@ def status_counters(spark, d):
     )
 
 
-@query("""
-select user_id, event_type as layer, event_id from (select *, row_number() over (partition by user_id order by case event_type when 'error' then 0 else 1 end, value desc, event_id) as r from events) where r = 1""")
-def run_attribution(spark, d):
-    rank = F.struct(F.when(F.col("event_type") == "error", 1).otherwise(0), F.col("value"), -F.col("event_id"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by(F.struct(F.col("event_type").alias("layer"), "event_id"), rank).alias("x")).select("user_id", "x.*")
-
-
 @query("""
 select user_id, n as revision, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r, count(*) over (partition by user_id) as n from events) where r = 1""")
 def history_latest(spark, d):
@@ -464,7 +455,7 @@ def history_list(spark, d):
 @query("""
 select event_id, user_id, last_value(case when value > 20 then value end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as carried from events""")
 def history_carry_forward(spark, d):
-    out = history.carry_forward(table(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")], "value", F.col("value") > 20, "carried")
+    out = history.carry_forward(table(spark, d, "events"), "user_id", "ts", ["event_id"], "value", F.col("value") > 20, "carried")
     return out.select("event_id", "user_id", "carried")
 
 
@@ -513,18 +504,6 @@ def workflow_token_stats(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), F.sum(k).alias("tokens"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("event_id").alias("newest"))
 
 
-@query(f"""
-with g as (select d.doc_id, quality, toxic, length(text) as n, {" + ".join(f"cast(contains(text, '{p}') as integer)" for p in PHRASES)} as hits from documents d join labels l on l.doc_id = d.doc_id)
-select doc_id, cast(greatest(0, 100 - 25 * hits - case when n < 200 then 20 else 0 end) as bigint) as fidelity,
- case when hits > 0 or toxic = 1 then 'failed' when quality = 0 or n < 200 then 'needs_manual_review' else 'deliverable' end as verdict from g""")
-def local_gate(spark, d):
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    n, short = F.size(text.hits(F.col("text"), PHRASES)), F.length("text") < 200
-    fidelity = F.greatest(F.lit(0), 100 - 25 * n - F.when(short, 20).otherwise(0)).cast("long")
-    verdict = F.when((n > 0) | (F.col("toxic") == 1), "failed").when((F.col("quality") == 0) | short, "needs_manual_review").otherwise("deliverable")
-    return rows.select("doc_id", fidelity.alias("fidelity"), verdict.alias("verdict"))
-
-
 @query("""
 select count(*) as samples, count(*) filter (quality = 1) as passed, count(*) filter (toxic = 1) as blocked, round(count(*) filter (quality = 1) / count(*), 6) as pass_rate,
  max(n_chars) as most_chars, round(avg(n_chars), 6) as mean_chars from labels join documents using (doc_id)""")
@@ -552,9 +531,9 @@ def ext_rollup(spark, d):
 
 @query("select event_id, e.user_id, (select max(x.event_id) from events x where x.user_id = e.user_id and x.event_type = 'purchase' and x.ts <= e.ts) as last_purchase from events e where event_type = 'error'")
 def ext_asof(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, d, "events").where(F.col("event_type").isin("purchase", "error"))
-    return rows.withColumn("last_purchase", F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(w)).where("event_type = 'error'").select("event_id", "user_id", "last_purchase")
+    rows = table(spark, d, "events").where(F.col("event_type").isin("purchase", "error")).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return budgets.carried(rows, "user_id", "at", ["event_id"], bought, "last_purchase", same_rank=True).where("event_type = 'error'").select("event_id", "user_id", "last_purchase")
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")

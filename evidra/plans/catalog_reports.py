@@ -86,6 +86,22 @@ def analysis_depth(spark, d):
     return markdown.analysis_depth(_talks(spark, d), "conv_id", "report", "evidence", _WORDS, _GROUNDS, _MARKER, "Analys[a-z]+")
 
 
+_CORE = "[A-Z][a-z]{11,}"
+
+
+@query(f"""
+with {_SQL_TALKS}, p as (select conv_id, report, evidence, regexp_replace(evidence, '[ \\t\\n\\r\\x0b\\x0c]+', '', 'g') as ev, regexp_replace(report, '[ \\t\\n\\r\\x0b\\x0c]+', '', 'g') as re, list_filter(list_transform(regexp_split_to_array(report, '[。！？!?；;.\\n]+'), lambda s: trim(s)), lambda s: len(list_filter([{quoted(_WORDS)}], lambda w: contains(s, w))) > 0) as s from t),
+b as (select *, len(s) as n, len(list_filter(s, lambda x: len(list_filter(regexp_extract_all(x, '{_MARKER}'), lambda m: not contains(ev, m))) = 0 and len(list_filter([{quoted(_GROUNDS)}], lambda g: contains(x, g) and contains(ev, g))) > 0)) as k,
+ len(list_filter(list_distinct(regexp_extract_all(report, '{_CORE}')), lambda m: not contains(ev, m))) as bad, len(list_filter(list_distinct(regexp_extract_all(evidence, '{_CORE}')), lambda m: not contains(re, m))) > 0 as lost, contains(report, 'Licensed') as note from p),
+g as (select *, list_filter([case when bad > 0 then 'unsupported_fact' end, case when k < 2 or least(100, 25 * k + 10 * least(n, 3)) < 50 then 'summary_only' end, case when lost then 'core_missing' end, case when note then 'technical_note' end], lambda x: x is not null) as i from b)
+select conv_id, case when ev = '' then 100 else cast(greatest(0, 100 - 25 * bad - case when note then 20 else 0 end) as bigint) end as fidelity, case when ev = '' then 0 else bad end as unsupported, case when ev <> '' then array_to_string(i, ',') when re <> '' then 'no_evidence' else '' end as issues,
+ case when re = '' then 'failed' when ev = '' or len(i) > 0 then 'needs_manual_review' else 'deliverable' end as verdict, ev <> '' as evidence_present from g""")
+def local_gate(spark, d):
+    talks = _talks(spark, d)
+    depth = markdown.analysis_depth(talks, "conv_id", "report", "evidence", _WORDS, _GROUNDS, _MARKER, "#none#")
+    return gates.local_gate(talks, "conv_id", "report", "evidence", F.lit(False), F.lit(False), _CORE, _CORE, ("Licensed",), depth)
+
+
 @query(f"""
 with {_SQL_TALKS}, h as (select t.*, o.evidence as history from t left join t o on o.conv_id = t.conv_id - 1), m as (select conv_id, unnest(list_distinct(regexp_extract_all(report, '{_MARKER}'))) as found, regexp_replace(coalesce(history, ''), '[ \\t\\n\\r\\x0b\\x0c]+', '', 'g') as hi,
  regexp_replace(evidence, '[ \\t\\n\\r\\x0b\\x0c]+', '', 'g') as ev from h)

@@ -90,7 +90,37 @@ def test_support_rate_without_claims_is_one(spark):
 
 def test_spread_takes_halves_to_even(spark):
     rows = spark.createDataFrame([("g", i) for i in range(10)], "g string, i int")
-    assert sorted(r["i"] for r in tables.spread(rows, "g", [F.col("i")], 3).collect()) == [0, 4, 9]
+    assert sorted(r["i"] for r in tables.spread(rows, "g", "i", 3).collect()) == [0, 4, 9]
+
+
+def test_weights(spark):
+    parts = [F.col("n")] * 9
+    assert values(spark, [(1,), (10,), (None,)], "n int", w=scalars.weighted_chars(parts)) == [(4,), (49,), (0,)]
+
+
+def test_last_values_of_any_cut(spark):
+    from evidra.operators import budgets
+
+    rows = spark.range(400).selectExpr("id % 2 g", "id % 50 r", "id k", "if(id % 7 = 0, id, null) x")
+    for slots in (1, 3, 64):
+        got = budgets.carried(rows, "g", "r", ["k"], F.col("x"), "c", slots=slots).collect()
+        top = budgets.carried(rows, "g", "r", ["k"], F.col("x"), "c", slots=slots, same_rank=True).collect()
+        for g in (0, 1):
+            last = None
+            for r in sorted((r for r in got if r["g"] == g), key=lambda r: (r["r"], r["k"])):
+                last = r["x"] if r["x"] is not None else last
+                assert r["c"] == last
+            mine = [r for r in top if r["g"] == g]
+            assert all(r["c"] == max((o["x"] for o in mine if o["r"] <= r["r"] and o["x"] is not None), default=None) for r in mine)
+
+
+def test_repeated_events_of_a_stream_are_one(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet").limit(50).withColumn("ts", F.col("ts").cast("timestamp"))
+    events.unionByName(events).repartition(1).write.parquet(str(tmp_path / "in"))
+    run = fold.distinct_events(fold.stream_table(spark, str(tmp_path / "in"), events.schema)).writeStream.format("memory").queryName("once").start()
+    run.processAllAvailable()
+    run.stop()
+    assert spark.table("once").count() == 50
 
 
 def test_stream_and_batch_agree(spark, tmp_path):
