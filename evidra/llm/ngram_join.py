@@ -50,7 +50,7 @@ WORDS, PERCENT = 5, 80
 TOP = 1 << 20
 #: All that occur twice or more are marked in a bitmap of so many bits by the start of their hash, sent as well.
 MARK_BITS = 27
-FRAGMENTS, BLOCK, PIVOTS, ORDER_BITS, FLUSH = 4, 128, 4, 40, 1_500_000
+FRAGMENTS, BLOCK, PIVOTS, ORDER_BITS, FLUSH = 4, 64, 4, 40, 1_500_000
 #: N-grams of so many documents have a list of their own, which is cut by task instead of gathering in a bucket.
 LONG_LIST = 4096
 BROADCAST_DOCS = 1_000_000
