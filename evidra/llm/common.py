@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.sources.staging import shared_dir, staged  # noqa: F401  used by the operators
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,25 +23,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset, a local session (as in tests) gets a temporary folder of its
-    own; on a cluster that would be another disk for each machine, so it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='evidra-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/evidra-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors, and fixes what tasks numbered."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Bytes that Spark puts into one Arrow batch for Python, where the session leaves it to the default of 64 MB.
 BATCH_BYTES = 16 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
