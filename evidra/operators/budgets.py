@@ -68,8 +68,13 @@ def optional_evidence(items: DataFrame, group: str, protected: Column, priority:
 def trimmed(strings: DataFrame, group: str, key: str, chars: str, target: int, floor: int) -> DataFrame:
     """strings with `left`, the characters that each keeps: the longest are cut first, each down to the floor, until the group's excess over
     the target is gone."""
-    total = strings.groupBy(group).agg((F.sum(chars) - target).alias("excess"))
+    total = strings.groupBy(group).agg((F.sum(chars) - target).alias("excess_"))
+    return trimmed_to(strings.join(total, group), group, key, chars, F.col("excess_"), floor).drop("excess_")
+
+
+def trimmed_to(strings: DataFrame, group: str, key: str, chars: str, excess: Column, floor: int) -> DataFrame:
+    """As trimmed, for an excess that every row tells (the same for all of its group)."""
     room = strings.withColumn("room", F.greatest(F.col(chars) - floor, F.lit(0))).withColumn("shorter", -F.col(chars))
-    told = running_total(room, group, "shorter", [key], "room").join(total, group)
-    cut = F.least(F.col("room"), F.greatest(F.col("excess") - (F.col("running") - F.col("room")), F.lit(0)))
-    return told.withColumn("left", (F.col(chars) - cut).cast("long")).drop("room", "shorter", "running", "excess")
+    told = running_total(room, group, "shorter", [key], "room")
+    cut = F.least(F.col("room"), F.greatest(excess - (F.col("running") - F.col("room")), F.lit(0)))
+    return told.withColumn("left", (F.col(chars) - cut).cast("long")).drop("room", "shorter", "running")

@@ -69,6 +69,20 @@ def local_gate(reports: DataFrame, key: str, report: str, evidence: str, failed:
     return rows.select(key, fidelity.cast("long").alias("fidelity"), F.when(F.col("there"), F.col("bad")).otherwise(0).cast("long").alias("unsupported"), issues.alias("issues"), verdict.alias("verdict"), F.col("there").alias("evidence_present"))
 
 
+def delivery(status: Column, body_safe: Column, repair_failed: Column, flagged: Column, gate: Column, passed: Column) -> Column:
+    """Whether a run is deliverable, exportable, and exportable for good. It is explicitly deliverable when it has finished with a body and
+    its gate says so (or, without a gate, its check passed)."""
+    explicit = (status == "finished") & body_safe & F.when(gate != "", gate == "deliverable").otherwise(passed)
+    safe = body_safe & ~repair_failed
+    export = safe & status.isin("finished", "needs_manual_review") & flagged
+    return F.struct((safe & explicit).alias("deliverable"), export.alias("exportable"), (export & safe & explicit).alias("final_export"))
+
+
+def with_fallback(rows: DataFrame, key: str, report: Column, unusable: Column, fallback: Column) -> DataFrame:
+    """(key, fallback, report, status): an unusable report is replaced, and fails closed: it needs a review."""
+    return rows.select(key, unusable.alias("fallback"), F.when(unusable, fallback).otherwise(report).alias("report"), F.when(unusable, "needs_manual_review").otherwise("finished").alias("status"))
+
+
 def first_object(text: str) -> str:
     """The first JSON object in a text: braces are counted outside strings, an open one gives nothing."""
     value = re.sub(r"(?is)<think(?:ing)?\b[^>]*>.*?</think(?:ing)?>", "", text or "")
