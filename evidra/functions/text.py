@@ -155,3 +155,8 @@ def json_chars(fields: dict[str, Column]) -> Column:
 def canonical_hash(fields: dict[str, Column]) -> Column:
     """sha256 of a flat record as JSON with its keys in order and no spaces."""
     return F.sha2(F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+
+
+def with_own_size(base: Column) -> Column:
+    """The size of a record that holds its own size, from its size without the digits of that number: the least one that is true."""
+    return (base + F.get(F.filter(F.sequence(F.lit(1), F.lit(19)), lambda k: F.length((base + k).cast("string")) == k), F.lit(0))).cast("long")

@@ -29,6 +29,13 @@ def violations(items: DataFrame, links: DataFrame) -> DataFrame:
     return both.withColumn("problem", problem).where("problem is not null").select("item", "problem")
 
 
+def unmatched_hashes(items: DataFrame, links: DataFrame, item: str, digest: str) -> DataFrame:
+    """(item, n_sources, digest) of items (item, digest) that have sources (item, digest), none of which has the item's digest."""
+    own = items.select(item, F.col(digest).alias("own"))
+    held = links.join(own, item).groupBy(item, "own").agg(F.count(F.lit(1)).alias("n_sources"), F.coalesce(F.bool_or(F.col(digest) == F.col("own")), F.lit(False)).alias("yes"))
+    return held.where("not yes").select(item, "n_sources", F.col("own").alias(digest))
+
+
 def conflicts(facts: DataFrame, key: list[str], value: str) -> DataFrame:
     """For each fact key, whether its values agree; of agreeing ones the smallest stays."""
     out = facts.groupBy(*key).agg(F.countDistinct(value).alias("values_seen"), F.min(value).alias("first_value"), F.count(F.lit(1)).alias("candidates"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from evidra import sinks, sources
 from evidra.functions import scalars, text
-from evidra.operators import budgets, documents, evaluate, gates, predicates
+from evidra.operators import budgets, documents, evaluate, evidence, gates, grids, predicates
 from evidra.plans.registry import query, quoted
+from evidra.sinks import docx
 from evidra.sources import files, table
 from evidra.sources.staging import shared_dir
 
@@ -280,9 +281,86 @@ def converted_schema(spark, d):
     return table(spark, d, "events").select("event_id", version.alias("from_version"), F.lit(3).alias("schema_version"), F.col("event_type").alias("kind"), F.when(~old, k).alias("k"), old.alias("adapted"))
 
 
+@query("""
+with p as (select doc_id, unnest(regexp_split_to_array(text, '\\n')) as page from documents), c as (select doc_id, count(*) as pages, count(*) filter (length(page) >= 40) as good from p group by 1)
+select doc_id, pages, good, case when good = pages then 'parsed' when good > 0 then 'partial' else 'failed' end as status from c""")
+def page_status(spark, d):
+    """Lines as pages: a document is parsed if all of its pages are, partial if some are."""
+    pages = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("page"))
+    good, n = F.count_if(F.length("page") >= 40), F.count(F.lit(1))
+    return pages.groupBy("doc_id").agg(n.alias("pages"), good.alias("good"), F.when(good == n, "parsed").when(good > 0, "partial").otherwise("failed").alias("status"))
+
+
+@query("""
+with t as (select 'part' as tbl, 6 as n_columns, ['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice'] as h, (select count(*) from part) as n union all select 'supplier', 4, ['s_suppkey', 's_name', 's_nationkey', 's_acctbal'], (select count(*) from supplier)
+ union all select 'customer', 5, ['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'], (select count(*) from customer)),
+k as (select *, list_filter(['key', 'name', 'price', 'status'], lambda x: len(list_filter(h, lambda c: case x when 'key' then contains(c, 'key') when 'name' then contains(c, 'name') or contains(c, 'brand') when 'price' then contains(c, 'acctbal') else contains(c, 'type') or contains(c, 'segment') end)) > 0) as kinds from t)
+select tbl, n as n_rows, n_columns, array_to_string(kinds, ',') as kinds, n >= 1000 as heavy, cast(least(35, 8 * len(kinds)) + least(35, 6 * len(kinds)) + case when n >= 1000 then 20 else 0 end + case when n >= 5000 then 10 else 0 end as bigint) as score from k""")
+def table_summaries(spark, d):
+    """What a table is, told by its headers and its size: kinds of columns, whether it is heavy, how much evidence it holds."""
+    kinds = {"key": ("key",), "name": ("name", "brand"), "price": ("acctbal",), "status": ("type", "segment")}
+    rows = None
+    for name in ("part", "supplier", "customer"):
+        t = table(spark, d, name)
+        one = t.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("tbl"), "n_rows", F.lit(len(t.columns)).alias("n_columns"), F.array(*map(F.lit, t.columns)).alias("h"))
+        rows = one if rows is None else rows.unionByName(one)
+    found = F.array_intersect(F.array(*map(F.lit, kinds)), F.array_distinct(F.flatten(F.transform("h", lambda c: grids.kinds_of(c, kinds)))))
+    rows = rows.withColumn("kinds", found).withColumn("heavy", F.col("n_rows") >= 1000)
+    return rows.select("tbl", "n_rows", "n_columns", F.array_join("kinds", ",").alias("kinds"), "heavy", scalars.table_score(F.size("kinds"), F.size("kinds"), F.col("n_rows"), F.col("heavy")).alias("score"))
+
+
+@query("""
+with i as (select 'o' || o_orderkey as item, case when o_orderstatus = 'P' then 'F' else o_orderstatus end as hash from orders), l as (select 'o' || l_orderkey as item, l_linestatus as hash from lineitem)
+select i.item, count(l.item) as n_sources, i.hash from i join l using (item) group by i.item, i.hash having not bool_or(l.hash = i.hash)""")
+def hash_violations(spark, d):
+    """Derived items whose source hash none of their sources has."""
+    items = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("item"), F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")).alias("hash"))
+    links = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("item"), F.col("l_linestatus").alias("hash"))
+    return evidence.unmatched_hashes(items, links, "item", "hash")
+
+
+@query("""
+with a as (select source, count(*) filter (quality = 1) as ab, count(*) filter (quality = 1 and toxic = 0) as supported, count(*) filter (toxic = 1) as c_used, sum(n_chars) as chars, count(*) filter (quality = 1) as mandatory, count(*) filter (quality = 1 and n_chars > 100) as retained from documents join labels using (doc_id) group by 1),
+e as (select *, list_filter([case when ab = 0 then 'evidence_missing' when supported <> ab then 'support_below_100' end, case when c_used > 0 then 'c_level_used' end, case when chars > 80000 then 'limit_exceeded' end, case when mandatory > 0 and retained / mandatory < 0.9 then 'retention_below_90' end], lambda x: x is not null) as codes from a)
+select source, coalesce(round(supported / nullif(ab, 0), 6), 0.0) as rate, array_to_string(codes, ',') as errors, len(codes) = 0 as passed from e""")
+def artifact_verdict(spark, d):
+    c = F.col
+    a = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(
+        F.count_if(c("quality") == 1).alias("ab"), F.count_if((c("quality") == 1) & (c("toxic") == 0)).alias("supported"), F.count_if(c("toxic") == 1).alias("c_used"), F.sum("n_chars").alias("chars"), F.count_if((c("quality") == 1) & (c("n_chars") > 100)).alias("retained")
+    )
+    found = {
+        "evidence_missing": c("ab") == 0, "support_below_100": (c("ab") > 0) & (c("supported") != c("ab")), "c_level_used": c("c_used") > 0, "limit_exceeded": c("chars") > 80_000,
+        "retention_below_90": F.when(c("ab") > 0, c("retained") / c("ab") < 0.9).otherwise(False),
+    }
+    codes = gates.ordered_codes(found, list(found))
+    return a.select("source", F.coalesce(F.round(c("supported") / F.when(c("ab") > 0, c("ab")), 6), F.lit(0.0)).alias("rate"), F.array_join(codes, ",").alias("errors"), (F.size(codes) == 0).alias("passed"))
+
+
+@query("""
+with b as (select c_custkey, length(to_json({'chars': 0, 'name': c_name})) + 3 - 1 as b from customer), n as (select c_custkey, b, list_filter(range(1, 12), lambda k: length(cast(b + k as varchar)) = k)[1] as k from b) select c_custkey, cast(b + k as bigint) as chars from n""")
+def self_sizes(spark, d):
+    """The size of a JSON record that tells its own size."""
+    base = text.json_chars({"chars": F.lit(0), "name": F.col("c_name")}) - 1
+    return table(spark, d, "customer").select("c_custkey", text.with_own_size(base).alias("chars"))
+
+
 # written and read again
 
 
+@query("""
+select p_partkey, 'Report on ' || p_name || chr(10) || 'made by ' || p_brand || ' & <sons>' || chr(10) || 'Name | Size' || chr(10) || p_name || ' | ' || p_size as text from part where p_size <= 40""")
+def docx_roundtrip(spark, d):
+    """Reports as text documents, rendered only where they may be published, and read again."""
+    rows = table(spark, d, "part")
+    parts = rows.select("p_partkey", "p_size", F.posexplode(F.array(
+        F.struct(F.lit("title").alias("part"), F.concat(F.lit("Report on "), "p_name").alias("text")), F.struct(F.lit("lead").alias("part"), F.concat(F.lit("made by "), "p_brand", F.lit(" & <sons>")).alias("text")),
+        F.struct(F.lit("table").alias("part"), F.lit("Name | Size").alias("text")), F.struct(F.lit("row").alias("part"), F.concat_ws(" | ", "p_name", F.col("p_size").cast("string")).alias("text")),
+    )).alias("place", "x")).select("p_partkey", "p_size", "place", "x.*")
+    return files.docx_texts(docx.rendered(parts, "p_partkey", F.col("p_size") <= 40), "p_partkey", "content")
+
+
+
+
 @query("select event_id, user_id, event_type, value from events")
 def log_roundtrip(spark, d):
     """Events appended twice to a log of JSON lines, and read from all its files: each is there once."""

@@ -179,3 +179,14 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 def cells_of(parsed_files: DataFrame) -> DataFrame:
     """(file, entry, sheet, row_no, cells) of all tables, for header election and profiles; row_no from 0."""
     return parsed_files.where("rows is not null").select("file", "entry", "sheet", F.posexplode("rows").alias("row_no", "cells"))
+
+
+def docx_texts(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, text) of text documents that are held in a column of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [docx_parts(x)[0] for x in batch.column(content).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return rows.select(key, content).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
