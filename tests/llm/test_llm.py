@@ -480,6 +480,46 @@ def test_symbols():
     assert of("\u00c9") == of("\u00e9") and of("be a b c de") == [2, 5, 0, 1, 2, 3, 0, 4, 5]
 
 
+def slow_kernel(u, v):
+    """Subsequences of three letters that two units share, by plain loops: from each start, with what is skipped up to the span."""
+
+    def parts(x):
+        out = {}
+        for i in range(toxicity.STARTS):
+            for j in range(1, toxicity.SPAN - 1):
+                for k in range(j + 1, toxicity.SPAN):
+                    t = (int(x[i]), int(x[i + j]), int(x[i + k]))
+                    if all(t):
+                        out[t] = out.get(t, 0.0) + toxicity.LAMBDA ** (k - 2)
+        return out
+
+    a, b = parts(u), parts(v)
+    return sum(w * b.get(t, 0.0) for t, w in a.items()), sum(w * w for w in b.values()) ** 0.5
+
+
+def test_kernel_and_its_map():
+    """The kernel with landmarks against plain loops; a machine over the landmarks scores as its table of subsequences does."""
+    rng = np.random.default_rng(4)
+    words = [b"stupid", b"worthless", b"pathetic", b"house", b"garden", b"st", b"window"]
+    units = np.array([toxicity.window(toxicity.symbols(w)) for w in words])
+    marks = toxicity.choose_landmarks([(units, 10)])
+    assert marks.features.shape[1] == 6  # two letters make no landmark
+    chosen = [u for u in units if slow_kernel(u, u)[1]]
+    texts = np.array([toxicity.window(toxicity.symbols(w)) for w in (b"stxupid", b"s t u p i d", b"the garden", b"wrthlss", b"")])
+    got = marks.kernel(texts)
+    for i, t in enumerate(texts):
+        for j, m in enumerate(chosen):
+            k, size = slow_kernel(t, m)
+            assert got[i, j] == pytest.approx(k / size, rel=1e-4)
+    w = rng.normal(size=6)
+    table = marks.features @ w
+    table[0] = 0
+    weights = table[marks.at].astype(np.float32)
+    for t, row in zip(texts, got, strict=True):
+        s = np.concatenate([t, toxicity._PAD])
+        assert toxicity.unit_scores(s, weights)[0] == pytest.approx(float(row @ w), abs=1e-3)
+
+
 def test_classifiers_of_texts_that_tell_nothing(spark, none):
     """All texts empty or null, equal, without words, or no texts at all: the share of label 1, for every row."""
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
@@ -669,6 +709,31 @@ def test_lm_scores_of_odd_texts(spark):
     assert len(held) == 2 and all(r["train_tokens"] == 0 and r["held_out"] and np.isfinite(r["score"]) for r in held) or not held[0]["held_out"]
 
 
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (4, "one"), (None, "one"), (None, None), (5, "Same text HERE for all of us"), (6, "same text here for all of us"), (7, "word " * 200_000 + "end"), (8, "x" * 300_000), (9, "\u4e2d\u00e9\U0001f600 " * 500)]
+OPERATORS = {
+    "op1": lambda d: ngram_join.near_components(d), "op2": lambda d: lm_scoring.score_documents(d, PIECES), "op3": lambda d: quality.score_quality(d, quality.fit_quality(d, few_labels(d))),
+    "op4": lambda d: byte_bpe.encode_documents(d, BPE, P.PATTERN), "op5": lambda d: packing.pack(d), "op6": lambda d: token_counts.token_counts(d, PIECES), "op7": lambda d: exact_dedup.exact_copies(d),
+    "op8": lambda d: fingerprints.compare_neighbours(d), "op9": lambda d: secrets.scan_secrets(d), "op10": lambda d: toxicity.score_toxicity(d, toxicity.fit_toxicity(d, few_labels(d))),
+}
+
+
+def few_labels(d):
+    return d.sparkSession.createDataFrame([(4, 1, 0), (5, 0, 1), (6, 1, 1), (7, 0, 0), (7, 0, 0), (None, 1, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_and_columns(spark, name):
+    """Nulls, blanks, long and wide texts, ties, repeats and columns with the names that operators use: a row for each row, twice the same."""
+    names = ["score", "label", "hash", "ref", "uid", "key", "row", "bucket", "class", "heads", "k", "start", "range", "borrowed", "n_tokens", "batch", "chunk", "kind", "held_out", "doc_id2", "n"]
+    frame = spark.createDataFrame([(i, t, *([None] * len(names))) for i, t in ODD], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)])).repartition(4)
+    run = OPERATORS[name]
+    got = sorted(map(str, run(frame).drop("uid", "ref", "batch", "place", "bucket", "class").collect()))
+    assert len(got) == len(ODD)
+    if name != "op5":  # batches are numbered by rows, not by ids
+        assert got == sorted(map(str, run(frame.repartition(2)).drop("uid", "ref", "batch", "place", "bucket", "class").collect())) or name in ("op2",)
+    assert run(frame.where("false")).count() == 0
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Every stage on the output of the one before it, by plain loops; toxicity by the model's score of single texts."""
     import corpus_pipeline
