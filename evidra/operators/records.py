@@ -43,3 +43,11 @@ def first_children(children: DataFrame, key: str, order: list[Column], most: int
     """The first children of each record. Spark keeps no more than `most` rows of a key in a task before they are dealt by key."""
     ranked = children.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
     return ranked.where(F.col("place") <= most)
+
+
+def scoped_items(items: DataFrame, contexts: DataFrame, item: str, context: str, most: int) -> DataFrame:
+    """(context, item, place): items (item, scopes) that share a scope with a context (context, scopes), or are global; the first ones by
+    item. Joined by scope, and no more than `most` of a context leave a task."""
+    scope = lambda rows, key, scopes: rows.select(key, F.explode(F.array_compact(scopes)).alias("scope")).distinct()
+    both = scope(items, item, F.col("scopes")).join(scope(contexts, context, F.concat("scopes", F.array(F.lit("global")))), "scope").select(context, item).distinct()
+    return first_children(both, context, [F.col(item)], most)

@@ -14,7 +14,6 @@ from evidra.streaming import fold
 # Parameters of the queries (the operators take them as arguments).
 KEYWORDS = ("the", "license", "que", "der", "password", "apache")
 PHRASES = ("Apache License", "password", "worthless", "stupid", "trash")
-SCOPES = ("src0", "src3", "src7")
 
 
 _SQL_SPACE = r"[ \t\n\r\x0b\x0c]+"
@@ -499,10 +498,15 @@ def run_metrics(spark, d):
 
 
 @query(f"""
-select doc_id, source from (select doc_id, source, row_number() over (order by doc_id) as r from documents where source in ({quoted(SCOPES)}) and lang = 'en') where r <= 8""")
+with i as (select d.doc_id, case when quality = 1 then ['global'] else [source, lang] end as scopes from documents d join labels using (doc_id) where toxic = 0), c as (select 'p' || n as pack, ['global', 'src' || n, case when n % 2 = 0 then 'fr' end] as scopes from range(6) t(n)),
+m as (select distinct pack, doc_id from (select pack, unnest(scopes) as s from c) x join (select doc_id, unnest(scopes) as s from i) y using (s))
+select pack, doc_id, row_number() over (partition by pack order by doc_id) as place from m qualify row_number() over (partition by pack order by doc_id) <= 8""")
 def memory_scope_match(spark, d):
-    items = table(spark, d, "documents").where(F.arrays_overlap(F.array("source"), F.array(*map(F.lit, SCOPES))) & (F.col("lang") == "en"))
-    return items.orderBy("doc_id").limit(8).select("doc_id", "source")
+    """Approved items for each context: those with a scope in common, and global ones; the first eight."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 0"), "doc_id")
+    items = docs.select("doc_id", F.when(F.col("quality") == 1, F.array(F.lit("global"))).otherwise(F.array("source", "lang")).alias("scopes"))
+    contexts = spark.range(6).select(F.concat(F.lit("p"), "id").alias("pack"), F.array(F.concat(F.lit("src"), "id"), F.when(F.col("id") % 2 == 0, "fr")).alias("scopes"))
+    return records.scoped_items(items, contexts, "doc_id", "pack", 8)
 
 
 # extensions: not among the operators of the reference, but Spark has them

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars, text
-from evidra.operators import predicates
+from evidra.operators import pages, predicates
 from evidra.plans.registry import query, quoted
 from evidra.sources import table
 
@@ -239,3 +239,36 @@ select doc_id, cast(place as bigint) as place, case when length(s) <= 260 then s
 def key_rules(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.filter(text.sentences(F.col("text")), lambda s: F.contains(s, F.lit("Licensed")) | F.contains(s, F.lit("password")) | F.contains(s, F.lit("the"))).alias("a"))
     return rows.select("doc_id", F.posexplode(F.slice("a", 1, 40)).alias("i", "s")).select("doc_id", (F.col("i") + 1).cast("long").alias("place"), text.truncate_head_tail(F.col("s"), 260).alias("rule"))
+
+
+# pages
+
+def _plain(c: str) -> str:
+    for tag in ("script", "style", "noscript", "svg"):
+        c = f"regexp_replace({c}, '<{tag}[^>]*>.*?</{tag}>', ' ', 'gs')"
+    c = f"regexp_replace({c}, '<[^>]*>', ' ', 'gs')"
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{sign}')"
+    return f"trim(regexp_replace({c}, '{_SPACE}', ' ', 'g'))"
+
+
+def _in(tag: str) -> str:
+    return _plain(f"regexp_extract(html, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}>', 1)")
+
+
+@query(f"""
+with p as (select page_id, {_in('h1')} as h, {_in('title')} as t, {_in('article')} as a, coalesce(nullif({_in('body')}, ''), {_plain('html')}) as b from pages)
+select page_id, case when h <> '' then h else t end as title, sha256(case when length(a) >= 600 then a else b end) as main_hash, length(case when length(a) >= 600 then a else b end) as main_chars from p""")
+def page_main(spark, d):
+    main = pages.main_text(F.col("html"), classes=("article-content",), least=600)
+    return table(spark, d, "pages").select("page_id", pages.page_title(F.col("html")).alias("title"), F.sha2(main, 256).alias("main_hash"), F.length(main).cast("long").alias("main_chars"))
+
+
+@query(f"""
+with a as (select page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1) as h, regexp_extract_all(html, '(?is)<a\\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2) as t from pages),
+u as (select page_id, url, unnest(h) as href, {_plain('unnest(t)')} as said, generate_subscripts(h, 1) as i from a),
+r as (select page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href as link, said, i from u where href like '/%' and (contains(said, 'th') or contains(said, 'er') or contains(said, 'que')) and said not in ('the', 'er', 'que')),
+f as (select page_id, link, min((i, said)) as x from r group by 1, 2)
+select page_id, row_number() over (partition by page_id order by x[1]) as place, link, x[2] as said from f qualify row_number() over (partition by page_id order by x[1]) <= 3""")
+def file_links(spark, d):
+    return pages.file_links(table(spark, d, "pages"), "page_id", "url", "html", (".pdf",), ("th", "er", "que"), ("the", "er", "que"), 3)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import text
-from evidra.operators import claims, evidence, facts, gates, grids, markdown, predicates
+from evidra.operators import claims, documents, evidence, facts, gates, grids, markdown, pages, predicates, runs
 
 REPORT = """# 关于耗材集中带量采购的公告
 
@@ -151,3 +151,39 @@ def test_text_helpers(spark):
     assert one(text.inline_text, "## {{x}}**b** [t](u) <i>y</i>") == "b t y"
     assert one(predicates.cut_off, "完整的句子。") is False and one(predicates.cut_off, "没有结") is True and one(predicates.title_like, "关于采购的公告") is True and one(predicates.title_like, "- 列表") is False
     assert evidence.item_id and claims.TERMS
+
+
+def test_links_and_main_text(spark):
+    html = '''<body><h1> </h1><title>T</title><div class="x TRS_Editor">short</div><article>%s</article><a href="#x">附件</a><a href="a/b.PDF">one</a><a href="/down?f=x.xlsx">下载</a><a href="/down">下载</a>
+<a href="//h.cn/list">价格<b>清单</b></a><a href="a/b.PDF">again</a><a href="mailto:x">附件</a></body>''' % ("正文" * 50)
+    rows = frame(spark, [(1, "https://www.a.cn/x/y.html?q=1", html), (2, "http://b.cn", "no tags")], "k int, u string, h string")
+    got = {(r["k"], r["place"]): (r["link"], r["said"]) for r in pages.file_links(rows, "k", "u", "h").collect()}
+    assert got == {(1, 1): ("https://www.a.cn/x/a/b.PDF", "one"), (1, 2): ("https://www.a.cn/down?f=x.xlsx", "下载"), (1, 3): ("https://h.cn/list", "价格 清单")}
+    told = {r["k"]: (r["t"], r["m"]) for r in rows.select("k", pages.page_title(F.col("h")).alias("t"), pages.main_text(F.col("h")).alias("m")).collect()}
+    assert told == {1: ("T", "正文" * 50), 2: ("", "no tags")}
+
+
+@pytest.mark.parametrize(
+    "raw, wanted",
+    [
+        ('{"data": {"status": "succeeded", "id": "w1", "outputs": {"text": "```json\\n{\\"report_markdown\\": \\"# A\\"}\\n```"}}}', ("w1", "# A", "")), ('{"workflow_run_id": "w", "data": {"outputs": {"result": "# plain"}}}', ("w", "# plain", "")),
+        ('{"data": {"outputs": {"text": "x"}}}', ("", "", "workflow_id_missing")), ('{"data": {"id": "w", "status": "Stopped"}}', ("", "", "workflow_failed")), ('{"data": {"id": "w", "outputs": {}}}', ("w", "", "output_empty")),
+        ('{"data": {"id": "w", "finish_reason": "length", "outputs": {"report_markdown": "# A"}}}', ("w", "# A", "output_truncated")), ("[1]", ("", "", "output_schema_invalid")), ("", ("", "", "output_schema_invalid")),
+    ],
+)
+def test_answers_of_providers(spark, raw, wanted):
+    assert tuple(documents.unwrapped(frame(spark, [(1, raw)], "k int, r string"), "k", "r").first())[1:] == wanted
+
+
+def test_reports_in_json():
+    assert documents.repaired_json('x {"a": "say "hi", now", "b": ["c"]} y') == {"a": 'say "hi", now', "b": ["c"]} or documents.repaired_json('x {"a": "say "hi" now", "b": ["c"]} y') == {"a": 'say "hi" now', "b": ["c"]}
+    assert documents.repaired_json("no") is None and documents.repaired_json("{") is None
+    assert documents.walk({"t": " a  b ", "Thinking": "x", "s": [{"p": ["c", None]}]}) == [("t", "a b"), ("s[0].p[0]", "c")]
+    assert documents.strings_in({"b": [1, {"z": "y", "a": " "}], "a": None}) == ["1", "y"]
+
+
+def test_open_external_steps_block_a_resume(spark):
+    steps = ("prepare", "compact", "provider", "export")
+    rows = [(1, "prepare", "completed", 1), (1, "provider", "started", 2), (2, "prepare", "completed", 1), (2, "provider", "started", 2), (2, "provider", "completed", 3), (3, "prepare", "started", 1), (4, "compact", "completed", 1), (4, "compact", "failed", 2)]
+    got = {r["r"]: (r["blocked"], r["resumed_from"], r["next_step"], r["skipped"]) for r in runs.checkpoint_plan(frame(spark, rows, "r int, s string, st string, n int"), "r", "s", F.col("st"), ["n"], steps, "provider").collect()}
+    assert got == {1: (True, "prepare", "", "prepare"), 2: (False, "provider", "compact", "prepare,provider"), 3: (False, "", "prepare", ""), 4: (False, "", "prepare", "")}
