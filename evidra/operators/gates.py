@@ -20,13 +20,17 @@ PRIORITY = ("rule_conflict", "evidence_index_invalid", "c_level_used", "source_r
 BLOCKING = ("needs_fix", "block", "blocked", "fail", "failed", "needs_human", "manual_review", "需人工确认")
 
 
-def domain_gate(reports: DataFrame, key: str, report: str, unsupported: str, facts: DataFrame, rules: Rules) -> DataFrame:
+def named_topics(report: Column, rules: Rules) -> Column:
+    """The topics that a text names."""
+    return F.filter(F.array(*[F.when(F.size(hits(report, words)) > 0, F.lit(t)) for t, words in rules.topics]), lambda t: t.isNotNull())
+
+
+def domain_gate(reports: DataFrame, key: str, named: str, unsupported: str, facts: DataFrame, rules: Rules) -> DataFrame:
     """(key, status, primary_code, codes, missing_topics): conflicts between facts, unsupported claims, and required topics that have
-    evidence but that the report doesn't name."""
-    held = facts.groupBy(key).agg(F.collect_set("fact_type").alias("held"), F.bool_or("conflict").alias("conflict"))
+    evidence but that the report doesn't name. named: the topics that it names (of a long report, put together from its parts)."""
+    held = facts.groupBy(key).agg(F.collect_set("fact_type").alias("held"), F.bool_or("conflict").alias("conflict"))  # as many as there are topics
     rows = reports.join(held, key, "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
-    topics = dict(rules.topics)
-    missing = F.filter(F.array(*[F.when(F.array_contains("held", t) & (F.size(hits(F.col(report), topics[t])) == 0), F.lit(t)) for t in rules.required]), lambda t: t.isNotNull())
+    missing = F.filter(F.array(*map(F.lit, rules.required)), lambda t: F.array_contains("held", t) & ~F.array_contains(F.col(named), t))
     rows = rows.withColumn("missing", missing)
     found = {"rule_conflict": F.coalesce("conflict", F.lit(False)), "unsupported_claim": F.col(unsupported) > 0, "topic_missing": F.size("missing") > 0}
     codes = ordered_codes(found)

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.operators.budgets import running_total
+
 #: States in which a run has ended.
 TERMINAL = ("finished", "failed", "needs_manual_review", "interrupted")
 
 
-def revisions(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """events with their revision: 1, 2, ... in order within a run."""
-    return events.withColumn("revision", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+def revisions(events: DataFrame, key: str, time: str, ties: Sequence[str]) -> DataFrame:
+    """events with their revision: 1, 2, ... in order within a run. A run with very many events is numbered in slots of the time."""
+    rows = events.withColumn("at", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("one", F.lit(1))
+    return running_total(rows, key, "at", ties, "one", "revision").drop("at", "one")
 
 
 def duration_ms(explicit: Column, timings: Sequence[Column], terminal: Column, started: Column, ended: Column) -> Column:

@@ -47,7 +47,7 @@ def attachment_counters(spark, d):
 
 @query("select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as revision from events")
 def history_revisions(spark, d):
-    return runs.revisions(table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "revision")
+    return runs.revisions(table(spark, d, "events"), "user_id", "ts", ["event_id"]).select("event_id", "user_id", "revision")
 
 
 @query("""

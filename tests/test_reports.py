@@ -91,7 +91,7 @@ def test_domain_gate_orders_its_codes(spark):
     rules = facts.Rules(topics=(("a", ("xa",)), ("b", ("xb",))), required=("a", "b"))
     reports = frame(spark, [(1, "says xa and xb", 0), (2, "says xb", 1), (3, "nothing", 0), (4, "nothing", 0)], "k int, r string, u int")
     held = frame(spark, [(1, "a", False), (1, "b", False), (2, "a", False), (3, "b", True)], "k int, fact_type string, conflict boolean")
-    got = {r["k"]: (r["status"], r["primary_code"], r["codes"], r["missing_topics"]) for r in gates.domain_gate(reports, "k", "r", "u", held, rules).collect()}
+    got = {r["k"]: (r["status"], r["primary_code"], r["codes"], r["missing_topics"]) for r in gates.domain_gate(reports.withColumn("t", gates.named_topics(F.col("r"), rules)), "k", "t", "u", held, rules).collect()}
     assert got == {1: ("passed", "", "", ""), 2: ("blocked", "unsupported_claim", "unsupported_claim,topic_missing", "a"), 3: ("blocked", "rule_conflict", "rule_conflict,topic_missing", "b"), 4: ("passed", "", "", "")}
 
 
