@@ -161,3 +161,19 @@ def weighted_chars(parts: list[Column]) -> Column:
     for part, weight in zip(parts, WEIGHTS, strict=True):
         total = total + weight * F.coalesce(part, F.lit(0))
     return F.floor(total / 10).cast("long")
+
+
+def file_score(primary: Column, core: Column, business: Column, hits: Column, status: Column, tables: Column) -> Column:
+    """How much evidence a file holds: 40 for one of a primary record (else 12), 35 for a core one, 20 for one of the business, 2 for each
+    word up to 25, 15 if it was read and 8 less if it wasn't, and what its tables hold up to 40; 0 at least."""
+    read = F.when(status.isin("parsed_text", "parsed_summary", "parsed_table_summary", "temp_file_parsed"), 15).when(status.isin("metadata_only", "download_failed", "parse_failed", "unsupported"), -8).otherwise(0)
+    score = F.when(primary, 40).otherwise(12) + F.when(core, 35).otherwise(0) + F.when(business, 20).otherwise(0) + F.least(F.lit(25), 2 * hits) + read
+    return F.greatest(F.lit(0), score + F.least(F.lit(40), tables)).cast("long")
+
+
+def record_score(primary: Column, hits: Column, relevance: Column, files: Column) -> Column:
+    """How much evidence a record holds: 60 for a primary one (else 15 and 20 times its relevance), 2 for each word up to 30, and of the scores
+    of its files (an array) the best one and a fifth of the first three, 70 at most; 0 at least."""
+    best = F.when(F.size(files) > 0, F.least(F.lit(70), F.array_max(files) + F.floor(F.aggregate(F.slice(files, 1, 3), F.lit(0).cast("long"), lambda a, b: a + b) / 5))).otherwise(0)
+    score = F.when(primary, 60).otherwise(15 + F.floor(F.coalesce(relevance, F.lit(0.0)) * 20)) + F.least(F.lit(30), 2 * hits) + best
+    return F.greatest(F.lit(0), score).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -160,3 +161,16 @@ def canonical_hash(fields: dict[str, Column]) -> Column:
 def with_own_size(base: Column) -> Column:
     """The size of a record that holds its own size, from its size without the digits of that number: the least one that is true."""
     return (base + F.get(F.filter(F.sequence(F.lit(1), F.lit(19)), lambda k: F.length((base + k).cast("string")) == k), F.lit(0))).cast("long")
+
+
+def without_sections(c: Column, headings: Sequence[str]) -> Column:
+    """A Markdown text without the sections whose headings hold one of the words; a section ends at the next heading."""
+    words = "|".join(re.escape(h) for h in headings)
+    return F.trim(F.regexp_replace(c, f"(?ms)^#{{1,6}}[^\n]*(?:{words})[^\n]*\n?.*?(?=^#{{1,6}}\\s|\\z)", ""), F.lit(" \n"))
+
+
+def glossary_entries(c: Column) -> Column:
+    """The entries of a glossary paragraph as `term: meaning`, whatever marks stand before the term and between the two; each once."""
+    lines = F.transform(F.split(c, "[\n；;]+"), lambda x: F.regexp_replace(F.trim(x), "^(?:[-*+•]|\\d+[.)、])\\s*", ""))
+    entries = F.transform(lines, lambda x: F.regexp_replace(x, "^\\**([^:：*—-]{1,40}?)\\**\\s*(?:[:：]|—+|-{2,})\\s*", "$1: "))
+    return F.array_distinct(F.filter(entries, lambda x: x.rlike("^[^:]{1,40}: .")))

@@ -42,3 +42,8 @@ def get_or_compute(packs: DataFrame, cache: DataFrame, key: str, value: str, cha
     hits = packs.select(key).distinct().join(kept, key).withColumn("hit", F.lit(True))
     missing = packs.join(kept.select(key), key, "left_anti")
     return hits.unionByName(compute(missing).select(key, value).withColumn("hit", F.lit(False)))
+
+
+def cleaned(cache: DataFrame, time: str, status: str, failures: str, now: Column) -> DataFrame:
+    """The rows of a cache that are still good; the others are what a cleanup removes."""
+    return cache.where(F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(time).cast("timestamp")) <= ttl_seconds(F.col(status), F.col(failures)))

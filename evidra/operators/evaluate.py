@@ -20,10 +20,10 @@ def summary(samples: DataFrame, case: str, flags: Mapping[str, Column], sums: Ma
     )
 
 
-def compared(current: DataFrame, frozen: DataFrame, p95: str, deltas: Sequence[str]) -> DataFrame:
-    """One row from two summaries: each invariant, the differences of counts, whether p95 is within 1.3 times or 30 of the baseline's."""
+def compared(current: DataFrame, frozen: DataFrame, p95: str, deltas: Sequence[str], excluded: str) -> DataFrame:
+    """One row from two summaries: each invariant (the same cases must be excluded, too), the differences of counts, whether p95 is within 1.3 times or 30 of the baseline's."""
     both = current.select(F.lit(1).alias("k"), F.struct("*").alias("c")).join(frozen.select(F.lit(1).alias("k"), F.struct("*").alias("b")), "k")
-    holds = {n: F.col(f"c.{n}") == 0 for n in NONE_OF} | {n: F.col(f"c.{n}") == F.col("c.sample_count") for n in ALL_OF}
+    holds = {n: F.col(f"c.{n}") == 0 for n in NONE_OF} | {n: F.col(f"c.{n}") == F.col("c.sample_count") for n in ALL_OF} | {excluded: F.col(f"c.{excluded}").eqNullSafe(F.col(f"b.{excluded}"))}
     limit = F.greatest(1.3 * F.col(f"b.{p95}"), F.col(f"b.{p95}") + 30)
     fast = F.col(f"c.{p95}") <= limit
     every = fast

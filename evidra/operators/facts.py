@@ -14,13 +14,15 @@ from evidra.functions.text import collapse_space, fold_width, hits
 @dataclass(frozen=True)
 class Rules:
     """topics: (type, labels) in order; forbidden: phrases whose sentences say nothing; scalar: types that have one value for each
-    record; durations: types whose value is a duration; required: types that a report must cover where there is evidence."""
+    record; durations: types whose value is a duration; required: types that a report must cover where there is evidence; sections: (id, words of its
+    heading) of the sections that a report needs."""
 
     topics: tuple[tuple[str, tuple[str, ...]], ...]
     forbidden: tuple[str, ...] = ()
     scalar: tuple[str, ...] = ()
     durations: tuple[str, ...] = ()
     required: tuple[str, ...] = ()
+    sections: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     def __post_init__(self):
         types = [t for t, _ in self.topics]
@@ -43,6 +45,10 @@ PROCUREMENT = Rules(
     forbidden=("具体见采购文件", "具体数值见采购文件", "按采购文件执行", "详见采购文件", "以采购文件为准", "资料未显示", "需人工核验", "证据不足"),
     scalar=("procurement_cycle", "region", "institution", "publication_date"), durations=("procurement_cycle",),
     required=("procurement_varieties", "procurement_cycle", "alliance_provinces", "group_price_table", "quote_rules", "selection_rules", "agreed_purchase_volume"),
+    sections=(
+        ("overview", ("公告要点", "项目概况", "导语", "核心结论")), ("core_rules", ("核心规则", "采购品种", "产品范围", "报价要求", "价格机制")), ("actions", ("时间节点", "操作步骤", "申报操作", "执行安排")),
+        ("impact_and_risk", ("企业影响", "风险提示", "执行关注")), ("recommendations", ("企业操作建议", "操作建议", "企业建议")),
+    ),
 )
 
 
@@ -63,6 +69,13 @@ def candidates(records: DataFrame, record: str, item: str, text: str, rules: Rul
     return named.withColumn("normal", normal).where("normal is not null")
 
 
+def table_rows(cells: DataFrame, record: str, row: list[str], column: str, value: str) -> DataFrame:
+    """(record, item, text): the cells of each row in the order of their columns, as one text, to find facts in; item tells the row."""
+    said = F.transform(F.sort_array(F.collect_list(F.struct(column, F.trim(F.col(value)).alias("v")))), lambda x: x.v)
+    joined = F.array_join(F.filter(said, lambda v: v != ""), " | ")
+    return cells.groupBy(record, *row).agg(joined.alias("text")).select(record, F.concat_ws(":", *row).alias("item"), "text")
+
+
 def topic_facts(records: DataFrame, record: str, item: str, text: str, rules: Rules) -> DataFrame:
     """(fact_key, fact_type, record, candidates, distinct_values, conflict, item, value): a fact of a scalar type is known by its record
     and type, any other by its value, too. Candidates that differ in a scalar's value are a conflict, and none of them stays; else the

@@ -25,20 +25,29 @@ def named_topics(report: Column, rules: Rules) -> Column:
     return F.filter(F.array(*[F.when(F.size(hits(report, words)) > 0, F.lit(t)) for t, words in rules.topics]), lambda t: t.isNotNull())
 
 
-def domain_gate(reports: DataFrame, key: str, named: str, unsupported: str, facts: DataFrame, rules: Rules) -> DataFrame:
+def domain_gate(reports: DataFrame, key: str, named: str, unsupported: str, facts: DataFrame, rules: Rules, headings: str | None = None, further: dict[str, Column] | None = None) -> DataFrame:
     """(key, status, primary_code, codes, missing_topics): conflicts between facts, unsupported claims, and required topics that have
-    evidence but that the report doesn't name. named: the topics that it names (of a long report, put together from its parts)."""
+    evidence but that the report doesn't name, and required sections that none of its headings (an array) names; `further` adds conditions for
+    other codes of PRIORITY, such as claims that rest on level C. named: the topics that it names (of a long report, put together from its parts)."""
     held = facts.groupBy(key).agg(F.collect_set("fact_type").alias("held"), F.bool_or("conflict").alias("conflict"))  # as many as there are topics
     rows = reports.join(held, key, "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
-    missing = F.filter(F.array(*map(F.lit, rules.required)), lambda t: F.array_contains("held", t) & ~F.array_contains(F.col(named), t))
+    missing = F.filter(F.array(*map(F.lit, rules.required)).cast("array<string>"), lambda t: F.array_contains("held", t) & ~F.array_contains(F.col(named), t))
     rows = rows.withColumn("missing", missing)
     found = {"rule_conflict": F.coalesce("conflict", F.lit(False)), "unsupported_claim": F.col(unsupported) > 0, "topic_missing": F.size("missing") > 0}
-    codes = ordered_codes(found)
+    if headings is not None and rules.sections:
+        found["section_missing"] = F.size(missing_sections(F.col(headings), rules)) > 0
+    codes = ordered_codes(found | (further or {}))
     return rows.withColumn("c", codes).select(
         key, F.when(F.size("c") > 0, "blocked").otherwise("passed").alias("status"), F.coalesce(F.try_element_at("c", F.lit(1)), F.lit("")).alias("primary_code"), F.array_join("c", ",").alias("codes"), F.array_join("missing", ",").alias("missing_topics")
     )
 
 
+def missing_sections(headings: Column, rules: Rules) -> Column:
+    """Ids of the required sections that no heading names."""
+    there = lambda words: F.exists(headings, lambda h: F.size(hits(h, words)) > 0)
+    return F.filter(F.array(*[F.when(~there(words), F.lit(name)) for name, words in rules.sections]), lambda x: x.isNotNull())
+
+
 def ordered_codes(found: dict[str, Column], order: Sequence[str] = PRIORITY) -> Column:
     """The codes whose conditions hold, in the order of their priority."""
     return F.filter(F.array(*[F.when(found[c], F.lit(c)) for c in order if c in found]), lambda c: c.isNotNull())

@@ -143,10 +143,16 @@ def leaked(reports: DataFrame, key: str, report: str, history: str, evidence: st
     return facts.unionByName(rows.select(key, F.lit("heading").alias("kind"), F.explode(hits(F.col(report), forbidden)).alias("found")))
 
 
-def cells_without_evidence(parts: DataFrame, key: str, evidence: DataFrame, marker: str) -> DataFrame:
+#: Words by which a section tells that its percentages are calculated, and of which column.
+CALCULATED, SHARES = ("按表内数据测算", "计算值", "测算"), ("占比", "比例", "百分比")
+
+
+def cells_without_evidence(parts: DataFrame, key: str, evidence: DataFrame, marker: str, calculated: Sequence[str] = CALCULATED, shares: Sequence[str] = SHARES) -> DataFrame:
     """(key, place, marker) for markers of table rows that no line of the report's evidence (key, line) has together with the row's first
-    cell: a number of another row is no support."""
+    cell: a number of another row is no support. Percentages of a section that tells how it calculated them need none."""
     cells = F.split("text", " \\| ")
-    rows = parts.where("part = 'row'").select(key, "place", F.trim(cells[0]).alias("row_key"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(marker), F.lit(0)))).alias("marker")).where("row_key <> marker")
+    context = parts.groupBy(key, "section_no").agg((F.bool_or(F.size(hits(F.col("text"), calculated)) > 0) & F.bool_or(F.size(hits(F.col("text"), shares)) > 0)).alias("free"))
+    of_rows = parts.where("part = 'row'").join(context, [key, "section_no"])
+    rows = of_rows.select(key, "place", "free", F.trim(cells[0]).alias("row_key"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(marker), F.lit(0)))).alias("marker")).where("row_key <> marker and not (free and marker like '%\\%%')")
     found = rows.join(evidence, key).where(F.contains("line", "row_key") & F.regexp_like("line", F.concat(F.lit("(?<![0-9.])\\Q"), "marker", F.lit("\\E(?![0-9])")))).select(key, "place", "marker").distinct()
     return rows.select(key, "place", "marker").join(found, [key, "place", "marker"], "left_anti")

@@ -51,3 +51,16 @@ def scoped_items(items: DataFrame, contexts: DataFrame, item: str, context: str,
     scope = lambda rows, key, scopes: rows.select(key, F.explode(F.array_compact(scopes)).alias("scope")).distinct()
     both = scope(items, item, F.col("scopes")).join(scope(contexts, context, F.concat("scopes", F.array(F.lit("global")))), "scope").select(context, item).distinct()
     return first_children(both, context, [F.col(item)], most)
+
+
+def lookups(records: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The wanted keys with their record's columns and a status: 200 where it is, 404 where it isn't."""
+    known = records.join(F.broadcast(wanted.select(key)), key, "left_semi").withColumn("status", F.lit(200))  # wanted is a request
+    return wanted.select(key).join(known, key, "left").withColumn("status", F.coalesce("status", F.lit(404)))
+
+
+def unique_names(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """rows with `unique_name`: the first of equal names keeps it, later ones get a number before their ending."""
+    n = F.row_number().over(Window.partitionBy(name).orderBy(*order))
+    numbered = F.regexp_replace(F.col(name), "(\\.[A-Za-z0-9]{1,5})?$", F.concat(F.lit("_"), n, F.lit("$1")))
+    return rows.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.regexp_replace(numbered, "(_[0-9]+)(\\.[A-Za-z0-9]{1,5})?\\1$", "$1$2")))

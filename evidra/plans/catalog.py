@@ -509,7 +509,7 @@ def memory_scope_match(spark, d):
     return records.scoped_items(items, contexts, "doc_id", "pack", 8)
 
 
-# extensions: not among the operators of the reference, but Spark has them
+# extensions: not among the surveyed operators, but Spark has them
 
 
 @query("select coalesce(l_returnflag, '*') as flag, coalesce(l_linestatus, '*') as status, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem group by rollup (l_returnflag, l_linestatus)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidra import sinks, sources
 from evidra.functions import scalars, text
-from evidra.operators import budgets, documents, evaluate, evidence, gates, grids, predicates
+from evidra.operators import budgets, documents, evaluate, evidence, gates, grids, predicates, records
 from evidra.plans.registry import query, quoted
 from evidra.sinks import docx
 from evidra.sources import files, table
@@ -54,6 +54,30 @@ def claim_texts(spark, d):
     return table(spark, d, "part").select("p_partkey", text.claim_text(said).alias("claim"), (F.length(text.claim_text(plain)) >= 9).alias("states_something"))
 
 
+@query("""
+with w as (select unnest([1, 2, 3, 999999999]) as o_orderkey) select w.o_orderkey, o_orderstatus, case when o.o_orderkey is null then 404 else 200 end as status from w left join orders o using (o_orderkey)""")
+def record_lookup(spark, d):
+    wanted = spark.createDataFrame([(1,), (2,), (3,), (999_999_999,)], "o_orderkey long")
+    return records.lookups(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), wanted, "o_orderkey")
+
+
+@query("""
+with n as (select p_partkey, p_brand || '.docx' as name, row_number() over (partition by p_brand order by p_partkey) as k from part) select p_partkey, case when k = 1 then name else replace(name, '.docx', '_' || k || '.docx') end as unique_name from n""")
+def unique_names(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit(".docx")).alias("name"))
+    return records.unique_names(rows, "name", [F.col("p_partkey")]).select("p_partkey", "unique_name")
+
+
+@query("""
+with f as (select l_orderkey, list((40 + case when l_returnflag = 'R' then 35 else 0 end + case when l_linestatus = 'O' then 20 else 0 end + least(25, 2 * l_linenumber) + case when l_quantity > 25 then 15 else -8 end + least(40, cast(floor(l_tax * 500) as int))) order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as files from lineitem group by 1)
+select o_orderkey, coalesce(len(files), 0) as n_files, cast(greatest(0, 60 + least(30, 2 * (o_orderkey % 20)) + case when len(files) > 0 then least(70, list_max(files) + floor(list_sum(files[1:3]) / 5)) else 0 end) as bigint) as score from orders left join f on l_orderkey = o_orderkey""")
+def record_scores(spark, d):
+    of = scalars.file_score(F.lit(True), F.col("l_returnflag") == "R", F.col("l_linestatus") == "O", F.col("l_linenumber"), F.when(F.col("l_quantity") > 25, "parsed_text").otherwise("metadata_only"), F.floor(F.col("l_tax") * 500).cast("int"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", of.alias("s")))), lambda x: x.s).alias("files"))
+    rows = table(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("files", F.coalesce("files", F.array().cast("array<bigint>")))
+    return rows.select("o_orderkey", F.size("files").cast("long").alias("n_files"), scalars.record_score(F.lit(True), F.col("o_orderkey") % 20, F.lit(0.0), F.col("files")).alias("score"))
+
+
 # corpora and packs
 
 

@@ -131,6 +131,17 @@ def topic_facts(spark, d):
     return facts.topic_facts(table(spark, d, "documents"), "source", "doc_id", "text", RULES)
 
 
+@query("""
+with r as (select p_brand, p_partkey, p_name || ' | ' || p_type || ' | ' || p_size as t from part), c as (select p_brand, p_partkey, y.fact_type, y.label, t from r, (select unnest([{'fact_type': 'metal', 'label': 'STEEL'}, {'fact_type': 'metal', 'label': 'TIN'}, {'fact_type': 'size', 'label': 'SMALL'}], recursive := true)) y where contains(t, y.label))
+select p_brand, fact_type, count(distinct t) as facts, count(*) as candidates from c group by 1, 2""")
+def table_facts(spark, d):
+    """Facts from rows of tables: the cells of a row as one text."""
+    cells = table(spark, d, "part").select("p_brand", "p_partkey", F.posexplode(F.array("p_name", "p_type", F.col("p_size").cast("string"))).alias("c", "v"))
+    rules = facts.Rules(topics=(("metal", ("STEEL", "TIN")), ("size", ("SMALL",))))
+    found = facts.topic_facts(facts.table_rows(cells, "p_brand", ["p_partkey"], "c", "v"), "p_brand", "item", "text", rules)
+    return found.groupBy("p_brand", "fact_type").agg(F.count(F.lit(1)).alias("facts"), F.sum("candidates").alias("candidates"))
+
+
 @query(f"""
 with {_SQL_FACTS}, t as (select source, list_sort(list(distinct fact_type)) as held, bool_or(distinct_values > 1) as conflict from g group by 1),
 r as (select source, string_agg(text, chr(10) order by doc_id) as report, count(*) filter (toxic = 1) as unsupported, count(*) filter (quality = 0) as weak from documents join labels using (doc_id) group by 1),

@@ -200,6 +200,16 @@ def compact_cache(spark, d):
     return caches.get_or_compute(packs, cached, "pack", "chars", "chars", lambda rows: rows.groupBy("pack").agg(F.min("chars").alias("chars")), most=3000)
 
 
+@query(f"""
+with n as (select max(ts) as now from events), c as (select event_id, user_id, ts, {_SQL_STATUS} as status, cast(value / 25 as bigint) as failures from events)
+select event_id, user_id, status from c, n where floor(epoch(now) - epoch(ts)) <= case when status = 'download_failed' then case when failures >= 3 then 7200 else 600 end else 1728000 + 864000 end""")
+def cache_cleanup(spark, d):
+    events = table(spark, d, "events")
+    now = F.lit(events.agg(F.max("ts").alias("n")).first()["n"])
+    rows = events.select("event_id", "user_id", "ts", F.round(F.col("value") / 25).cast("long").alias("failures"), _status().alias("status"))
+    return caches.cleaned(rows, "ts", "status", "failures", now).select("event_id", "user_id", "status")
+
+
 # budgets
 
 
@@ -261,7 +271,11 @@ def _summary(spark, d, lang=None):
         "passed_count": F.col("quality") == 1, "failed_count": F.col("quality") != 1, "forbidden_count": F.col("toxic") == 1, "contradiction_count": ~whole, "missing_id_count": F.col("lang") == "", "hash_complete_count": F.col("text") != "",
         "metrics_complete_count": F.col("quality").isNotNull() & F.col("toxic").isNotNull(), "replayable_count": whole,
     }
-    return evaluate.summary(rows, "source", flags, {"chars": F.col("n_chars")}, "n_chars", "seconds")
+    out = evaluate.summary(rows, "source", flags, {"chars": F.col("n_chars")}, "n_chars", "seconds")
+    if lang is None:
+        return out
+    left_out = rows.where("quality is null").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("excluded"))  # cases, not samples
+    return out.join(left_out)
 
 
 _SQL_SIDE = "select count(*) as n, count(*) filter (quality <> 1) as failed, count(*) filter (toxic = 1) as forbidden, count(*) filter (quality = 1) as passed, count(*) filter (text <> '') as hashes, quantile_disc(n_chars / 100.0, 0.95) as p95 from documents join labels using (doc_id) where lang"
@@ -269,11 +283,11 @@ _SQL_SIDE = "select count(*) as n, count(*) filter (quality <> 1) as failed, cou
 
 @query(f"""
 with c as ({_SQL_SIDE} = 'en'), b as ({_SQL_SIDE} = 'fr')
-select c.failed = 0 as holds_failed_count, c.forbidden = 0 as holds_forbidden_count, true as holds_contradiction_count, true as holds_missing_id_count, c.hashes = c.n as holds_hash_complete_count, true as holds_metrics_complete_count, true as holds_replayable_count,
+select c.failed = 0 as holds_failed_count, c.forbidden = 0 as holds_forbidden_count, true as holds_contradiction_count, true as holds_missing_id_count, c.hashes = c.n as holds_hash_complete_count, true as holds_metrics_complete_count, true as holds_replayable_count, true as holds_excluded,
  c.passed - b.passed as delta_passed_count, c.forbidden - b.forbidden as delta_forbidden_count, round(greatest(1.3 * b.p95, b.p95 + 30), 3) as p95_limit, c.p95 <= greatest(1.3 * b.p95, b.p95 + 30) as p95_passed,
  c.failed = 0 and c.forbidden = 0 and c.hashes = c.n and c.p95 <= greatest(1.3 * b.p95, b.p95 + 30) as passed from c, b""")
 def baseline_compare(spark, d):
-    return evaluate.compared(_summary(spark, d, "en"), _summary(spark, d, "fr"), "seconds_p95", ["passed_count", "forbidden_count"])
+    return evaluate.compared(_summary(spark, d, "en"), _summary(spark, d, "fr"), "seconds_p95", ["passed_count", "forbidden_count"], "excluded")
 
 
 @query("""

@@ -187,3 +187,26 @@ def test_open_external_steps_block_a_resume(spark):
     rows = [(1, "prepare", "completed", 1), (1, "provider", "started", 2), (2, "prepare", "completed", 1), (2, "provider", "started", 2), (2, "provider", "completed", 3), (3, "prepare", "started", 1), (4, "compact", "completed", 1), (4, "compact", "failed", 2)]
     got = {r["r"]: (r["blocked"], r["resumed_from"], r["next_step"], r["skipped"]) for r in runs.checkpoint_plan(frame(spark, rows, "r int, s string, st string, n int"), "r", "s", F.col("st"), ["n"], steps, "provider").collect()}
     assert got == {1: (True, "prepare", "", "prepare"), 2: (False, "provider", "compact", "prepare,provider"), 3: (False, "", "prepare", ""), 4: (False, "", "prepare", "")}
+
+
+def test_sections_of_a_report(spark):
+    headings = frame(spark, [(["公告要点", "核心规则", "时间节点与步骤"],), ([],)], "h array<string>").select(gates.missing_sections(F.col("h"), facts.PROCUREMENT)).collect()
+    assert [r[0] for r in headings] == [["impact_and_risk", "recommendations"], ["overview", "core_rules", "actions", "impact_and_risk", "recommendations"]]
+    reports = frame(spark, [(1, 0, ["x"], False), (2, 0, ["公告要点"], True)], "k int, u int, h array<string>, c boolean")
+    rules = facts.Rules(topics=(("a", ("xa",)),), sections=(("overview", ("公告要点",)),))
+    none = frame(spark, [], "k int, fact_type string, conflict boolean")
+    got = gates.domain_gate(reports.withColumn("t", F.array().cast("array<string>")), "k", "t", "u", none, rules, "h", {"c_level_used": F.col("c")}).collect()
+    assert {r["k"]: r["codes"] for r in got} == {1: "section_missing", 2: "c_level_used"}
+
+
+def test_calculated_percentages_need_no_evidence(spark):
+    rows = [(1, "# t\n## s\n按表内数据测算。\n| 企业 | 占比 |\n|---|---|\n| 甲 | 15% |"), (2, "# t\n## s\n| 企业 | 占比 |\n|---|---|\n| 甲 | 15% |")]
+    parts = markdown.parts_of(markdown.lines(frame(spark, rows, "k int, m string"), "k", "m"), "k")
+    nothing = frame(spark, [(1, "x"), (2, "x")], "k int, line string")
+    assert [r["k"] for r in markdown.cells_without_evidence(parts, "k", nothing, "[0-9]+%").collect()] == [2]
+
+
+def test_sections_and_glossaries(spark):
+    one = lambda c, s: frame(spark, [(s,)], "s string").select(c(F.col("s"))).first()[0]
+    assert one(lambda c: text.without_sections(c, ["材料说明", "附件说明"]), "# T\na\n## 材料说明\nb\n### c\nd\n## 附件说明（1）\ne") == "# T\na\n### c\nd"
+    assert one(text.glossary_entries, "- **中选价**：合同价\n2. 集采 —— 集中采购；无\n中选价: 合同价") == ["中选价: 合同价", "集采: 集中采购"]
