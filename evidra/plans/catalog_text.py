@@ -164,6 +164,18 @@ def important_sections(spark, d):
     return sections.withColumn("place", place.cast("long")).where("place <= 12").select("doc_id", "topic", "section", "place")
 
 
+_SQL_NAMED = ", ".join(f"case when len(list_filter(s, lambda x: len(list_filter([{quoted(w)}], lambda k: contains(x, k))) > 0)) > 0 then '{n}: ' || left(array_to_string(list_filter(s, lambda x: len(list_filter([{quoted(w)}], lambda k: contains(x, k))) > 0)[1:3], '; '), 500) end" for n, w in TOPICS)
+
+
+@query(f"""
+with d as (select doc_id, {_SPLIT} as s from documents), n as (select doc_id, s, list_filter([{_SQL_NAMED}], lambda x: x is not null) as named from d),
+r as (select doc_id, named, list_filter(s, lambda x: (contains(x, 'Version') or contains(x, 'with')) and len(list_filter(named, lambda p: contains(p, x))) = 0) as rest from n)
+select doc_id, array_to_string(list_concat(named, list_transform(rest, lambda x: left(x, 500)))[1:12], ' / ') as parts, least(12, len(named) + len(rest)) as n from r""")
+def important_parts(spark, d):
+    parts = text.important_parts(F.col("text"), TOPICS, ("Version", "with"))
+    return table(spark, d, "documents").select("doc_id", parts.alias("p")).select("doc_id", F.array_join("p", " / ").alias("parts"), F.size("p").cast("long").alias("n"))
+
+
 @query(r"""
 with s as (select doc_id, unnest(regexp_extract_all(regexp_replace(text, '([.!?;])\s*', '\1' || chr(1), 'g'), '[^\x01\n]+')) as p from documents)
 select doc_id, count(*) as n, max(length(trim(p))) as longest, count(*) filter (regexp_matches(trim(p), '[.!?;]$')) as ended from s where length(trim(p)) >= 12 group by 1""")
