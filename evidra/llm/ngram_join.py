@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import bounded_batches, bytes_of, join_counted, n_partitions, slices, small_side, staged
+from evidra.llm.common import bounded_batches, bytes_of, join_counted, n_partitions, release_memory, slices, small_side, staged
 from evidra.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -50,7 +50,7 @@ WORDS, PERCENT = 5, 80
 TOP = 1 << 20
 #: All that occur twice or more are marked in a bitmap of so many bits by the start of their hash, sent as well.
 MARK_BITS = 27
-FRAGMENTS, BLOCK, PIVOTS, ORDER_BITS, FLUSH = 4, 64, 4, 40, 1_500_000
+FRAGMENTS, BLOCK, PIVOTS, ORDER_BITS, FLUSH = 4, 64, 4, 40, 1_000_000
 #: N-grams of so many documents have a list of their own, which is cut by task instead of gathering in a bucket.
 LONG_LIST = 4096
 BROADCAST_DOCS = 1_000_000
@@ -61,7 +61,7 @@ class _Hashes(dict):
     """Hashes of words; forgets all when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 120_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -176,6 +176,8 @@ def global_order(rows: DataFrame, n: int = WORDS, top: int = TOP) -> Order:
                     held, size = [], 0
         if size:
             yield flush()
+        held = []
+        release_memory()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), group in _groups(batches, 1):
@@ -206,7 +208,9 @@ def global_order(rows: DataFrame, n: int = WORDS, top: int = TOP) -> Order:
         part = np.frombuffer(r["marks"], np.uint8)
         marks[r["low"] : r["low"] + len(part)] |= part
     del found
-    return Order(grams[order], counts[order], marks)
+    out = Order(grams[order], counts[order], marks)
+    release_memory()
+    return out
 
 
 def frequency(grams: np.ndarray, order: Order) -> np.ndarray:
@@ -278,6 +282,8 @@ def prefixes(rows: DataFrame, top, n: int, percent: int, buckets: int, long_list
             yield _table(out, types, names)
         if size:
             yield flush()
+        grams, owners, places, lists, classes = [], [], [], {}, set()
+        release_memory()
 
     return rows.mapInArrow(run, schema)
 

@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import bucket_of, bytes_of, ids_in_hash_order, rows_with_ids, sigmoid, slices, training_rows
+from evidra.llm.common import bucket_of, bytes_of, ids_in_hash_order, release_memory, rows_with_ids, sigmoid, slices, training_rows
 
 SPAN, LAMBDA, STARTS, LANDMARKS = 7, 0.7, 9, 192
 BITS = 6  # of a symbol
@@ -146,12 +147,13 @@ class Landmarks:
     at: np.ndarray
     features: np.ndarray
 
-    def kernel(self, units: np.ndarray, step: int = 512) -> np.ndarray:
-        out = []
+    def kernel(self, units: np.ndarray, step: int = 64) -> np.ndarray:
+        """In steps, as the subsequences of a step stand side by side in memory."""
+        out = np.zeros((len(units), self.features.shape[1]), np.float32)
         for i in range(0, len(units), step):
             found, weights = subsequences(units[i : i + step])
-            out.append(np.einsum("ust,s->ut", self.features[self.at[found]], weights))
-        return np.vstack(out) if out else np.zeros((0, self.features.shape[1]), np.float32)
+            np.einsum("ust,s->ut", self.features[self.at[found]], weights, out=out[i : i + step])
+        return out
 
 
 def choose_landmarks(groups: list[tuple[np.ndarray, int]]) -> Landmarks:
@@ -178,17 +180,25 @@ def choose_landmarks(groups: list[tuple[np.ndarray, int]]) -> Landmarks:
     return Landmarks(at, features)
 
 
-def fit_machine(z: np.ndarray, y: np.ndarray, c: float = 4.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with squared hinge loss, by Newton steps; y is 1 or -1. Classes count equally."""
-    n, m = z.shape
-    x = np.hstack([z, np.ones((n, 1))])
+def fit_machine(parts: list[tuple[np.ndarray, float]], c: float = 4.0, steps: int = 30, block: int = 1024) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine with squared hinge loss, by Newton steps, from (rows, class of 1 or -1). Classes count
+    equally. Normal equations are summed over blocks of rows, so beside the rows only a block stands in memory."""
+    y = np.concatenate([np.full(len(z), label) for z, label in parts])
+    blocks = [(z[i : i + block], label) for z, label in parts for i in range(0, len(z), block)]
+    n, m = len(y), parts[0][0].shape[1]
     cost = c * np.where(y > 0, 1 / max((y > 0).sum(), 1), 1 / max((y < 0).sum(), 1)) * n / 2
     ridge = np.diag([1.0] * m + [1e-3])
     w = np.zeros(m + 1)
     for _ in range(steps):
-        on = y * (x @ w) < 1
-        xo = x[on] * cost[on, None]
-        new = np.linalg.solve(ridge + xo.T @ x[on], xo.T @ y[on])
+        gram, side, at = ridge.copy(), np.zeros(m + 1), 0
+        for z, label in blocks:
+            x = np.hstack([z, np.ones((len(z), 1))])
+            on = label * (x @ w) < 1
+            weighted = x[on] * cost[at : at + len(z)][on, None]
+            gram += weighted.T @ x[on]
+            side += label * weighted.sum(0)
+            at += len(z)
+        new = np.linalg.solve(gram, side)
         if np.abs(new - w).max() < 1e-7:
             break
         w = new
@@ -221,9 +231,10 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 4, seed: int = 7)
     bad, good, seen = Counter(), Counter(), set()
     for t, y in zip(texts, toxic, strict=True):
         words = frozenset(_words(t))
-        if words in seen:
+        same = xxhash.xxh3_128_digest(b" ".join(sorted(words)))
+        if same in seen:
             continue  # copies say nothing new about their words
-        seen.add(words)
+        seen.add(same)
         (bad if y else good).update(words)
     if not bad or not good:
         return constant
@@ -252,7 +263,7 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 4, seed: int = 7)
     sequences = [np.concatenate([symbols(t), _PAD]).astype(np.uint8) for t in texts]
     weights = np.zeros(SIZE, np.float32)
     for step in range(rounds):
-        w, bias = fit_machine(np.vstack([zp, zn]).astype(float), np.r_[np.ones(len(zp)), -np.ones(len(zn))])
+        w, bias = fit_machine([(zp, 1.0), (zn, -1.0)])
         table = mapped.features @ w
         table[0] = 0
         weights = table[mapped.at].astype(np.float32)
@@ -312,7 +323,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_
         once = there.filter(F.length("text") <= MOST_CHARS).groupBy("doc_id").agg(F.min("text").alias("text"))
         found = sorted((r["doc_id"], r["text"]) for r in once.collect())  # most_toxic + most_clean rows at most
     positive = set(bad)
-    return train([t.encode() for _, t in found], np.array([i in positive for i, _ in found], int))
+    toxic = np.array([i in positive for i, _ in found], int)
+    texts = [t.encode() for _, t in found]
+    del found
+    model = train(texts, toxic)
+    del texts
+    release_memory()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
