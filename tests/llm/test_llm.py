@@ -604,6 +604,19 @@ def test_windows_predict_every_id_and_end():
     assert (windows[:, lm_scoring.BLOCK] == lm_scoring.START).sum() == len(texts)
 
 
+def test_pairs_of_ids(spark):
+    """Against plain counting; words without ids, of one id, and the empty word, which stands for the ends."""
+    rows = [(b"", 9), (b"one", 3), (b"thonen", 2), (b"thon", 5), (b"\x00", 1), ("\u4e2d\u6587".encode(), 4)] + [(f"w{i}x".encode(), i + 1) for i in range(300)]
+    got = lm_scoring.pair_counts(spark.createDataFrame(rows, "word binary, n long").repartition(3), PIECES).collect()
+    model, wanted = lm_scoring.load(PIECES), {}
+    for w, n in rows[1:]:
+        ids = [lm_scoring.START, *(model.encode(w.decode()) or [lm_scoring.UNKNOWN]), lm_scoring.END]
+        for pair in zip(ids, ids[1:]):
+            a, b = wanted.get(pair, (0, 0))
+            wanted[pair] = a + n, b + 1
+    assert {(r["a"], r["b"]): (r["n"], r["words"]) for r in got} == wanted
+
+
 def small_frame(spark):
     few = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
     pairs = lm_scoring.pair_counts(lm_scoring.word_counts(few), PIECES)
