@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import byte_bpe, exact_dedup, fingerprints, lm_scoring, ngram_join, packing, quality, secrets, token_counts, toxicity
+from evidra.llm import byte_bpe, exact_dedup, filter_audit, fingerprints, lm_scoring, ngram_join, packing, quality, secrets, token_counts, toxicity
 from evidra.llm.common import documents, labels
 
 
@@ -53,13 +53,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels(spark, sf_dir)))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = [op1_ngram_join, op2_lm_scoring, op3_quality, op4_byte_bpe, op5_packing, op6_token_counts, op7_exact_dedup, op8_fingerprints, op9_secrets, op10_toxicity, pipeline]
+_ALL = [op1_ngram_join, op2_lm_scoring, op3_quality, op4_byte_bpe, op5_packing, op6_token_counts, op7_exact_dedup, op8_fingerprints, op9_secrets, op10_toxicity, op12_filter_audit, pipeline]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -82,4 +86,20 @@ select n.doc_id, n.n as n_shingles, min(r.root) as component_id from n join r on
 with t as (select doc_id, {_LOWER} as s from documents)
 select doc_id, max(doc_id) over (partition by s) as keep_id, count(*) over (partition by s) as group_size,
  row_number() over (partition by s order by doc_id desc nulls last) = 1 as kept, sha256(s) as text_sha256 from t""",
+    "op12_filter_audit": """
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as a, min(doc_id) over (partition by t) as least from d),
+l as (select doc_id, coalesce(max((quality = 1)::int), 0) = 1 as good, coalesce(max((toxic = 1)::int), 0) = 1 as toxic from labels group by 1),
+f as (select part, concat(case when len(a) < 200 then 'A' end, case when 100 * len(list_distinct(a)) < 50 * len(a) then 'B' end,
+    case when 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) then 'C' end, case when regexp_matches(t, '[#$%&*|]') then 'D' end,
+    case when least < w.doc_id then 'E' end) as fails, coalesce(good, false) as good, coalesce(toxic, false) as toxic from w left join l using (doc_id)),
+s as (select part, fails, count(*) as n, count_if(good) as good, count_if(toxic) as toxic from f group by 1, 2),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select p.x || q.x || r.x || u.x || v.x as filter_order from x p, x q, x r, x u, x v where len(list_distinct([p.x, q.x, r.x, u.x, v.x])) = 5),
+g as (select filter_order, step, filter_order[step:step] as filter, filter_order[1:step - 1] as prior from o, (select unnest(range(1, 6))::int as step)),
+c as (select s.*, g.*, length(translate(prior, fails, '')) = step - 1 as there, contains(fails, filter) as failing from s, g),
+r as (select part, filter_order, step, filter, coalesce(sum(n) filter (there and not failing), 0)::bigint as kept, coalesce(sum(n) filter (there and failing), 0)::bigint as removed,
+    coalesce(sum(n) filter (failing and not there), 0)::bigint as redundant, coalesce(sum(n) filter (fails = filter), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (there and failing), 0)::bigint as good_lost, coalesce(sum(toxic) filter (there and failing), 0)::bigint as toxic_lost from c group by 1, 2, 3, 4)
+select *, (sum(removed) over (partition by part, filter))::bigint as shapley from r""",
 }
