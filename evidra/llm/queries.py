@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import byte_bpe, exact_dedup, filter_audit, fingerprints, lm_scoring, ngram_join, packing, quality, secrets, token_counts, toxicity
+from evidra.llm import byte_bpe, exact_dedup, filter_audit, fingerprints, lm_scoring, merkle, ngram_join, packing, quality, secrets, token_counts, toxicity
 from evidra.llm.common import documents, labels
 
 
@@ -57,13 +57,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = [op1_ngram_join, op2_lm_scoring, op3_quality, op4_byte_bpe, op5_packing, op6_token_counts, op7_exact_dedup, op8_fingerprints, op9_secrets, op10_toxicity, op12_filter_audit, pipeline]
+_ALL = [op1_ngram_join, op2_lm_scoring, op3_quality, op4_byte_bpe, op5_packing, op6_token_counts, op7_exact_dedup, op8_fingerprints, op9_secrets, op10_toxicity, op12_filter_audit, op13_merkle_manifest, pipeline]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -102,4 +106,26 @@ r as (select part, filter_order, step, filter, coalesce(sum(n) filter (there and
     coalesce(sum(n) filter (failing and not there), 0)::bigint as redundant, coalesce(sum(n) filter (fails = filter), 0)::bigint as unique_fails,
     coalesce(sum(good) filter (there and failing), 0)::bigint as good_lost, coalesce(sum(toxic) filter (there and failing), 0)::bigint as toxic_lost from c group by 1, 2, 3, 4)
 select *, (sum(removed) over (partition by part, filter))::bigint as shapley from r""",
+    "op13_merkle_manifest": """
+with recursive d as (select *, case when list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) is null then null
+  else xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) end as crc from documents),
+f as (select doc_id, lang, coalesce(crc % 7 = 0, false) as hit, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail, n_chars, n_chars + 1 as more from d),
+l as (select doc_id, lang, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+    sha256(head || coalesce(strlen((case when hit then more else n_chars end)::varchar) || ':' || (case when hit then more else n_chars end), '-') || tail) as changed from f),
+p as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from l),
+t as (select lang, n, 0 as level, i, leaf as h from p
+  union all select lang, (n + 1) // 2, level + 1, i // 2, sha256(h || coalesce(h2, '')) from (select *, lead(h) over (partition by lang order by i) as h2 from t) where n > 1 and i % 2 = 0),
+g as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from t where n = 1),
+r as (select n, 0 as level, i, subroot as h from g
+  union all select (n + 1) // 2, level + 1, i // 2, sha256(h || coalesce(h2, '')) from (select *, lead(h) over (order by i) as h2 from r) where n > 1 and i % 2 = 0),
+w as (select doc_id, leaf, lang, 0 as level, i, n, changed as own, '' as proof from p
+  union all select doc_id, leaf, w.lang, w.level + 1, w.i // 2, (w.n + 1) // 2, sha256(case when w.i % 2 = 0 then own || coalesce(h, '') else coalesce(h, '') || own end), proof || coalesce(h, '')
+  from w left join t on t.lang is not distinct from w.lang and t.level = w.level and t.i = xor(w.i, 1) where w.n > 1),
+u as (select doc_id, leaf, subroot, 0 as level, g.i, g.n, own, proof from w join g on g.lang is not distinct from w.lang where w.n = 1
+  union all select doc_id, leaf, subroot, u.level + 1, u.i // 2, (u.n + 1) // 2, sha256(case when u.i % 2 = 0 then own || coalesce(h, '') else coalesce(h, '') || own end), proof || coalesce(h, '')
+  from u left join r on r.level = u.level and r.i = xor(u.i, 1) where u.n > 1)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, own as folded_root, own = root as verified from u, (select h as root from r where n = 1) where n = 1""",
 }
