@@ -26,6 +26,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 #: Bytes that Spark puts into one Arrow batch for Python, where the session leaves it to the default of 64 MB.
 BATCH_BYTES = 16 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -58,18 +62,6 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, counted: str) -> D
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, counted: str) -> DataFrame:
-    """rows left joined with table (one row for each key), where table's column `counted` tells how many rows have the key. Keys
-    with a large share of the rows come as a broadcast of at most 4 keys for each partition, so they gather nowhere."""
-    often = table.agg(F.sum(counted)).first()[0] or 0
-    often = max(1000, -(-often // (4 * n_partitions(rows.sparkSession))))
-    hot, rest = table.filter(F.col(counted) >= often).drop(counted), table.filter(F.col(counted) < often).drop(counted)
-    if hot.isEmpty():
-        return rows.join(rest, key, "left")
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
-    return rows.join(F.broadcast(hot), key).unionByName(cold)
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only. Where all characters are ASCII, lower() does the same and is faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

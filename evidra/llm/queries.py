@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import byte_bpe, exact_dedup, filter_audit, fingerprints, lm_scoring, merkle, ngram_join, packing, quality, secrets, token_counts, toxicity
-from evidra.llm.common import documents, labels
+from evidra.llm import byte_bpe, decontaminate, exact_dedup, filter_audit, fingerprints, lm_scoring, merkle, ngram_join, packing, quality, secrets, token_counts, toxicity
+from evidra.llm.common import benchmark, documents, labels
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels(spark, sf_dir)))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = [op1_ngram_join, op2_lm_scoring, op3_quality, op4_byte_bpe, op5_packing, op6_token_counts, op7_exact_dedup, op8_fingerprints, op9_secrets, op10_toxicity, op12_filter_audit, op13_merkle_manifest, pipeline]
+_ALL = [op1_ngram_join, op2_lm_scoring, op3_quality, op4_byte_bpe, op5_packing, op6_token_counts, op7_exact_dedup, op8_fingerprints, op9_secrets, op10_toxicity, op11_decontamination, op12_filter_audit, op13_merkle_manifest, pipeline]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,6 +94,16 @@ select n.doc_id, n.n as n_shingles, min(r.root) as component_id from n join r on
 with t as (select doc_id, {_LOWER} as s from documents)
 select doc_id, max(doc_id) over (partition by s) as keep_id, count(*) over (partition by s) as group_size,
  row_number() over (partition by s order by doc_id desc nulls last) = 1 as kept, sha256(s) as text_sha256 from t""",
+    "op11_decontamination": f"""
+with w as (select item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as a from benchmark),
+g as (select coalesce(item_id::varchar, '') as item, least(len(a), 10) as n, unnest(list_transform(range(1, greatest(len(a) - 9, 1) + 1), lambda i: array_to_string(a[i:i + 9], ' '))) as s from w where len(a) > 0),
+d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as a from documents),
+t as (select r, a, n, unnest(range(1, len(a) - n + 2)) as i from d, (select distinct n from g) where len(a) >= n),
+o as (select r, i, t.n, item from (select r, i, n, array_to_string(a[i:i + n - 1], ' ') as s from t) t join g on g.n = t.n and g.s = t.s),
+h as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from (select distinct r, i, n from o)) group by 1),
+m as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from o) group by 1)
+select doc_id, len(a)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join h using (r) left join m using (r)""",
     "op12_filter_audit": """
 with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as a, min(doc_id) over (partition by t) as least from d),
