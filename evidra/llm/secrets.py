@@ -162,7 +162,7 @@ def _codes(b: np.ndarray) -> np.ndarray:
 
 
 def segment_of(texts: list[bytes], block: int = 1 << 20) -> Segment:
-    """The index of some texts in UTF-8, for at most 65,536 of them. Beside the texts it takes memory for a block of them."""
+    """The index of some texts in UTF-8, any number of them. Beside the texts it takes memory for a block of them."""
     found, group, size = [], [], 0
 
     def add() -> None:
@@ -176,7 +176,7 @@ def segment_of(texts: list[bytes], block: int = 1 << 20) -> Segment:
             for back in (1, 2):
                 at = ends - back
                 whole[at[(at >= 0) & (at < len(whole))]] = False
-            pairs = np.sort((_codes(b).astype(np.uint64) << np.uint64(16) | owner[: len(b) - 2])[whole])
+            pairs = np.sort((_codes(b).astype(np.uint64) << np.uint64(32) | owner[: len(b) - 2])[whole])
             found.append(pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs)
 
     for k, text in enumerate(texts):
@@ -192,9 +192,9 @@ def segment_of(texts: list[bytes], block: int = 1 << 20) -> Segment:
     pairs = np.concatenate(found) if found else np.empty(0, np.uint64)
     if len(found) > 1:
         pairs = np.unique(pairs)
-    code = (pairs >> np.uint64(16)).astype(np.uint32)
+    code = (pairs >> np.uint64(32)).astype(np.uint32)
     first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
-    return Segment(code[first], np.r_[first, len(code)], (pairs & np.uint64(0xFFFF)).astype(np.int64))
+    return Segment(code[first], np.r_[first, len(code)], (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64))
 
 
 def candidates(query: Query, segment: Segment, n: int) -> np.ndarray:
@@ -264,7 +264,7 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in slices(batches, SEGMENT_BYTES):
             texts = texts_of(batch)
             x = segment_of([t.encode() for t in texts])
-            parts = [np.diff(x.trigrams, prepend=np.uint32(0)).astype("<u4"), np.diff(x.starts).astype("<u4"), x.texts.astype("<u2")]
+            parts = [np.diff(x.trigrams, prepend=np.uint32(0)).astype("<u4"), np.diff(x.starts).astype("<u4"), x.texts.astype("<u4")]
             packed = [pa.array([zstandard.compress(a.tobytes(), 3)], pa.binary()) for a in parts]
             yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string())), *packed], names=["ids", "texts", "trigrams", "sizes", "postings"])
 
@@ -277,7 +277,7 @@ def scan_index(index: DataFrame, rules: tuple = RULES) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts, *packed in zip(*(batch.column(c).to_pylist() for c in ("ids", "texts", "trigrams", "sizes", "postings")), strict=True):
-                a, n, t = (np.frombuffer(zstandard.decompress(x), kind) for x, kind in zip(packed, ("<u4", "<u4", "<u2"), strict=True))
+                a, n, t = (np.frombuffer(zstandard.decompress(x), kind) for x, kind in zip(packed, ("<u4", "<u4", "<u4"), strict=True))
                 segment = Segment(np.cumsum(a, dtype=np.uint32), np.r_[0, np.cumsum(n, dtype=np.int64)], t.astype(np.int64))
                 yield _told(ids, find_spans(texts, rules, segment), rules)
 

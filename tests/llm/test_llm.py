@@ -246,6 +246,25 @@ def test_segment_holds_every_trigram(texts, block):
     assert all(segment.of_trigram(g).tolist() == [k for k, t in enumerate(low) if g in t] for g in [*every, b"zzz"])
 
 
+@pytest.mark.parametrize("rows_a_batch", [10_000, 100_000])
+def test_secrets_among_very_many_short_texts(spark, rows_a_batch):
+    """70,000 rows can come as one batch and one segment: none of the secrets among them is lost, however rows are batched."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows_a_batch))
+    try:
+        hit = "password = abcdefghijklmnop"
+        frame = spark.range(0, 70_000, 1, 1).selectExpr("id as doc_id", f"if(id in (3, 65536, 65539, 69000), '{hit}', 'x') as text", "1L as n_chars")
+        wanted = [3, 65536, 65539, 69000]
+        for found in (secrets.scan_secrets(frame), secrets.scan_index(secrets.index_documents(frame))):
+            assert sorted(r["doc_id"] for r in found.where("n_assign > 0").collect()) == wanted
+        clean = secrets.redact_secrets(frame)
+        assert clean.count() == 70_000 and sorted(r["doc_id"] for r in clean.where("text = '<assign>'").collect()) == wanted
+        assert clean.where(f"contains(text, '{hit}')").isEmpty()
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_trigram_queries():
     """Mandatory trigrams of alternatives and of characters beyond ASCII; none where a class or a repeat leaves nothing certain."""
     assert secrets.trigram_query("[a-z]{3,}x?") == secrets.ALL and secrets.trigram_query("ab|abc") == secrets.ALL
