@@ -33,11 +33,12 @@ def html_text(c: Column, hidden: Sequence[str] = ("script", "style", "noscript",
     return collapse_space(c)
 
 
-def truncate_head_tail(c: Column, limit: int, marker: str = " [...] ") -> Column:
+def truncate_head_tail(c: Column, limit: int | Column, marker: str = " [...] ") -> Column:
     """At most limit characters: 65 % from the start and the rest from the end, with a marker between (beyond the limit)."""
-    head = limit * 65 // 100
-    cut = F.concat(F.substring(c, 1, head), F.lit(marker), F.expr("''") if limit == head else c.substr(F.length(c) - (limit - head) + 1, F.lit(limit - head)))
-    return F.when(F.length(c) <= limit, c).otherwise(cut)
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    head = F.floor(limit * 65 / 100).cast("int")
+    tail = F.when(limit > head, c.substr((F.length(c) - (limit - head) + 1).cast("int"), (limit - head).cast("int"))).otherwise("")
+    return F.when(F.length(c) <= limit, c).otherwise(F.concat(c.substr(F.lit(1), head), F.lit(marker), tail))
 
 
 def sentences(c: Column, least: int = 12) -> Column:
