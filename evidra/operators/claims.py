@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.text import claim_text, fold_width, hits
+from evidra.operators.containment import TextIndex, held, text_index
 
-#: Rows and bytes of anchors up to which one side of a join is broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Scores.
 CONTAINED, REVERSE, REVERSE_CHARS = 100, 95, 500
 MARKED_FROM, MARKED_MOST, PLAIN_FROM, PLAIN_MOST, PLAIN_EACH, PLAIN_TERMS, LONG_TERM = 80, 10, 60, 20, 3, 2, 4
@@ -43,41 +42,13 @@ def claim_like(c: Column) -> Column:
     return (F.length(compact) >= 2) & ((F.length(compact) >= 9) | (F.size(hits(compact, HINTS)) > 0) | (F.size(hard_markers(compact)) > 0))
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(c, "\\s+"), lambda w: w != "")
-
-
-def _grams(text: Column) -> Column:
-    """All runs of one, two and three characters."""
-    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in (1, 2, 3))))
-
-
-def _small(rows: DataFrame, counted: int, size: int) -> DataFrame:
-    return F.broadcast(rows) if counted <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else rows
-
+def contained(claims: DataFrame, evidence: DataFrame | TextIndex) -> DataFrame:
+    """(claim, evidence) where the claim's text occurs in the evidence: claims (claim, text), evidence (evidence, text) or its index.
+    Blank claims occur nowhere."""
+    return held(claims, evidence if isinstance(evidence, TextIndex) else text_index(evidence))
 
-def contained(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(claim, evidence) where the claim's text occurs in the evidence: claims (claim, text), evidence (evidence, text).
 
-    A claim that occurs brings its second to fourth word as whole words, so these three are an anchor that both sides have in
-    common. Claims below five words bring no three whole words: their anchor is their first three characters (or all). Ids and
-    anchors are joined alone; the texts of the candidates are fetched by id afterwards, so no text is copied for its anchors.
-    Blank claims occur nowhere."""
-    every = claims.withColumn("w", _words(F.col("text"))).where(F.size("w") > 0)
-    counted = every.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("w") < 5).alias("short"), F.sum(F.octet_length("text")).alias("size")).first()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 3), " ")))
-    told = evidence.withColumn("w", _words(F.col("text")))
-    spread = told.where(F.size("w") >= 3).select("evidence", F.explode(grams).alias("anchor"))
-    long = every.where(F.size("w") >= 5).select("claim", F.array_join(F.slice("w", 2, 3), " ").alias("anchor"))
-    pairs = spread.join(_small(long, counted["n"], counted["size"]), "anchor").select("claim", "evidence")
-    if counted["short"]:
-        short = every.where(F.size("w") < 5).select("claim", F.substring("text", 1, 3).alias("anchor"))
-        pairs = pairs.unionByName(evidence.select("evidence", F.explode(_grams(F.col("text"))).alias("anchor")).join(_small(short, counted["short"], counted["size"]), "anchor").select("claim", "evidence"))
-    texts = pairs.distinct().join(_small(every.select("claim", F.col("text").alias("claim_text")), counted["n"], counted["size"]), "claim").join(evidence, "evidence")
-    return texts.where(F.contains("text", "claim_text")).select("claim", "evidence")
-
-
-def marked(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+def marked(claims: DataFrame, evidence: DataFrame | TextIndex) -> DataFrame:
     """(claim, evidence) where the evidence has all the markers of a claim that has some: claims (claim, markers)."""
     named = claims.where(F.size("markers") > 0).select("claim", F.size("markers").alias("needed"), F.explode("markers").alias("marker"))
     different = named.select(F.col("marker").alias("claim"), F.col("marker").alias("text")).distinct()
@@ -109,11 +80,12 @@ def claim_index(
     rows those with its best score stay, and all from 90 on."""
     left = claims.select(F.col(claim_id).alias("claim"), normalise(F.col(text)).alias("text"), markers(F.col(text)).alias("markers")).where(F.trim("text") != "")
     right = evidence.select(F.col(evidence_id).alias("evidence"), normalise(F.col(text)).alias("text")).where(F.trim("text") != "")
-    full = contained(left.select("claim", "text"), right).withColumn("score", F.lit(CONTAINED).cast("long"))
+    index = text_index(right)
+    full = contained(left.select("claim", "text"), index).withColumn("score", F.lit(CONTAINED).cast("long"))
     brief = right.where(F.length("text") <= REVERSE_CHARS).select(F.col("evidence").alias("claim"), "text")
     back = contained(brief, left.select(F.col("claim").alias("evidence"), "text")).select(F.col("evidence").alias("claim"), F.col("claim").alias("evidence"), F.lit(REVERSE).cast("long").alias("score"))
     found = full.unionByName(back)
-    strict = marked(left, right).join(left.select("claim", hits(F.col("text"), terms).alias("said")), "claim").join(right.select("evidence", hits(F.col("text"), terms).alias("has")), "evidence")
+    strict = marked(left, index).join(left.select("claim", hits(F.col("text"), terms).alias("said")), "claim").join(right.select("evidence", hits(F.col("text"), terms).alias("has")), "evidence")
     strict = strict.withColumn("n", F.size(F.array_intersect("said", "has"))).where("n > 0").select("claim", "evidence", (MARKED_FROM + F.least(F.lit(MARKED_MOST), F.col("n"))).cast("long").alias("score"))
     # at most 80: told only for claims that have nothing better
     plain = left.where(F.size("markers") == 0).join(found.select("claim").distinct(), "claim", "left_anti")

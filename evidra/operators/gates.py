@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions.text import hits
 from evidra.operators.claims import contained
+from evidra.operators.containment import text_index
 from evidra.operators.facts import Rules
 
 #: Codes of the domain gate, the first one that is there is the primary one.
@@ -145,11 +146,12 @@ def narrowed(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id:
     holds are joined; else it is deleted. Nothing is written that no evidence has."""
     left = claims.select(F.col(claim_id).alias("claim"), F.col(text).alias("text"))
     right = evidence.select(F.col(evidence_id).alias("evidence"), F.col(text).alias("text"))
-    whole = contained(left, right).select("claim").distinct().withColumn("whole", F.lit(True))
+    index = text_index(right)
+    whole = contained(left, index).select("claim").distinct().withColumn("whole", F.lit(True))
     told = left.join(whole, "claim", "left")
     parts = F.filter(F.transform(F.split("text", "[,;，；]"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
     clauses = told.where("whole is null").select("claim", F.posexplode(parts).alias("i", "part")).withColumn("clause", F.struct("claim", "i"))
-    held = contained(clauses.select(F.col("clause").alias("claim"), F.col("part").alias("text")), right).select(F.col("claim").alias("clause")).distinct()
+    held = contained(clauses.select(F.col("clause").alias("claim"), F.col("part").alias("text")), index).select(F.col("claim").alias("clause")).distinct()
     kept = clauses.join(held, "clause", "left_semi").groupBy("claim").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "part"))), lambda x: x.part), ", ").alias("joined"))
     out = told.join(kept, "claim", "left")
     action = F.when(F.col("whole"), "kept").when(F.col("joined").isNotNull(), "narrowed").otherwise("deleted")

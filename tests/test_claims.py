@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions.text import collapse_space
-from evidra.operators import claims
+from evidra.operators import claims, containment
 
 CLAIMS = [
     (1, "two words"), (2, "ab"), (3, "本次采购周期为2年。"), (4, "a claim that holds brief evidence inside"), (5, " "), (6, "北京市医保局 发布 采购 通知"), (7, "企业 报价 须 明确"), (8, "企业 only one term"),
@@ -46,11 +46,23 @@ def score(claim, evidence):
     return 60 + min(20, 3 * len(shared)) if len(shared) >= 2 or any(len(t) >= 4 for t in shared) else 0
 
 
+def shuffled(monkeypatch, spark):
+    """No side is broadcast for the rest of the test."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    monkeypatch.setattr(containment, "staged", lambda df, what, f=containment.staged: spark.conf.set(name, "-1") or f(df, what))
+
+
+@pytest.fixture(autouse=True)
+def broadcasts_again(spark):
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_claim_index_rules(spark, monkeypatch, few):
     """Against the rule applied to every pair, with broadcast and shuffled sides."""
     if not few:
-        monkeypatch.setattr(claims, "BROADCAST_ROWS", 0)
+        shuffled(monkeypatch, spark)
     left, right = spark.createDataFrame(CLAIMS, "c long, text string"), spark.createDataFrame(EVIDENCE, "e long, text string")
     found = {(r["claim"], r["evidence"]): r["score"] for r in claims.claim_index(left, right, "c", "e").collect()}
     every = {(a, b): score(x, y) for a, x in CLAIMS for b, y in EVIDENCE}
@@ -76,3 +88,38 @@ def test_no_claims(spark):
     none = spark.createDataFrame([], "c long, text string")
     docs = spark.createDataFrame(EVIDENCE, "e long, text string")
     assert claims.claim_index(none, docs, "c", "e").count() == 0
+
+
+def invented(rng, words, n):
+    return " ".join(rng.choice(words, n))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_phrases_of_all_kinds_are_found(spark, monkeypatch, few):
+    """Whole words, ends and parts of words, signs, wide and odd spaces, short and repeated phrases: every pair as by looking."""
+    import numpy as np
+
+    if not few:
+        shuffled(monkeypatch, spark)
+    rng = np.random.default_rng(6)
+    words = ["ab", "abc", "bca", "cab", "x", "采购周期为2年", "é中", "a.b*c", "100", "1000", "longerword"]
+    texts = [(k, invented(rng, words, int(rng.integers(1, 14)))) for k in range(60)] + [(100, None), (101, ""), (102, " \n\t "), (103, "two\n\nlines  here"), (104, "采购 周期")]
+    phrases = [(k, t[int(a) : int(a) + int(n)]) for k, (t, a, n) in enumerate((texts[int(i)][1], rng.integers(0, 12), rng.integers(1, 16)) for i in rng.integers(0, 60, 80))]
+    phrases += [(200, "zz"), (201, " "), (202, ""), (203, None), (204, "o\n\nl"), (205, "2"), (206, "ab ab"), (206, "ab ab"), (207, "b  c"), (208, "购 周"), (209, "wor"), (210, " ab "), (211, "c x")]
+    left, right = spark.createDataFrame(phrases, "claim long, text string"), spark.createDataFrame(texts, "evidence long, text string")
+    got = sorted(map(tuple, claims.contained(left, right).collect()))
+    assert got == sorted((c, e) for c, p in phrases for e, t in texts if p and p.strip() and t and p in t)
+    assert claims.contained(left.where("false"), right).count() == 0 and claims.contained(left, right.where("false")).count() == 0
+
+
+def test_a_phrase_meets_few_texts(spark):
+    """Candidates are at most three times what is found, on the documents themselves."""
+    from tests.conftest import DATA
+
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet").select(F.col("doc_id").alias("evidence"), "text")
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    parts = F.filter(F.transform(F.split("text", "[,;.]"), lambda x: F.trim(x)), lambda x: F.length(x) >= 6)
+    clauses = bench.select(F.explode(parts).alias("text")).distinct().select(F.xxhash64("text").alias("claim"), "text")
+    index = containment.text_index(docs)
+    pairs, found = containment.candidates(clauses, index).count(), containment.held(clauses, index).count()
+    assert 0 < found <= pairs <= 3 * found
