@@ -7,17 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.operators.selection import nearest_ranks
+
 #: Counts that must be 0, and counts that must reach all samples, before a baseline counts.
 NONE_OF, ALL_OF = ("failed_count", "forbidden_count", "contradiction_count", "missing_id_count"), ("hash_complete_count", "metrics_complete_count", "replayable_count")
 
 
 def summary(samples: DataFrame, case: str, flags: Mapping[str, Column], sums: Mapping[str, Column], size: str, seconds: str) -> DataFrame:
     """One row: how many samples and cases, how many have each flag, the sums, and the range of sizes and seconds with nearest ranks."""
-    ranks = {f"{seconds}_p{p}": F.expr(f"coalesce(percentile_disc({p / 100}) within group (order by {seconds}), 0)") for p in (50, 95)}
-    return samples.agg(
+    told = samples.agg(
         F.count(F.lit(1)).alias("sample_count"), F.countDistinct(case).alias("case_count"), *[F.count_if(c).alias(n) for n, c in flags.items()], *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()],
-        F.coalesce(F.min(size), F.lit(0)).alias(f"{size}_min"), F.coalesce(F.max(size), F.lit(0)).alias(f"{size}_max"), F.coalesce(F.round(F.avg(size), 3), F.lit(0.0)).alias(f"{size}_mean"), *[c.alias(n) for n, c in ranks.items()],
+        F.coalesce(F.min(size), F.lit(0)).alias(f"{size}_min"), F.coalesce(F.max(size), F.lit(0)).alias(f"{size}_max"), F.coalesce(F.round(F.avg(size), 3), F.lit(0.0)).alias(f"{size}_mean"),
     )
+    found = nearest_ranks(samples.select(F.lit(1).alias("all_"), seconds), ["all_"], seconds, (0.5, 0.95))
+    ranks = [F.coalesce(F.max(F.when(F.col("p") == p / 100, F.col("found"))), F.lit(0)).alias(f"{seconds}_p{p}") for p in (50, 95)]
+    return told.withColumn("all_", F.lit(1)).join(found.agg(*ranks).withColumn("all_", F.lit(1)), "all_").drop("all_")
 
 
 def compared(current: DataFrame, frozen: DataFrame, p95: str, deltas: Sequence[str], excluded: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.text import collapse_space
+from evidra.operators.budgets import running_sums
+from evidra.sources.staging import staged
 
 # Words by which a header belongs to a kind of column, and words that make a column a key one.
 KINDS: dict[str, tuple[str, ...]] = {
@@ -84,21 +86,27 @@ def spread_places(n: Column, k: Column) -> Column:
     return F.when(k <= 0, F.array().cast("array<int>")).when(n <= k, all_of_them).otherwise(some)
 
 
-def cell_budget(cells: DataFrame, group: str, order: str, table: str, first: Column, limit: int) -> DataFrame:
+def cell_budget(cells: DataFrame, group: str, order: str, table: str, first: Column, limit: int, slots: int | None = None) -> DataFrame:
     """At most `limit` cells of each group: first the anchors (its first and last cell and the first of each table), then cells that
-    `first` holds for, then the others; each evenly spread over its kind. All, where a group has no more than the limit."""
-    whole, by_table = Window.partitionBy(group), Window.partitionBy(group, table).orderBy(order)
-    at, n = F.row_number().over(whole.orderBy(order)), F.count(F.lit(1)).over(whole)
-    ranked = cells.withColumn("at", at).withColumn("n", n).withColumn("in_table", F.row_number().over(by_table))
-    ranked = ranked.withColumn("left", F.lit(limit)).withColumn("tier", F.lit(None).cast("int"))
-    anchor = (F.col("at") == 1) | (F.col("at") == F.col("n")) | (F.col("in_table") == 1)
-    for tier, holds in enumerate((anchor, first, F.lit(True))):
-        of_tier = F.col("tier").isNull() & holds
-        ranked = ranked.withColumn("mine", of_tier).withColumn("m", F.count_if("mine").over(whole)).withColumn("place", F.count_if("mine").over(whole.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - 1)
-        take = F.least("left", F.col("m").cast("int"))
-        chosen = F.col("mine") & F.array_contains(spread_places(F.col("m").cast("int"), take), F.col("place").cast("int"))
-        ranked = ranked.withColumn("tier", F.when(chosen, tier).otherwise(F.col("tier"))).withColumn("left", F.col("left") - take)
-    return ranked.where((F.col("tier").isNotNull()) | (F.col("n") <= limit)).drop("at", "n", "in_table", "left", "mine", "m", "place")
+    `first` holds for, then the others; each evenly spread over its kind. All, where a group has no more than the limit. The number
+    `order` is told once in a group.
+
+    A later kind is taken from only if all of the kinds before it are taken, so the kind of a cell doesn't depend on what was taken:
+    places in all three kinds come from one running count in slots of the order, and no task sees a whole group."""
+    tables_ = staged(cells.groupBy(group, table).agg(F.min(order).alias("first_"), F.max(order).alias("last_"), F.count(F.lit(1)).alias("n_")), "tables")
+    ends = tables_.groupBy(group).agg(F.min("first_").alias("lo_"), F.max("last_").alias("hi_"), F.sum("n_").alias("n_"))
+    known = tables_.join(ends.withColumnRenamed("n_", "cells_"), group).select(group, F.col(table).alias("table_"), "first_", "lo_", "hi_", "cells_")
+    told = cells.join(staged(known, "ends").withColumnRenamed(group, "group_"), (F.col(group) == F.col("group_")) & F.col(table).eqNullSafe(F.col("table_")))
+    anchor = (F.col(order) == F.col("first_")) | (F.col(order) == F.col("lo_")) | (F.col(order) == F.col("hi_"))
+    kinds = told.withColumn("kind_", F.when(anchor, 0).when(first, 1).otherwise(2)).withColumn("one_", F.lit(1).cast("long"))
+    counts = kinds.groupBy(group).agg(*(F.count_if(F.col("kind_") == k).alias(f"m_{k}") for k in range(3)))
+    placed = running_sums(kinds.select(*cells.columns, "kind_", "cells_", "one_"), [group, "kind_"], order, ["one_"], slots).join(staged(counts, "kinds"), group)
+    m = F.element_at(F.array("m_0", "m_1", "m_2"), F.col("kind_") + 1).cast("int")
+    before = F.when(F.col("kind_") == 0, F.lit(0)).when(F.col("kind_") == 1, F.col("m_0")).otherwise(F.col("m_0") + F.col("m_1"))
+    take = F.least(m, F.greatest(F.lit(limit) - before, F.lit(0)).cast("int"))
+    chosen = F.array_contains(spread_places(m, take), (F.col("so_far_one_") - 1).cast("int"))
+    out = placed.withColumn("tier", F.when(chosen, F.col("kind_"))).where(F.col("tier").isNotNull() | (F.col("cells_") <= limit))
+    return out.select(*cells.columns, "tier")
 
 
 def unique_tables(cells: DataFrame, table: Sequence[str], row: str, column: str, value: str) -> DataFrame:

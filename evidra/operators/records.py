@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.operators.selection import ranked
+
 
 def search(records: DataFrame, predicates: list[Column]) -> DataFrame:
     return records.where(reduce(lambda a, b: a & b, predicates, F.lit(True)))
@@ -41,8 +43,8 @@ def selection_report(records: DataFrame, chosen: DataFrame, key: str) -> DataFra
 
 def first_children(children: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
     """The first children of each record. Spark keeps no more than `most` rows of a key in a task before they are dealt by key."""
-    ranked = children.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
-    return ranked.where(F.col("place") <= most)
+    placed = children.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    return placed.where(F.col("place") <= most)
 
 
 def scoped_items(items: DataFrame, contexts: DataFrame, item: str, context: str, most: int) -> DataFrame:
@@ -55,12 +57,12 @@ def scoped_items(items: DataFrame, contexts: DataFrame, item: str, context: str,
 
 def lookups(records: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The wanted keys with their record's columns and a status: 200 where it is, 404 where it isn't."""
-    known = records.join(F.broadcast(wanted.select(key)), key, "left_semi").withColumn("status", F.lit(200))  # wanted is a request
+    known = records.join(wanted.select(key), key, "left_semi").withColumn("status", F.lit(200))  # Spark broadcasts what is small
     return wanted.select(key).join(known, key, "left").withColumn("status", F.coalesce("status", F.lit(404)))
 
 
 def unique_names(rows: DataFrame, name: str, order: list[Column]) -> DataFrame:
     """rows with `unique_name`: the first of equal names keeps it, later ones get a number before their ending."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order))
+    n = F.col("rank_")
     numbered = F.regexp_replace(F.col(name), "(\\.[A-Za-z0-9]{1,5})?$", F.concat(F.lit("_"), n, F.lit("$1")))
-    return rows.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.regexp_replace(numbered, "(_[0-9]+)(\\.[A-Za-z0-9]{1,5})?\\1$", "$1$2")))
+    return ranked(rows, [name], order, "rank_").withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.regexp_replace(numbered, "(_[0-9]+)(\\.[A-Za-z0-9]{1,5})?\\1$", "$1$2"))).drop("rank_")

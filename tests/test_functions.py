@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import scalars, text
@@ -131,3 +132,61 @@ def test_stream_and_batch_agree(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(map(tuple, spark.table("folded").collect())) == sorted(map(tuple, fold.windowed_counts(events).collect()))
+
+
+@pytest.mark.parametrize("most, slots", [(100_000, None), (40, 5), (1, None)])
+def test_nearest_ranks_of_any_size(spark, most, slots):
+    """Ties, repeated values, nulls, negative numbers, one value, a group without any: brackets of any width give the same."""
+    import math
+
+    import numpy as np
+
+    from evidra.operators import selection
+
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(0, 1e6, 700).tolist(), "b": rng.integers(0, 4, 500).astype(float).tolist(), "c": [5.5], "d": [7.0] * 300, "e": [None] * 5, "f": [-1e300, 0.0, 1e-300, 1e300, None]}
+    rows = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double").repartition(5)
+    points = (0.01, 0.5, 0.95, 1.0)
+    got = {(r["g"], r["p"]): r["found"] for r in selection.nearest_ranks(rows, ["g"], "v", points, most, slots).collect()}
+    wanted = {}
+    for g, values in groups.items():
+        own = sorted(v for v in values if v is not None)
+        wanted |= {(g, p): own[max(1, math.ceil(round(p * len(own), 6))) - 1] for p in points if own}
+    assert got == wanted
+
+
+def test_ranks_over_ranges(spark):
+    from evidra.operators import selection
+
+    rows = spark.createDataFrame([("x" if k % 3 else None, k % 7, k) for k in range(200)], "g string, o int, k int").repartition(6)
+    got = selection.ranked(rows, ["g"], [-F.col("o")], "r").collect()
+    for g in ("x", None):
+        mine = sorted((r["r"], -r["o"]) for r in got if r["g"] == g)
+        assert [r for r, _ in mine] == list(range(1, len(mine) + 1)) and [o for _, o in mine] == sorted(o for _, o in mine)
+
+
+def test_cell_budgets_of_any_cut(spark):
+    """Anchors, then first cells, then others, each evenly spread: against a plain loop, whole groups and cut ones."""
+    from evidra.operators import grids
+
+    rows = [("g", k, f"t{k // 9}" if k % 5 else None, k % 4 == 1) for k in range(60)] + [("h", k, f"t{k}", False) for k in range(30)] + [("i", k, "t", True) for k in range(5)]
+    frame = spark.createDataFrame(rows, "g string, k int, t string, f boolean").repartition(4)
+
+    def slow(mine, limit):
+        first = {}
+        for k, t, _ in mine:
+            first.setdefault(t, k)
+        left, out = limit, {}
+        for tier, holds in enumerate((lambda k, t, f: k in (mine[0][0], mine[-1][0], first[t]), lambda k, t, f: f, lambda k, t, f: True)):
+            own = [k for k, t, f in mine if k not in out and holds(k, t, f)]
+            take = min(left, len(own))
+            places = range(len(own)) if len(own) <= take else {round(i * (len(own) - 1) / max(take - 1, 1)) for i in range(take)}
+            out |= {own[i]: tier for i in places}
+            left -= take
+        return out if len(mine) > limit else {k: out.get(k) for k, _, _ in mine}
+
+    for limit, slots in ((8, None), (20, 4), (45, 1), (1, 3)):
+        got = {}
+        for r in grids.cell_budget(frame, "g", "k", "t", F.col("f"), limit, slots).collect():
+            got.setdefault(r["g"], {})[r["k"]] = r["tier"]
+        assert got == {g: slow([(k, t, f) for x, k, t, f in rows if x == g], limit) for g in "ghi"}
