@@ -1,7 +1,8 @@
 """Toxicity: a support vector machine on a subsequence string kernel, with Nyström landmarks.
 
-A text is a sequence of symbols, one for each character: letters (lower-cased, accented ones by their last byte) and gaps (all
-else; gaps that follow each other are one). Between three or more letters that stand alone the gaps are skipped, so an insult
+A text is a sequence of symbols, one for each character: letters and gaps (gaps that follow each other are one). Letters are a to z
+(lower-cased), those of two bytes in UTF-8 by 32 classes and those of the scripts with three (kana, ideographs, Hangul, Thai,
+Devanagari and others) by 64, told by their last byte; signs, spaces, full-width forms, and characters of four bytes are gaps. Between three or more letters that stand alone the gaps are skipped, so an insult
 spelled with spaces, dots or invisible signs reads like the word. A unit is what starts at STARTS consecutive positions. Two units are as alike as the subsequences of three letters that they share, each
 weighed by LAMBDA to the number of positions it skips, up to a span of SPAN; so letters with gaps or foreign characters
 between them still count. Landmarks are words of labelled sentences; their kernel matrix gives the Nyström map, and a linear
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from evidra.llm.common import bucket_of, bytes_of, ids_in_hash_order, release_memory, rows_with_ids, sigmoid, slices, training_rows
 
 SPAN, LAMBDA, STARTS, LANDMARKS = 7, 0.7, 9, 192
-BITS = 6  # of a symbol
+BITS = 7  # of a symbol
 SIZE, LOW = 1 << 3 * BITS, (1 << BITS) - 1
 #: At most so many labelled documents of each class, none longer than so many characters, are fitted on.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1_500, 3_000, 20_000
@@ -51,14 +52,30 @@ def _symbol_table() -> bytes:
 
 
 _TABLE = _symbol_table()
-#: In UTF-8: first bytes of letters of two bytes, which are dropped; and characters that count as gaps whole.
+#: In UTF-8: first bytes of letters of two bytes, which are dropped; characters that count as gaps whole; first bytes of letters of three.
 _FIRST = bytes(range(0xC3, 0xE0))
-_NO_LETTER = re.compile(rb"\xc2[\x80-\xbf]|[\xe0-\xf7][\x80-\xbf]{2,3}")
+_NO_LETTER = re.compile(rb"\xc2[\x80-\xbf]|\xe2[\x80-\xbf]{2}|\xe3\x80[\x80-\xbf]|[\xee\xef][\x80-\xbf]{2}|[\xf0-\xf7][\x80-\xbf]{3}")
+_WIDE = re.compile(rb"[\xe0\xe1\xe3-\xed]")
+
+
+def _coded(data: bytes) -> np.ndarray:
+    """A number for each character: 0, or a letter's."""
+    if not data.isascii():
+        data = _NO_LETTER.sub(b" ", data)
+        if _WIDE.search(data):
+            b = np.frombuffer(data, np.uint8)
+            s = np.frombuffer(data.translate(_TABLE), np.uint8).copy()
+            at = np.flatnonzero(b >= 0xE0)
+            s[at + 2] = 59 + b[at + 2] % 64
+            keep = (b < 0xC3) | (b > 0xDF)
+            keep[at] = keep[at + 1] = False
+            return s[keep]
+    return np.frombuffer(data.translate(_TABLE, _FIRST), np.uint8)
 
 
 def symbols(data: bytes) -> np.ndarray:
     """The symbols of a text in UTF-8; 0 is a gap."""
-    s = np.frombuffer((data if data.isascii() else _NO_LETTER.sub(b" ", data)).translate(_TABLE, _FIRST), np.uint8)
+    s = _coded(data)
     letter = s > 0
     s = s[letter | np.r_[True, letter[:-1]]] if len(s) else s
     if len(s) > 4:
@@ -216,8 +233,17 @@ class ToxicityModel:
         return sigmoid(a * found[:, 0] + b * found[:, 1] + c)
 
 
+#: Three letters or more of three bytes in a row.
+_RUN = re.compile(rb"(?:[\xe0\xe1\xe3-\xed][\x80-\xbf]{2}){3,}")
+
+
 def _words(data: bytes) -> list[bytes]:
-    return [w for w in (x.strip(b".,;:!?*#$%&|\"'()") for x in data.lower().split()) if len(w) > 2]
+    """Words between spaces; where letters of three bytes run together, each three of them."""
+    words = [w for w in (x.strip(b".,;:!?*#$%&|\"'()") for x in data.lower().split()) if len(w) > 2]
+    if data.isascii() or not _WIDE.search(data):
+        return words
+    runs = _RUN.findall(_NO_LETTER.sub(b" ", data))
+    return [w for w in words if not _RUN.search(w)] + [r[i : i + 9] for r in runs for i in range(0, len(r) - 8, 3)]
 
 
 def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 4, seed: int = 7) -> ToxicityModel:
