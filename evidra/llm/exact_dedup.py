@@ -12,7 +12,8 @@ and are written to the shared folder, so every later step sees the same rows, al
 4. Rows whose entry has more than one row are combined by their texts (this compares bytes, within tasks first, so a large
    group of copies is one row for each task), and dealt to the owners by bucket. In a bucket, different texts with one key are
    chained. A row whose entry stands alone is its own group and its text is shipped nowhere.
-5. Groups come back to the rows by key, and where a key has a chain, by the bytes of the text.
+5. Groups come back to the rows by key, and where a key has a chain, by the bytes of the text. Keys with a large share of the rows
+   are joined apart from the others, by a broadcast of a few keys for each partition.
 
 Every input row gives one output row, whether ids repeat or not. Of equal texts the row with the largest id stays; if several
 rows have that id, one of them; where all ids are null, one of those rows. An empty table gives an empty result. Other columns
@@ -26,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.llm.common import lower_ascii, n_partitions, small_side, staged
+from evidra.llm.common import join_counted, lower_ascii, n_partitions, small_side, staged
 
 #: Different keys that a bucket may hold before it splits, and bits that a round looks ahead.
 BUCKET_KEYS, DOUBLINGS = 4096, 8
@@ -89,11 +90,20 @@ def index_of(rows: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     return staged(placed.select("bucket", "key", "n").repartitionByRange(n_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "key"), "index")
 
 
+def on_key(rows: DataFrame, table: DataFrame, counted: str) -> DataFrame:
+    """rows joined with table (a row for each key). Beyond a broadcast both are shuffled by key, but for the keys that `counted` tells to have a
+    large share of the rows: these few come as a broadcast of their own, so no task gets all copies of a text."""
+    if table.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(table), "key")
+    told = table.withColumns({"there_": F.lit(True), "counted_": F.col(counted)})
+    return join_counted(rows, told, "key", "counted_").where("there_").drop("there_")
+
+
 def groups_of(rows: DataFrame, index: DataFrame, text_col: str) -> DataFrame:
     """(bucket, key, chain, chained, norm, keep_id, keep_uid, group_size) for the keys with more than one row: a row for each
     different text. norm is null where the key has that text alone."""
-    many = index.filter("n > 1").select("key", "bucket")
-    members = rows.join(small_side(many, many.count(), BROADCAST_KEYS), "key").select("bucket", "key", normalised(F.col("row")[text_col]).alias("norm"), "doc_id", "uid")
+    many = index.filter("n > 1").select("key", "bucket", "n")
+    members = on_key(rows, many, "n").select("bucket", "key", normalised(F.col("row")[text_col]).alias("norm"), "doc_id", "uid")
     top = F.max(F.struct("doc_id", (-F.col("uid")).alias("back")))
     texts = members.groupBy("bucket", "key", "norm").agg(top.alias("top"), F.count(F.lit(1)).alias("group_size"))
     owned = texts.repartitionByRange(n_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "key", "norm")
@@ -110,7 +120,7 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, bucket_keys: int, key
     groups = groups_of(rows, index_of(rows, bucket_keys), text_col)
     found = ["keep_id", "keep_uid", "group_size", "bucket", "chain"]
     plain = groups.filter("chained = 1").select("key", *found)
-    placed = rows.select("uid", "key").join(small_side(plain, plain.count(), BROADCAST_KEYS), "key").select("uid", *found)
+    placed = on_key(rows.select("uid", "key"), plain, "group_size").select("uid", *found)
     chains = groups.filter("chained > 1").select("key", "norm", *found)
     if not chains.isEmpty():
         texts = rows.select("uid", "key", normalised(F.col("row")[text_col]).alias("norm"))

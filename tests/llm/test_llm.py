@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evidra.llm import byte_bpe, exact_dedup, fingerprints, lm_scoring, ngram_join, packing, quality, queries, secrets, token_counts, toxicity
 from tests.conftest import DATA, rows_of
@@ -121,6 +122,17 @@ def test_exact_copies_of_nothing(none):
     assert exact_dedup.exact_copies(none).count() == exact_dedup.drop_copies(none).count() == 0
 
 
+def test_very_many_copies_of_one_text(spark, monkeypatch):
+    """A text with most of the rows, where keys are too many for a broadcast: the same groups, and no task of the join gets all its rows."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 0)
+    frame = spark.range(0, 120_000, 1, 8).selectExpr("id as doc_id", "if(id % 6 = 0, concat('other ', id % 3000), 'The same') as text")
+    got = exact_dedup.exact_copies(frame).groupBy("text_sha256", "keep_id", "group_size").agg(F.count("doc_id").alias("n"), F.count_if("kept").alias("kept"))
+    rows = got.collect()
+    assert len(rows) == 501 and all(r["n"] == r["group_size"] and r["kept"] == 1 for r in rows)
+    assert max((r["n"], r["keep_id"]) for r in rows) == (100_000, 119_999)
+    assert exact_dedup.drop_copies(frame).count() == 501
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(1000).selectExpr("if(id < 300, shiftrightunsigned(xxhash64(id), 5), xxhash64(id)) as key")
     directory, depth = exact_dedup.directory_of(keys, bucket_keys=20, doublings=3)
