@@ -44,7 +44,7 @@ def frozen_matches(frozen: DataFrame, current: DataFrame, key: str, digest: str)
 
 def sampled(rows: DataFrame, key: str, count: int, seed: int, forced: Column) -> DataFrame:
     """`count` rows whose choice depends on key and seed alone; a forced one is always among them."""
-    order = F.xxhash64(F.col(key), F.lit(seed))
+    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
     return rows.orderBy(F.when(forced, 0).otherwise(1), order, key).limit(count)
 
 

@@ -151,3 +151,24 @@ def hard_limit(strings: DataFrame, protected: Column, least: int, ceilings: Data
     over = told.groupBy(path[0]).agg(F.sum("least_").alias("must")).join(ceilings, path[0]).select(path[0], (F.col("must") > F.col("budget")).alias("over"))
     out = shared_out(told, path, "chars_", "least_", ceilings).join(over, path[0])
     return out.withColumn("whole", F.col("left") == F.col("chars_")).withColumn("text", shortened(F.col("text"), F.col("left"))).drop("chars_", "least_")
+
+
+# The parts of a pack that a model is shown, and which fields each list of a part is made of.
+STAGES = (
+    ("primary_evidence", "key_facts", "primary", "key_facts"), ("primary_evidence", "important_passages", "primary", "important_passages"), ("primary_evidence", "attachment_summaries", "primary", "summary"),
+    ("auxiliary_evidence", "summaries", "auxiliary", "content_summary"), ("auxiliary_evidence", "relevant_snippets", "auxiliary", "relevant_snippets"), ("auxiliary_evidence", "comparison_points", "auxiliary", "usable_points"),
+    ("attachment_evidence", "parsed_summaries", "*", "summary"), ("attachment_evidence", "table_summaries", "*", "sections"), ("attachment_evidence", "warnings", "*", "warnings"),
+)
+
+
+def stage_lists(fields: DataFrame, stages: Sequence[tuple[str, str, str, str]] = STAGES, of_files: Sequence[str] = ("attachment_summaries", "parsed_summaries", "table_summaries")) -> DataFrame:
+    """(pack, stage, name, texts, from_materials): the lists of each part of a pack, in the order of its materials (primary ones first), their
+    attachments and places. Texts are first folded by material and then put together, so a pack with very many of them is never one
+    group of single texts; each list is a row of its own. Blank texts bring nothing."""
+    rows = fields.sparkSession.createDataFrame(list(stages), "stage string, name string, of_role string, field string")
+    told = fields.where(F.trim("text") != "").join(F.broadcast(rows), "field")  # some ten rows
+    told = told.where((F.col("of_role") == "*") | (F.col("of_role") == F.col("role"))).where(F.col("name").isin(*of_files) == (F.col("attachment") >= 0))
+    place = F.when(F.col("role") == "primary", 0).otherwise(1).alias("first")
+    one = told.groupBy("pack", "stage", "name", place, "material").agg(F.transform(F.sort_array(F.collect_list(F.struct("attachment", "i", "text"))), lambda x: x["text"]).alias("texts"))
+    whole = F.sort_array(F.collect_list(F.struct("first", "material", "texts")))
+    return one.groupBy("pack", "stage", "name").agg(F.flatten(F.transform(whole, lambda x: x["texts"])).alias("texts"), F.count(F.lit(1)).alias("from_materials"))

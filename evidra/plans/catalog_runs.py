@@ -33,7 +33,7 @@ def attachment_counters(spark, d):
     v = F.col("value")
     cache = F.when(v < 10, "cache_miss").when(v < 30, "cache_hit_success").when(v < 40, "cache_hit_failure_short").when(v < 60, "cache_expired_retry").otherwise("force_refreshed")
     rows = table(spark, d, "events").select("user_id", _status().alias("status"), (v > 50).alias("core"), cache.alias("cache"))
-    status, parsed, of = F.col("status"), F.col("status").isin("parsed_summary", "parsed_table_summary", "parsed_text"), lambda n: F.count_if(F.col("cache") == n).alias(n.removeprefix(""))
+    status, parsed, of = F.col("status"), F.col("status").isin("parsed_summary", "parsed_table_summary", "parsed_text"), lambda n: F.count_if(F.col("cache") == n).alias(n)
     return rows.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("attachments"), F.count_if("core").alias("core"), F.count_if(F.col("core") & parsed).alias("core_parsed"), F.count_if(F.col("core") & ~parsed).alias("core_unparsed"), F.count_if(parsed).alias("parsed"),
         F.count_if(status == "metadata_only").alias("metadata_only"), F.count_if(status == "network_unreachable").alias("network_unreachable"), F.count_if(status.isin("auth_required", "auth_failed")).alias("auth_failed"),
@@ -331,16 +331,16 @@ def item_versions(spark, d):
 
 
 @query("""
-with f as (select doc_id, case when length(text) > 2000 then 'A' when length(text) > 500 then 'B' else 'C' end as level, left(text, 300) as v from documents where lang in ('en', 'fr')),
-c as (select doc_id, case when length(text) > 2000 then 'A' when length(text) > 500 then 'B' else 'C' end as level, case when contains(text, 'password') then left(text, 100) else left(text, 300) end as v from documents where lang <> 'fr' or length(text) > 900),
+with f as (select doc_id, case when length(text) > 2000 then 'A' when length(text) > 500 then 'B' else 'C' end as level, text as v from documents where lang in ('en', 'fr')),
+c as (select doc_id, case when length(text) > 2000 then 'A' when length(text) > 500 then 'B' else 'C' end as level, case when contains(text, 'password') then replace(text, 'password', '*') else text end as v from documents where lang <> 'fr' or length(text) > 900),
 x as (select coalesce(f.doc_id, c.doc_id) as doc_id, coalesce(f.level, c.level) as level, case when c.doc_id is null then 'lost' when f.doc_id is null then 'added' when f.v = c.v and f.level = c.level then 'supported' else 'changed' end as state from f full join c on f.doc_id = c.doc_id)
 select level, count(*) filter (state <> 'lost') as held, count(*) filter (state = 'supported') as supported, count(*) filter (state = 'lost') as lost, coalesce(round(count(*) filter (state = 'supported') / nullif(count(*) filter (state <> 'lost'), 0), 6), 0.0) as rate from x group by 1""")
 def artifact_support(spark, d):
     docs = table(spark, d, "documents")
     n = F.length("text")
     level = F.when(n > 2000, "A").when(n > 500, "B").otherwise("C")
-    full = docs.where(F.col("lang").isin("en", "fr")).select("doc_id", level.alias("level"), F.substring("text", 1, 300).alias("v"))
-    compact = docs.where((F.col("lang") != "fr") | (n > 900)).select("doc_id", level.alias("level"), F.when(F.contains("text", F.lit("password")), F.substring("text", 1, 100)).otherwise(F.substring("text", 1, 300)).alias("v"))
+    full = docs.where(F.col("lang").isin("en", "fr")).select("doc_id", level.alias("level"), F.col("text").alias("v"))
+    compact = docs.where((F.col("lang") != "fr") | (n > 900)).select("doc_id", level.alias("level"), F.replace("text", F.lit("password"), F.lit("*")).alias("v"))
     found = facts.cross_supported(full, compact, "doc_id", ["level", "v"])
     held, yes = F.count_if(F.col("state") != "lost"), F.count_if(F.col("state") == "supported")
     return found.groupBy("level").agg(held.alias("held"), yes.alias("supported"), F.count_if(F.col("state") == "lost").alias("lost"), F.coalesce(F.round(yes / F.when(held > 0, held), 6), F.lit(0.0)).alias("rate"))

@@ -8,21 +8,23 @@ from evidra.operators import grids
 from evidra.plans.registry import query, quoted
 from evidra.sources import table
 
-_TABLES = ("part", "supplier", "customer", "orders", "lineitem", "nation", "region", "events")
 #: Kinds of columns that the given tables have.
 _KINDS = {"key": ("key",), "name": ("name", "brand"), "price": ("price", "acctbal", "value"), "quantity": ("quantity", "size"), "time": ("date", "ts"), "status": ("status", "flag", "priority", "type")}
 _SQL_KINDS = ", ".join(f"{{'kind': '{k}', 'words': [{quoted(w)}]}}" for k, w in _KINDS.items())
 
 
 @query(f"""
-with h as (select table_name as tbl, column_name as header from (values {", ".join("('part', 'p_partkey'), ('part', 'p_name'), ('part', 'p_brand'), ('part', 'p_type'), ('part', 'p_size'), ('supplier', 's_suppkey'), ('supplier', 's_name'), ('nation', 'n_name'), ('orders', 'o_totalprice'), ('orders', 'o_orderdate'), ('orders', 'o_orderpriority'), ('lineitem', 'l_quantity'), ('lineitem', 'l_linestatus'), ('events', 'ts'), ('events', 'value')".split("; "))}) v(table_name, column_name)),
-k as (select unnest([{_SQL_KINDS}], recursive := true))
-select tbl, header, kind from h, k where len(list_filter(words, lambda w: contains(lower(header), w))) > 0""")
+with h as (select 'part' as tbl, p_partkey as group_key, unnest(['part key', 'Name ' || p_brand, p_type || ' status', 'size', 'retail price']) as header from part union all select 'orders', o_orderkey, unnest([o_orderpriority, 'order date', 'total price ' || o_orderstatus]) from orders),
+k as (select unnest([{_SQL_KINDS}], recursive := true)), f as (select tbl, group_key, header, kind from h, k where len(list_filter(words, lambda w: contains(lower(header), w))) > 0)
+select tbl, kind, count(*) as headers, count(distinct header) as different from f group by 1, 2""")
 def column_semantics(spark, d):
-    wanted = "p_partkey p_name p_brand p_type p_size s_suppkey s_name n_name o_totalprice o_orderdate o_orderpriority l_quantity l_linestatus ts value".split()
-    named = [(t, c) for t in _TABLES for c in table(spark, d, t).columns if c in wanted]
-    rows = spark.createDataFrame(named, "tbl string, header string")
-    return rows.select("tbl", "header", F.explode(grids.kinds_of(F.col("header"), _KINDS)).alias("kind"))
+    """Kinds of columns by their headers: header rows made of each part and order; all headers of both tables are read."""
+    t = lambda n: table(spark, d, n)
+    of_part = F.array(F.lit("part key"), F.concat(F.lit("Name "), "p_brand"), F.concat("p_type", F.lit(" status")), F.lit("size"), F.lit("retail price"))
+    of_order = F.array(F.col("o_orderpriority"), F.lit("order date"), F.concat(F.lit("total price "), "o_orderstatus"))
+    rows = t("part").select(F.lit("part").alias("tbl"), F.explode(of_part).alias("header")).unionByName(t("orders").select(F.lit("orders").alias("tbl"), F.explode(of_order).alias("header")))
+    found = rows.groupBy("tbl", "header").agg(F.count(F.lit(1)).alias("n")).select("tbl", "header", "n", F.explode(grids.kinds_of(F.col("header"), _KINDS)).alias("kind"))
+    return found.groupBy("tbl", "kind").agg(F.sum("n").alias("headers"), F.count(F.lit(1)).alias("different"))
 
 
 _CELLS = ("p_name", "p_brand", "p_type", "p_size")
@@ -100,11 +102,11 @@ def cell_budget(spark, d):
 
 
 @query("""
-with t as (select s_suppkey % 7 as t, s_nationkey as r, 1 as c, s_name as v from supplier), p as (select o_orderkey, l_returnflag || l_linestatus as v, l_linenumber as r from orders join lineitem on l_orderkey = o_orderkey where l_linenumber <= 2),
+with t as (select s_suppkey % 7 as t, s_nationkey as r, 1 as c, s_name as v from supplier), p as (select o_orderkey, l_returnflag || l_linestatus as v, l_linenumber as r from orders join lineitem on l_orderkey = o_orderkey),
 f as (select o_orderkey, sha256(string_agg(r || chr(31) || 1 || chr(31) || v, chr(30) order by r, v)) as fingerprint from p group by 1)
 select o_orderkey, fingerprint, count(*) over (partition by fingerprint) as copies, o_orderkey = min(o_orderkey) over (partition by fingerprint) as kept from f""")
 def unique_tables(spark, d):
-    cells = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("r"), F.lit(1).alias("c"), F.concat("l_returnflag", "l_linestatus").alias("v"))
+    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("r"), F.lit(1).alias("c"), F.concat("l_returnflag", "l_linestatus").alias("v"))
     known = cells.join(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
     return grids.unique_tables(known, ["o_orderkey"], "r", "c", "v")
 

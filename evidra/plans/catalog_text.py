@@ -239,9 +239,11 @@ def mandatory_facts(spark, d):
     return rows.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*").where("value <> ''")
 
 
-@query(f"select doc_id, array_to_string(list_filter([{quoted(_REGION_NAMES)}], lambda r: contains(source || ' ' || lang, r)), ',') as regions from documents")
+@query(f"select doc_id, array_to_string(list_filter([{quoted(_REGION_NAMES)}], lambda r: contains(' ' || source || ' ' || lang || ' ', ' ' || r || ' ')), ',') as regions from documents")
 def region_hits(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(text.hits(F.concat_ws(" ", "source", "lang"), _REGION_NAMES), ",").alias("regions"))
+    """Regions that a record names as whole tokens, as listed."""
+    tokens = F.array("source", "lang")
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(F.array(*map(F.lit, _REGION_NAMES)), lambda r: F.array_contains(tokens, r)), ",").alias("regions"))
 
 
 @query(f"""
