@@ -72,3 +72,22 @@ def versions(items: DataFrame, key: str, order: Sequence[str], keep: int) -> Dat
     ranked = F.transform(F.sort_array(F.collect_list(F.struct(*order)), asc=False), lambda x: x)
     rows = items.groupBy(key).agg(F.slice(ranked, 1, keep + 1).alias("v"))
     return rows.select(key, F.posexplode("v").alias("place", "x")).select(key, F.col("place").cast("long").alias("place"), "x.*")
+
+
+#: Codes of a run that failed before a gate saw it.
+FAILED_CODES = ("RUN_FAILED", "DIAGNOSTICS_UNAVAILABLE")
+
+
+def projected(runs: DataFrame, run: str, scores: Sequence[str]) -> DataFrame:
+    """What an evaluation keeps of each run: (run, deliverable_status, blocking codes, scores). runs: gate_status, gate_codes (array), run_status,
+    error_code, and the scores.
+
+    A run without a gate takes its own state; one that failed has the codes of that; an error of the provider is told last, once, and
+    then scores that nobody measured are 0."""
+    gate, own, error = F.coalesce("gate_status", F.lit("")), F.coalesce("run_status", F.lit("")), F.trim(F.coalesce("error_code", F.lit("")))
+    failed = (gate == "") & (own == "failed")
+    status = F.when(gate != "", gate).when(own.isin("failed", "needs_manual_review"), own).otherwise("")
+    codes = F.when(failed, F.array(*map(F.lit, FAILED_CODES))).otherwise(F.filter(F.coalesce("gate_codes", F.array().cast("array<string>")), lambda c: F.trim(c) != ""))
+    codes = F.when((error != "") & ~F.array_contains(codes, error), F.concat(codes, F.array(error))).otherwise(codes)
+    told = [F.coalesce(F.col(s), F.when(error != "", 0)).alias(s) for s in scores]
+    return runs.select(run, status.alias("deliverable_status"), codes.alias("blocking_codes"), *told)

@@ -60,3 +60,17 @@ def retention(before: DataFrame, after: DataFrame, group: str, key: str) -> Data
     out = before.join(left, key, "left").groupBy(group)
     n, m = F.count_if("mandatory"), F.count_if(F.col("mandatory") & F.col("left").isNotNull())
     return out.agg(n.alias("mandatory_items"), m.alias("retained"), F.bround(m / F.when(n > 0, n), 6).alias("retention"))
+
+
+def missing_mandatory(before: DataFrame, after: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key): mandatory items that are no longer there. A row for each, as a group may miss any number."""
+    return before.where("mandatory").select(group, key).distinct().join(after.select(key), key, "left_anti").select(group, key)
+
+
+def retention_status(before: DataFrame, after: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, total, retained, missing, rate, status): of different mandatory items; no rate and not_applicable where there are none."""
+    held = after.select(key).distinct().withColumn("left_", F.lit(1))
+    own = before.groupBy(group, key).agg(F.bool_or("mandatory").alias("must")).join(held, key, "left")
+    n, m = F.count_if("must"), F.count_if(F.col("must") & F.col("left_").isNotNull())
+    rate = F.bround(m / F.when(n > 0, n), 6)
+    return own.groupBy(group).agg(n.alias("total"), m.alias("retained"), (n - m).alias("missing"), rate.alias("rate"), F.when(n > 0, "measured").otherwise("not_applicable").alias("status"))

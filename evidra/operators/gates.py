@@ -162,3 +162,22 @@ def new_facts(before: DataFrame, after: DataFrame, key: str, marker: str, text:
     """(key, marker) that a repaired text has and the one before hasn't: such a repair is rejected."""
     of = lambda rows: rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(marker), F.lit(0)))).alias("marker"))
     return of(after).join(of(before), [key, "marker"], "left_anti")
+
+
+# Words of notices on changed procedures, of what they are about, topics that a report on one needs, and its sections.
+PROCESS_WORDS = ("流程调整", "操作流程", "申报挂网", "挂网操作", "申报入口", "申报路径", "联审通办", "提交申报")
+PROCESS_SUBJECTS, PROCESS_SECTIONS = ("医用耗材", "挂网", "申报"), 3
+PROCESS_TOPICS = (
+    ("调整内容", ("调整内容", "流程调整", "申报入口", "操作流程", "申报路径", "联审通办")), ("影响分析", ("影响分析", "影响", "变化", "衔接", "申报节奏")), ("企业关注点", ("企业关注", "操作建议", "关注点", "企业需", "提前核对", "申报材料")),
+)
+
+
+def process_notice(compact: Column, words: Sequence[str] = PROCESS_WORDS, subjects: Sequence[str] = PROCESS_SUBJECTS) -> Column:
+    """Whether a text without spaces is on a changed procedure: one of the words, and two of the subjects."""
+    return (F.size(hits(compact, words)) >= 1) & (F.size(hits(compact, subjects)) >= 2)
+
+
+def process_depth(report: Column, sections: Column, topics: Sequence[tuple[str, Sequence[str]]] = PROCESS_TOPICS, least: int = PROCESS_SECTIONS) -> Column:
+    """(missing topics, shallow): what a report on a changed procedure lacks, from its text without spaces and its number of sections."""
+    missing = F.array_compact(F.array(*(F.when(F.size(hits(report, words)) == 0, F.lit(topic)) for topic, words in topics)))
+    return F.struct(missing.alias("missing"), ((sections < least) | (F.size(missing) > 0)).alias("shallow"))

@@ -122,3 +122,27 @@ def markdown_table(headers_col: Column, rows_col: Column) -> Column:
     line = lambda cells: F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform(headers_col, lambda _: F.lit("---")), " | "), F.lit(" |"))
     return F.array_join(F.concat(F.array(line(headers_col), rule), F.transform(rows_col, line)), "\n")
+
+
+def table_profiles(cells: DataFrame, table: str, row: str, place: str, header: str, value: str, kinds: Mapping[str, Sequence[str]], numeric: Sequence[str], samples: int = 5) -> DataFrame:
+    """(table, n_rows, n_columns, headers, profile): the summary of each table. profile has for every kind of column that the table has: its
+    columns, filled cells, different values, the first different ones; and for numeric kinds the range of the numbers and the first ones.
+
+    Kinds are told by the headers. Values are combined within tasks, and of samples only the first few of each task are shuffled."""
+    clean = collapse_space(F.coalesce(F.col(value).cast("string"), F.lit("")))
+    rows = cells.select(F.col(table).alias("t"), F.struct(F.col(row).alias("r"), F.col(place).alias("p")).alias("at"), F.col(header).alias("h"), clean.alias("v"))
+    shape = rows.groupBy("t").agg(F.count_distinct("at.r").alias("n_rows"), F.count_distinct("at.p").alias("n_columns"), F.array_distinct(F.transform(F.sort_array(F.collect_set(F.struct("at.p", "h"))), lambda x: x["h"])).alias("headers"))
+    told = rows.where("v <> ''").select("*", F.explode(kinds_of(F.col("h"), kinds)).alias("kind"))
+    number = F.regexp_extract(F.replace(F.col("v"), F.lit(","), F.lit("")), "-?[0-9]+(?:\\.[0-9]+)?", 0).try_cast("double")
+    x = F.when(F.col("kind").isin(*numeric), number)
+    values = told.groupBy("t", "kind", "v").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.min(x).alias("x"))
+    stats = values.groupBy("t", "kind").agg(F.sum("n").alias("non_empty"), F.count(F.lit(1)).alias("different"), F.min("x").alias("least"), F.max("x").alias("most"))
+
+    def first(rows: DataFrame, column: Column, name: str) -> DataFrame:
+        place_ = F.row_number().over(Window.partitionBy("t", "kind").orderBy("at"))
+        few = rows.select("t", "kind", "at", column.alias("c")).where("c is not null").withColumn("k", place_).where(F.col("k") <= samples)
+        return few.groupBy("t", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda s: s["c"]).alias(name))
+
+    both = stats.join(first(values, F.col("v"), "samples"), ["t", "kind"]).join(first(told, x, "numbers"), ["t", "kind"], "left")
+    profile = F.sort_array(F.collect_list(F.struct("kind", "non_empty", "different", "samples", "least", "most", F.coalesce("numbers", F.array().cast("array<double>")).alias("numbers"))))
+    return shape.join(both.groupBy("t").agg(profile.alias("profile")), "t", "left").withColumnRenamed("t", table)

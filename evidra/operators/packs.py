@@ -172,3 +172,18 @@ def stage_lists(fields: DataFrame, stages: Sequence[tuple[str, str, str, str]] =
     one = told.groupBy("pack", "stage", "name", place, "material").agg(F.transform(F.sort_array(F.collect_list(F.struct("attachment", "i", "text"))), lambda x: x["text"]).alias("texts"))
     whole = F.sort_array(F.collect_list(F.struct("first", "material", "texts")))
     return one.groupBy("pack", "stage", "name").agg(F.flatten(F.transform(whole, lambda x: x["texts"])).alias("texts"), F.count(F.lit(1)).alias("from_materials"))
+
+
+def fidelity_catalog(fields: DataFrame, sources: Sequence[str], summary_chars: int = 160) -> DataFrame:
+    """(pack, role, material, attachment, summary, key_facts, table_headers): what is kept whole of every attachment, however a pack is cut.
+
+    fields have a `source` beside their other columns (the attachment itself or its summary in the material), in the order of sources:
+    the longest summary (of equal ones the first) is shortened; facts and headers are united, each once, in the order in which they come."""
+    key, order = ("pack", "role", "material", "attachment"), F.struct(F.array_position(F.array(*map(F.lit, sources)), F.col("source")).alias("s"), F.col("i"))
+    rows = fields.where((F.col("attachment") >= 0) & F.col("field").isin("summary", "key_facts", "headers") & ((F.col("field") == "summary") | (F.trim("text") != "")))
+    # equal texts are one before they are gathered
+    each = rows.groupBy(*key, "field", "text").agg(F.min(order).alias("at"))
+    of = lambda field: F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == field, F.struct("at", "text")))), lambda x: x["text"])
+    back = F.struct(F.length("text").alias("n"), (-F.col("at.s")).alias("s"), (-F.col("at.i")).alias("i"))
+    longest = F.max_by(F.when(F.col("field") == "summary", F.col("text")), F.when(F.col("field") == "summary", back))
+    return each.groupBy(*key).agg(truncate_head_tail(F.coalesce(longest, F.lit("")), summary_chars).alias("summary"), of("key_facts").alias("key_facts"), of("headers").alias("table_headers"))

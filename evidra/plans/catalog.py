@@ -530,4 +530,4 @@ def ext_window_counts(spark, d):
     return fold.windowed_counts(table(spark, d, "events"))
 
 
-from evidra.plans import catalog_more, catalog_packs, catalog_reports, catalog_runs, catalog_states, catalog_tables, catalog_text, catalog_versions  # noqa: E402, F401  more queries
+from evidra.plans import catalog_evidence, catalog_more, catalog_packs, catalog_reports, catalog_runs, catalog_states, catalog_tables, catalog_text, catalog_versions  # noqa: E402, F401  more queries
