@@ -17,11 +17,15 @@ MARKED_FROM, MARKED_MOST, PLAIN_FROM, PLAIN_MOST, PLAIN_EACH, PLAIN_TERMS, LONG_
 DATE = r"20\d{2}(?:年|[-/.])\d{1,2}(?:月|[-/.])\d{1,2}日?"
 VALUE = r"(?<!\d)\d+(?:,\d{3})*(?:\.\d+)?(?:万元|元(?:/[^，。；;|]+)?|%|％|年|个月|月|个工作日|工作日|日|天|个|件|家|份|批|轮)(?!\d)"
 REGIONS = (
-    "北京市 天津市 上海市 重庆市 河北省 山西省 辽宁省 吉林省 黑龙江省 江苏省 浙江省 安徽省 福建省 江西省 山东省 河南省 湖北省 湖南省 广东省 海南省 四川省 贵州省 云南省 "
-    "陕西省 甘肃省 青海省 台湾省 内蒙古自治区 广西壮族自治区 西藏自治区 宁夏回族自治区 新疆维吾尔自治区 香港特别行政区 澳门特别行政区"
-).split()
-OFFICES = "国家医疗保障局 医疗保障局 医保局 公共资源交易中心 医药集中采购平台 采购中心 交易中心".split()
-HINTS = "采购 申报 报价 价格 中选 执行 协议 周期 范围 企业 医疗机构 风险 建议 应 须 明确 为".split()
+    "北京市", "天津市", "上海市", "重庆市", "河北省", "山西省", "辽宁省", "吉林省", "黑龙江省", "江苏省", "浙江省", "安徽省", "福建省", "江西省", "山东省", "河南省", "湖北省", "湖南省", "广东省", "海南省", "四川省",
+    "贵州省", "云南省", "陕西省", "甘肃省", "青海省", "台湾省", "内蒙古自治区", "广西壮族自治区", "西藏自治区", "宁夏回族自治区", "新疆维吾尔自治区", "香港特别行政区", "澳门特别行政区",
+)
+OFFICES = (
+    "国家医疗保障局", "医疗保障局", "医保局", "公共资源交易中心", "医药集中采购平台", "采购中心", "交易中心",
+)
+HINTS = (
+    "采购", "申报", "报价", "价格", "中选", "执行", "协议", "周期", "范围", "企业", "医疗机构", "风险", "建议", "应", "须", "明确", "为",
+)
 #: Terms that claim and evidence may share: hints of two characters or more; labels of topics come in addition.
 TERMS = tuple(h for h in HINTS if len(h) >= 2)
 

@@ -24,9 +24,9 @@ KINDS: dict[str, tuple[str, ...]] = {
     "group": ("group", "category", "分组", "分类", "组别"),
 }
 KEYS = (
-    "企业名称 申报企业 生产企业 配送企业 产品名称 通用名 耗材名称 项目名称 项目编码 服务项目 注册证号 备案号 医保编码 医保耗材代码 医保代码 医保支付 支付类别 支付标准 规格型号 申报价 报价 价格 中选价 挂网价 收费 采购量 报量 需求量 "
-    "约定采购量 地区 分组 分类 中选状态"
-).split()
+    "企业名称", "申报企业", "生产企业", "配送企业", "产品名称", "通用名", "耗材名称", "项目名称", "项目编码", "服务项目", "注册证号", "备案号", "医保编码", "医保耗材代码", "医保代码", "医保支付", "支付类别", "支付标准",
+    "规格型号", "申报价", "报价", "价格", "中选价", "挂网价", "收费", "采购量", "报量", "需求量", "约定采购量", "地区", "分组", "分类", "中选状态",
+)
 #: Rows in which a header is looked for; the most that filled cells count for it.
 HEADER_ROWS, MOST_FILLED = 25, 12
 

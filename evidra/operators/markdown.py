@@ -87,7 +87,9 @@ def parts_of(told: DataFrame, key: str, lead: int = 4) -> DataFrame:
 
 
 #: Words that a formal report doesn't hold.
-INFORMAL = "我认为 大概 应该是 显然 必然 唯一选择 全面利好 重大颠覆".split()
+INFORMAL = (
+    "我认为", "大概", "应该是", "显然", "必然", "唯一选择", "全面利好", "重大颠覆",
+)
 BLOCKED = ("思考过程", "推理过程", "chain-of-thought", "analysis", "scratchpad", "debug", "<think", "</think")
 
 
