@@ -3,8 +3,9 @@
 Pre-tokens are exploded with their positions in a compact form: a task's documents make chunks, a chunk numbers its different
 pre-tokens, and a document becomes the list of their numbers. The different pre-tokens of all chunks are dealt to buckets by
 hash, so each distinct one meets in one place and is encoded once; the ids are joined back by chunk and number, and documents
-are reassembled by position. As words are distinct within a chunk before the shuffle, no word is hot. Decoding joins the
-table of token bytes (as many rows as the vocabulary) to the ids.
+are reassembled by position. As words are distinct within a chunk before the shuffle, no word is hot. Decoding looks the ids of
+a chunk's different words up in the table of token bytes, which each task holds (as large as the vocabulary), and puts their
+bytes together by position.
 
 Null texts count as empty. Every input row gives one output row; ids may be null or repeated. The pattern's white space is
 spelled out, because libraries differ on the control characters 1C-1F.

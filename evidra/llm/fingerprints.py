@@ -4,7 +4,8 @@ Every byte window of a text gets its entropy (in integer arithmetic, so that equ
 entropy value occurs over all windows of all documents gives its rarity rank. A window is a feature if it has the least rank in
 at least `popular` of the ranges of consecutive windows that it lies in. Texts from LONG_FROM bytes on have windows of 64
 bytes; those below SHORT_UNTIL have windows of 16 bytes, so that they too have several features and survive a small edit;
-between the two bounds a text has both, so near copies on either side of a bound share features. Features are hashed into a
+between the two bounds a text has both, so near copies on either side of one bound share features. A text from SHORT_UNTIL
+bytes on and a part of it below LONG_FROM have no kind in common, and may be unlike. Features are hashed into a
 chain of Bloom filters of 2048 bits, 160 features each. Two digests are compared filter by filter: the common bits, less those
 expected by chance, over the most that could be common; each filter of the shorter digest counts with its best partner.
 
