@@ -806,6 +806,23 @@ def test_odd_rows_and_columns(spark, name):
     assert run(frame.where("false")).count() == 0
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls, blanks, long texts, repeats and clashing names through the stages that drop and redact; and empty tables."""
+    import corpus_pipeline
+
+    few_labels(spark.range(1)).write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["score", "label", "spans", "kind", "row", "uid", "bucket", "n"]
+    rows = [*ODD, (12, "my password = abcdefghijklmnop")]
+    frame = spark.createDataFrame([(i, t, None, "s", len(t or ""), *["x"] * len(names)) for i, t in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{n} string" for n in names)])).repartition(3)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.redact_secrets):
+        got = stage(spark, frame, str(tmp_path))
+        assert got.columns == frame.columns and stage(spark, frame.where("false"), str(tmp_path)).count() == 0
+        kept = got.collect()
+        assert 0 < len(kept) <= len(rows) and all(r["score"] == "x" for r in kept)
+    clean = {(r["doc_id"], r["text"], r["n_chars"]) for r in kept}
+    assert len(kept) == len(rows) and (12, "my <assign>", 11) in clean and {(i, t, len(t or "")) for i, t in ODD} < clean
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Every stage on the output of the one before it, by plain loops; toxicity by the model's score of single texts."""
     import corpus_pipeline
