@@ -85,6 +85,7 @@ def claim_index(
     left = claims.select(F.col(claim_id).alias("claim"), normalise(F.col(text)).alias("text"), markers(F.col(text)).alias("markers")).where(F.trim("text") != "")
     right = evidence.select(F.col(evidence_id).alias("evidence"), normalise(F.col(text)).alias("text")).where(F.trim("text") != "")
     index = text_index(right)
+    right = index.texts
     full = contained(left.select("claim", "text"), index).withColumn("score", F.lit(CONTAINED).cast("long"))
     brief = right.where(F.length("text") <= REVERSE_CHARS).select(F.col("evidence").alias("claim"), "text")
     back = contained(brief, left.select(F.col("claim").alias("evidence"), "text")).select(F.col("evidence").alias("claim"), F.col("claim").alias("evidence"), F.lit(REVERSE).cast("long").alias("score"))

@@ -2,11 +2,13 @@
 
 A text that holds a phrase has the phrase's inner words as whole words, before them a word that ends with the phrase's first and
 after them one that begins with its last (or, of a phrase that is one word, a word that contains it). So texts are indexed by their
-words and places, and only the different words by the q-grams in them, with signs at their ends. A piece of a phrase is found in
-the vocabulary by its rarest q-grams; its words tell how often it occurs at most; and a phrase meets only the texts that have its
-rarest pieces, at places that fit each other. Texts are compared with phrases at the end, so the index never decides alone.
+words and places, and only the different words by the q-grams in them, with signs at their ends. Phrases with enough inner words are
+looked up by these alone; the pieces at the ends of shorter ones are found in the vocabulary by their rarest q-grams. The words of a
+piece tell how often it occurs at most; and a phrase meets only the texts that have its rarest pieces, at places that fit each
+other. Texts are compared with phrases at the end, so the index never decides alone.
 
-Sides that are small as written are broadcast by Spark itself; the others are shuffled by word, q-gram or id."""
+Texts are written once, as several passes read them, and so is the vocabulary. Places are told while the texts are read, and only
+those of words that some phrase asks for leave the task. Sides that are small as written are broadcast by Spark itself; the others are shuffled by word, q-gram or id."""
 
 from __future__ import annotations
 
@@ -20,6 +22,8 @@ from evidra.sources.staging import staged
 
 #: Characters of a q-gram; q-grams that a piece is looked up with, pieces that a phrase is looked up with; signs for a word's ends.
 Q, RAREST_GRAMS, RAREST_PIECES, HEAD, TAIL = 3, 3, 3, "\x02", "\x03"
+#: Bytes of a row group of the texts.
+BLOCK_BYTES = 4 << 20
 
 
 def words_of(c: Column) -> Column:
@@ -33,28 +37,31 @@ def runs(c: Column, k: int) -> Column:
 
 @dataclass
 class TextIndex:
-    """texts: (evidence, text); postings: (word, evidence, at): every word with its place; vocabulary: (word, n): the different words
-    and how often each occurs."""
+    """texts: (evidence, text); vocabulary: (word, n): the different words and how often each occurs."""
 
     texts: DataFrame
-    postings: DataFrame
     vocabulary: DataFrame
 
+    def places(self) -> DataFrame:
+        """(evidence, at, word): every word with its place."""
+        return self.texts.select("evidence", F.posexplode(words_of(F.col("text"))).alias("at", "word"))
+
 
 def text_index(texts: DataFrame) -> TextIndex:
     """The index of texts (evidence, text), in the shared folder. Null and blank texts hold nothing."""
-    own = texts.where(F.col("text").isNotNull())
-    postings = staged(own.select("evidence", F.posexplode(words_of(F.col("text"))).alias("at", "word")), "postings")
-    return TextIndex(own, postings, staged(postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "vocabulary"))
+    own = staged(texts.select("evidence", "text").where(F.col("text").isNotNull()), "texts", BLOCK_BYTES)
+    words = own.select(F.explode(words_of(F.col("text"))).alias("word"))
+    return TextIndex(own, staged(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "vocabulary"))
 
 
 def pieces_of(phrases: DataFrame) -> DataFrame:
-    """(claim, i, piece, kind) of phrases (claim, text): inner words whole, the first as an end, the last as a beginning; the word of a
-    phrase of one as a part."""
+    """(claim, i, piece, kind) of phrases (claim, text): inner words whole, and where they are fewer than RAREST_PIECES the first as an end
+    and the last as a beginning; the word of a phrase of one as a part."""
     split = phrases.select("claim", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     each = split.select("claim", F.size("w").alias("n"), F.posexplode("w").alias("i", "piece"))
     kind = F.when(F.col("n") == 1, "part").when(F.col("i") == 0, "end").when(F.col("i") == F.col("n") - 1, "start").otherwise("whole")
-    return each.select("claim", "i", "piece", kind.alias("kind"))
+    inner = (F.col("i") > 0) & (F.col("i") < F.col("n") - 1)
+    return each.where(inner | (F.col("n") < RAREST_PIECES + 2)).select("claim", "i", "piece", kind.alias("kind"))
 
 
 def words_with(pieces: DataFrame, index: TextIndex) -> DataFrame:
@@ -83,14 +90,14 @@ def words_with(pieces: DataFrame, index: TextIndex) -> DataFrame:
 
 def candidates(phrases: DataFrame, index: TextIndex) -> DataFrame:
     """(claim, evidence): the texts that have the rarest pieces of a phrase at places that fit; all that hold it are among them."""
-    pieces = pieces_of(phrases)
+    pieces = staged(pieces_of(phrases), "pieces")
     words = staged(words_with(pieces.select("piece", "kind"), index), "words")
     weight = words.groupBy("piece", "kind").agg(F.sum("n").alias("n"))
     of_phrase = Window.partitionBy("claim")  # the pieces of a phrase
     ranked = pieces.join(weight, ["piece", "kind"], "left").withColumns({"k": F.row_number().over(of_phrase.orderBy("n", "i")), "there": F.min(F.col("n").isNotNull()).over(of_phrase), "all": F.count(F.lit(1)).over(of_phrase)})
     chosen = ranked.where(F.col("there") & (F.col("k") <= RAREST_PIECES)).select("claim", "i", "piece", "kind", F.least("all", F.lit(RAREST_PIECES)).alias("needed"))
     keys = chosen.join(words, ["piece", "kind"]).select("claim", "needed", "i", "word")
-    met = index.postings.join(staged(keys, "keys"), "word").select("claim", "evidence", "needed", (F.col("at") - F.col("i")).alias("start"))
+    met = index.places().join(staged(keys, "keys"), "word").select("claim", "evidence", "needed", (F.col("at") - F.col("i")).alias("start"))
     return met.groupBy("claim", "evidence", "needed", "start").agg(F.count(F.lit(1)).alias("found")).where("found = needed").select("claim", "evidence").distinct()
 
 
@@ -98,7 +105,7 @@ def held(phrases: DataFrame, index: TextIndex) -> DataFrame:
     """(claim, evidence) where the text of the evidence holds the phrase (claim, text). Equal phrases are looked up once; blank ones are
     held nowhere."""
     own = phrases.where(F.size(words_of(F.col("text"))) > 0)
-    different = own.select(F.col("text").alias("claim"), "text").distinct()
+    different = staged(own.select("text").distinct(), "phrases").select(F.col("text").alias("claim"), "text")
     if different.isEmpty():
         return phrases.sparkSession.createDataFrame([], T.StructType([own.schema["claim"], index.texts.schema["evidence"]]))
     pairs = staged(candidates(different, index), "candidates")
