@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.sources.staging import staged
+from evidra.sources.staging import staged, staged_in_blocks
 
 #: Characters of a q-gram; q-grams that a piece is looked up with, pieces that a phrase is looked up with; signs for a word's ends.
 Q, RAREST_GRAMS, RAREST_PIECES, HEAD, TAIL = 3, 3, 3, "\x02", "\x03"
@@ -49,7 +49,7 @@ class TextIndex:
 
 def text_index(texts: DataFrame) -> TextIndex:
     """The index of texts (evidence, text), in the shared folder. Null and blank texts hold nothing."""
-    own = staged(texts.select("evidence", "text").where(F.col("text").isNotNull()), "texts", BLOCK_BYTES)
+    own = staged_in_blocks(texts.select("evidence", "text").where(F.col("text").isNotNull()), "texts", BLOCK_BYTES)
     words = own.select(F.explode(words_of(F.col("text"))).alias("word"))
     return TextIndex(own, staged(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "vocabulary"))
 

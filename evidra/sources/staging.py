@@ -21,11 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/evidra-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "t", block_bytes: int | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors, and fixes what tasks numbered.
+def staged(df: DataFrame, name: str = "t") -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors, and fixes what tasks numbered."""
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    block_bytes: size of a row group, as written into memory. A file is read by no more tasks than it has row groups, so smaller ones
-    spread a table that few tasks wrote over many, without a shuffle."""
+def staged_in_blocks(df: DataFrame, name: str, block_bytes: int) -> DataFrame:
+    """Like staged, in row groups of about so many bytes (as written into memory). A file is read by no more tasks than it has row groups,
+    so small ones spread a table that few tasks wrote over many, without a shuffle."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
+    df.write.option("parquet.block.size", block_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
