@@ -7,11 +7,12 @@ and are written to the shared folder, so every later step sees the same rows, al
 2. The directory starts with one slot for all keys. Buckets with more than `bucket_keys` keys are split by their next bit, and
    the directory doubles, until none is overfull; other buckets keep their smaller local depth. A round counts DOUBLINGS further
    bits of the keys that lie in overfull buckets, so no depth is fixed beforehand.
-3. The directory gives every entry its bucket. The entries are laid out by bucket in files of the shared folder; as buckets are
-   prefixes of keys, the file of a task, the owner, is a range of keys.
-4. Rows whose entry has more than one row are combined by their texts (this compares bytes, within tasks first, so a large
-   group of copies is one row for each task), and dealt to the owners by bucket. In a bucket, different texts with one key are
-   chained. A row whose entry stands alone is its own group and its text is shipped nowhere.
+3. The directory gives every entry its bucket. The entries are laid out by bucket in files of the shared folder, with the number
+   of the task that wrote them, their owner; as buckets are prefixes of keys, an owner has a range of keys.
+4. Rows whose entry has more than one row go to the entry's owner, which compares their bytes: equal texts become a group, and
+   different texts with one key are chained. Where an entry has COMBINE_FROM rows or more, those with equal bytes are combined
+   before, COMBINERS apart, so an owner gets few rows of a large group of copies. A row whose entry stands alone is its own group
+   and its text is shipped nowhere.
 5. Groups come back to the rows by key, and where a key has a chain, by the bytes of the text. Keys with a large share of the rows
    are joined apart from the others, by a broadcast of a few keys for each partition.
 
@@ -33,6 +34,8 @@ from evidra.llm.common import join_counted, lower_ascii, n_partitions, small_sid
 BUCKET_KEYS, DOUBLINGS = 4096, 8
 #: Rows of 16 to 40 bytes up to which a side is broadcast.
 BROADCAST_KEYS = 500_000
+#: Rows of a key from which they are combined before they go to the owner, and the parts in which that is done.
+COMBINE_FROM, COMBINERS = 64, 64
 
 
 def normalised(text: Column) -> Column:
@@ -83,11 +86,12 @@ def directory_of(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, doublings: int
 
 
 def index_of(rows: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """(bucket, key, n): the entries, laid out by bucket in the shared folder."""
+    """(owner, bucket, key, n): the entries, laid out by bucket in the shared folder; owners are tasks that hold whole buckets."""
     entries = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "entries")
     directory, depth = directory_of(entries, bucket_keys)
     placed = entries.withColumn("slot", slot_of(F.col("key"), depth)).join(small_side(directory, directory.count(), BROADCAST_KEYS), "slot")
-    return staged(placed.select("bucket", "key", "n").repartitionByRange(n_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "key"), "index")
+    owned = placed.select("bucket", "key", "n").repartitionByRange(n_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "key")
+    return staged(owned.select(F.spark_partition_id().alias("owner"), "bucket", "key", "n"), "index")
 
 
 def on_key(rows: DataFrame, table: DataFrame, counted: str) -> DataFrame:
@@ -102,12 +106,18 @@ def on_key(rows: DataFrame, table: DataFrame, counted: str) -> DataFrame:
 def groups_of(rows: DataFrame, index: DataFrame, text_col: str) -> DataFrame:
     """(bucket, key, chain, chained, norm, keep_id, keep_uid, group_size) for the keys with more than one row: a row for each
     different text. norm is null where the key has that text alone."""
-    many = index.filter("n > 1").select("key", "bucket", "n")
-    members = on_key(rows, many, "n").select("bucket", "key", normalised(F.col("row")[text_col]).alias("norm"), "doc_id", "uid")
-    top = F.max(F.struct("doc_id", (-F.col("uid")).alias("back")))
-    texts = members.groupBy("bucket", "key", "norm").agg(top.alias("top"), F.count(F.lit(1)).alias("group_size"))
-    owned = texts.repartitionByRange(n_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "key", "norm")
-    of_key = Window.partitionBy("bucket", "key").orderBy("norm")  # within the owner's range
+    many = index.filter("n > 1")
+    entry, text = ["owner", "bucket", "key"], normalised(F.col("row")[text_col]).alias("norm")
+    members = on_key(rows, many, "n").select(*entry, text, F.struct("doc_id", (-F.col("uid")).alias("back")).alias("top"), F.lit(1).cast("long").alias("size"), "n", "uid")
+    merged = [F.max("top").alias("top"), F.sum("size").alias("size")]
+    part = F.shiftright("uid", 33) % COMBINERS  # by the task that numbered the row
+    sent = members.filter(F.col("n") < COMBINE_FROM).select(*entry, "norm", "top", "size")
+    if not many.filter(F.col("n") >= COMBINE_FROM).isEmpty():
+        combined = members.filter(F.col("n") >= COMBINE_FROM).groupBy(*entry, "norm", part.alias("part")).agg(*merged)
+        sent = sent.unionByName(combined.drop("part"))
+    # each owner is one task from here on: nothing below is shuffled again
+    owned = sent.repartitionById(n_partitions(rows.sparkSession), F.col("owner")).groupBy(*entry, "norm").agg(*merged).withColumnRenamed("size", "group_size")
+    of_key = Window.partitionBy(*entry).orderBy("norm")
     chained = F.count(F.lit(1)).over(of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     linked = owned.withColumn("chain", F.row_number().over(of_key)).withColumn("chained", chained)
     norm = F.when(F.col("chained") > 1, F.col("norm"))

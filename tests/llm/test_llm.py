@@ -133,6 +133,19 @@ def test_very_many_copies_of_one_text(spark, monkeypatch):
     assert exact_dedup.drop_copies(frame).count() == 501
 
 
+@pytest.mark.parametrize("combine_from", [2, 10**9])
+def test_owners_compare_bytes(spark, monkeypatch, combine_from):
+    """Groups are the same whether copies are combined before they reach their owner or not, also where keys collide; a bucket has one owner."""
+    monkeypatch.setattr(exact_dedup, "COMBINE_FROM", combine_from)
+    frame = spark.createDataFrame(COPIES, "doc_id long, text string").repartition(5)
+    for bits in (64, 3):
+        assert sorted(map(tuple, exact_dedup.exact_copies(frame, bucket_keys=1, key_bits=bits).select(COLUMNS).collect()), key=str) == slow_copies(COPIES)
+    rows = exact_dedup.numbered(spark.range(4000).selectExpr("id doc_id", "string(id % 900) text"), "doc_id", "text", 64)
+    owners = exact_dedup.index_of(rows, bucket_keys=20).groupBy("bucket").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("o"))
+    found = owners.collect()
+    assert {r["n"] for r in found} == {1} and len({r["o"] for r in found}) > 1
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(1000).selectExpr("if(id < 300, shiftrightunsigned(xxhash64(id), 5), xxhash64(id)) as key")
     directory, depth = exact_dedup.directory_of(keys, bucket_keys=20, doublings=3)
