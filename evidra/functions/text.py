@@ -180,9 +180,16 @@ def glossary_entries(c: Column) -> Column:
 def important_parts(c: Column, topics: Sequence[tuple[str, Sequence[str]]], words: Sequence[str], each: int = 500, most: int = 12, least: int = 12) -> Column:
     """What matters of a text, as an array: for each topic that it has, its first three sentences; then other sentences with one of the
     words, that no topic has said already; `most` in all. One pass over the sentences of a row, nothing is dealt out."""
-    told = sentences(c, least)
     has = lambda w: lambda s: F.size(hits(s, w)) > 0
-    sections = [F.filter(told, has(w)) for _, w in topics]
-    named = F.array_compact(F.array(*[F.when(F.size(x) > 0, F.concat(F.lit(f"{n}: "), F.substring(F.array_join(F.slice(x, 1, 3), "; "), 1, each))) for (n, _), x in zip(topics, sections, strict=True)]))
-    rest = F.filter(told, lambda s: (F.size(hits(s, words)) > 0) & ~F.exists(named, lambda p: F.contains(p, s)))
-    return F.slice(F.concat(named, F.transform(rest, lambda s: F.substring(s, 1, each))), 1, most)
+
+    def parts(told: Column, named: Column) -> Column:
+        rest = F.filter(told, lambda s: (F.size(hits(s, words)) > 0) & ~F.exists(named, lambda p: F.contains(p, s)))
+        return F.slice(F.concat(named, F.transform(rest, lambda s: F.substring(s, 1, each))), 1, most)
+
+    def sections(told: Column) -> Column:
+        found = [(n, F.filter(told, has(w))) for n, w in topics]
+        return F.array_compact(F.array(*[F.when(F.size(x) > 0, F.concat(F.lit(f"{n}: "), F.substring(F.array_join(F.slice(x, 1, 3), "; "), 1, each))) for n, x in found]))
+
+    # variables of lambdas are computed once for each row; columns used in several places would be computed in each
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    return once(sentences(c, least), lambda told: once(sections(told), lambda named: parts(told, named)))
