@@ -183,6 +183,11 @@ def _cache(spark, d):
     return caches.states(rows, "user_id", "ts", "status", "failures", now)
 
 
+def _now(events):
+    """The latest time of the events, as a literal."""
+    return F.timestamp_micros(F.lit(events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("n")).first()["n"]).cast("long"))
+
+
 @query(f"""
 with n as (select max(ts) as now from events), c as (select user_id, ts, {_SQL_STATUS} as status, cast(value / 25 as bigint) as failures from events), l as (select user_id, max((ts, failures, status)) as x from c group by 1),
 s as (select user_id, floor(epoch(now) - epoch(x[1])) > case when x[3] = 'download_failed' then case when x[2] >= 3 then 7200 else 600 end else 2592000 end as expired from l, n)
@@ -205,9 +210,8 @@ with n as (select max(ts) as now from events), c as (select event_id, user_id, t
 select event_id, user_id, status from c, n where floor(epoch(now) - epoch(ts)) <= case when status = 'download_failed' then case when failures >= 3 then 7200 else 600 end else 1728000 + 864000 end""")
 def cache_cleanup(spark, d):
     events = table(spark, d, "events")
-    now = F.lit(events.agg(F.max("ts").alias("n")).first()["n"])
-    rows = events.select("event_id", "user_id", "ts", F.round(F.col("value") / 25).cast("long").alias("failures"), _status().alias("status"))
-    return caches.cleaned(rows, "ts", "status", "failures", now).select("event_id", "user_id", "status")
+    rows = events.select("event_id", "user_id", "ts", F.rint(F.col("value") / 25).cast("long").alias("failures"), _status().alias("status"))
+    return caches.cleaned(rows, "ts", "status", "failures", _now(events)).select("event_id", "user_id", "status")
 
 
 # budgets
