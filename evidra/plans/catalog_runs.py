@@ -178,9 +178,8 @@ def cache_states(spark, d):
 
 def _cache(spark, d):
     events = table(spark, d, "events")
-    now = F.date_trunc("second", F.lit(events.agg(F.max("ts").alias("n")).first()["n"]))
-    rows = events.select("user_id", "ts", F.round(F.col("value") / 25).cast("long").alias("failures"), _status().alias("status"))
-    return caches.states(rows, "user_id", "ts", "status", "failures", now)
+    rows = events.select("user_id", "ts", F.rint(F.col("value") / 25).cast("long").alias("failures"), _status().alias("status"))
+    return caches.states(rows, "user_id", "ts", "status", "failures", _now(events))
 
 
 def _now(events):

@@ -33,3 +33,8 @@ def compared(spark, tmp_path_factory):
 
 def test_cleanup_counts_whole_seconds_and_halves_to_even(compared):
     assert sorted(compared("cache_cleanup")["event_id"]) == [0, 1, 4, 5, 7]
+
+
+def test_states_count_whole_seconds_and_halves_to_even(compared):
+    found = compared("cache_states").set_index("user_id")["state"]
+    assert found[1] == "cache_hit_failure_short" and found[3] == "cache_expired_retry"
