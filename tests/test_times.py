@@ -38,3 +38,7 @@ def test_cleanup_counts_whole_seconds_and_halves_to_even(compared):
 def test_states_count_whole_seconds_and_halves_to_even(compared):
     found = compared("cache_states").set_index("user_id")["state"]
     assert found[1] == "cache_hit_failure_short" and found[3] == "cache_expired_retry"
+
+
+def test_work_leaves_out_what_is_still_good(compared):
+    assert sorted(compared("cache_work")["user_id"]) == [2, 3, 6, 8, 9, 10]
