@@ -121,11 +121,13 @@ def reader_words(c: Column) -> Column:
 
 
 #: What models put around an answer.
-_THOUGHTS, _PREAMBLE = "(?is)<think(?:ing)?\\b[^>]*>.*?</think(?:ing)?>", "(?im)^(?:sure|certainly|here is|here's|以下是|好的)[^\n]{0,80}[:：]?\\s*$\n?"
+_THOUGHTS = "(?is)<think(?:ing)?\\b[^>]*>.*?</think(?:ing)?>"
+_PREAMBLE = "(?i)\\A\\s*(?:(?:(?:sure|certainly|here is|here's)\\b|以下是|好的)[^\n]{0,80}[:：]|(?:sure|certainly|好的)[!！.。]?)[^\\S\n]*(?:\n|\\z)"
 
 
 def answer_text(c: Column) -> Column:
-    """A model's answer without reasoning blocks (an open one reaches to the end), code fences around it and preamble lines."""
+    """A model's answer without reasoning blocks (an open one reaches to the end), code fences around it and the preamble: a first line that
+    only agrees, or that announces the answer and ends in a colon. Lines further on are part of the answer, however they begin."""
     c = F.regexp_replace(F.regexp_replace(c, _THOUGHTS, ""), "(?is)<think(?:ing)?\\b[^>]*>.*$", "")
     c = F.regexp_replace(F.regexp_replace(F.trim(c, F.lit(" \n\t")), "(?s)^```[a-zA-Z]*\\s*\n(.*?)\n?```\\s*$", "$1"), _PREAMBLE, "")
     return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"), F.lit(" \n"))

@@ -210,3 +210,9 @@ def test_sections_and_glossaries(spark):
     one = lambda c, s: frame(spark, [(s,)], "s string").select(c(F.col("s"))).first()[0]
     assert one(lambda c: text.without_sections(c, ["材料说明", "附件说明"]), "# T\na\n## 材料说明\nb\n### c\nd\n## 附件说明（1）\ne") == "# T\na\n### c\nd"
     assert one(text.glossary_entries, "- **中选价**：合同价\n2. 集采 —— 集中采购；无\n中选价: 合同价") == ["中选价: 合同价", "集采: 集中采购"]
+
+
+def test_only_a_first_line_is_a_preamble(spark):
+    raws = ["Sure, here is the report:\nbody", "Certainly!\nbody", "a\nHere is. More of it.\nb", "Here is. And more.\nb", "a\nSure: no\n以下是价格\nb", "Surely this:\nb", "```md\nHere is it:\n\n# T\n```", "好的。"]
+    got = [r[0] for r in frame(spark, [(i, s) for i, s in enumerate(raws)], "i int, s string").orderBy("i").select(text.answer_text(F.col("s"))).collect()]
+    assert got == ["body", "body", "a\nHere is. More of it.\nb", "Here is. And more.\nb", "a\nSure: no\n以下是价格\nb", "Surely this:\nb", "# T", ""]
