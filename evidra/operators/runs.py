@@ -19,9 +19,14 @@ def revisions(events: DataFrame, key: str, time: str, ties: Sequence[str]) -> Da
     return running_total(rows, key, "at", ties, "one", "revision").drop("at", "one")
 
 
+def unix_ms(c: Column) -> Column:
+    """Milliseconds since 1970, rounded to the nearest (halves away from 0), as the engines of SQL give them; `unix_millis` cuts off."""
+    return (F.round(F.unix_micros(c.cast("timestamp")), -3) / 1000).cast("long")
+
+
 def duration_ms(explicit: Column, timings: Sequence[Column], terminal: Column, started: Column, ended: Column) -> Column:
     """An explicit duration above 0, else the first timing that isn't 0, else for an ended run the time between its ends, else 0."""
-    between = F.when(terminal & (ended >= started), F.unix_millis(ended.cast("timestamp")) - F.unix_millis(started.cast("timestamp")))
+    between = F.when(terminal & (ended >= started), unix_ms(ended) - unix_ms(started))
     return F.coalesce(F.when(explicit > 0, explicit), *[F.when(t != 0, t) for t in timings], between, F.lit(0)).cast("long")
 
 
@@ -53,7 +58,7 @@ def checkpoint_plan(events: DataFrame, run: str, step: str, status: Column, orde
 
 def timed_out(latest: DataFrame, run: str, time: str, status: Column, now: Column, seconds: float) -> DataFrame:
     """(run, status, timed_out): runs that haven't ended and whose last sign is older than the limit are failed."""
-    late = ~status.isin(*TERMINAL) & (F.unix_millis(now.cast("timestamp")) - F.unix_millis(F.col(time).cast("timestamp")) > F.lit(int(1000 * seconds)))
+    late = ~status.isin(*TERMINAL) & (unix_ms(now) - unix_ms(F.col(time)) > F.lit(int(1000 * seconds)))
     return latest.select(run, F.when(late, "failed").otherwise(status).alias("status"), late.alias("timed_out"))
 
 

@@ -95,8 +95,7 @@ def run_history_consistency(spark, d):
 @query(f"""
 with {_RUN_SQL}, n as (select max(ts) as now from events) select user_id, case when status = 'running' and epoch_ms(now) - epoch_ms(seen) > 86400000 then 'failed' else status end as status, status = 'running' and epoch_ms(now) - epoch_ms(seen) > 86400000 as timed_out from r, n""")
 def watchdog(spark, d):
-    now = table(spark, d, "events").agg(F.max("ts").alias("now")).first()["now"]
-    return runs.timed_out(_runs(spark, d), "user_id", "seen", F.col("status"), F.lit(now), 86_400)
+    return runs.timed_out(_runs(spark, d), "user_id", "seen", F.col("status"), _now(table(spark, d, "events")), 86_400)
 
 
 _STEPS = ("view", "click", "signup", "purchase", "error")

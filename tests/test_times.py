@@ -42,3 +42,20 @@ def test_states_count_whole_seconds_and_halves_to_even(compared):
 
 def test_work_leaves_out_what_is_still_good(compared):
     assert sorted(compared("cache_work")["user_id"]) == [2, 3, 6, 8, 9, 10]
+
+
+def test_durations_are_of_rounded_milliseconds(spark, tmp_path):
+    base = datetime(2024, 1, 1)
+    # milliseconds of the ends: .6 and .2 (1 and 10), .4 and .4, .5 and .5, .2 and .6
+    ends = [(600, 10_200), (400, 10_400), (500, 10_500), (200, 10_600)]
+    rows = [(2 * i + j, base + timedelta(microseconds=us), i, "purchase", 1.0, "{}") for i, pair in enumerate(ends) for j, us in enumerate(pair)]
+    # the last sign of runs that aren't ended, a day and 0.4 ms before the latest time, and a day and 0.6 ms
+    rows += [(100 + k, base + timedelta(microseconds=us) - timedelta(days=1), 10 + k, "view", 1.0, "{}") for k, us in enumerate((10_200, 10_000))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("run_durations", "watchdog"):
+        found, wanted = QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(SQL[name]).df()
+        assert rows_of(found, sorted(found.columns)) == rows_of(wanted, sorted(wanted.columns))
+        if name == "run_durations":
+            assert dict(zip(found["user_id"], found["duration_ms"])) == {0: 9, 1: 10, 2: 10, 3: 11, 10: 0, 11: 0}
