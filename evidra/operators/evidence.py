@@ -44,11 +44,14 @@ def conflicts(facts: DataFrame, key: list[str], value: str) -> DataFrame:
 
 def closure(start: DataFrame, links: DataFrame) -> DataFrame:
     """All items that can be reached from start (item) over links (item, source), itself included. Every round is written to the shared
-    folder, so lineage stays short and nothing is held in memory; it ends when a round finds nothing new, however deep the links are."""
+    folder, so lineage stays short and nothing is held in memory; it ends when a round finds nothing new, however deep the links are. What
+    a round found is written before it is compared with what was seen: few such items are broadcast, and what was seen isn't shuffled.
+    Links may repeat."""
     parts = [staged(start.select("item").distinct(), "reached")]
     while True:
         seen = reduce(DataFrame.unionByName, parts)
-        fresh = staged(parts[-1].join(links, "item").select(F.col("source").alias("item")).distinct().join(seen, "item", "left_anti"), "reached")
+        found = staged(parts[-1].join(links, "item").select(F.col("source").alias("item")).distinct(), "found")
+        fresh = staged(found.join(seen.join(found, "item", "left_semi"), "item", "left_anti"), "reached")
         if fresh.isEmpty():
             return seen
         parts.append(fresh)

@@ -243,7 +243,7 @@ def _closure(spark, d, mandatory):
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c))
     links = table(spark, d, "lineitem").select(key("o", "l_orderkey").alias("item"), key("s", "l_suppkey").alias("source"))
     links = links.union(table(spark, d, "supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey"))).union(table(spark, d, "nation").select(key("n", "n_nationkey"), key("r", "n_regionkey")))
-    return evidence.closure(table(spark, d, "orders").where(mandatory).select(key("o", "o_orderkey").alias("item")), links.distinct())
+    return evidence.closure(table(spark, d, "orders").where(mandatory).select(key("o", "o_orderkey").alias("item")), links)
 
 
 @query(f"with {_SQL_ITEMS}, b as (select item from items where level = 'B') select item from b union select source as item from links where item in (select item from b)")

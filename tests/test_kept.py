@@ -44,3 +44,16 @@ def test_notices_on_procedures(spark):
     rows = spark.createDataFrame(texts, "k int, t string, n int").select("k", gates.process_notice(F.col("t")).alias("yes"), gates.process_depth(F.col("t"), F.col("n")).alias("x")).collect()
     assert [r["yes"] for r in rows] == [True, False, False, True, True]
     assert rows[0]["x"]["missing"] == ["影响分析", "企业关注点"] and rows[0]["x"]["shallow"] and (rows[3]["x"]["missing"], rows[3]["x"]["shallow"]) == ([], False) and rows[4]["x"]["shallow"]
+
+
+def test_closure_compares_only_what_a_round_found(spark, monkeypatch):
+    """What was seen is read for the few items that were found again, and isn't shuffled: rounds of few items cost no more for many seen."""
+    written = []
+    real = evidence.staged
+    monkeypatch.setattr(evidence, "staged", lambda df, name="t": written.append((name, df)) or real(df, name))
+    start = spark.range(5000).selectExpr("concat('o', id) as item")
+    links = start.selectExpr("item", "'s1' as source").union(start.selectExpr("item", "'s1' as source")).union(spark.createDataFrame([("s1", "n1"), ("n1", "s1"), ("n1", "o7")], "item string, source string"))
+    got = [r[0] for r in evidence.closure(start, links).collect()]
+    assert sorted(got) == sorted([f"o{i}" for i in range(5000)] + ["s1", "n1"])
+    found = [df for name, df in written if name == "found"]
+    assert [df.count() for df in found] == [1, 1, 2] and [df.count() for name, df in written if name == "reached"] == [5000, 1, 1, 0]
