@@ -1,6 +1,7 @@
 """Markdown reports as lines: what each line is, the claims it makes, the parts of the report, and their checks.
 
-Lines are rows (id, line_no, line); what depends on the lines before and after comes from windows over one report."""
+Lines are rows (id, line_no, line); what depends on the lines before and after comes from windows over one report. Reports are dealt
+once, whole, over as many partitions as their texts need; all windows are in one order, so that a task sorts its lines once."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from evidra.operators.claims import claim_like
 SENTENCE_ENDS = "。！？!?；;"
 #: Version that goes into the identity of a claim.
 CLAIM_VERSION = "claim-1"
+#: Characters of reports in a partition, about; their lines take some tens of times as many bytes while they are sorted.
+PARTITION_CHARS = 4 << 20
 _PREFIX = "^(?:[-*+>]\\s+|\\d+[.)、]\\s*)+"
 
 
@@ -27,10 +30,17 @@ def _is_rule(line: Column) -> Column:
     return line.startswith("|") & F.forall(_cells(line), lambda c: c.rlike("^[-: ]+$"))
 
 
+def _dealt(reports: DataFrame, key: str, markdown: str) -> DataFrame:
+    """Reports by key in partitions of a bounded size (counts characters first); the session's number of partitions at least."""
+    chars = reports.agg(F.sum(F.length(markdown))).first()[0] or 0
+    least = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reports.repartition(max(least, -(-chars // PARTITION_CHARS)), key)
+
+
 def lines(reports: DataFrame, key: str, markdown: str) -> DataFrame:
     """(key, line_no, line, kind, table_no, row_no, header, section_no): line_no from 0; kind is fence, code, blank, heading, header, rule,
     row or text. header: the cells of the table's header, for rows; section_no counts the headings so far."""
-    rows = reports.select(key, F.posexplode(F.split(F.coalesce(F.col(markdown), F.lit("")), "\r?\n")).alias("line_no", "raw")).withColumn("line", F.trim("raw")).drop("raw")
+    rows = _dealt(reports.select(key, markdown), key, markdown).select(key, F.posexplode(F.split(F.coalesce(F.col(markdown), F.lit("")), "\r?\n")).alias("line_no", "raw")).withColumn("line", F.trim("raw")).drop("raw")
     of = Window.partitionBy(key).orderBy("line_no")
     so_far = of.rowsBetween(Window.unboundedPreceding, 0)
     fence = F.col("line").startswith("```")
@@ -44,11 +54,12 @@ def lines(reports: DataFrame, key: str, markdown: str) -> DataFrame:
     # a table's header holds until a line that is no part of a table
     rows = rows.withColumn("block", F.count_if(F.col("kind").isin("blank", "heading", "text")).over(so_far))
     rows = rows.withColumn("table_no", F.count_if(F.col("kind") == "header").over(so_far) - 1).withColumn("section_no", F.count_if(F.col("kind") == "heading").over(so_far))
-    of_block = Window.partitionBy(key, "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("header", F.last(F.when(F.col("kind") == "header", _cells(line)), ignorenulls=True).over(of_block))
-    of_table = Window.partitionBy(key, "table_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("row_no", F.when(F.col("kind") == "row", F.count_if(F.col("kind") == "row").over(of_table) - 1))
-    return rows.drop("fences", "next", "block")
+    rows = rows.withColumn("rows", F.count_if(F.col("kind") == "row").over(so_far))
+    top = F.struct("block", "rows", _cells(line).alias("cells"))
+    rows = rows.withColumn("top", F.last(F.when(F.col("kind") == "header", top), ignorenulls=True).over(so_far))
+    rows = rows.withColumn("header", F.when(F.col("top.block") == F.col("block"), F.col("top.cells")))
+    rows = rows.withColumn("row_no", F.when(F.col("kind") == "row", F.col("rows") - F.coalesce("top.rows", F.lit(0)) - 1))
+    return rows.select(key, "line_no", "line", "kind", "table_no", "section_no", "header", "row_no")
 
 
 def _with_headers(cells: Column, header: Column) -> Column:
@@ -59,13 +70,14 @@ def _with_headers(cells: Column, header: Column) -> Column:
 def claims_of(told: DataFrame, key: str) -> DataFrame:
     """(key, location, claim, claim_id) from lines: sentences of text, and rows of tables with their headers. Equal claims of a report
     are one; location is its first place (locations, all of them in order)."""
+    is_text = F.col("kind") == "text"
+    said = F.when(is_text, F.split(F.regexp_replace("line", _PREFIX, ""), f"(?<=[{SENTENCE_ENDS}])")).otherwise(F.array("line"))
+    parts = told.where("kind in ('text', 'row')").select(key, "line_no", "kind", "table_no", "row_no", "header", F.posexplode(said).alias("i", "s"))
     shown = F.trim(collapse_space(fold_width(F.col("s"))), F.lit("。！？!?；;，,：:|*-_`> "))
-    plain = told.where("kind = 'text'").select(key, "line_no", F.posexplode(F.split(F.regexp_replace("line", _PREFIX, ""), f"(?<=[{SENTENCE_ENDS}])")).alias("i", "s"))
-    sentences = plain.select(key, "line_no", "i", F.concat(F.lit("line["), "line_no", F.lit("].sentence["), "i", F.lit("]")).alias("location"), shown.alias("claim"))
-    rows = told.where("kind = 'row'").select(
-        key, "line_no", F.lit(0).alias("i"), F.concat(F.lit("table["), F.greatest(F.col("table_no"), F.lit(0)), F.lit("].row["), "row_no", F.lit("]")).alias("location"), _with_headers(_cells(F.col("line")), F.col("header")).alias("claim")
-    )
-    found = sentences.unionByName(rows).where(claim_like(F.col("claim"))).withColumn("normal", claim_text(F.col("claim")))
+    in_text = F.concat(F.lit("line["), "line_no", F.lit("].sentence["), "i", F.lit("]"))
+    in_table = F.concat(F.lit("table["), F.greatest(F.col("table_no"), F.lit(0)), F.lit("].row["), "row_no", F.lit("]"))
+    claim = F.when(is_text, shown).otherwise(_with_headers(_cells(F.col("s")), F.col("header")))
+    found = parts.select(key, "line_no", "i", F.when(is_text, in_text).otherwise(in_table).alias("location"), claim.alias("claim")).where(claim_like(F.col("claim"))).withColumn("normal", claim_text(F.col("claim")))
     at = F.struct("line_no", "i", "location", "claim")
     merged = found.groupBy(key, "normal").agg(F.min(at).alias("first"), F.transform(F.sort_array(F.collect_list(at)), lambda x: x.location).alias("all"))
     return merged.select(key, F.col("first.location").alias("location"), F.col("first.claim").alias("claim"), F.sha2(F.concat(F.lit(CLAIM_VERSION + "\n"), "normal"), 256).alias("claim_id"), F.array_join("all", ",").alias("locations"))

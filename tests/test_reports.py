@@ -216,3 +216,13 @@ def test_only_a_first_line_is_a_preamble(spark):
     raws = ["Sure, here is the report:\nbody", "Certainly!\nbody", "a\nHere is. More of it.\nb", "Here is. And more.\nb", "a\nSure: no\n以下是价格\nb", "Surely this:\nb", "```md\nHere is it:\n\n# T\n```", "好的。"]
     got = [r[0] for r in frame(spark, [(i, s) for i, s in enumerate(raws)], "i int, s string").orderBy("i").select(text.answer_text(F.col("s"))).collect()]
     assert got == ["body", "body", "a\nHere is. More of it.\nb", "Here is. And more.\nb", "a\nSure: no\n以下是价格\nb", "Surely this:\nb", "# T", ""]
+
+
+def test_reports_are_dealt_by_the_size_of_their_texts(spark, monkeypatch):
+    """Partitions grow in number with the texts, not in size, and the lines of a report are sorted once."""
+    monkeypatch.setattr(markdown, "PARTITION_CHARS", 1000, raising=False)
+    rows = frame(spark, [(i, REPORT) for i in range(200)], "k int, m string")
+    told = markdown.lines(rows, "k", "m")
+    assert told._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert told.rdd.getNumPartitions() >= 200 * len(REPORT) // 1000
+    assert markdown.claims_of(told, "k").groupBy("k").count().where("count <> 4").count() == 0
