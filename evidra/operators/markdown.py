@@ -117,7 +117,12 @@ def structural_issues(parts: DataFrame, key: str, informal: Sequence[str] = INFO
     table headers, and rows that don't fit their header."""
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x.text), "\n")
     of = lambda p: F.count_if(F.col("part") == p)
-    whole = parts.groupBy(key).agg(joined.alias("t"), F.max(F.when(F.col("part") == "title", F.col("text"))).alias("title"), of("section").alias("sections"), F.count_if(F.col("part").isin("lead", "paragraph", "row")).alias("body"))
+    cells = F.split("text", " \\| ")
+    of_report = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    told = parts.withColumn("of", F.last(F.when(F.col("part") == "table", F.size(cells)), ignorenulls=True).over(of_report))
+    crooked = F.count_if((F.col("part") == "row") & (F.size(cells) != F.col("of")))
+    blank = F.count_if((F.col("part") == "table") & F.exists(cells, lambda c: F.trim(c) == ""))
+    whole = told.groupBy(key).agg(crooked.alias("crooked"), blank.alias("blank"), joined.alias("t"), F.max(F.when(F.col("part") == "title", F.col("text"))).alias("title"), of("section").alias("sections"), F.count_if(F.col("part").isin("lead", "paragraph", "row")).alias("body"))
     left = F.col("t").rlike("(?i)</?(?:report_ir|final_report)|```|\\{\\{.*?\\}\\}")
     bad = [
         ("no_title", F.length(F.coalesce("title", F.lit(""))) < least_title, F.coalesce("title", F.lit(""))),
@@ -126,15 +131,11 @@ def structural_issues(parts: DataFrame, key: str, informal: Sequence[str] = INFO
         ("markup_left", left, F.lit("")),
         ("informal_words", F.size(hits(F.col("t"), informal)) > 0, F.array_join(hits(F.col("t"), informal), ",")),
         ("blocked_words", F.size(hits(F.lower("t"), blocked)) > 0, F.array_join(hits(F.lower("t"), blocked), ",")),
+        ("crooked_table", F.col("crooked") > 0, F.concat(F.lit("rows "), "crooked")),
+        ("empty_header", F.col("blank") > 0, F.concat(F.lit("tables "), "blank")),
     ]
     issues = F.filter(F.array(*[F.when(yes, F.struct(F.lit(code).alias("issue"), detail.alias("detail"))) for code, yes, detail in bad]), lambda x: x.isNotNull())
-    named = whole.select(key, F.explode(issues).alias("x")).select(key, "x.*")
-    width = F.size(F.split("text", " \\| "))
-    of_report = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    grid = parts.where("part in ('table', 'row')").withColumn("width", width).withColumn("of", F.last(F.when(F.col("part") == "table", width), ignorenulls=True).over(of_report))
-    crooked = grid.where("part = 'row' and width <> of").groupBy(key).agg(F.concat(F.lit("rows "), F.count(F.lit(1))).alias("detail")).select(key, F.lit("crooked_table").alias("issue"), "detail")
-    blank = grid.where((F.col("part") == "table") & F.exists(F.split("text", " \\| "), lambda c: F.trim(c) == "")).groupBy(key).agg(F.concat(F.lit("tables "), F.count(F.lit(1))).alias("detail"))
-    return named.unionByName(crooked).unionByName(blank.select(key, F.lit("empty_header").alias("issue"), "detail"))
+    return whole.select(key, F.explode(issues).alias("x")).select(key, "x.*")
 
 
 def analysis_depth(reports: DataFrame, key: str, report: str, evidence: str, words: Sequence[str], grounds: Sequence[str], marker: str, headings: str) -> DataFrame:

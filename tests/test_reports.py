@@ -226,3 +226,10 @@ def test_reports_are_dealt_by_the_size_of_their_texts(spark, monkeypatch):
     assert told._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     assert told.rdd.getNumPartitions() >= 200 * len(REPORT) // 1000
     assert markdown.claims_of(told, "k").groupBy("k").count().where("count <> 4").count() == 0
+
+
+def test_a_report_is_checked_in_one_pass(spark):
+    rows = [(1, "# A title of a report\n## s\n| a | b |\n|---|---|\n| 1 |\n| 1 | 2 |\n| 3 |\ntext\n| c | |\n|---|---|\n| 1 |\n| 1 | 2 |")]
+    found = markdown.structural_issues(markdown.parts_of(markdown.lines(frame(spark, rows, "k int, m string"), "k", "m"), "k"), "k")
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, "crooked_table", "rows 3"), (1, "empty_header", "tables 1")]
