@@ -6,6 +6,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -783,6 +784,23 @@ def test_lm_scores_do_not_depend_on_the_split(spark):
         assert [x for r in one for x in r[2:]] == pytest.approx([x for r in other for x in r[2:]], rel=1e-6)
 
 
+def test_words_are_encoded_once_for_each_task(spark, monkeypatch):
+    """A word of an earlier slice keeps its number and its ids, and rows are the same as with words numbered anew for each slice."""
+    frame, coded = small_frame(spark), []
+    of = lambda value: type("Sent", (), {"value": value})()
+    texts = [["a b a", "", None], ["b c a " + "x" * 80, "c"], [None], ["a d"]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(x, pa.string())], names=["doc_id", "text"]) for x in texts]
+    rows = type("Rows", (), {"mapInArrow": lambda self, run, schema: [r for b in run(iter(batches)) for r in b.to_pylist()]})()
+    encoded = lm_scoring.encoded
+    monkeypatch.setattr(lm_scoring, "encoded", lambda path, words: coded.extend(words) or encoded(path, words))
+    monkeypatch.setattr(lm_scoring, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())}))
+    once = lm_scoring.numbered(rows, PIECES, of(frame), of({b"a": 3, b"c": 1}))
+    assert sorted(coded) == [b"a", b"b", b"c", b"d", b"x" * 80]
+    monkeypatch.setattr(lm_scoring, "NUMBERED_WORDS", 0)
+    by_word = lambda found: [{**r, "tail": sorted(r["tail"], key=lambda t: t["word"])} for r in found]
+    assert by_word(once) == by_word(lm_scoring.numbered(rows, PIECES, of(frame), of({b"a": 3, b"c": 1})))
+
+
 def test_lm_scores_of_odd_texts(spark):
     """Null, empty, words without ids, very long words and texts, repeated and null ids; and no training text at all."""
     rows = [(1, None), (2, ""), (3, "\x00 \x01"), (4, "x" * 5000 + " " + "x" * 5000), (5, "a b " * 60_000), (5, "a b"), (None, "a b c"), (None, "a b c"), (6, "\u4e2d\u6587 \u00e9\u00c9 " + "y" * 70)]
